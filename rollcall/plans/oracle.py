@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from rollcall.plans.oracle_access import ORACLE as _ACCESS
 from rollcall.plans.oracle_reports import ORACLE as _REPORTS
 
 ORACLE: dict[str, str] = {}
-ORACLE.update(_REPORTS)
+for part in (_REPORTS, _ACCESS):
+    ORACLE.update(part)
