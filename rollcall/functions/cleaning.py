@@ -186,4 +186,5 @@ def with_types_by_name(df: DataFrame, fields: dict[str, str], year: int) -> Data
             out.append(strict_int(src).alias(field))
         else:
             out.append(normalize_string(src).alias(field))
-    return df.select("*", *out).drop(*[f"__typed_{f}" for f in fields])
+    keep = [c for c in df.columns if c not in fields and not c.startswith("__typed_")]
+    return df.select(*keep, *out)

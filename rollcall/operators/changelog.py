@@ -51,17 +51,21 @@ def _image(df_alias: str, columns: list[str]) -> Column:
 
 
 def capture_changes(before: DataFrame, after: DataFrame, table: str, keys: list[str], run_ts: str,
-                    matched_is_update: bool = True) -> DataFrame:
+                    touched: DataFrame | None = None) -> DataFrame:
     """L1: change rows between two states of a keyed table.
 
     Full outer join on the key: only-after = INSERT, only-before = DELETE,
-    both = UPDATE.  Like a row trigger, a matched row is logged even when no
-    value differs (``matched_is_update``); set it False to log real changes
-    only.  The identifier comes from the surviving side."""
+    both = UPDATE.  With ``touched`` (the keys a merge updated) every touched
+    row is logged as UPDATE even when no value differs, like a row trigger;
+    without it, only rows whose image differs are.  The identifier comes
+    from the surviving side."""
     cols = [c for c in after.columns]
     b = before.select(*cols, F.lit(True).alias("__in_before")).alias("b")
     a = after.select(*cols, F.lit(True).alias("__in_after")).alias("a")
-    cond = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    if touched is not None:
+        a = after.join(touched.select(*keys).distinct().withColumn("__touched", F.lit(True)), keys, "left") \
+            .select(*cols, F.lit(True).alias("__in_after"), "__touched").alias("a")
+    cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     j = a.join(b, cond, "full_outer")
     in_a, in_b = F.col("a.__in_after").isNotNull(), F.col("b.__in_before").isNotNull()
     op = F.when(in_a & in_b, "UPDATE").when(in_a, "INSERT").otherwise("DELETE")
@@ -73,11 +77,10 @@ def capture_changes(before: DataFrame, after: DataFrame, table: str, keys: list[
         F.when(in_b, _image("b", cols)).alias("old_values"),
         F.when(in_a, _image("a", cols)).alias("new_values"),
         F.lit(run_ts).cast("timestamp_ntz").alias("log_ts"),
-        (F.when(in_a & in_b, _image("a", cols) != _image("b", cols)).otherwise(F.lit(True))).alias("__changed"),
+        (F.when(in_a & in_b, F.col("a.__touched").isNotNull() if touched is not None
+                else _image("a", cols) != _image("b", cols)).otherwise(F.lit(True))).alias("__logged"),
     )
-    if not matched_is_update:
-        out = out.filter(F.col("__changed"))
-    return out.drop("__changed")
+    return out.filter(F.col("__logged")).drop("__logged")
 
 
 # ---------------------------------------------------------------- L3-L8

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from rollcall.plans.oracle_access import ORACLE as _ACCESS
+from rollcall.plans.oracle_merge import ORACLE as _MERGE
 from rollcall.plans.oracle_reports import ORACLE as _REPORTS
 
 ORACLE: dict[str, str] = {}
-for part in (_REPORTS, _ACCESS):
+for part in (_REPORTS, _ACCESS, _MERGE):
     ORACLE.update(part)
