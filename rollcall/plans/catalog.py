@@ -41,3 +41,4 @@ def prog(spark: SparkSession, sf_dir: str) -> Programme:
 from rollcall.plans import catalog_reports  # noqa: E402,F401
 from rollcall.plans import catalog_access  # noqa: E402,F401
 from rollcall.plans import catalog_merge  # noqa: E402,F401
+from rollcall.plans import catalog_links  # noqa: E402,F401
