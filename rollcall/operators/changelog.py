@@ -26,11 +26,12 @@ IDENTIFIER_KEYS = {
 }
 
 
-def record_identifier(table: str, side: str | None = None) -> Column:
+def record_identifier(table: str, side: str | None = None, keys: list[str] | None = None) -> Column:
     """L2: key columns joined with ``|``.  Ordinary tables use a
     null-propagating concat; the weekly table renders nulls as ``NULL``; an
-    empty or missing identifier becomes ``<table>|unknown``."""
-    keys, null_safe = IDENTIFIER_KEYS[table]
+    empty or missing identifier becomes ``<table>|unknown``.  Tables outside
+    the programme use their given ``keys``."""
+    keys, null_safe = IDENTIFIER_KEYS.get(table, (keys or [], False))
 
     def c(k):
         col = F.col(f"{side}.{k}" if side else k).cast("string")
@@ -72,7 +73,7 @@ def capture_changes(before: DataFrame, after: DataFrame, table: str, keys: list[
     out = j.select(
         F.lit(table).alias("table_name"),
         op.alias("operation_type"),
-        F.when(in_a, record_identifier(table, "a")).otherwise(record_identifier(table, "b"))
+        F.when(in_a, record_identifier(table, "a", keys)).otherwise(record_identifier(table, "b", keys))
         .alias("record_identifier"),
         F.when(in_b, _image("b", cols)).alias("old_values"),
         F.when(in_a, _image("a", cols)).alias("new_values"),

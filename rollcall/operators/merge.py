@@ -95,7 +95,11 @@ def merge_keyed(target: DataFrame, batch: DataFrame, keys: list[str], mode: str
     tcols = target.columns
     bcols = [c for c in batch.columns if c != order_col]
     overwrite = overwrite if overwrite is not None else [c for c in bcols if c not in keys]
-    red = reduce_batch(batch, keys, order_col, "first" if mode == "create" else "last", coalesce, first_cols)
+    # records apply one after another, so a keep-existing column ends with the
+    # last non-null value of the batch (then the stored one), like COALESCE
+    # (in create mode later records of a key are skipped: the first one wins)
+    carry = () if mode == "create" else tuple(coalesce) + tuple(c for c in keep_existing if c not in coalesce)
+    red = reduce_batch(batch, keys, order_col, "first" if mode == "create" else "last", carry, first_cols)
     t = target.withColumn("__t", F.lit(True)).alias("t")
     s = red.withColumn("__s", F.lit(True)).alias("s")
     how = {"upsert": "full_outer", "create": "full_outer", "update": "left"}[mode]

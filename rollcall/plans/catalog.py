@@ -43,3 +43,4 @@ from rollcall.plans import catalog_access  # noqa: E402,F401
 from rollcall.plans import catalog_merge  # noqa: E402,F401
 from rollcall.plans import catalog_links  # noqa: E402,F401
 from rollcall.plans import catalog_constraints  # noqa: E402,F401
+from rollcall.plans import catalog_io  # noqa: E402,F401

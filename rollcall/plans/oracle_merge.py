@@ -13,9 +13,16 @@ batch AS (
          team_id AS occupation,
          CASE WHEN likes % 2 = 0 THEN NULL ELSE '77' || CAST(likes AS VARCHAR) END AS phone_number
   FROM submissions),
-last AS (
+lastrec AS (
   SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY email ORDER BY row_number DESC) AS rn FROM batch b)
   WHERE rn = 1),
+lastreg AS (
+  SELECT email, max_by(registration_date_time, CASE WHEN registration_date_time IS NOT NULL THEN row_number END)
+           AS registration_date_time
+  FROM batch GROUP BY email),
+last AS (
+  SELECT r.email, r.name, r.row_number, g.registration_date_time, r.occupation, r.phone_number
+  FROM lastrec r JOIN lastreg g ON r.email = g.email),
 first AS (
   SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY email ORDER BY row_number) AS rn FROM batch b)
   WHERE rn = 1)"""
