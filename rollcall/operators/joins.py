@@ -34,4 +34,5 @@ def enrich_bounded(small: DataFrame, big: DataFrame, key: str, bound: int, how:
     multiplicity) are then joined to ``small``."""
     keys = bounded_broadcast(small.select(key).distinct(), bound)
     hits = big.join(keys, key, "left_semi")
-    return small.join(hits, key, how)
+    # ``big`` is unique on ``key`` here (a dimension), so ``hits`` is bounded too
+    return small.join(bounded_broadcast(hits, bound), key, how)
