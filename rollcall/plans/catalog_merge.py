@@ -243,3 +243,67 @@ def c20(spark, sf):
     batch_rows = p.raw_rows
     return IM.import_summary(batch_rows, res.outcome, rejected, cap=100).select(
         "rows", "created", "updated", "skipped", "error_count", F.to_json("errors").alias("errors"))
+
+
+@query("u5_weekly_update_mode")
+def u5(spark, sf):
+    """Weekly update mode: per (week, e-mail) the latest signup event supplies
+    a repository link and likes; only non-null fields overwrite, updated_at
+    takes the supplied time, else the run time."""
+    p = prog(spark, sf)
+    target = p.weekly.withColumn("updated_at", F.col("created_at"))
+    e = Tables(spark, sf).events.filter(F.col("event_type") == "signup")
+    eid = F.col("event_id")
+    sup = e.select((F.floor((F.dayofmonth("ts") - 1) / 7).cast("int") + 1).alias("week_number"),
+                   F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"),
+                   F.when(eid % 2 == 0, F.concat(F.lit("https://github.com/upd/"), eid.cast("string"))).alias("gl"),
+                   F.when(eid % 3 == 0, (eid % 7).cast("int")).alias("lk"),
+                   F.when(eid % 5 != 0, F.col("ts")).alias("ua"), eid.alias("row_number"))
+    updates = M.reduce_batch(sup, ["week_number", "email"], "row_number").select(
+        "week_number", "email", F.col("gl").alias("github_link"), F.col("lk").alias("likes"),
+        F.col("ua").alias("updated_at"))
+    state, _ = M.partial_update(target, updates, ["week_number", "email"], run_ts=RUN_TS, touch_from="updated_at")
+    return state
+
+
+def booking_batch(p):
+    """Bookings re-sent from the lab records: slot from the assignment time,
+    slot text from the problem statement, file order = creation time (one
+    record per key, so ties cannot occur)."""
+    return p.labs.select("email", F.col("workshop_name").alias("form_name"), "name",
+                         F.col("assigned_at").alias("time_slot"), F.col("problem_statement").alias("time_slot_range"),
+                         F.col("created_at").alias("row_number"))
+
+
+@query("u7_u14_insert_or_replace_bookings")
+def u7(spark, sf):
+    p = prog(spark, sf)
+    target = p.bookings.withColumn("updated_at", F.col("created_at"))
+    return M.merge_keyed(target, booking_batch(p), ["email", "form_name"], "upsert", run_ts=RUN_TS,
+                         overwrite=["name", "time_slot", "time_slot_range"]).state
+
+
+@query("u10_update_by_occupation")
+def u10(spark, sf):
+    """One-to-many update: a designation per occupation (non-key match) hits
+    every participant with that occupation; counted per row hit."""
+    p = prog(spark, sf)
+    c = Tables(spark, sf).customer.select("c_mktsegment").distinct()
+    batch = c.select(F.col("c_mktsegment").alias("occupation"),
+                     F.concat(F.lit("Lead of "), F.col("c_mktsegment")).alias("designation"),
+                     F.lit(1).cast("long").alias("row_number"))
+    res = M.merge_on_match_fields(p.participants.select("email", "occupation", "designation"), batch,
+                                  ["occupation"], "update", run_ts=RUN_TS, target_key=["email"])
+    return res.state
+
+
+@query("u10_update_by_occupation_count")
+def u10_count(spark, sf):
+    p = prog(spark, sf)
+    c = Tables(spark, sf).customer.select("c_mktsegment").distinct()
+    batch = c.select(F.col("c_mktsegment").alias("occupation"),
+                     F.concat(F.lit("Lead of "), F.col("c_mktsegment")).alias("designation"),
+                     F.lit(1).cast("long").alias("row_number"))
+    res = M.merge_on_match_fields(p.participants.select("email", "occupation", "designation"), batch,
+                                  ["occupation"], "update", run_ts=RUN_TS, target_key=["email"])
+    return res.counts()

@@ -263,4 +263,47 @@ SELECT (SELECT COUNT(*) FROM raw_rows) AS rows,
        (SELECT COUNT(*) FROM rejected) AS error_count,
        (SELECT to_json(list(error ORDER BY row_number)) FROM (SELECT * FROM rejected ORDER BY row_number LIMIT 100) r)
          AS errors""", "participants", "raw_rows"),
+    "u5_weekly_update_mode": W(f""",
+sup AS (
+  SELECT CAST(floor((day(ts) - 1) / 7) AS INTEGER) + 1 AS week_number,
+         'user' || CAST(user_id AS VARCHAR) || '@example.com' AS email,
+         CASE WHEN event_id % 2 = 0 THEN 'https://github.com/upd/' || CAST(event_id AS VARCHAR) END AS gl,
+         CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 7 AS INTEGER) END AS lk,
+         CASE WHEN event_id % 5 <> 0 THEN ts END AS ua, event_id AS row_number
+  FROM events WHERE event_type = 'signup'),
+upd AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY week_number, email ORDER BY row_number DESC) AS rn
+                       FROM sup s) WHERE rn = 1)
+SELECT t.week_number, t.email,
+       CASE WHEN u.email IS NOT NULL AND (u.gl IS NOT NULL OR u.lk IS NOT NULL) THEN COALESCE(u.gl, t.github_link)
+            ELSE t.github_link END AS github_link,
+       t.blog_link, t.valid,
+       CASE WHEN u.email IS NOT NULL AND (u.gl IS NOT NULL OR u.lk IS NOT NULL) THEN COALESCE(u.lk, t.likes)
+            ELSE t.likes END AS likes,
+       t.comments, t.github_valid, t.created_at,
+       CASE WHEN u.email IS NOT NULL AND (u.gl IS NOT NULL OR u.lk IS NOT NULL) THEN COALESCE(u.ua, {TS})
+            ELSE t.created_at END AS updated_at
+FROM weekly t LEFT JOIN upd u ON t.week_number = u.week_number AND t.email = u.email""", "weekly"),
+    "u7_u14_insert_or_replace_bookings": W(f""",
+bb AS (SELECT email, workshop_name AS form_name, name, assigned_at AS time_slot, problem_statement AS time_slot_range,
+              created_at, created_at AS row_number FROM labs),
+lastb AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY email, form_name ORDER BY row_number DESC) AS rn
+                         FROM bb b) WHERE rn = 1),
+firstb AS (SELECT email, form_name, min_by(created_at, row_number) AS c0 FROM bb GROUP BY email, form_name)
+SELECT COALESCE(t.email, s.email) AS email, COALESCE(t.form_name, s.form_name) AS form_name,
+       CASE WHEN s.email IS NOT NULL THEN s.name ELSE t.name END AS name,
+       CASE WHEN s.email IS NOT NULL THEN s.time_slot ELSE t.time_slot END AS time_slot,
+       CASE WHEN s.email IS NOT NULL THEN s.time_slot_range ELSE t.time_slot_range END AS time_slot_range,
+       CASE WHEN t.email IS NULL THEN {TS} ELSE t.created_at END AS created_at,
+       CASE WHEN s.email IS NOT NULL THEN {TS} ELSE t.created_at END AS updated_at
+FROM bookings t FULL OUTER JOIN lastb s ON t.email = s.email AND t.form_name = s.form_name""", "bookings", "labs"),
+    "u10_update_by_occupation": W("""
+SELECT t.email, t.occupation,
+       CASE WHEN s.occupation IS NOT NULL THEN s.designation ELSE t.designation END AS designation
+FROM participants t
+LEFT JOIN (SELECT DISTINCT c_mktsegment AS occupation, 'Lead of ' || c_mktsegment AS designation FROM customer) s
+  ON t.occupation = s.occupation""", "participants"),
+    "u10_update_by_occupation_count": W("""
+SELECT CAST(0 AS BIGINT) AS inserted, COUNT(*) AS updated
+FROM participants t JOIN (SELECT DISTINCT c_mktsegment AS occupation FROM customer) s ON t.occupation = s.occupation""",
+                                        "participants"),
 }
