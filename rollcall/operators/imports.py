@@ -121,14 +121,14 @@ def import_summary(batch_rows: DataFrame, outcome: DataFrame, rejected: DataFram
 
 
 def workbook_summary(applied: DataFrame) -> DataFrame:
-    """Per sheet rows read / inserted / updated, plus the distinct
-    workshops processed.  ``applied`` has (sheet_index, sheet_name,
-    workshop_name, inserted) per applied record; a grand-total row is
-    produced by a rollup over the sheet."""
+    """Per sheet rows read / inserted / updated and the distinct
+    workshops processed, plus a grand-total row (one rollup).  ``applied``
+    has one row per applied record: (sheet_index, workshop_name, inserted,
+    updated) with the record's insert/update counts from its merge."""
     per_sheet = (applied.rollup("sheet_index")
                  .agg(F.count(F.lit(1)).alias("rows_read"),
-                      F.count_if(F.col("inserted")).alias("inserted"),
-                      F.count_if(~F.col("inserted")).alias("updated"),
+                      F.sum("inserted").cast("long").alias("inserted"),
+                      F.sum("updated").cast("long").alias("updated"),
                       F.count_distinct("workshop_name").alias("workshops"),
                       (F.grouping("sheet_index") == 1).alias("is_total")))
     return per_sheet.orderBy("is_total", "sheet_index")
