@@ -46,8 +46,9 @@ def record_identifier(table: str, side: str | None = None, keys: list[str] | Non
     return F.coalesce(F.when(ident != "", ident), F.lit(f"{table}|unknown"))
 
 
-def _image(df_alias: str, columns: list[str]) -> Column:
-    return F.to_json(F.struct(*[F.col(f"{df_alias}.{c}").alias(c) for c in columns]),
+def _image(df_alias: str | None, columns: list[str]) -> Column:
+    ref = (lambda c: F.col(f"{df_alias}.{c}")) if df_alias else F.col
+    return F.to_json(F.struct(*[ref(c).alias(c) for c in columns]),
                      {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"})
 
 
@@ -84,6 +85,21 @@ def capture_changes(before: DataFrame, after: DataFrame, table: str, keys: list[
     return out.filter(F.col("__logged")).drop("__logged")
 
 
+def change_rows(applied: DataFrame, table: str, columns: list[str], keys: list[str], run_ts: str) -> DataFrame:
+    """Change rows from a merge's applied frame: new values in ``columns``,
+    the old image in the ``__old`` struct, the operation in ``__op``."""
+    old = F.to_json(F.col("__old"), {"ignoreNullFields": "false",
+                                     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"})
+    return applied.select(
+        F.lit(table).alias("table_name"),
+        F.col("__op").alias("operation_type"),
+        record_identifier(table, None, keys).alias("record_identifier"),
+        F.when(F.col("__op") == "UPDATE", old).alias("old_values"),
+        _image(None, columns).alias("new_values"),
+        F.lit(run_ts).cast("timestamp_ntz").alias("log_ts"),
+    )
+
+
 # ---------------------------------------------------------------- L3-L8
 def _newest(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("log_ts").desc_nulls_first(), F.col("log_id").desc())

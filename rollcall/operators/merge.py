@@ -33,6 +33,9 @@ class MergeResult:
     state: DataFrame      # full new table
     outcome: DataFrame    # per key: inserted (0/1) and updated (records) counts
     before: DataFrame     # target as it was (for change capture)
+    applied: DataFrame | None = None  # one row per target/batch key: new values, __old image, __op
+    keys: tuple[str, ...] = ()
+    run_ts: str | None = None
 
     def counts(self) -> DataFrame:
         """inserted = records that created a row; updated = records that
@@ -40,6 +43,15 @@ class MergeResult:
         return self.outcome.agg(F.coalesce(F.sum("inserted"), F.lit(0)).cast("long").alias("inserted"),
                                 F.coalesce(F.sum("updated"), F.lit(0)).cast("long").alias("updated"))
 
+    def changes(self, table: str) -> DataFrame:
+        """L1 straight from the merge join: one INSERT or UPDATE row per key
+        the batch touched (an UPDATE even when no value changed, like a row
+        trigger), with JSON images.  No second join of before and after."""
+        from rollcall.operators.changelog import change_rows
+        cols = self.before.columns
+        a = self.applied.filter(F.col("__op").isNotNull())
+        return change_rows(a, table, cols, list(self.keys), self.run_ts)
+
 
 def _ts(run_ts: str) -> Column:
     return F.lit(run_ts).cast("timestamp_ntz")
@@ -135,7 +147,10 @@ def merge_keyed(target: DataFrame, batch: DataFrame, keys: list[str], mode: str
         out.append(F.when(apply_update, upd).when(apply_insert, ins).otherwise(tc).cast(target.schema[c].dataType)
                    .alias(c))
     keep_row = in_t | apply_insert
-    state = j.filter(keep_row).select(*out)
+    op = F.when(apply_insert, F.lit("INSERT")).when(apply_update, F.lit("UPDATE"))
+    applied = j.filter(keep_row).select(*out, F.struct(*[F.col(f"t.{c}").alias(c) for c in tcols]).alias("__old"),
+                                        op.alias("__op"))
+    state = applied.select(*tcols)
     # per key: the first record of a new key inserts, every other record of
     # the key counts as an update (mode permitting) - counts, not rows, so a
     # hot key never expands
@@ -145,7 +160,8 @@ def merge_keyed(target: DataFrame, batch: DataFrame, keys: list[str], mode: str
         F.when(apply_insert, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("inserted"),
         (F.when(apply_insert, n - 1).when(apply_update, n).otherwise(F.lit(0)) if mode != "create"
          else F.lit(0)).cast("long").alias("updated"))
-    return MergeResult(state=state, outcome=outcome, before=target)
+    return MergeResult(state=state, outcome=outcome, before=target, applied=applied, keys=tuple(keys),
+                       run_ts=run_ts)
 
 
 def partial_update(target: DataFrame, updates: DataFrame, keys: list[str], *, run_ts: str,

@@ -156,9 +156,7 @@ def u9(spark, sf):
 @query("l1_change_capture_upsert")
 def l1(spark, sf):
     p = prog(spark, sf)
-    res = _participant_merge(p, "upsert")
-    touched = res.outcome.filter(F.col("updated") > 0)
-    log = LG.capture_changes(res.before, res.state, "participants", PARTICIPANT_KEYS, RUN_TS, touched)
+    log = _participant_merge(p, "upsert").changes("participants")
     return log.select("table_name", "operation_type", "record_identifier", "log_ts",
                       F.col("old_values").isNotNull().alias("has_old"),
                       F.col("new_values").isNotNull().alias("has_new"))

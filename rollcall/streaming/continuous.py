@@ -13,11 +13,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rollcall.operators import changelog as LG
 from rollcall.operators import merge as M
 from rollcall.operators import validation as V
 from rollcall.sinks import writers as W
@@ -37,14 +37,18 @@ def merge_stream(spark: SparkSession, source_dir: str, schema: str, table_path:
     def apply(batch: DataFrame, batch_id: int) -> None:
         current = W.read_versioned(spark, table_path)
         res = M.merge_keyed(current, batch, keys, mode, run_ts=run_ts, order_col=order_col, **merge_options)
-        touched = res.outcome.filter(F.col("updated") > 0)
-        log = LG.capture_changes(res.before, res.state, table, keys, run_ts, touched)
-        # new version first (its lineage reads the old one), then the log,
-        # then the pointer - the log of a batch is only visible with its data
-        state_path = f"{table_path.rstrip('/')}/v-{batch_id}"
-        res.state.write.mode("overwrite").parquet(state_path)
-        log.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}")
+        # state and change rows come from the same merge join: keep it once
+        # (a cache, recomputed from lineage if an executor is lost)
+        res.applied.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            # new version first, then the log, then the pointer - the log of a
+            # batch is only visible together with its data
+            state_path = f"{table_path.rstrip('/')}/v-{batch_id}"
+            res.state.write.mode("overwrite").parquet(state_path)
+            res.changes(table).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+                .parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}")
+        finally:
+            res.applied.unpersist()
         W.write_versioned(spark.read.parquet(state_path), table_path, batch_id=str(batch_id))
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -132,3 +132,16 @@ def test_validation_streams(spark, scratch):
     lines = [json.loads(r.value) for r in spark.read.text(out).collect()]
     assert len(lines) == 5
     assert any(x.get("status") == "Complete" for x in lines)
+
+
+def test_changes_from_merge_equal_before_after_diff(spark):
+    before = spark.createDataFrame([(1, "a", None), (2, "b", None), (4, "d", None)], TARGET_SCHEMA)
+    batch = spark.createDataFrame([(2, "B", None, 1), (3, "c", None, 2), (2, "BB", None, 3), (4, "d", None, 4)],
+                                  BATCH_SCHEMA)
+    res = M.merge_keyed(before, batch, ["k"], "upsert", run_ts=RUN_TS, touch_col=None, created_col=None)
+    direct = sorted(tuple(r) for r in res.changes("items").collect())
+    diff = sorted(tuple(r) for r in LG.capture_changes(res.before, res.state, "items", ["k"], RUN_TS,
+                                                       res.outcome.filter(F.col("updated") > 0)).collect())
+    assert direct == diff
+    # key 4 is rewritten with identical values and still logged, like a row trigger
+    assert {(r[1], r[2]) for r in direct} == {("UPDATE", "2"), ("INSERT", "3"), ("UPDATE", "4")}
