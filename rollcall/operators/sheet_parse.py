@@ -127,3 +127,70 @@ def parse_participant_sheets(rows: DataFrame, year: int, run_ts: str) -> tuple[D
         F.coalesce("__reg", F.lit(run_ts).cast("timestamp_ntz")).alias("registration_date_time"),
         "row_number", *H.SHEET)
     return records, _union(errors + [row_errs])
+
+
+WEEKLY_FIELDS = [f for f, _ in H.WEEKLY_PATTERNS]
+
+
+def parse_weekly_sheets(rows: DataFrame, year: int, mapping: DataFrame | None = None
+                        ) -> tuple[DataFrame, DataFrame]:
+    """Weekly challenge import: sheets named like ``Kiro Week N Challenge``
+    (week taken from the name), columns auto-mapped by the best pattern (H4)
+    unless a per-sheet ``mapping`` (path, sheet_index, field, position) is
+    given.  Text fields stripped (empty -> null), times parsed; e-mail
+    required and validated.  Errors are kept whole (this importer does not
+    cap them)."""
+    from rollcall.sources.sheets import weekly_sheets
+    rows = weekly_sheets(rows)
+    if mapping is None:
+        mapping = H.auto_map_best_pattern(header_table(rows)).select(*H.SHEET, "field", "position")
+    wide = H.pivot_mapping(mapping, WEEKLY_FIELDS)
+    mapped = H.apply_mapping(data_rows(rows).filter(non_blank_cells()), wide, WEEKLY_FIELDS)
+    mapped = mapped.join(rows.select(*H.SHEET, "week_number").distinct(), H.SHEET)
+    t = mapped
+    for f in ("email", "github_link", "blog_link"):
+        t = t.withColumn(f, C.normalize_string(f))
+    reason = (F.when(F.col("email").isNull(), F.lit("Missing email"))
+              .when(~C.is_valid_email("email"), F.concat(F.lit("Invalid email: "), F.col("email"))))
+    t = t.withColumn("__reason", reason)
+    errors = t.filter(F.col("__reason").isNotNull()).select(
+        "path", "sheet_index", "row_number",
+        F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(": "), F.col("__reason")).alias("error"))
+    ok = t.filter(F.col("__reason").isNull()).withColumn("email", C.normalize_email("email"))
+    ok = C.with_datetime(ok, "created_at", "__created", year)
+    ok = C.with_datetime(ok, "updated_at", "__updated", year)
+    records = ok.select("week_number", "email", "github_link", "blog_link",
+                        F.col("__created").alias("created_at"), F.col("__updated").alias("updated_at"),
+                        "row_number", *H.SHEET)
+    return records, errors
+
+
+def parse_lab_rows(rows: DataFrame, positions: DataFrame, year: int, workshop_name: str
+                   ) -> tuple[DataFrame, DataFrame]:
+    """Hands-on lab import: mapped fields (positions per sheet, wide), the
+    validity flag true only for the word TRUE, the assignment time parsed,
+    e-mail and name required."""
+    fields = ["email", "name", "problem_statement", "hands_on_lab_proof_link", "valid", "assigned_to",
+              "assigned_at", "blog_submission", "remarks"]
+    present = [f for f in fields if f in positions.columns]
+    mapped = H.apply_mapping(data_rows(rows).filter(non_blank_cells()), positions, present)
+    for f in fields:
+        if f not in present:
+            mapped = mapped.withColumn(f, F.lit(None).cast("string"))
+    t = mapped
+    for f in fields:
+        if f not in ("valid", "assigned_at"):
+            t = t.withColumn(f, C.normalize_string(f))
+    reason = (F.when(F.col("email").isNull() | F.col("name").isNull(), F.lit("Missing email or name"))
+              .when(~C.is_valid_email("email"), F.concat(F.lit("Invalid email: "), F.col("email"))))
+    t = t.withColumn("__reason", reason)
+    errors = t.filter(F.col("__reason").isNotNull()).select(
+        "path", "sheet_index", "row_number",
+        F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(": "), F.col("__reason")).alias("error"))
+    ok = t.filter(F.col("__reason").isNull()).withColumn("email", C.normalize_email("email"))
+    ok = C.with_datetime(ok, "assigned_at", "__assigned", year)
+    records = ok.select(F.lit(workshop_name).alias("workshop_name"), "email", "name", "problem_statement",
+                        "hands_on_lab_proof_link", C.coerce_boolean_upper_true("valid").alias("valid"),
+                        "assigned_to", F.col("__assigned").alias("assigned_at"), "blog_submission", "remarks",
+                        "row_number", *H.SHEET)
+    return records, errors

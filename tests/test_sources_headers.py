@@ -151,3 +151,35 @@ def test_preview(spark):
     pv = sheets.preview(df, 3).collect()
     assert sorted(r.row_number for r in pv) == [2, 4]
     assert pv[0].total_rows == 7
+
+
+def test_weekly_sheet_import(spark, scratch):
+    write_xlsx(os.path.join(scratch, "weekly.xlsx"), [
+        ("Intro", [["x"], ["y"]]),
+        ("13.Kiro Week 2 Challenge", [
+            ["Timestamp", "Email Address", "GitHub Repository URL", "Blog Post", "Created On"],
+            ["t", " A@X.io ", "https://github.com/a/b", "", "2024-01-05 10:00"],
+            ["t", "", "https://github.com/c/d", "https://community.aws/x", ""],
+            ["t", "bad", "", "", ""]]),
+    ])
+    rows = workbook.scan_workbooks(spark, scratch)
+    recs, errs = SP.parse_weekly_sheets(rows, 2024)
+    r = recs.first()
+    assert (r.week_number, r.email, r.github_link, r.blog_link) == (2, "a@x.io", "https://github.com/a/b", None)
+    assert str(r.created_at) == "2024-01-05 10:00:00"
+    assert sorted(e.error for e in errs.collect()) == ["Row 3: Missing email", "Row 4: Invalid email: bad"]
+
+
+def test_lab_rows(spark):
+    rows = spark.createDataFrame(
+        [("f", 0, "s", 1, ["Email", "Name", "Valid", "Assigned"]),
+         ("f", 0, "s", 2, ["a@x.io", "Ann", "true", "01/02/2024"]),
+         ("f", 0, "s", 3, ["b@x.io", "Bob", "yes", ""]),
+         ("f", 0, "s", 4, ["c@x.io", "", "TRUE", ""])],
+        "path string, sheet_index int, sheet_name string, row_number long, cells array<string>")
+    pos = spark.createDataFrame([("f", 0, 0, 1, 2, 3)],
+                                "path string, sheet_index int, email int, name int, valid int, assigned_at int")
+    recs, errs = SP.parse_lab_rows(rows, pos, 2024, "Workshop 3")
+    got = {r.email: (r.valid, str(r.assigned_at)) for r in recs.collect()}
+    assert got == {"a@x.io": (True, "2024-02-01 00:00:00"), "b@x.io": (False, "None")}
+    assert [e.error for e in errs.collect()] == ["Row 4: Missing email or name"]
