@@ -137,10 +137,12 @@ def validity_with_total(submissions: DataFrame) -> DataFrame:
 
 
 def validity_share(stats: DataFrame, valid: str = "valid_count", total: str = "total_count",
-                   digits: int = 1) -> DataFrame:
-    share = F.when(F.col(total) > 0, F.round(F.col(valid) * F.lit(100.0) / F.col(total), digits)) \
-        .otherwise(F.lit(0.0))
-    return stats.withColumn("valid_share", share)
+                   invalid: str = "invalid_count") -> DataFrame:
+    """Valid and invalid shares in percent, ``(part / total) * 100`` in that
+    order (0 when there are no rows); unrounded, as the progress bars use."""
+    def share(part: str):
+        return F.when(F.col(total) > 0, (F.col(part) / F.col(total)) * F.lit(100.0)).otherwise(F.lit(0.0))
+    return stats.withColumn("valid_share", share(valid)).withColumn("invalid_share", share(invalid))
 
 
 # ---------------------------------------------------------------- A11-A13

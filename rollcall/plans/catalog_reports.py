@@ -188,4 +188,4 @@ def a25_activity(spark, sf):
 @query("a26_validity_share")
 def a26(spark, sf):
     return R.validity_share(R.validity_stats(prog(spark, sf).submissions)).select(
-        "workshop_name", "total_count", "valid_count", F.col("valid_share"))
+        "workshop_name", "total_count", "valid_count", "invalid_count", F.col("valid_share"), F.col("invalid_share"))
