@@ -1,8 +1,8 @@
-"""Role and permission joins (P1-P4) and set-style grant maintenance.
+"""Role and permission joins.
 
-The permission catalog is a small, fixed table of routes; it is the only side
-broadcast explicitly, behind a row-count bound.  Grants (the bridge) and
-users grow with the deployment and are joined by key.
+The permission catalog is a small table of routes; it is the only side
+broadcast explicitly, and only after a row-count check.  Grants (the bridge)
+and users grow with the deployment and are joined by key.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.operators.joins import bounded_broadcast
+from rollcall.operators.joins import checked_broadcast
 
-# A route catalog larger than this is not broadcast explicitly.
+# The route catalog is broadcast after a row-count check; a larger catalog
+# falls back to a shuffled join.
 CATALOG_BOUND = 10_000
 ALL_ROUTES = "*"
 
@@ -20,7 +21,7 @@ ALL_ROUTES = "*"
 def effective_permissions(grants: DataFrame, permissions: DataFrame) -> DataFrame:
     """User -> granted permissions (inner join via the bridge), for all
     users, ordered by user, category, display name."""
-    cat = bounded_broadcast(permissions, CATALOG_BOUND)
+    cat = checked_broadcast(permissions, CATALOG_BOUND)
     return (grants.select("user_id", "permission_id").join(cat, "permission_id", "inner")
             .orderBy("user_id", F.col("category").asc_nulls_first(), "display_name"))
 
@@ -29,7 +30,7 @@ def effective_routes(users: DataFrame, grants: DataFrame, permissions: DataFrame
     """Routes a user may open.  Non-admins: their granted routes.  Admins:
     one rule row with route ``*`` (every route) instead of a row per route, so
     the output grows with grants, not with admins x catalog."""
-    cat = bounded_broadcast(permissions.select("permission_id", "route_name"), CATALOG_BOUND)
+    cat = checked_broadcast(permissions.select("permission_id", "route_name"), CATALOG_BOUND)
     admins = users.filter(F.col("is_admin")).select("user_id", F.lit(ALL_ROUTES).alias("route_name"),
                                                     F.lit(True).alias("all_routes"))
     granted = (grants.select("user_id", "permission_id").join(cat, "permission_id")
@@ -43,7 +44,7 @@ def effective_routes(users: DataFrame, grants: DataFrame, permissions: DataFrame
 def access_check(requests: DataFrame, users: DataFrame, grants: DataFrame, permissions: DataFrame) -> DataFrame:
     """For a batch of (user_id, route_name) requests, ``allowed`` when the
     user is an admin or holds a grant for a permission with that route."""
-    cat = bounded_broadcast(permissions.select("permission_id", "route_name"), CATALOG_BOUND)
+    cat = checked_broadcast(permissions.select("permission_id", "route_name"), CATALOG_BOUND)
     held = (grants.select("user_id", "permission_id").join(cat, "permission_id")
             .select("user_id", "route_name").distinct().withColumn("granted", F.lit(True)))
     flags = users.select("user_id", "is_admin")

@@ -25,6 +25,14 @@ def bounded_broadcast(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df)
 
 
+def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only after checking it holds at most ``max_rows``
+    rows; otherwise return it unchanged so Spark plans a shuffled join.  The
+    check reads at most ``max_rows + 1`` rows (a bounded scan)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def enrich_bounded(small: DataFrame, big: DataFrame, key: str, bound: int, how: str = "left") -> DataFrame:
     """``small`` LEFT JOIN ``big`` on ``key`` where ``small`` has at most
     ``bound`` rows.
