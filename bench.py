@@ -16,7 +16,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from rollcall.plans.catalog import QUERIES  # noqa: E402
+from rollcall.plans.registry import QUERIES  # noqa: E402
 from rollcall.session import build_session  # noqa: E402
 
 HEADLINE = [

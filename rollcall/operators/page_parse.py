@@ -1,0 +1,106 @@
+"""Exact page reading (V2 plain text + V3 counters) with a real HTML parser.
+
+``functions.links`` reads pages with regular expressions inside codegen; this
+module is the exact variant: a ``mapInPandas`` pass over pages (Arrow
+batches, one parse per page, no shuffle) using the standard library's
+``html.parser`` with the reference's tree semantics - first matching button,
+first action-text span decides, else the first all-digit span, text of
+nested elements included.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from rollcall.functions import links as LK
+
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+SIGNALS_SCHEMA = "link string, missing boolean, page_likes int, page_comments int"
+
+
+class _Node:
+    __slots__ = ("tag", "attrs", "children", "parent")
+
+    def __init__(self, tag, attrs, parent):
+        self.tag, self.attrs, self.children, self.parent = tag, dict(attrs), [], parent
+
+    def text(self) -> str:
+        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+
+    def iter(self, tag):
+        for c in self.children:
+            if isinstance(c, _Node):
+                if c.tag == tag:
+                    yield c
+                yield from c.iter(tag)
+
+
+class _Tree(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = _Node("#root", [], None)
+        self.cur = self.root
+
+    def handle_starttag(self, tag, attrs):
+        node = _Node(tag, attrs, self.cur)
+        self.cur.children.append(node)
+        if tag not in _VOID:
+            self.cur = node
+
+    def handle_startendtag(self, tag, attrs):
+        self.cur.children.append(_Node(tag, attrs, self.cur))
+
+    def handle_endtag(self, tag):
+        n = self.cur
+        while n is not None and n.tag != tag:
+            n = n.parent
+        if n is not None and n.parent is not None:
+            self.cur = n.parent
+
+    def handle_data(self, data):
+        self.cur.children.append(data)
+
+
+def _counter(root: _Node, label: str) -> int:
+    pat = re.compile(re.escape(label), re.I)
+    button = next((b for b in root.iter("button") if pat.search(b.attrs.get("aria-label") or "")), None)
+    if button is None:
+        return 0
+    action = next((s for s in button.iter("span") if LK.ACTION_CLASS in (s.attrs.get("class") or "")), None)
+    if action is not None:
+        t = action.text().strip()
+        return int(t) if t.isdigit() and t.isascii() else 0
+    for s in button.iter("span"):
+        t = s.text().strip()
+        if t.isdigit() and t.isascii():
+            return int(t)
+    return 0
+
+
+def read_page(html: str | None, status: int | None = None) -> tuple[bool, int, int]:
+    """(missing, likes, comments) of one fetched page, plain-fetch rules."""
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    head = tree.root.text()[:LK.PLAIN_TEXT_WINDOW].lower()
+    missing = status == 404 or "404" in head or "not found" in head
+    return missing, _counter(tree.root, LK.LIKE_LABEL), _counter(tree.root, LK.COMMENT_LABEL)
+
+
+def _signals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        status = pdf["status"] if "status" in pdf else [None] * len(pdf)
+        out = [read_page(h, s) for h, s in zip(pdf["html"], status)]
+        yield pd.DataFrame({"link": pdf["link"], "missing": [o[0] for o in out],
+                            "page_likes": [o[1] for o in out], "page_comments": [o[2] for o in out]})
+
+
+def page_signals_exact(pages: DataFrame) -> DataFrame:
+    """Exact V2/V3 signals per page: (link, missing, page_likes, page_comments)."""
+    cols = ["link", "html"] + (["status"] if "status" in pages.columns else [])
+    return pages.select(*cols).mapInPandas(_signals, SIGNALS_SCHEMA)

@@ -35,12 +35,3 @@ def query(name: str):
 
 def prog(spark: SparkSession, sf_dir: str) -> Programme:
     return Programme(spark, sf_dir)
-
-
-# Reports are imported for their registration side effect.
-from rollcall.plans import catalog_reports  # noqa: E402,F401
-from rollcall.plans import catalog_access  # noqa: E402,F401
-from rollcall.plans import catalog_merge  # noqa: E402,F401
-from rollcall.plans import catalog_links  # noqa: E402,F401
-from rollcall.plans import catalog_constraints  # noqa: E402,F401
-from rollcall.plans import catalog_io  # noqa: E402,F401
