@@ -87,3 +87,33 @@ def test_repo_status_reasons(spark):
     got = [x.t for x in df.select(V.repo_status_reason("s", "m", "r").alias("t")).collect()]
     assert got == [None, "Repository not found (404)", "Repository access forbidden (may be private)",
                    "Rate limit exceeded.", "GitHub API error: 500 - boom"]
+
+
+def test_set_null_on_delete_and_cascade(spark):
+    from rollcall.operators import constraints as K
+    grants = spark.createDataFrame([(1, 10, 7), (2, 11, 8), (3, 12, None)], "user_id long, permission_id long, granted_by long")
+    deleted = spark.createDataFrame([(7,)], "user_id long")
+    got = sorted(tuple(r) for r in K.set_null_on_delete(grants, deleted, "granted_by", "user_id").collect())
+    assert got == [(1, 10, None), (2, 11, 8), (3, 12, None)]
+    kids = K.cascade_delete({"g": grants}, spark.createDataFrame([(1,)], "user_id long"), fk="user_id")
+    assert sorted(r.user_id for r in kids["g"].collect()) == [2, 3]
+
+
+def test_select_sheets(spark):
+    rows = spark.createDataFrame([("p", i, f"S{i}", 1, ["x"], "form" if i % 2 else "project") for i in range(4)],
+                                 "path string, sheet_index int, sheet_name string, row_number long, "
+                                 "cells array<string>, role string")
+    assert [r.sheet_index for r in sheets.select_sheets(rows, kind="form").orderBy("sheet_index").collect()] == [1, 3]
+    assert [r.sheet_index for r in sheets.select_sheets(rows, sheet_index=2).collect()] == [2]
+    assert sheets.select_sheets(rows, sheet_index=9).count() == 0
+
+
+def test_similar_auto_map_lab_variant(spark):
+    from rollcall.sources.rows import headers as header_table
+    rows = spark.createDataFrame([("f", 0, "s", 1, ["Problem Statement", "Proof", "Assigned To"])],
+                                 "path string, sheet_index int, sheet_name string, row_number long, cells array<string>")
+    h = header_table(rows)
+    plain = {r.field: r.position for r in H.auto_map_similar(h, ["problem_statement", "assigned_to"]).collect()}
+    lab = {r.field: r.position for r in H.auto_map_similar(h, ["problem_statement", "assigned_to"], True).collect()}
+    assert plain == {"problem_statement": 0, "assigned_to": 2}  # spaces read as underscores
+    assert lab == plain
