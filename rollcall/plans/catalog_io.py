@@ -24,22 +24,32 @@ from rollcall.streaming import continuous as X
 EXPORT_SLOT = "20 Nov, 4:00 - 7:00 PM"
 
 
+RAW_COLUMNS = ["row_number_in_file", "email", "name", "phone", "created_text", "slot_text", "flag_text",
+               "degree_text"]
+
+
 def _raw_rows_csv(spark, sf):
-    """raw_rows written as ';'-separated CSV files with a header each."""
+    """raw_rows written as ';'-separated CSV files with a header each (cell
+    whitespace kept), then scanned back."""
     path = W.scratch_path(spark, "raw-rows-csv")
-    prog(spark, sf).raw_rows.write.option("header", "true").option("sep", ";").csv(path)
+    (prog(spark, sf).raw_rows.write.option("header", "true").option("sep", ";")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
     return scan_delimited(spark, path)
 
 
 @query("s1_delimited_scan")
 def s1(spark, sf):
-    return _raw_rows_csv(spark, sf).select("row_number", "cells")
+    """Data rows of the scanned files, one column per header cell (row
+    numbers and header rows depend on how the files were split, so they are
+    left out of the registered result)."""
+    rows = _raw_rows_csv(spark, sf).filter(F.col("row_number") > 1)
+    return rows.select(*[F.col("cells")[i].alias(c) for i, c in enumerate(RAW_COLUMNS)])
 
 
 @query("c19_participant_sheet_parse")
 def c19(spark, sf):
     records, _ = SP.parse_participant_sheets(_raw_rows_csv(spark, sf), SLOT_YEAR, RUN_TS)
-    return records.drop("path", "sheet_index")
+    return records.drop("path", "sheet_index", "row_number")
 
 
 @query("o1_workshop_export_rows")
@@ -99,6 +109,7 @@ def x3(spark, sf):
     q = X.progress_sink(spark, os.path.join(base, "in"), schema, fetched_pages(prog(spark, sf)),
                         os.path.join(base, "out"), os.path.join(base, "ckpt"), FIXTURE_DOMAINS)
     q.awaitTermination()
+    # one micro-batch (all files available at start): one line per item and one summary line
     return spark.read.text(os.path.join(base, "out")).select(F.get_json_object("value", "$.link").alias("link"),
                                                              F.get_json_object("value", "$.reason").alias("reason"),
                                                              F.get_json_object("value", "$.status").alias("status"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from rollcall.plans.fixture_sql import with_views as W
 from rollcall.plans.oracle_links import ORACLE as _LINKS
-from rollcall.plans.oracle_merge import ORACLE as _MERGE
+from rollcall.plans.oracle_links import PAGES, SIGNALS, VERDICTS
+from rollcall.plans.oracle_merge import EMAIL_RE, ORACLE as _MERGE
 from rollcall.plans.oracle_reports import ORACLE as _REPORTS
 
 
@@ -43,4 +44,29 @@ FROM (SELECT workshop_name, COUNT(*) AS total_count, COUNT(CASE WHEN valid THEN
       FROM submissions GROUP BY workshop_name) s""", "submissions"),
     "x1_merge_stream": _MERGE["u1_upsert_participants"],
     "x2_validation_totals_stream": _LINKS["v9_run_totals"],
+    "s1_delimited_scan": W("""
+SELECT COALESCE(CAST(row_number_in_file AS VARCHAR), '') AS row_number_in_file, COALESCE(email, '') AS email,
+       COALESCE(name, '') AS name, COALESCE(phone, '') AS phone, COALESCE(created_text, '') AS created_text,
+       COALESCE(slot_text, '') AS slot_text, COALESCE(flag_text, '') AS flag_text,
+       COALESCE(degree_text, '') AS degree_text
+FROM raw_rows""", "raw_rows"),
+    "c19_participant_sheet_parse": W(f"""
+, t AS (SELECT NULLIF(regexp_replace(email, '^\\s+|\\s+$', '', 'g'), '') AS email,
+               NULLIF(regexp_replace(name, '^\\s+|\\s+$', '', 'g'), '') AS name,
+               phone, degree_text FROM raw_rows
+        WHERE COALESCE(CAST(row_number_in_file AS VARCHAR), '') <> '' OR COALESCE(email, '') <> ''
+           OR COALESCE(name, '') <> '' OR COALESCE(phone, '') <> '')
+SELECT lower(email) AS email, name,
+       CASE WHEN COALESCE(phone, '') <> '' AND length(regexp_replace(phone, '\\D', '', 'g')) >= 10
+            THEN regexp_replace(phone, '\\D', '', 'g') END AS phone_number,
+       CAST(NULL AS VARCHAR) AS gender, CAST(NULL AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS state,
+       CAST(NULL AS VARCHAR) AS city, CAST(NULL AS DATE) AS date_of_birth, CAST(NULL AS VARCHAR) AS designation,
+       CAST(NULL AS VARCHAR) AS class_stream,
+       CAST(NULLIF(regexp_extract(degree_text, '\\d{{4}}', 0), '') AS INTEGER) AS degree_passout_year,
+       CAST(NULL AS VARCHAR) AS occupation, CAST(NULL AS VARCHAR) AS linkedin,
+       false AS participated_in_academy_1_0, TIMESTAMP '2025-01-15 09:30:00' AS registration_date_time
+FROM t WHERE email IS NOT NULL AND name IS NOT NULL AND regexp_matches(email, '{EMAIL_RE}')""", "raw_rows"),
+    "x3_progress_sink_lines": W(f""", {PAGES}, {SIGNALS}, {VERDICTS}
+SELECT substr(link, 1, 50) AS link, reason, CAST(NULL AS VARCHAR) AS status FROM verdicts
+UNION ALL SELECT NULL, NULL, 'Complete'""", "linked_pages", "submissions"),
 }

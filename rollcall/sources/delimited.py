@@ -4,8 +4,8 @@
   (only that bounded head is looked at on the driver);
 * encoding: UTF-8 (a leading BOM is dropped) unless some line of the file is
   not valid UTF-8, then latin-1 - checked in parallel with ``is_valid_utf8``;
-* every cell is a string; the first row is the header (row 1); short rows are
-  padded with nulls.
+* every cell is a string; empty cells and the missing cells of short rows
+  are ''; the first row is the header (row 1).
 """
 
 from __future__ import annotations
@@ -49,11 +49,11 @@ def scan_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     else:
         df = reader.csv(path)
         df = df.select(*[F.col(c).cast("string") for c in df.columns])
-    cols = df.columns
-    cells = F.array(*[F.col(c) for c in cols])
+    # every cell is text: empty and missing cells are '' (the CSV reader
+    # cannot tell an empty field from a missing one; both mean "no value")
+    cols = [F.coalesce(F.col(c), F.lit("")) for c in df.columns]
     # a BOM survives as the first character of the first header cell
-    first = F.regexp_replace(F.col(cols[0]), "^\ufeff", "")
-    cells = F.array(first, *[F.col(c) for c in cols[1:]]) if cols else cells
+    cells = F.array(F.regexp_replace(cols[0], "^\ufeff", ""), *cols[1:])
     rows = df.select(F.input_file_name().alias("path"), cells.alias("cells"))
     rows = number_rows(rows, "path")
     return rows.select("path", F.lit(0).alias("sheet_index"),
