@@ -42,25 +42,32 @@ def link_verdicts(submissions: DataFrame, pages: DataFrame, link_col: str = "pro
     """V4: one verdict per submission with a non-empty link:
     not allowed -> (false, Invalid Domain, 0, 0); missing page ->
     (false, 404 Not Found, 0, 0); page not fetched -> (true, Verified but
-    <error>, 0, 0); else (true, Verified, likes, comments)."""
+    <error>, 0, 0); else (true, Verified, likes, comments).
+
+    Only links on allowed domains go through the page join; the others get
+    their verdict where they lie (no shuffle).  Signals are reduced to one
+    row per link (deterministically), so a page fetched twice cannot
+    duplicate a verdict."""
     subs = submissions.filter(F.col(link_col).isNotNull() & (F.col(link_col) != ""))
-    sig = page_signals(pages).withColumn("__fetched", F.lit(True))
-    j = subs.join(sig, subs[link_col] == sig["link"], "left")
+    keep = [c for c in submissions.columns if c in ("workshop_name", "email")]
     ok_domain = LK.allowed_domain(F.col(link_col), domains)
+    sig = (page_signals(pages).groupBy("link")
+           .agg(F.min(F.struct("missing", "page_likes", "page_comments")).alias("s"))
+           .select("link", "s.*", F.lit(True).alias("__fetched")))
+    allowed = subs.filter(ok_domain)
+    j = allowed.join(sig, allowed[link_col] == sig["link"], "left")
     fetched = F.col("__fetched").isNotNull()
-    valid = F.when(~ok_domain, False).when(fetched & F.col("missing"), False).otherwise(True)
-    reason = (F.when(~ok_domain, "Invalid Domain")
-              .when(~fetched, F.lit(f"Verified but {NOT_FETCHED}"))
-              .when(F.col("missing"), "404 Not Found")
-              .otherwise("Verified"))
-    counted = ok_domain & fetched & ~F.col("missing")
-    return j.select(
-        *[c for c in submissions.columns if c in ("workshop_name", "email")],
-        F.col(link_col).alias("link"),
-        valid.alias("valid"), reason.alias("reason"),
-        F.when(counted, F.col("page_likes")).otherwise(0).cast("int").alias("likes"),
-        F.when(counted, F.col("page_comments")).otherwise(0).cast("int").alias("comments"),
-    )
+    checked = j.select(
+        *keep, F.col(link_col).alias("link"),
+        (~(fetched & F.col("missing"))).alias("valid"),
+        F.when(~fetched, F.lit(f"Verified but {NOT_FETCHED}")).when(F.col("missing"), "404 Not Found")
+        .otherwise("Verified").alias("reason"),
+        F.when(fetched & ~F.col("missing"), F.col("page_likes")).otherwise(0).cast("int").alias("likes"),
+        F.when(fetched & ~F.col("missing"), F.col("page_comments")).otherwise(0).cast("int").alias("comments"))
+    rejected = subs.filter(~ok_domain).select(
+        *keep, F.col(link_col).alias("link"), F.lit(False).alias("valid"), F.lit("Invalid Domain").alias("reason"),
+        F.lit(0).alias("likes"), F.lit(0).alias("comments"))
+    return checked.unionByName(rejected)
 
 
 def refresh_submissions(submissions: DataFrame, verdicts: DataFrame,
