@@ -75,13 +75,21 @@ def validate_headers(headers: DataFrame, kind: str) -> DataFrame:
     return g.select(*SHEET, "n_columns", F.filter(F.array(*errors), lambda e: e.isNotNull()).alias("errors"))
 
 
-def lookup_columns(headers: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+def lookup_columns(headers: DataFrame, fields: dict[str, list[str]], prefer_exact: bool = False) -> DataFrame:
     """H3: per sheet and field, the first header position containing any of
-    the field's terms (case-insensitive); null when none."""
+    the field's terms (case-insensitive); null when none.
+
+    By default this keeps the source behaviour, where ``Name`` finds ``Team
+    Name`` before ``Name``.  ``prefer_exact`` first takes a header equal to a
+    term (case-insensitive, trimmed) and falls back to the substring rule."""
     aggs = []
     for f, terms in fields.items():
         pred = reduce(lambda a, b: a | b, [_contains_ci(F.col("header"), t) for t in terms])
-        aggs.append(F.min(F.when(pred, F.col("position"))).alias(f))
+        first = F.min(F.when(pred, F.col("position")))
+        if prefer_exact:
+            exact = F.lower(F.trim(F.col("header"))).isin([t.lower() for t in terms])
+            first = F.coalesce(F.min(F.when(exact, F.col("position"))), first)
+        aggs.append(first.alias(f))
     return headers.groupBy(*SHEET).agg(*aggs)
 
 

@@ -286,3 +286,24 @@ def merge_on_match_fields(target: DataFrame, batch: DataFrame, match_fields: lis
     else:
         state, outcome = updated_state, outcome_upd
     return MergeResult(state=state, outcome=outcome, before=target)
+
+
+# What an unmapped counter column holds when a re-import resets it.
+RESET_VALUES = {"valid": False, "likes": 0, "comments": 0}
+
+
+def with_unmapped_counters(records: DataFrame, reset: bool = False,
+                           columns: dict[str, object] = RESET_VALUES) -> DataFrame:
+    """Counter columns a re-import did not map.  By default they are true
+    nulls, so a COALESCE merge (U6) keeps the stored values.  ``reset=True``
+    reproduces the source importers, which send false / 0 for unmapped
+    columns and so overwrite validity, likes and comments."""
+    for c, v in columns.items():
+        if c not in records.columns:
+            value = F.lit(v) if reset else F.lit(None)
+            records = records.withColumn(c, value.cast(_type_of(v)))
+    return records
+
+
+def _type_of(v) -> str:
+    return "boolean" if isinstance(v, bool) else "int"

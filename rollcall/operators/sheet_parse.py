@@ -23,9 +23,10 @@ def _sheet_error(df: DataFrame, msg) -> DataFrame:
                      (F.lit(msg) if isinstance(msg, str) else msg).alias("error"))
 
 
-def _prepare(rows: DataFrame, kind: str | None, fields: dict[str, list[str]], validate: bool):
+def _prepare(rows: DataFrame, kind: str | None, fields: dict[str, list[str]], validate: bool,
+             prefer_exact: bool = False):
     hdr = header_table(rows)
-    look = H.lookup_columns(hdr, fields)
+    look = H.lookup_columns(hdr, fields, prefer_exact)
     errors = []
     if validate:
         val = H.validate_headers(hdr, kind)
@@ -69,12 +70,13 @@ def _workshop_name(workshop_names: dict[int, str] | None) -> "F.Column":
 
 
 def parse_form_sheets(rows: DataFrame, year: int, run_ts: str,
-                      workshop_names: dict[int, str] | None = None) -> tuple[DataFrame, DataFrame]:
+                      workshop_names: dict[int, str] | None = None,
+                      prefer_exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """C17: bookings from form sheets (rows need ``role``/``workshop`` from
     ``sources.sheets.sheet_roles``).  Slot text parsed to a start time and
     kept as text; created/updated parsed or the run time."""
     rows = rows.filter(F.col("role") == "form")
-    mapped, errors = _prepare(rows, "form", H.FORM_FIELDS, validate=True)
+    mapped, errors = _prepare(rows, "form", H.FORM_FIELDS, validate=True, prefer_exact=prefer_exact)
     mapped = mapped.join(rows.select(*H.SHEET, "workshop").distinct(), H.SHEET)
     ok, row_errs = _check_rows(mapped, "Missing name or email")
     ok = C.with_datetime(ok, "time_slot", "__slot", year)
@@ -90,10 +92,11 @@ def parse_form_sheets(rows: DataFrame, year: int, run_ts: str,
 
 
 def parse_project_sheets(rows: DataFrame, year: int, run_ts: str,
-                         workshop_names: dict[int, str] | None = None) -> tuple[DataFrame, DataFrame]:
+                         workshop_names: dict[int, str] | None = None,
+                         prefer_exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Submissions from project sheets; team id = team name, valid=false."""
     rows = rows.filter(F.col("role") == "project")
-    mapped, errors = _prepare(rows, "project", H.PROJECT_FIELDS, validate=True)
+    mapped, errors = _prepare(rows, "project", H.PROJECT_FIELDS, validate=True, prefer_exact=prefer_exact)
     mapped = mapped.join(rows.select(*H.SHEET, "workshop").distinct(), H.SHEET)
     ok, row_errs = _check_rows(mapped, "Missing name or email")
     ok = C.with_datetime(ok, "created_at", "__created", year)
@@ -108,9 +111,10 @@ def parse_project_sheets(rows: DataFrame, year: int, run_ts: str,
     return records, _union(errors + [row_errs])
 
 
-def parse_participant_sheets(rows: DataFrame, year: int, run_ts: str) -> tuple[DataFrame, DataFrame]:
+def parse_participant_sheets(rows: DataFrame, year: int, run_ts: str,
+                             prefer_exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Participants from every sheet of the workbooks (unioned)."""
-    mapped, errors = _prepare(rows, None, H.PARTICIPANT_FIELDS, validate=False)
+    mapped, errors = _prepare(rows, None, H.PARTICIPANT_FIELDS, validate=False, prefer_exact=prefer_exact)
     ok, row_errs = _check_rows(mapped, "Missing email or name")
     ok = C.with_datetime(ok, "date_of_birth", "__dob", year)
     ok = C.with_datetime(ok, "registration_date_time", "__reg", year)

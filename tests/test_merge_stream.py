@@ -145,3 +145,19 @@ def test_changes_from_merge_equal_before_after_diff(spark):
     assert direct == diff
     # key 4 is rewritten with identical values and still logged, like a row trigger
     assert {(r[1], r[2]) for r in direct} == {("UPDATE", "2"), ("INSERT", "3"), ("UPDATE", "4")}
+
+
+@pytest.mark.parametrize("reset", [False, True])
+def test_weekly_reimport_reset_flag(spark, reset):
+    target = spark.createDataFrame([(1, "a@x", "g0", True, 5, 2)],
+                                   "week_number int, email string, github_link string, valid boolean, likes int, "
+                                   "comments int")
+    records = spark.createDataFrame([(1, "a@x", "g1", 1)], "week_number int, email string, github_link string, "
+                                                           "row_number long")
+    batch = M.with_unmapped_counters(records, reset=reset)
+    res = M.merge_keyed(target, batch, ["week_number", "email"], "upsert", run_ts=RUN_TS,
+                        overwrite=["github_link", "valid", "likes", "comments"],
+                        coalesce=("valid", "likes", "comments"), touch_col=None, created_col=None)
+    r = res.state.first()
+    assert r.github_link == "g1"
+    assert (r.valid, r.likes, r.comments) == ((False, 0, 0) if reset else (True, 5, 2))

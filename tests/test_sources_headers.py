@@ -183,3 +183,19 @@ def test_lab_rows(spark):
     got = {r.email: (r.valid, str(r.assigned_at)) for r in recs.collect()}
     assert got == {"a@x.io": (True, "2024-02-01 00:00:00"), "b@x.io": (False, "None")}
     assert [e.error for e in errs.collect()] == ["Row 4: Missing email or name"]
+
+
+def test_lookup_prefer_exact(spark):
+    h = _headers(spark, FORM_HEADERS)
+    r = H.lookup_columns(h, {"name": ["Name"], "email": ["Email"]}, prefer_exact=True).first()
+    assert (r.name, r.email) == (6, 7)  # the member's own columns
+
+
+def test_form_parse_prefer_exact(spark, scratch):
+    _master_workbook(os.path.join(scratch, "master.xlsx"))
+    roled = sheets.sheet_roles(workbook.scan_workbooks(spark, scratch))
+    forms, ferr = SP.parse_form_sheets(roled, 2024, "2025-01-15 09:30:00", prefer_exact=True)
+    recs = forms.filter(F.col("workshop_name") == "Workshop 1").collect()
+    assert [(r.email, r.name, str(r.time_slot)) for r in recs] == [("ann@example.com", "Ann", "2024-11-25 16:00:00")]
+    errs = sorted(e.error for e in ferr.filter(F.col("sheet_index") == 1).collect())
+    assert errs == ["Row 4: Missing name or email", "Row 5: Invalid email format: not-an-email"]
