@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import links as LK
+from rollcall.session import ensure_checkpoint_dir
 
 NOT_FETCHED = "Page not fetched"
 
@@ -112,12 +113,19 @@ def progress_trail(verdicts: DataFrame, order: list[str]) -> DataFrame:
     Running sums use a two-level prefix sum, never one global window: items
     are range-partitioned on the order; per-partition totals get a prefix sum
     (a window over #partitions rows) and each partition's own running sums
-    are a window partitioned by partition id.  ``order`` must be unique."""
+    are a window partitioned by partition id.  ``order`` must be unique.
+    The range-partitioned frame is checkpointed once so that both branches
+    see the same partition ids."""
     upd = F.col("valid") & ((F.col("likes") > 0) | (F.col("comments") > 0))
     items = verdicts.select("*", F.col("valid").cast("int").alias("__ok"), (~F.col("valid")).cast("int").alias("__bad"),
                             upd.cast("int").alias("__upd"))
     keyed = items.withColumn("__k", F.struct(*[F.col(c) for c in order]))
-    ranged = keyed.repartitionByRange("__k").withColumn("__part", F.spark_partition_id())
+    # partition ids are read by two branches below (totals and running sums);
+    # AQE may coalesce the range partitions differently in each evaluation,
+    # so the numbered frame is checkpointed once (reliable checkpoint in the
+    # shared checkpoint folder) and both branches read the same ids
+    ensure_checkpoint_dir(verdicts.sparkSession)
+    ranged = keyed.repartitionByRange("__k").withColumn("__part", F.spark_partition_id()).checkpoint(eager=True)
     part_sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"),
                                              F.sum("__ok").alias("__sok"), F.sum("__bad").alias("__sbad"),
                                              F.sum("__upd").alias("__supd"))

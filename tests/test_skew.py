@@ -48,3 +48,22 @@ def test_hot_workshop_ranked_after_aggregation(spark):
     plan = _plan(rep)
     # the rank window sits above the final aggregate: it sorts aggregated rows only
     assert plan.index("Window") < plan.index("HashAggregate")
+
+
+def test_progress_trail_complete_over_many_partitions(spark):
+    n = 50000
+    verdicts = spark.range(n).repartition(32).select(
+        F.lit("W").alias("workshop_name"), F.format_string("u%06d@x", "id").alias("email"),
+        F.lit("https://ok.example/p").alias("link"), (F.col("id") % 3 != 0).alias("valid"),
+        F.lit("Verified").alias("reason"), (F.col("id") % 2).cast("int").alias("likes"),
+        F.lit(0).alias("comments"))
+    from rollcall.operators import validation as V
+    trail = V.progress_trail(verdicts, ["workshop_name", "email"])
+    stats = trail.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("current").alias("d"),
+                      F.min("current").alias("lo"), F.max("current").alias("hi"),
+                      F.max("validated").alias("ok"), F.max("failed").alias("bad")).first()
+    assert (stats.n, stats.d, stats.lo, stats.hi) == (n, n, 1, n)
+    assert stats.ok + stats.bad == n
+    # running counts follow the order: item k has seen exactly k items
+    last = trail.filter(F.col("email") == "u049999@x").first()
+    assert last.current == n and last.validated + last.failed == n
