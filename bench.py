@@ -48,7 +48,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
-    spark = build_session(f"local[{cpus}]", int(cpus) * 2, app_name="rollcall-bench")
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(int(cpus) * 2)))
+    spark = build_session(f"local[{cpus}]", partitions, app_name="rollcall-bench")
     results = {}
     for name in HEADLINE:
         if name not in QUERIES:

@@ -121,14 +121,15 @@ def repo_path_parts(url) -> Column:
     """V6: ``[owner, repo]`` of a repository URL, or null for a bad format.
 
     Strip, add ``https://`` when missing, take the URL path, split on ``/``
-    dropping empties, cut ``.git`` from the last part, keep the first two."""
-    u = F.regexp_replace(col_(url), r"(?U)^\s+|\s+$", "")
-    u = F.when(u.startswith("http"), u).otherwise(F.concat(F.lit("https://"), u))
-    path = F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit(""))
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    n = F.size(parts)
-    parts = F.transform(parts, lambda p, i: F.when(i == n - 1, F.regexp_replace(p, r"\.git$", "")).otherwise(p))
-    return F.when(n >= 2, F.slice(parts, 1, 2))
+    dropping empties, cut ``.git`` from the last part, keep the first two.
+    Written with regex extraction only (no array lambdas), so it stays in
+    generated code."""
+    path = F.coalesce(F.try_parse_url(normalized_repo_url(url), F.lit("PATH")), F.lit(""))
+    owner = F.regexp_extract(path, r"^/*([^/]+)", 1)
+    second = F.regexp_extract(path, r"^/*[^/]+/+([^/]+)", 1)
+    more = path.rlike(r"^/*[^/]+/+[^/]+/+[^/]")
+    repo = F.when(more, second).otherwise(F.regexp_replace(second, r"\.git$", ""))
+    return F.when((owner != "") & (second != ""), F.array(owner, repo))
 
 
 def normalized_repo_url(url) -> Column:
