@@ -29,8 +29,8 @@ ERROR_CAP = 100
 def non_blank(cols: list[str]) -> Column:
     """True when some cell is non-empty (a row of only null/'' cells is
     skipped silently; whitespace counts as content, as in the source)."""
-    return F.exists(F.array(*[F.col(c).cast("string") for c in cols]),
-                    lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.greatest(*[F.coalesce(F.col(c).cast("string"), F.lit("")) != "" for c in cols]) if len(cols) > 1 \
+        else F.coalesce(F.col(cols[0]).cast("string"), F.lit("")) != ""
 
 
 def drop_blank_rows(df: DataFrame, cols: list[str]) -> DataFrame:

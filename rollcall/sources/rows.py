@@ -25,7 +25,12 @@ def number_rows(df: DataFrame, by: str, name: str = "row_number", start: int = 1
     row's index is its id minus the first id of its (file, partition) run;
     the runs' sizes get a prefix sum per file (one small table, one row per
     input split).  File splits are deterministic, so a recomputed partition
-    gets the same numbers."""
+    gets the same numbers.
+
+    Precondition: ``df`` comes straight from a file scan (no shuffle before
+    it).  Partition ids are read by two branches; after a shuffle AQE could
+    coalesce partitions differently in each (checkpoint such an input first,
+    as ``operators.validation.progress_trail`` does)."""
     d = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__pid", F.spark_partition_id())
     runs = d.groupBy(by, "__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     w = Window.partitionBy(by).orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
@@ -37,7 +42,8 @@ def number_rows(df: DataFrame, by: str, name: str = "row_number", start: int = 1
 
 def non_blank_cells() -> "F.Column":
     """C12 on the row shape: some cell is non-empty."""
-    return F.exists(F.col("cells"), lambda x: F.coalesce(x, F.lit("")) != "")
+    # joined text of the cells (nulls skipped) is non-empty iff some cell is
+    return F.coalesce(F.array_join(F.col("cells"), ""), F.lit("")) != ""
 
 
 def headers(rows: DataFrame) -> DataFrame:
