@@ -23,18 +23,20 @@ from rollcall.operators import validation as V
 from rollcall.sinks import writers as W
 
 
-def merge_stream(spark: SparkSession, source_dir: str, schema: str, table_path: str, log_path: str,
-                 table: str, keys: list[str], checkpoint: str, run_ts: str, order_col: str = "row_number",
-                 mode: str = "upsert", max_files_per_trigger: int | None = None,
-                 **merge_options) -> StreamingQuery:
-    """Continuous keyed merge with change capture.  The table under
-    ``table_path`` must hold a published version (``sinks.write_versioned``)."""
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir)
+def merge_batch_fn(spark: SparkSession, table_path: str, log_path: str, table: str, keys: list[str],
+                   run_ts: str, order_col: str = "row_number", mode: str = "upsert", **merge_options):
+    """The ``foreachBatch`` body of X1: merge one micro-batch into the current
+    table version, write its change rows, publish the new version.
 
+    Idempotent per batch id: a batch whose version is already published (a
+    retry after the pointer moved but before the stream committed) is
+    skipped; a retry before publishing reads the previous version again and
+    rewrites the same output folders.  The batch never reads the folder it
+    writes."""
     def apply(batch: DataFrame, batch_id: int) -> None:
+        version = f"v-{batch_id}"
+        if W.current_version(spark, table_path) == version:
+            return
         current = W.read_versioned(spark, table_path)
         res = M.merge_keyed(current, batch, keys, mode, run_ts=run_ts, order_col=order_col, **merge_options)
         # state and change rows come from the same merge join: keep it once
@@ -43,7 +45,7 @@ def merge_stream(spark: SparkSession, source_dir: str, schema: str, table_path:
         try:
             # new version first, then the log, then the pointer - the log of a
             # batch is only visible together with its data
-            state_path = f"{table_path.rstrip('/')}/v-{batch_id}"
+            state_path = f"{table_path.rstrip('/')}/{version}"
             res.state.write.mode("overwrite").parquet(state_path)
             res.changes(table).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
                 .parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}")
@@ -51,6 +53,20 @@ def merge_stream(spark: SparkSession, source_dir: str, schema: str, table_path:
             res.applied.unpersist()
         W.write_versioned(spark.read.parquet(state_path), table_path, batch_id=str(batch_id))
 
+    return apply
+
+
+def merge_stream(spark: SparkSession, source_dir: str, schema: str, table_path: str, log_path: str,
+                 table: str, keys: list[str], checkpoint: str, run_ts: str, order_col: str = "row_number",
+                 mode: str = "upsert", max_files_per_trigger: int | None = None,
+                 **merge_options) -> StreamingQuery:
+    """Continuous keyed merge with change capture.  The table under
+    ``table_path`` must hold a published version (``sinks.write_versioned``)."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source_dir)
+    apply = merge_batch_fn(spark, table_path, log_path, table, keys, run_ts, order_col, mode, **merge_options)
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
