@@ -129,11 +129,27 @@ def write_versioned(df: DataFrame, table_path: str, partition_by: list[str] | No
     finally:
         out.close()
     ptr = jvm.org.apache.hadoop.fs.Path(table_path.rstrip("/") + "/" + POINTER)
-    fs.delete(ptr, False)
-    fs.rename(tmp, ptr)
+    _replace(spark, fs, jvm, tmp, ptr)
     return version
 
 
+def _replace(spark: SparkSession, fs, jvm, src, dst) -> None:
+    """Move ``src`` over ``dst`` in one rename where the file system allows it
+    (``FileContext`` with OVERWRITE, atomic on HDFS); otherwise delete and
+    rename."""
+    try:
+        fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(dst.toUri(),
+                                                                 spark.sparkContext._jsc.hadoopConfiguration())
+        overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        gateway = spark.sparkContext._gateway
+        opts = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        opts[0] = overwrite
+        fc.rename(src, dst, opts)
+    except Exception:
+        fs.delete(dst, False)
+        fs.rename(src, dst)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
     from rollcall.session import ensure_checkpoint_dir
