@@ -100,20 +100,22 @@ def _normalize(header: Column) -> Column:
 def auto_map_best_pattern(headers: DataFrame, patterns: list[tuple[str, list[str]]] = WEEKLY_PATTERNS) -> DataFrame:
     """H4: greedy auto-map.  Field by field in the given order, the unused
     header with the longest contained pattern wins; ties keep the first
-    header.  One aggregate plus one anti-join per field (a fixed, short
-    unrolled sequence); returns (path, sheet_index, field, position, header)."""
+    header (its first occurrence).  Headers are used up by name.  One
+    aggregate plus one anti-join per field (a fixed, short unrolled
+    sequence); returns (path, sheet_index, field, position, header)."""
     norm = headers.select(*SHEET, "position", "header", _normalize(F.col("header")).alias("__n"))
     used = None
     picks = []
     for field, pats in patterns:
         score = F.greatest(*[F.when(F.col("__n").contains(p), F.lit(len(p))).otherwise(F.lit(0)) for p in pats])
-        cand = norm if used is None else norm.join(used, SHEET + ["position"], "left_anti")
+        # headers are marked used by name (a repeated name is used up at once)
+        cand = norm if used is None else norm.join(used, SHEET + ["header"], "left_anti")
         best = (cand.withColumn("__s", score).filter(F.col("__s") > 0)
                 .groupBy(*SHEET).agg(F.max_by(F.struct("position", "header"),
                                               F.struct(F.col("__s"), -F.col("position"))).alias("b"))
                 .select(*SHEET, F.lit(field).alias("field"), "b.position", "b.header"))
         picks.append(best)
-        chosen = best.select(*SHEET, "position")
+        chosen = best.select(*SHEET, "header")
         used = chosen if used is None else used.unionByName(chosen)
     return reduce(lambda a, b: a.unionByName(b), picks)
 

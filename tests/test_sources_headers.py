@@ -199,3 +199,10 @@ def test_form_parse_prefer_exact(spark, scratch):
     assert [(r.email, r.name, str(r.time_slot)) for r in recs] == [("ann@example.com", "Ann", "2024-11-25 16:00:00")]
     errs = sorted(e.error for e in ferr.filter(F.col("sheet_index") == 1).collect())
     assert errs == ["Row 4: Missing name or email", "Row 5: Invalid email format: not-an-email"]
+
+
+def test_best_pattern_repeated_header_name(spark):
+    h = _headers(spark, ["Email", "Email", "Blog"])
+    got = {r.field: (r.header, r.position) for r in H.auto_map_best_pattern(h).collect()}
+    # the name is used up by the first field; its first occurrence is the mapped column
+    assert got == {"email": ("Email", 0), "blog_link": ("Blog", 2)}
