@@ -121,7 +121,8 @@ def auto_map_best_pattern(headers: DataFrame, patterns: list[tuple[str, list[str
 
 
 def auto_map_similar(headers: DataFrame, fields: list[str], lab_variant: bool = False) -> DataFrame:
-    """H5: name-similarity auto-map; the *last* matching header wins.
+    """H5: name-similarity auto-map; the *last* matching header wins (and a
+    repeated name maps to its first column).
     A header matches when the field contains the header with spaces as ``_``
     or the header contains the field (lab variant also compares the field
     with ``_`` as spaces)."""
@@ -133,9 +134,12 @@ def auto_map_similar(headers: DataFrame, fields: list[str], lab_variant: bool =
         if lab_variant:
             spaced = fl.replace("_", " ")
             pred = pred | F.lit(spaced).contains(h) | h.contains(spaced)
-        picks.append(headers.filter(pred).groupBy(*SHEET).agg(F.max("position").alias("position"))
-                     .select(*SHEET, F.lit(f).alias("field"), "position"))
-    return reduce(lambda a, b: a.unionByName(b), picks)
+        picks.append(headers.filter(pred).groupBy(*SHEET).agg(F.max_by("header", "position").alias("header"))
+                     .select(*SHEET, F.lit(f).alias("field"), "header"))
+    # the chosen header name maps to its first column, as a name lookup does
+    first = headers.groupBy(*SHEET, "header").agg(F.min("position").alias("position"))
+    return reduce(lambda a, b: a.unionByName(b), picks).join(first, SHEET + ["header"]) \
+        .select(*SHEET, "field", "position")
 
 
 def apply_mapping(rows: DataFrame, mapping: DataFrame, fields: list[str],

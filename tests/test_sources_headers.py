@@ -206,3 +206,9 @@ def test_best_pattern_repeated_header_name(spark):
     got = {r.field: (r.header, r.position) for r in H.auto_map_best_pattern(h).collect()}
     # the name is used up by the first field; its first occurrence is the mapped column
     assert got == {"email": ("Email", 0), "blog_link": ("Blog", 2)}
+
+
+def test_similar_auto_map_repeated_name(spark):
+    h = _headers(spark, ["x", "email", "email"])
+    got = {r.field: r.position for r in H.auto_map_similar(h, ["email"]).collect()}
+    assert got == {"email": 1}
