@@ -156,6 +156,15 @@ def apply_mapping(rows: DataFrame, mapping: DataFrame, fields: list[str],
     return out
 
 
+def positions_for_names(headers: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """H6 (generic import): ``{field: header name}`` to one row per sheet with
+    the first column carrying that exact name; names not in the sheet give
+    null (the field is skipped)."""
+    aggs = [F.min(F.when(F.col("header") == name, F.col("position"))).alias(field)
+            for field, name in mapping.items() if name]
+    return headers.groupBy(*SHEET).agg(*aggs)
+
+
 def pivot_mapping(long_mapping: DataFrame, fields: list[str]) -> DataFrame:
     """(path, sheet_index, field, position) -> one row per sheet, a position
     column per field (the pivot values are the fixed field list)."""

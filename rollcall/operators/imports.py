@@ -52,14 +52,14 @@ def reject_reason(required: list[str], email_col: str = "email") -> Column:
 
 
 def split_rejects(df: DataFrame, required: list[str], row_col: str = "row_number",
-                  email_col: str = "email") -> tuple[DataFrame, DataFrame]:
+                  email_col: str = "email", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected).  Accepted rows get the e-mail key
     lower-cased and stripped (C2); rejects carry ``Row n: reason``."""
     tagged = df.withColumn("__reason", reject_reason(required, email_col))
     accepted = (tagged.filter(F.col("__reason").isNull()).drop("__reason")
                 .withColumn(email_col, F.when(F.col(email_col).isNotNull(), C.normalize_email(email_col))))
     rejected = tagged.filter(F.col("__reason").isNotNull()).select(
-        F.col(row_col).alias("row_number"),
+        *keep, F.col(row_col).alias("row_number"),
         F.concat(F.lit("Row "), F.col(row_col).cast("string"), F.lit(": "), F.col("__reason")).alias("error"))
     return accepted, rejected
 
@@ -74,16 +74,18 @@ def fill_defaults(df: DataFrame, columns: list[str], run_ts: str) -> DataFrame:
 
 def generic_import(batch: DataFrame, table: str, mappings: dict[str, str], year: int, run_ts: str,
                    row_col: str = "row_number", defaults: list[str] | None = None,
-                   constants: dict[str, object] | None = None) -> tuple[DataFrame, DataFrame]:
+                   constants: dict[str, object] | None = None,
+                   keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """E2 composition: drop blank rows, type mapped fields by name (C11), add
     constants (H6), check required fields and e-mail (C14/C15), fill defaults
-    (C16).  Returns (records, rejects)."""
-    cells = [c for c in batch.columns if c != row_col]
+    (C16).  ``keep`` columns (e.g. file and sheet) pass through.  Returns
+    (records, rejects)."""
+    cells = [c for c in batch.columns if c != row_col and c not in keep]
     rows = drop_blank_rows(batch, cells)
-    typed = C.with_types_by_name(rows, mappings, year).select(row_col, *mappings.keys())
+    typed = C.with_types_by_name(rows, mappings, year).select(*keep, row_col, *mappings.keys())
     for k, v in (constants or {}).items():
         typed = typed.withColumn(k, F.lit(v))
-    accepted, rejected = split_rejects(typed, REQUIRED_FIELDS.get(table, []), row_col)
+    accepted, rejected = split_rejects(typed, REQUIRED_FIELDS.get(table, []), row_col, keep=keep)
     if defaults:
         accepted = fill_defaults(accepted, defaults, run_ts)
     return accepted, rejected
@@ -132,3 +134,20 @@ def workbook_summary(applied: DataFrame) -> DataFrame:
                       F.count_distinct("workshop_name").alias("workshops"),
                       (F.grouping("sheet_index") == 1).alias("is_total")))
     return per_sheet.orderBy("is_total", "sheet_index")
+
+
+def generic_import_rows(rows: DataFrame, table: str, mapping: dict[str, str], year: int, run_ts: str,
+                        defaults: list[str] | None = None, constants: dict[str, object] | None = None
+                        ) -> tuple[DataFrame, DataFrame]:
+    """The generic table import over file rows (row shape from
+    ``sources``): fields mapped by header name (first column with that
+    name), then ``generic_import``.  Rejects keep their file and sheet."""
+    from rollcall.operators import headers as H
+    from rollcall.sources.rows import data_rows, headers as header_table
+    positions = H.positions_for_names(header_table(rows), mapping)
+    fields = [f for f, name in mapping.items() if name]
+    mapped = H.apply_mapping(data_rows(rows), positions, fields)
+    batch = mapped.select("path", "sheet_index", "row_number", *fields)
+    records, rejected = generic_import(batch, table, {f: f for f in fields}, year, run_ts,
+                                       defaults=defaults, constants=constants, keep=("path", "sheet_index"))
+    return records, rejected

@@ -212,3 +212,21 @@ def test_similar_auto_map_repeated_name(spark):
     h = _headers(spark, ["x", "email", "email"])
     got = {r.field: r.position for r in H.auto_map_similar(h, ["email"]).collect()}
     assert got == {"email": 1}
+
+
+def test_generic_import_rows_by_header_name(spark):
+    from rollcall.operators import imports as IM
+    rows = spark.createDataFrame(
+        [("f", 0, "s", 1, ["E-mail", "Full Name", "Joined", "Full Name"]),
+         ("f", 0, "s", 2, [" A@X.io ", "Ann", "2024-01-05 10:00", "ignored"]),
+         ("f", 0, "s", 3, ["bad", "Bob", "", ""]),
+         ("f", 0, "s", 4, ["", "", "", ""])],
+        "path string, sheet_index int, sheet_name string, row_number long, cells array<string>")
+    recs, rej = IM.generic_import_rows(rows, "participants",
+                                       {"email": "E-mail", "name": "Full Name", "registration_date_time": "Joined",
+                                        "linkedin": "Missing Column"},
+                                       2024, "2025-01-15 09:30:00", defaults=["registration_date_time"])
+    r = recs.first()
+    assert (r.email, r.name, str(r.registration_date_time), r.path) == ("a@x.io", "Ann", "2024-01-05 10:00:00", "f")
+    assert r.linkedin is None  # a mapped name missing from the sheet is skipped
+    assert [(x.sheet_index, x.error) for x in rej.collect()] == [(0, "Row 3: Invalid email: bad")]
