@@ -100,6 +100,19 @@ def change_rows(applied: DataFrame, table: str, columns: list[str], keys: list[s
     )
 
 
+def deletion_rows(deleted: DataFrame, table: str, keys: list[str], run_ts: str) -> DataFrame:
+    """DELETE change rows for rows known to be deleted (old image only);
+    no join with the remaining table is needed."""
+    return deleted.select(
+        F.lit(table).alias("table_name"),
+        F.lit("DELETE").alias("operation_type"),
+        record_identifier(table, None, keys).alias("record_identifier"),
+        _image(None, deleted.columns).alias("old_values"),
+        F.lit(None).cast("string").alias("new_values"),
+        F.lit(run_ts).cast("timestamp_ntz").alias("log_ts"),
+    )
+
+
 # ---------------------------------------------------------------- L3-L8
 def _newest(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("log_ts").desc_nulls_first(), F.col("log_id").desc())

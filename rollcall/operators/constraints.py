@@ -49,6 +49,21 @@ def cascade_delete(children: dict[str, DataFrame], deleted: DataFrame, fk: str =
     return {name: df.join(keys, fk, "left_anti") for name, df in children.items()}
 
 
+def cascade_delete_logged(children: dict[str, DataFrame], deleted: DataFrame, keys: dict[str, list[str]],
+                          run_ts: str, fk: str = "email") -> tuple[dict[str, DataFrame], DataFrame]:
+    """K5 with its log: the remaining children and one DELETE change row per
+    removed child row (like the per-row delete trigger).  Removed rows are
+    found with a semi-join; nothing is diffed."""
+    from rollcall.operators.changelog import deletion_rows
+    gone = deleted.select(fk).distinct()
+    kept = {name: df.join(gone, fk, "left_anti") for name, df in children.items()}
+    logs = [deletion_rows(df.join(gone, fk, "left_semi"), name, keys[name], run_ts) for name, df in children.items()]
+    log = logs[0]
+    for part in logs[1:]:
+        log = log.unionByName(part)
+    return kept, log
+
+
 def set_null_on_delete(df: DataFrame, deleted: DataFrame, col: str, pk: str) -> DataFrame:
     """K5, SET NULL variant (e.g. who granted a permission): references to a
     deleted key become null."""

@@ -68,3 +68,19 @@ def k6(spark, sf):
     renames = p.participants.filter(F.col("designation").isNull()).select(
         F.col("email").alias("old_email"), F.concat(F.lit("renamed."), F.col("email")).alias("new_email"))
     return K.cascade_key_update(p.bookings, renames)
+
+
+@query("k5_cascade_delete_log")
+def k5_log(spark, sf):
+    """Deleting the prior-cohort participants: DELETE rows for their bookings,
+    submissions, weekly entries and lab proofs (JSON images left out of the
+    compared columns)."""
+    from rollcall import schemas as S
+    from rollcall.plans.catalog import RUN_TS
+    p = prog(spark, sf)
+    deleted = p.participants.filter(F.col("prior_cohort"))
+    tables = [t for t in CHECKED if t != "participants"]
+    _, log = K.cascade_delete_logged({t: getattr(p, t) for t in tables}, deleted,
+                                     {t: S.PRIMARY_KEYS[t] for t in tables}, RUN_TS)
+    return log.select("table_name", "operation_type", "record_identifier", "log_ts",
+                      F.col("old_values").isNotNull().alias("has_old"))

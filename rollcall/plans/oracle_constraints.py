@@ -57,4 +57,16 @@ SELECT CASE WHEN p.email IS NOT NULL THEN 'renamed.' || b.email ELSE b.email END
        b.form_name, b.name, b.time_slot, b.time_slot_range, b.created_at
 FROM bookings b LEFT JOIN (SELECT email FROM participants WHERE designation IS NULL) p ON b.email = p.email""",
                                         "participants", "bookings"),
+    "k5_cascade_delete_log": W("""
+, gone AS (SELECT email FROM participants WHERE prior_cohort)
+SELECT 'bookings' AS table_name, 'DELETE' AS operation_type, email || '|' || form_name AS record_identifier,
+       TIMESTAMP '2025-01-15 09:30:00' AS log_ts, true AS has_old
+FROM bookings WHERE email IN (SELECT email FROM gone)
+UNION ALL SELECT 'submissions', 'DELETE', workshop_name || '|' || email, TIMESTAMP '2025-01-15 09:30:00', true
+FROM submissions WHERE email IN (SELECT email FROM gone)
+UNION ALL SELECT 'weekly', 'DELETE', COALESCE(CAST(week_number AS VARCHAR), 'NULL') || '|' || COALESCE(email, 'NULL'),
+       TIMESTAMP '2025-01-15 09:30:00', true
+FROM weekly WHERE email IN (SELECT email FROM gone)
+UNION ALL SELECT 'labs', 'DELETE', workshop_name || '|' || email, TIMESTAMP '2025-01-15 09:30:00', true
+FROM labs WHERE email IN (SELECT email FROM gone)""", *CHECKED),
 }
