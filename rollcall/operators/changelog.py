@@ -113,6 +113,22 @@ def deletion_rows(deleted: DataFrame, table: str, keys: list[str], run_ts: str)
     )
 
 
+def update_rows(rows: DataFrame, table: str, keys: list[str], run_ts: str) -> DataFrame:
+    """UPDATE change rows: ``rows`` holds the new values plus the previous
+    image in an ``__old`` struct; the identifier comes from the new values."""
+    cols = [c for c in rows.columns if c != "__old"]
+    old = F.to_json(F.col("__old"), {"ignoreNullFields": "false",
+                                     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"})
+    return rows.select(
+        F.lit(table).alias("table_name"),
+        F.lit("UPDATE").alias("operation_type"),
+        record_identifier(table, None, keys).alias("record_identifier"),
+        old.alias("old_values"),
+        _image(None, cols).alias("new_values"),
+        F.lit(run_ts).cast("timestamp_ntz").alias("log_ts"),
+    )
+
+
 # ---------------------------------------------------------------- L3-L8
 def _newest(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("log_ts").desc_nulls_first(), F.col("log_id").desc())

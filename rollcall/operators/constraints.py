@@ -80,3 +80,18 @@ def cascade_key_update(df: DataFrame, renames: DataFrame, col: str = "email", ol
     j = df.join(m, df[col] == m["__old"], "left")
     return j.select(*[F.coalesce(F.col("__new"), F.col(c)).alias(c) if c == col else F.col(c)
                       for c in df.columns])
+
+
+def cascade_key_update_logged(df: DataFrame, renames: DataFrame, table: str, keys: list[str], run_ts: str,
+                              col: str = "email", old: str = "old_email", new: str = "new_email"
+                              ) -> tuple[DataFrame, DataFrame]:
+    """K6 with its log: the rewritten table and one UPDATE change row per
+    child row whose reference was renamed (old and new images)."""
+    from rollcall.operators.changelog import update_rows
+    m = renames.select(F.col(old).alias("__from"), F.col(new).alias("__to"))
+    j = df.join(m, df[col] == m["__from"], "left")
+    hit = F.col("__to").isNotNull()
+    cols = [F.when(hit, F.col("__to")).otherwise(F.col(c)).alias(c) if c == col else F.col(c) for c in df.columns]
+    out = j.select(*cols)
+    changed = j.filter(hit).select(*cols, F.struct(*[F.col(c) for c in df.columns]).alias("__old"))
+    return out, update_rows(changed, table, keys, run_ts)

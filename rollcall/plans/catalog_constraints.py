@@ -84,3 +84,17 @@ def k5_log(spark, sf):
                                      {t: S.PRIMARY_KEYS[t] for t in tables}, RUN_TS)
     return log.select("table_name", "operation_type", "record_identifier", "log_ts",
                       F.col("old_values").isNotNull().alias("has_old"))
+
+
+@query("k6_cascade_key_update_log")
+def k6_log(spark, sf):
+    """Renaming the e-mail of participants without a designation: one UPDATE
+    row per booking that follows the new key."""
+    from rollcall.plans.catalog import RUN_TS
+    p = prog(spark, sf)
+    renames = p.participants.filter(F.col("designation").isNull()).select(
+        F.col("email").alias("old_email"), F.concat(F.lit("renamed."), F.col("email")).alias("new_email"))
+    _, log = K.cascade_key_update_logged(p.bookings, renames, "bookings", ["email", "form_name"], RUN_TS)
+    return log.select("table_name", "operation_type", "record_identifier", "log_ts",
+                      F.get_json_object("old_values", "$.email").alias("old_email"),
+                      F.get_json_object("new_values", "$.email").alias("new_email"))

@@ -69,4 +69,10 @@ UNION ALL SELECT 'weekly', 'DELETE', COALESCE(CAST(week_number AS VARCHAR), 'NUL
 FROM weekly WHERE email IN (SELECT email FROM gone)
 UNION ALL SELECT 'labs', 'DELETE', workshop_name || '|' || email, TIMESTAMP '2025-01-15 09:30:00', true
 FROM labs WHERE email IN (SELECT email FROM gone)""", *CHECKED),
+    "k6_cascade_key_update_log": W("""
+SELECT 'bookings' AS table_name, 'UPDATE' AS operation_type, 'renamed.' || b.email || '|' || b.form_name
+         AS record_identifier,
+       TIMESTAMP '2025-01-15 09:30:00' AS log_ts, b.email AS old_email, 'renamed.' || b.email AS new_email
+FROM bookings b JOIN (SELECT email FROM participants WHERE designation IS NULL) p ON b.email = p.email""",
+                                   "participants", "bookings"),
 }
