@@ -113,3 +113,25 @@ def x3(spark, sf):
     return spark.read.text(os.path.join(base, "out")).select(F.get_json_object("value", "$.link").alias("link"),
                                                              F.get_json_object("value", "$.reason").alias("reason"),
                                                              F.get_json_object("value", "$.status").alias("status"))
+
+
+WEEKLY_SHEET_HEADERS = ["Timestamp", "Email Address", "GitHub Repository URL", "Blog Post", "Created On"]
+
+
+@query("c_weekly_sheet_import")
+def weekly_import(spark, sf):
+    """The weekly-challenge import (S5 sheet names, H4 auto-map, H6, cleaning)
+    over sheets laid out from the weekly table: one sheet per week named
+    ``<n>.Kiro Week <n> Challenge``; row number = participant number + 2."""
+    from rollcall.sources.rows import rows_from_frame
+    w = prog(spark, sf).weekly
+    week = F.col("week_number").cast("string")
+    rows = rows_from_frame(
+        w, WEEKLY_SHEET_HEADERS,
+        [F.lit(""), F.col("email"), F.col("github_link"), F.col("blog_link"),
+         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")],
+        path=F.lit("weekly.xlsx"), sheet_index=F.col("week_number"),
+        sheet_name=F.concat(week, F.lit(".Kiro Week "), week, F.lit(" Challenge")),
+        row_number=F.regexp_extract("email", r"^user(\d+)@", 1).cast("long") + 2)
+    records, _ = SP.parse_weekly_sheets(rows, SLOT_YEAR)
+    return records.drop("path", "sheet_index")

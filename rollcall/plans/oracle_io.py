@@ -69,4 +69,10 @@ FROM t WHERE email IS NOT NULL AND name IS NOT NULL AND regexp_matches(email, '{
     "x3_progress_sink_lines": W(f""", {PAGES}, {SIGNALS}, {VERDICTS}
 SELECT substr(link, 1, 50) AS link, reason, CAST(NULL AS VARCHAR) AS status FROM verdicts
 UNION ALL SELECT NULL, NULL, 'Complete'""", "linked_pages", "submissions"),
+    "c_weekly_sheet_import": W("""
+SELECT week_number, lower(trim(email)) AS email, NULLIF(trim(github_link), '') AS github_link,
+       NULLIF(trim(blog_link), '') AS blog_link, date_trunc('second', created_at) AS created_at,
+       CAST(NULL AS TIMESTAMP) AS updated_at,
+       CAST(regexp_extract(email, '^user([0-9]+)@', 1) AS BIGINT) + 2 AS row_number
+FROM weekly""", "weekly"),
 }

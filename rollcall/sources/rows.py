@@ -57,3 +57,18 @@ def headers(rows: DataFrame) -> DataFrame:
 
 def data_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("row_number") >= 2)
+
+
+def rows_from_frame(df: DataFrame, headers_: list[str], cells: list, path, sheet_index, sheet_name,
+                    row_number) -> DataFrame:
+    """A DataFrame laid out as sheet rows: one header row (row 1) per sheet
+    with ``headers_`` and one data row per input row with ``cells`` as text.
+    The header rows come from the distinct sheets (one per sheet), so the
+    result grows only with the data."""
+    data = df.select(path.alias("path"), sheet_index.cast("int").alias("sheet_index"),
+                     sheet_name.alias("sheet_name"), row_number.cast("long").alias("row_number"),
+                     F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in cells]).alias("cells"))
+    heads = (data.select("path", "sheet_index", "sheet_name").distinct()
+             .select("path", "sheet_index", "sheet_name", F.lit(1).cast("long").alias("row_number"),
+                     F.array(*[F.lit(h) for h in headers_]).alias("cells")))
+    return heads.unionByName(data)
