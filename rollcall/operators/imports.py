@@ -143,8 +143,8 @@ def generic_import_rows(rows: DataFrame, table: str, mapping: dict[str, str], ye
     ``sources``): fields mapped by header name (first column with that
     name), then ``generic_import``.  Rejects keep their file and sheet."""
     from rollcall.operators import headers as H
-    from rollcall.sources.rows import data_rows, headers as header_table
-    positions = H.positions_for_names(header_table(rows), mapping)
+    from rollcall.sources.rows import data_rows, materialized_headers
+    positions = H.positions_for_names(materialized_headers(rows), mapping)
     fields = [f for f, name in mapping.items() if name]
     mapped = H.apply_mapping(data_rows(rows), positions, fields)
     batch = mapped.select("path", "sheet_index", "row_number", *fields)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import cleaning as C
 from rollcall.operators import headers as H
-from rollcall.sources.rows import data_rows, headers as header_table, non_blank_cells
+from rollcall.sources.rows import data_rows, materialized_headers, non_blank_cells
 
 ERRORS_SCHEMA = ["path", "sheet_index", "row_number", "error"]
 
@@ -25,7 +25,7 @@ def _sheet_error(df: DataFrame, msg) -> DataFrame:
 
 def _prepare(rows: DataFrame, kind: str | None, fields: dict[str, list[str]], validate: bool,
              prefer_exact: bool = False):
-    hdr = header_table(rows)
+    hdr = materialized_headers(rows)
     look = H.lookup_columns(hdr, fields, prefer_exact)
     errors = []
     if validate:
@@ -147,7 +147,7 @@ def parse_weekly_sheets(rows: DataFrame, year: int, mapping: DataFrame | None =
     from rollcall.sources.sheets import weekly_sheets
     rows = weekly_sheets(rows)
     if mapping is None:
-        mapping = H.auto_map_best_pattern(header_table(rows)).select(*H.SHEET, "field", "position")
+        mapping = H.auto_map_best_pattern(materialized_headers(rows)).select(*H.SHEET, "field", "position")
     wide = H.pivot_mapping(mapping, WEEKLY_FIELDS)
     mapped = H.apply_mapping(data_rows(rows).filter(non_blank_cells()), wide, WEEKLY_FIELDS)
     mapped = mapped.join(rows.select(*H.SHEET, "week_number").distinct(), H.SHEET)

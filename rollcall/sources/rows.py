@@ -55,6 +55,17 @@ def headers(rows: DataFrame) -> DataFrame:
                     F.coalesce(F.regexp_replace(F.col("raw"), r"(?U)^\s+|\s+$", ""), F.lit("")).alias("header")))
 
 
+def materialized_headers(rows: DataFrame) -> DataFrame:
+    """The header table, written once (reliable checkpoint in the shared
+    checkpoint folder).  It has one row per sheet column, but deriving it
+    scans every row of every file; the header operators read it several
+    times (validation, lookups, the auto-map rounds), so it is cut from the
+    scan instead of being recomputed per use."""
+    from rollcall.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(rows.sparkSession)
+    return headers(rows).checkpoint(eager=True)
+
+
 def data_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("row_number") >= 2)
 
