@@ -169,11 +169,12 @@ def parse_weekly_sheets(rows: DataFrame, year: int, mapping: DataFrame | None =
     return records, errors
 
 
-def parse_lab_rows(rows: DataFrame, positions: DataFrame, year: int, workshop_name: str
+def parse_lab_rows(rows: DataFrame, positions: DataFrame, year: int, workshop_name
                    ) -> tuple[DataFrame, DataFrame]:
     """Hands-on lab import: mapped fields (positions per sheet, wide), the
     validity flag true only for the word TRUE, the assignment time parsed,
-    e-mail and name required."""
+    e-mail and name required.  ``workshop_name`` is a constant or a column
+    (e.g. the sheet name)."""
     fields = ["email", "name", "problem_statement", "hands_on_lab_proof_link", "valid", "assigned_to",
               "assigned_at", "blog_submission", "remarks"]
     present = [f for f in fields if f in positions.columns]
@@ -193,7 +194,8 @@ def parse_lab_rows(rows: DataFrame, positions: DataFrame, year: int, workshop_na
         F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(": "), F.col("__reason")).alias("error"))
     ok = t.filter(F.col("__reason").isNull()).withColumn("email", C.normalize_email("email"))
     ok = C.with_datetime(ok, "assigned_at", "__assigned", year)
-    records = ok.select(F.lit(workshop_name).alias("workshop_name"), "email", "name", "problem_statement",
+    workshop = F.lit(workshop_name) if isinstance(workshop_name, str) else workshop_name
+    records = ok.select(workshop.alias("workshop_name"), "email", "name", "problem_statement",
                         "hands_on_lab_proof_link", C.coerce_boolean_upper_true("valid").alias("valid"),
                         "assigned_to", F.col("__assigned").alias("assigned_at"), "blog_submission", "remarks",
                         "row_number", *H.SHEET)

@@ -135,3 +135,31 @@ def weekly_import(spark, sf):
         row_number=F.regexp_extract("email", r"^user(\d+)@", 1).cast("long") + 2)
     records, _ = SP.parse_weekly_sheets(rows, SLOT_YEAR)
     return records.drop("path", "sheet_index")
+
+
+LAB_SHEET_HEADERS = ["Email", "Name", "Problem Statement", "Proof Link", "Valid", "Assigned To", "Assigned At",
+                     "Remarks"]
+LAB_MAPPING = {"email": "Email", "name": "Name", "problem_statement": "Problem Statement",
+               "hands_on_lab_proof_link": "Proof Link", "valid": "Valid", "assigned_to": "Assigned To",
+               "assigned_at": "Assigned At", "remarks": "Remarks"}
+
+
+@query("c_lab_sheet_import")
+def lab_import(spark, sf):
+    """The hands-on lab import over sheets laid out from the lab table (one
+    sheet per workshop, named after it): fields mapped by header name (H6),
+    validity true only for TRUE, assignment time parsed."""
+    from rollcall.operators import headers as H
+    from rollcall.sources.rows import materialized_headers, rows_from_frame
+    labs = prog(spark, sf).labs
+    rows = rows_from_frame(
+        labs, LAB_SHEET_HEADERS,
+        [F.col("email"), F.col("name"), F.col("problem_statement"), F.col("proof_link"),
+         F.when(F.col("valid"), "TRUE").when(~F.col("valid"), "false").otherwise(""), F.col("assigned_to"),
+         F.date_format("assigned_at", "yyyy-MM-dd HH:mm:ss"), F.col("remarks")],
+        path=F.lit("labs.xlsx"), sheet_index=F.substring("workshop_name", 10, 3).cast("int"),
+        sheet_name=F.col("workshop_name"),
+        row_number=F.regexp_extract("email", r"^user(\d+)@", 1).cast("long") + 2)
+    positions = H.positions_for_names(materialized_headers(rows), LAB_MAPPING)
+    records, _ = SP.parse_lab_rows(rows, positions, SLOT_YEAR, F.col("sheet_name"))
+    return records.drop("path", "sheet_index")

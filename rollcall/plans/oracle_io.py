@@ -75,4 +75,12 @@ SELECT week_number, lower(trim(email)) AS email, NULLIF(trim(github_link), '') A
        CAST(NULL AS TIMESTAMP) AS updated_at,
        CAST(regexp_extract(email, '^user([0-9]+)@', 1) AS BIGINT) + 2 AS row_number
 FROM weekly""", "weekly"),
+    "c_lab_sheet_import": W("""
+SELECT workshop_name, lower(trim(email)) AS email, NULLIF(trim(name), '') AS name,
+       NULLIF(trim(problem_statement), '') AS problem_statement,
+       NULLIF(trim(proof_link), '') AS hands_on_lab_proof_link, COALESCE(valid, false) AS valid,
+       NULLIF(trim(assigned_to), '') AS assigned_to, date_trunc('second', assigned_at) AS assigned_at,
+       CAST(NULL AS VARCHAR) AS blog_submission, NULLIF(trim(remarks), '') AS remarks,
+       CAST(regexp_extract(email, '^user([0-9]+)@', 1) AS BIGINT) + 2 AS row_number
+FROM labs""", "labs"),
 }
