@@ -163,3 +163,17 @@ def lab_import(spark, sf):
     positions = H.positions_for_names(materialized_headers(rows), LAB_MAPPING)
     records, _ = SP.parse_lab_rows(rows, positions, SLOT_YEAR, F.col("sheet_name"))
     return records.drop("path", "sheet_index")
+
+
+@query("s2_o3_grid_workbook_roundtrip")
+def s2(spark, sf):
+    """The slot-number grid written as a workbook (O3, spreadsheet target) and
+    read back with the workbook scan (S2): the data rows as text cells."""
+    from rollcall.sinks.workbook import write_grid_workbook
+    from rollcall.sources.workbook import scan_workbooks
+    p = prog(spark, sf)
+    grid = W.report_grid(R.slot_number_report(p.bookings, p.participants))
+    folder = W.scratch_path(spark, "grid-workbook")
+    write_grid_workbook(grid, folder, order=["Workshop Number", "Time Slot Number", "Occupation"])
+    rows = scan_workbooks(spark, folder).filter(F.col("row_number") > 1)
+    return rows.select(*[F.col("cells")[i].alias(c) for i, c in enumerate(W.GRID_HEADER)])

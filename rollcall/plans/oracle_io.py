@@ -83,4 +83,11 @@ SELECT workshop_name, lower(trim(email)) AS email, NULLIF(trim(name), '') AS nam
        CAST(NULL AS VARCHAR) AS blog_submission, NULLIF(trim(remarks), '') AS remarks,
        CAST(regexp_extract(email, '^user([0-9]+)@', 1) AS BIGINT) + 2 AS row_number
 FROM labs""", "labs"),
+    "s2_o3_grid_workbook_roundtrip": A16_PREFIX + """
+, grid AS (""" + A16_SELECT.split(" ORDER BY")[0] + """)
+SELECT COALESCE(CAST(workshop_number AS VARCHAR), '') AS "Workshop Number",
+       COALESCE(CAST(time_slot_number AS VARCHAR), '') AS "Time Slot Number",
+       COALESCE(time_slot, 'No Time Slot') AS "Time Slot", COALESCE(occupation, 'Unknown') AS "Occupation",
+       CAST(COALESCE(count, 0) AS VARCHAR) AS "Count"
+FROM grid""",
 }

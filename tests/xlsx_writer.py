@@ -1,48 +1,3 @@
-"""Minimal .xlsx writer for tests (inline strings only)."""
+"""Tests write workbooks with the library's writer."""
 
-import zipfile
-from xml.sax.saxutils import escape
-
-
-def _col(i):
-    s = ""
-    i += 1
-    while i:
-        i, r = divmod(i - 1, 26)
-        s = chr(65 + r) + s
-    return s
-
-
-def write_xlsx(path, sheets):
-    """sheets: list of (name, rows) where rows are lists of cell values."""
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>')
-        sheet_xml = "".join(
-            f'<sheet name="{escape(n)}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, (n, _) in enumerate(sheets))
-        z.writestr("xl/workbook.xml",
-                   '<?xml version="1.0"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
-                   'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
-                   f"<sheets>{sheet_xml}</sheets></workbook>")
-        rels = "".join(f'<Relationship Id="rId{i + 1}" Type="worksheet" Target="worksheets/sheet{i + 1}.xml"/>'
-                       for i in range(len(sheets)))
-        z.writestr("xl/_rels/workbook.xml.rels",
-                   '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-                   f"{rels}</Relationships>")
-        for i, (_, rows) in enumerate(sheets):
-            body = []
-            for r, row in enumerate(rows, start=1):
-                cells = []
-                for c, v in enumerate(row):
-                    if v is None:
-                        continue
-                    ref = f"{_col(c)}{r}"
-                    if isinstance(v, bool):
-                        cells.append(f'<c r="{ref}" t="b"><v>{int(v)}</v></c>')
-                    elif isinstance(v, (int, float)):
-                        cells.append(f'<c r="{ref}"><v>{v}</v></c>')
-                    else:
-                        cells.append(f'<c r="{ref}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>')
-                body.append(f'<row r="{r}">{"".join(cells)}</row>')
-            z.writestr(f"xl/worksheets/sheet{i + 1}.xml",
-                       '<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
-                       f'<sheetData>{"".join(body)}</sheetData></worksheet>')
+from rollcall.sinks.workbook import write_xlsx  # noqa: F401
