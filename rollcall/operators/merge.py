@@ -226,18 +226,21 @@ def merge_on_match_fields(target: DataFrame, batch: DataFrame, match_fields: lis
     (``forced`` fields always included); records with none are skipped.
 
     The batch is split by null pattern (at most 2^k groups for k match
-    fields) and each group is equi-joined on its own fields; a record may hit
-    several rows (U10, counted per row hit).  When several records hit one
-    target row the last in file order wins.  Records that hit nothing are
+    fields).  Within a group every record with the same match values hits
+    the same target rows, so the group is first reduced to one row per
+    distinct match value (its last record in file order and the number of
+    records); only that row is equi-joined to the target.  The join output is
+    the set of target rows to update - never records x rows of a group.  A
+    record may hit several rows (U10, counted per row hit); when records of
+    different groups hit one row the last in file order wins.  Records whose
+    values hit nothing (anti-join against the target's distinct values) are
     inserted (upsert/create), reduced per ``target_key``.  Bound: a record
     does not see rows inserted by earlier records of the same batch unless
     they share the target key."""
-    fields = list(dict.fromkeys(list(forced) + list(match_fields)))
     opt = [f for f in match_fields if f not in forced]
-    t = target
     tk = list(target_key)
-    hits = []
-    b = batch
+    values = [c for c in batch.columns if c != order_col]
+    hits, unmatched_parts = [], []
     for r in range(len(opt), -1, -1):
         for present in combinations(opt, r):
             on = list(forced) + list(present)
@@ -248,23 +251,23 @@ def merge_on_match_fields(target: DataFrame, batch: DataFrame, match_fields: lis
                 pred = pred & (F.col(f).isNotNull() if f in present else F.col(f).isNull())
             for f in forced:
                 pred = pred & F.col(f).isNotNull()
-            group = b.filter(pred)
-            probe = t.select(*[F.col(k).alias(f"__tk_{k}") for k in tk], *on, F.lit(True).alias("__hit"))
-            hits.append(group.alias("s").join(probe.alias("t"),
-                                              [F.col(f"s.{f}") == F.col(f"t.{f}") for f in on], "left")
-                        .select("s.*", *[F.col(f"t.__tk_{k}") for k in tk], F.col("t.__hit")))
+            group = batch.filter(pred)
+            reduced = (group.groupBy(*on)
+                       .agg(F.max_by(F.struct(*values, order_col), F.col(order_col)).alias("__r"),
+                            F.count(F.lit(1)).alias("__n")))
+            probe = target.select(*[F.col(k).alias(f"__tk_{k}") for k in tk], *on)
+            hits.append(reduced.join(probe, on, "inner")
+                        .select(*[f"__tk_{k}" for k in tk], "__r", "__n"))
+            unmatched_parts.append(group.join(target.select(*on).distinct(), on, "left_anti"))
     if not hits:
         raise ValueError("no match fields")
-    joined = hits[0]
+    matched = hits[0]
     for h in hits[1:]:
-        joined = joined.unionByName(h)
-    matched = joined.filter(F.col("__hit").isNotNull())
-    unmatched = joined.filter(F.col("__hit").isNull()).drop("__hit", *[f"__tk_{k}" for k in tk])
-    values = [c for c in batch.columns if c != order_col]
-    # last record per hit row (rows are identified by the target key)
+        matched = matched.unionByName(h)
     tkc = [f"__tk_{k}" for k in tk]
-    upd = (matched.groupBy(*tkc).agg(F.max_by(F.struct(*values), F.col(order_col)).alias("r"),
-                                     F.count(F.lit(1)).alias("__n"))
+    # per target row: the last record among the groups that hit it; records counted per row hit
+    upd = (matched.groupBy(*tkc)
+           .agg(F.max_by(F.col("__r"), F.col(f"__r.{order_col}")).alias("r"), F.sum("__n").alias("__n"))
            .select(*tkc, F.lit(True).alias("__tid"), "__n", *[F.col(f"r.{c}").alias(c) for c in values]))
     ts = _ts(run_ts)
     cols = []
@@ -275,11 +278,14 @@ def merge_on_match_fields(target: DataFrame, batch: DataFrame, match_fields: lis
             cols.append(F.when(F.col("u.__tid").isNotNull(), ts).otherwise(F.col(f"t.{c}")).alias(c))
         else:
             cols.append(F.col(f"t.{c}").alias(c))
-    updated_state = t.alias("t").join(upd.alias("u"), [F.col(f"t.{k}") == F.col(f"u.__tk_{k}") for k in tk],
-                                      "left").select(*cols)
+    updated_state = target.alias("t").join(upd.alias("u"), [F.col(f"t.{k}") == F.col(f"u.__tk_{k}") for k in tk],
+                                           "left").select(*cols)
     outcome_upd = upd.select(*[F.col(f"__tk_{k}").alias(k) for k in tk], F.lit(0).cast("long").alias("inserted"),
                              F.col("__n").cast("long").alias("updated"))
     if mode in ("upsert", "create"):
+        unmatched = unmatched_parts[0]
+        for u in unmatched_parts[1:]:
+            unmatched = unmatched.unionByName(u)
         fresh = merge_keyed(target.limit(0), unmatched, target_key, "create", run_ts=run_ts, order_col=order_col)
         state = updated_state.unionByName(fresh.state.select(*target.columns))
         outcome = (outcome_upd if mode == "upsert" else outcome_upd.limit(0)).unionByName(fresh.outcome)

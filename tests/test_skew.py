@@ -67,3 +67,19 @@ def test_progress_trail_complete_over_many_partitions(spark):
     # running counts follow the order: item k has seen exactly k items
     last = trail.filter(F.col("email") == "u049999@x").first()
     assert last.current == n and last.validated + last.failed == n
+
+
+def test_hot_match_value_is_reduced_before_the_join(spark):
+    """U10 with one match value shared by 3000 records and 1000 target rows:
+    the count is records x rows hit (3,000,000) but the join emits only the
+    1000 rows to update."""
+    target = spark.range(1000).select(F.format_string("u%d@x", "id").alias("email"), F.lit("HOT").alias("occ"),
+                                      F.lit("old").alias("desig"))
+    batch = spark.range(3000).select(F.lit("HOT").alias("occ"), F.format_string("d%d", "id").alias("desig"),
+                                     F.col("id").alias("row_number"))
+    res = M.merge_on_match_fields(target, batch, ["occ"], "update", run_ts=RUN_TS, target_key=["email"])
+    assert {r.desig for r in res.state.collect()} == {"d2999"}
+    assert res.counts().first().updated == 3000 * 1000
+    plan = _plan(res.state)
+    # the batch side is aggregated per match value before it meets the target
+    assert "partial_max_by" in plan and "CartesianProduct" not in plan
