@@ -76,7 +76,9 @@ def set_null_on_delete(df: DataFrame, deleted: DataFrame, col: str, pk: str) ->
 def cascade_key_update(df: DataFrame, renames: DataFrame, col: str = "email", old: str = "old_email",
                        new: str = "new_email") -> DataFrame:
     """K6: rewrite references through an (old -> new) key map."""
-    m = renames.select(F.col(old).alias("__old"), F.col(new).alias("__new"))
+    # one new key per old key (a conflicting map resolves to the smallest),
+    # so a child row is never duplicated by the join
+    m = renames.groupBy(F.col(old).alias("__old")).agg(F.min(new).alias("__new"))
     j = df.join(m, df[col] == m["__old"], "left")
     return j.select(*[F.coalesce(F.col("__new"), F.col(c)).alias(c) if c == col else F.col(c)
                       for c in df.columns])
@@ -88,7 +90,7 @@ def cascade_key_update_logged(df: DataFrame, renames: DataFrame, table: str, key
     """K6 with its log: the rewritten table and one UPDATE change row per
     child row whose reference was renamed (old and new images)."""
     from rollcall.operators.changelog import update_rows
-    m = renames.select(F.col(old).alias("__from"), F.col(new).alias("__to"))
+    m = renames.groupBy(F.col(old).alias("__from")).agg(F.min(new).alias("__to"))
     j = df.join(m, df[col] == m["__from"], "left")
     hit = F.col("__to").isNotNull()
     cols = [F.when(hit, F.col("__to")).otherwise(F.col(c)).alias(c) if c == col else F.col(c) for c in df.columns]
