@@ -13,7 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.operators.joins import checked_broadcast
+
 SHEET = ["path", "sheet_index"]
+# per-sheet tables up to this many rows are broadcast (after a count check)
+SHEETS_BOUND = 100_000
 
 # Expected column counts and critical headers per sheet kind.
 EXPECTED_COLUMNS = {"form": 15, "project": 14}
@@ -147,7 +151,9 @@ def apply_mapping(rows: DataFrame, mapping: DataFrame, fields: list[str],
     """H6: project each data row to ``fields`` using a per-sheet mapping
     (wide: one position column per field); a short row or an unmapped field
     gives null; constants are added as literals."""
-    j = rows.join(mapping, SHEET, "inner")
+    # one mapping row per sheet: broadcast after a size check, so a sheet with
+    # a third of all rows is not funnelled through one join partition
+    j = rows.join(checked_broadcast(mapping, SHEETS_BOUND), SHEET, "inner")
     cols = [F.when(F.col(f).isNotNull(), F.try_element_at(F.col("cells"), F.col(f) + 1)).alias(f)
             for f in fields]
     out = j.select(*SHEET, "sheet_name", "row_number", "cells", *cols)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import cleaning as C
 from rollcall.operators import headers as H
+from rollcall.operators.joins import checked_broadcast
 from rollcall.sources.rows import data_rows, materialized_headers, non_blank_cells
 
 ERRORS_SCHEMA = ["path", "sheet_index", "row_number", "error"]
@@ -77,7 +78,7 @@ def parse_form_sheets(rows: DataFrame, year: int, run_ts: str,
     kept as text; created/updated parsed or the run time."""
     rows = rows.filter(F.col("role") == "form")
     mapped, errors = _prepare(rows, "form", H.FORM_FIELDS, validate=True, prefer_exact=prefer_exact)
-    mapped = mapped.join(rows.select(*H.SHEET, "workshop").distinct(), H.SHEET)
+    mapped = mapped.join(checked_broadcast(rows.select(*H.SHEET, "workshop").distinct(), H.SHEETS_BOUND), H.SHEET)
     ok, row_errs = _check_rows(mapped, "Missing name or email")
     ok = C.with_datetime(ok, "time_slot", "__slot", year)
     ok = C.with_datetime(ok, "created_at", "__created", year)
@@ -97,7 +98,7 @@ def parse_project_sheets(rows: DataFrame, year: int, run_ts: str,
     """Submissions from project sheets; team id = team name, valid=false."""
     rows = rows.filter(F.col("role") == "project")
     mapped, errors = _prepare(rows, "project", H.PROJECT_FIELDS, validate=True, prefer_exact=prefer_exact)
-    mapped = mapped.join(rows.select(*H.SHEET, "workshop").distinct(), H.SHEET)
+    mapped = mapped.join(checked_broadcast(rows.select(*H.SHEET, "workshop").distinct(), H.SHEETS_BOUND), H.SHEET)
     ok, row_errs = _check_rows(mapped, "Missing name or email")
     ok = C.with_datetime(ok, "created_at", "__created", year)
     ok = C.with_datetime(ok, "updated_at", "__updated", year)
@@ -150,7 +151,8 @@ def parse_weekly_sheets(rows: DataFrame, year: int, mapping: DataFrame | None =
         mapping = H.auto_map_best_pattern(materialized_headers(rows)).select(*H.SHEET, "field", "position")
     wide = H.pivot_mapping(mapping, WEEKLY_FIELDS)
     mapped = H.apply_mapping(data_rows(rows).filter(non_blank_cells()), wide, WEEKLY_FIELDS)
-    mapped = mapped.join(rows.select(*H.SHEET, "week_number").distinct(), H.SHEET)
+    mapped = mapped.join(checked_broadcast(rows.select(*H.SHEET, "week_number").distinct(), H.SHEETS_BOUND),
+                         H.SHEET)
     t = mapped
     for f in ("email", "github_link", "blog_link"):
         t = t.withColumn(f, C.normalize_string(f))
