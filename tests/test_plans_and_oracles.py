@@ -46,3 +46,14 @@ def test_plan_shape(spark, name):
 def test_oracle(spark, con, name):
     problems, _ = compare(QUERIES[name](spark, SF_SMALL), con, ORACLES[name])
     assert not problems, problems
+
+
+def test_flagship_scans_are_pruned(spark):
+    """The slot-number report reads only the columns it needs from parquet."""
+    plan = QUERIES["a16_slot_number_report"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    schemas = [line.split("ReadSchema: ")[1].split(",")[0:8] for line in plan.splitlines() if "ReadSchema: " in line]
+    flat = " ".join(",".join(s) for s in schemas)
+    assert "o_orderkey" in flat and "c_mktsegment" in flat
+    for unused in ("o_totalprice", "o_orderstatus", "o_orderdate", "c_name", "c_acctbal"):
+        assert unused not in flat, unused
+    assert "PushedFilters: [IsNotNull(c_custkey)" in plan
