@@ -191,10 +191,20 @@ def partial_update(target: DataFrame, updates: DataFrame, keys: list[str], *, ru
     return state, counts
 
 
-def insert_or_ignore(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """U8: ``ON CONFLICT DO NOTHING``: new keys only, duplicates in the batch
-    collapsed."""
-    new = batch.select(*target.columns).dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+def insert_or_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
+    """U8: ``ON CONFLICT DO NOTHING``: new keys only.  Duplicates in the batch
+    collapse to the first record in file order (``order_col``), else to the
+    smallest row, so the result is deterministic."""
+    others = [c for c in target.columns if c not in keys]
+    if others and order_col:
+        first = reduce_batch(batch.select(*target.columns, order_col), keys, order_col, "first").drop("__n")
+        first = first.select(*target.columns)
+    elif others:
+        first = (batch.groupBy(*keys).agg(F.min(F.struct(*others)).alias("__r"))
+                 .select(*keys, *[F.col(f"__r.{c}").alias(c) for c in others]).select(*target.columns))
+    else:
+        first = batch.select(*target.columns).distinct()
+    new = first.join(target.select(*keys), keys, "left_anti")
     return target.unionByName(new)
 
 
