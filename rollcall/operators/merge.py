@@ -165,12 +165,25 @@ def merge_keyed(target: DataFrame, batch: DataFrame, keys: list[str], mode: str
 
 
 def partial_update(target: DataFrame, updates: DataFrame, keys: list[str], *, run_ts: str,
-                   touch_col: str | None = "updated_at", touch_from: str | None = None) -> tuple[DataFrame, DataFrame]:
+                   touch_col: str | None = "updated_at", touch_from: str | None = None,
+                   order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Only non-null supplied fields overwrite existing rows; a row with
     no supplied field is left alone and not counted.  ``touch_from`` (U5)
     names a supplied updated-at column; otherwise ``run_ts`` is used.
+    With ``order_col``, several updates of one key fold like updates applied
+    one after another (per field the last non-null value); without it
     ``updates`` must hold at most one row per key.  Returns (state, counts)."""
-    fields = [c for c in updates.columns if c not in keys and c != touch_from]
+    records = None
+    if order_col:
+        carried = [c for c in updates.columns if c not in keys and c != order_col]
+        supplied = [c for c in carried if c != touch_from]
+        has_field = F.greatest(*[F.col(c).isNotNull() for c in supplied]) if len(supplied) > 1 \
+            else F.col(supplied[0]).isNotNull()
+        # statements that set something, per key (each counts, as in a per-record update)
+        records = updates.groupBy(*keys).agg(F.count_if(has_field).alias("__records"))
+        updates = reduce_batch(updates, keys, order_col, "last", tuple(carried)).drop("__n", order_col)
+        updates = updates.join(records, keys)
+    fields = [c for c in updates.columns if c not in keys and c != touch_from and c != "__records"]
     any_field = F.lit(False)
     for c in fields:
         any_field = any_field | F.col(f"u.{c}").isNotNull()
@@ -187,7 +200,10 @@ def partial_update(target: DataFrame, updates: DataFrame, keys: list[str], *, ru
         else:
             cols.append(F.col(f"t.{c}").alias(c))
     state = j.select(*cols)
-    counts = j.agg(F.count_if(hit).alias("updated"))
+    if records is not None:
+        counts = j.agg(F.coalesce(F.sum(F.when(hit, F.col("u.__records"))), F.lit(0)).cast("long").alias("updated"))
+    else:
+        counts = j.agg(F.count_if(hit).alias("updated"))
     return state, counts
 
 

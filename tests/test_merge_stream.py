@@ -176,3 +176,12 @@ def test_merge_batch_replay_is_idempotent(spark, scratch):
     assert spark.read.parquet(os.path.join(log, "batch_id=0")).count() == 2
     apply(spark.createDataFrame([(3, "d", None, 1)], BATCH_SCHEMA), 1)
     assert sorted(r.k for r in W.read_versioned(spark, table).collect()) == [1, 2, 3]
+
+
+def test_partial_update_folds_repeated_keys(spark):
+    target = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "k long, v string, n int")
+    updates = spark.createDataFrame([(1, "x", None, 1), (1, None, 5, 2), (1, "y", None, 3)],
+                                    "k long, v string, n int, row_number long")
+    state, counts = M.partial_update(target, updates, ["k"], run_ts=RUN_TS, touch_col=None, order_col="row_number")
+    assert sorted(tuple(r) for r in state.collect()) == [(1, "y", 5), (2, "b", 20)]
+    assert counts.first().updated == 3  # three statements, each setting a field
