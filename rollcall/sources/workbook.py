@@ -3,11 +3,13 @@
 Each file is one ``binaryFile`` row; ``mapInPandas`` opens it with the
 standard library (``zipfile`` + ``xml.etree``) and emits one row per sheet
 row in the common row shape, with cached cell values (no formulas are
-evaluated) and 1-based row numbers.  Work is spread one file per task.
+evaluated), date-formatted numbers as date-time text, and 1-based row
+numbers.  Work is spread one file per task.
 """
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -44,11 +46,44 @@ def _number(v: str) -> str:
     return str(int(f)) if f.is_integer() and "e" not in v.lower() and "." not in v else str(f)
 
 
+# Built-in number formats that show dates or times.
+BUILTIN_DATE_FORMATS = set(range(14, 23)) | {45, 46, 47}
+_DATE_CODE = re.compile(r"[dmyhs]", re.I)
+_EXCEL_EPOCH = datetime.datetime(1899, 12, 30)
+
+
+def _date_styles(z: zipfile.ZipFile, names: set[str]) -> set[int]:
+    """Indexes of cell styles whose number format is a date or time."""
+    if "xl/styles.xml" not in names:
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    custom = set()
+    for fmt in root.findall("m:numFmts/m:numFmt", _NS):
+        code = re.sub(r'"[^"]*"|\[[^]]*\]|\\.', "", fmt.get("formatCode", ""))
+        if _DATE_CODE.search(code):
+            custom.add(int(fmt.get("numFmtId")))
+    dates = set()
+    for i, xf in enumerate(root.findall("m:cellXfs/m:xf", _NS)):
+        fid = int(xf.get("numFmtId", "0"))
+        if fid in BUILTIN_DATE_FORMATS or fid in custom:
+            dates.add(i)
+    return dates
+
+
+def _serial_to_text(v: str) -> str:
+    """A date serial (1900 date system) as ``YYYY-MM-DD HH:MM:SS``, the text
+    form of the datetime a workbook reader returns for a date cell."""
+    moment = _EXCEL_EPOCH + datetime.timedelta(seconds=round(float(v) * 86400))
+    return moment.strftime("%Y-%m-%d %H:%M:%S")
+
+
 def read_workbook(content: bytes) -> list[tuple[int, str, int, list]]:
-    """(sheet_index, sheet_name, row_number, cells) for every stored row."""
+    """(sheet_index, sheet_name, row_number, cells) for every stored row.
+    Numeric cells with a date number format come back as date-time text."""
     out = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
+        date_styles = _date_styles(z, names)
         shared = []
         if "xl/sharedStrings.xml" in names:
             root = ET.fromstring(z.read("xl/sharedStrings.xml"))
@@ -79,6 +114,9 @@ def read_workbook(content: bytes) -> list[tuple[int, str, int, list]]:
                         val = _text(isn) if isn is not None else None
                     elif t == "b" and v is not None:
                         val = "True" if v.text == "1" else "False"
+                    elif v is not None and v.text is not None and t not in ("str", "e") \
+                            and int(c.get("s", "0")) in date_styles:
+                        val = _serial_to_text(v.text)
                     elif v is not None and v.text is not None:
                         val = v.text if t in ("str", "e") else _number(v.text)
                     else:

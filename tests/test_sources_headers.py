@@ -230,3 +230,24 @@ def test_generic_import_rows_by_header_name(spark):
     assert (r.email, r.name, str(r.registration_date_time), r.path) == ("a@x.io", "Ann", "2024-01-05 10:00:00", "f")
     assert r.linkedin is None  # a mapped name missing from the sheet is skipped
     assert [(x.sheet_index, x.error) for x in rej.collect()] == [(0, "Row 3: Invalid email: bad")]
+
+
+def test_workbook_date_cells(spark, scratch):
+    import zipfile
+    path = os.path.join(scratch, "dates.xlsx")
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/'
+                                      'officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" '
+                                      'r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/'
+                   '2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="164" '
+                   'formatCode="dd/mm/yyyy hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/>'
+                   '<xf numFmtId="164"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>'
+                   '<row r="1"><c r="A1" t="inlineStr"><is><t>Joined</t></is></c></row>'
+                   '<row r="2"><c r="A2" s="1"><v>45296</v></c><c r="B2" s="2"><v>45296.75</v></c>'
+                   '<c r="C2"><v>45296</v></c></row></sheetData></worksheet>')
+    row = workbook.scan_workbooks(spark, scratch).filter(F.col("row_number") == 2).first()
+    assert row.cells == ["2024-01-05 00:00:00", "2024-01-05 18:00:00", "45296"]
