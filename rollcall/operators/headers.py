@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.operators.joins import checked_broadcast
+from rollcall.functions import messages as MSG
 
 SHEET = ["path", "sheet_index"]
 # per-sheet tables up to this many rows are broadcast (after a count check)
@@ -74,8 +75,8 @@ def validate_headers(headers: DataFrame, kind: str) -> DataFrame:
         aggs.append(F.bool_or(_contains_ci(F.col("header"), c)).alias(f"__c{i}"))
     g = headers.groupBy(*SHEET).agg(*aggs)
     errors = [F.when(F.col("n_columns") < expected,
-                     F.format_string(f"Expected at least {expected} columns, got %d", F.col("n_columns")))]
-    errors += [F.when(~F.col(f"__c{i}"), F.lit(f"Missing critical header: {c}")) for i, c in enumerate(crit)]
+                     F.format_string(MSG.TOO_FEW_COLUMNS.format(expected=expected), F.col("n_columns")))]
+    errors += [F.when(~F.col(f"__c{i}"), F.lit(MSG.MISSING_CRITICAL_HEADER + c)) for i, c in enumerate(crit)]
     return g.select(*SHEET, "n_columns", F.filter(F.array(*errors), lambda e: e.isNotNull()).alias("errors"))
 
 

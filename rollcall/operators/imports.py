@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions import cleaning as C
+from rollcall.functions import messages as MSG
 
 # Required fields per target table.
 REQUIRED_FIELDS = {
@@ -47,8 +48,8 @@ def reject_reason(required: list[str], email_col: str = "email") -> Column:
     """First failing check, in order missing -> invalid e-mail."""
     missing = missing_fields(required)
     has_email = F.col(email_col).isNotNull() & (F.col(email_col) != "")
-    return (F.when(missing != "", F.concat(F.lit("Missing required fields: "), missing))
-            .when(has_email & ~C.is_valid_email(email_col), F.concat(F.lit("Invalid email: "), F.col(email_col))))
+    return (F.when(missing != "", F.concat(F.lit(MSG.MISSING_REQUIRED_FIELDS), missing))
+            .when(has_email & ~C.is_valid_email(email_col), F.concat(F.lit(MSG.INVALID_EMAIL), F.col(email_col))))
 
 
 def split_rejects(df: DataFrame, required: list[str], row_col: str = "row_number",
@@ -60,7 +61,7 @@ def split_rejects(df: DataFrame, required: list[str], row_col: str = "row_number
                 .withColumn(email_col, F.when(F.col(email_col).isNotNull(), C.normalize_email(email_col))))
     rejected = tagged.filter(F.col("__reason").isNotNull()).select(
         *keep, F.col(row_col).alias("row_number"),
-        F.concat(F.lit("Row "), F.col(row_col).cast("string"), F.lit(": "), F.col("__reason")).alias("error"))
+        MSG.row_error(row_col, F.col("__reason")).alias("error"))
     return accepted, rejected
 
 

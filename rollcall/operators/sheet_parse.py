@@ -15,6 +15,7 @@ from rollcall.functions import cleaning as C
 from rollcall.operators import headers as H
 from rollcall.operators.joins import checked_broadcast
 from rollcall.sources.rows import data_rows, materialized_headers, non_blank_cells
+from rollcall.functions import messages as MSG
 
 ERRORS_SCHEMA = ["path", "sheet_index", "row_number", "error"]
 
@@ -36,8 +37,8 @@ def _prepare(rows: DataFrame, kind: str | None, fields: dict[str, list[str]], va
                                  F.explode("errors").alias("error")))
         look = look.join(val.filter(F.size("errors") == 0).select(*H.SHEET), H.SHEET, "left_semi")
     missing_req = look.filter(F.col("email").isNull() | F.col("name").isNull())
-    errors.append(_sheet_error(missing_req, "Missing required columns: Name or Email" if kind
-                               else "Missing required columns: Email or Name"))
+    errors.append(_sheet_error(missing_req, MSG.MISSING_COLUMNS_NAME_EMAIL if kind
+                               else MSG.MISSING_COLUMNS_EMAIL_NAME))
     look = look.filter(F.col("email").isNotNull() & F.col("name").isNotNull())
     mapped = H.apply_mapping(data_rows(rows).filter(non_blank_cells()), look, list(fields))
     return mapped, errors
@@ -46,11 +47,11 @@ def _prepare(rows: DataFrame, kind: str | None, fields: dict[str, list[str]], va
 def _check_rows(mapped: DataFrame, missing_msg: str) -> tuple[DataFrame, DataFrame]:
     t = mapped.withColumn("email", C.normalize_string("email")).withColumn("name", C.normalize_string("name"))
     reason = (F.when(F.col("email").isNull() | F.col("name").isNull(), F.lit(missing_msg))
-              .when(~C.is_valid_email("email"), F.concat(F.lit("Invalid email format: "), F.col("email"))))
+              .when(~C.is_valid_email("email"), F.concat(F.lit(MSG.INVALID_EMAIL_FORMAT), F.col("email"))))
     t = t.withColumn("__reason", reason)
     errs = t.filter(F.col("__reason").isNotNull()).select(
         "path", "sheet_index", "row_number",
-        F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(": "), F.col("__reason")).alias("error"))
+        MSG.row_error("row_number", F.col("__reason")).alias("error"))
     ok = t.filter(F.col("__reason").isNull()).drop("__reason").withColumn("email", C.normalize_email("email"))
     return ok, errs
 
@@ -63,7 +64,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _workshop_name(workshop_names: dict[int, str] | None) -> "F.Column":
-    name = F.concat(F.lit("Workshop "), F.col("workshop").cast("string"))
+    name = F.concat(F.lit(MSG.WORKSHOP_PREFIX), F.col("workshop").cast("string"))
     if workshop_names:
         m = F.create_map(*[x for k, v in workshop_names.items() for x in (F.lit(k), F.lit(v))])
         name = F.coalesce(m[F.col("workshop")], name)
@@ -79,7 +80,7 @@ def parse_form_sheets(rows: DataFrame, year: int, run_ts: str,
     rows = rows.filter(F.col("role") == "form")
     mapped, errors = _prepare(rows, "form", H.FORM_FIELDS, validate=True, prefer_exact=prefer_exact)
     mapped = mapped.join(checked_broadcast(rows.select(*H.SHEET, "workshop").distinct(), H.SHEETS_BOUND), H.SHEET)
-    ok, row_errs = _check_rows(mapped, "Missing name or email")
+    ok, row_errs = _check_rows(mapped, MSG.MISSING_NAME_OR_EMAIL)
     ok = C.with_datetime(ok, "time_slot", "__slot", year)
     ok = C.with_datetime(ok, "created_at", "__created", year)
     ok = C.with_datetime(ok, "updated_at", "__updated", year)
@@ -99,7 +100,7 @@ def parse_project_sheets(rows: DataFrame, year: int, run_ts: str,
     rows = rows.filter(F.col("role") == "project")
     mapped, errors = _prepare(rows, "project", H.PROJECT_FIELDS, validate=True, prefer_exact=prefer_exact)
     mapped = mapped.join(checked_broadcast(rows.select(*H.SHEET, "workshop").distinct(), H.SHEETS_BOUND), H.SHEET)
-    ok, row_errs = _check_rows(mapped, "Missing name or email")
+    ok, row_errs = _check_rows(mapped, MSG.MISSING_NAME_OR_EMAIL)
     ok = C.with_datetime(ok, "created_at", "__created", year)
     ok = C.with_datetime(ok, "updated_at", "__updated", year)
     ts = F.lit(run_ts).cast("timestamp_ntz")
@@ -116,7 +117,7 @@ def parse_participant_sheets(rows: DataFrame, year: int, run_ts: str,
                              prefer_exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Participants from every sheet of the workbooks (unioned)."""
     mapped, errors = _prepare(rows, None, H.PARTICIPANT_FIELDS, validate=False, prefer_exact=prefer_exact)
-    ok, row_errs = _check_rows(mapped, "Missing email or name")
+    ok, row_errs = _check_rows(mapped, MSG.MISSING_EMAIL_OR_NAME)
     ok = C.with_datetime(ok, "date_of_birth", "__dob", year)
     ok = C.with_datetime(ok, "registration_date_time", "__reg", year)
     s = C.normalize_string
@@ -156,12 +157,12 @@ def parse_weekly_sheets(rows: DataFrame, year: int, mapping: DataFrame | None =
     t = mapped
     for f in ("email", "github_link", "blog_link"):
         t = t.withColumn(f, C.normalize_string(f))
-    reason = (F.when(F.col("email").isNull(), F.lit("Missing email"))
-              .when(~C.is_valid_email("email"), F.concat(F.lit("Invalid email: "), F.col("email"))))
+    reason = (F.when(F.col("email").isNull(), F.lit(MSG.MISSING_EMAIL))
+              .when(~C.is_valid_email("email"), F.concat(F.lit(MSG.INVALID_EMAIL), F.col("email"))))
     t = t.withColumn("__reason", reason)
     errors = t.filter(F.col("__reason").isNotNull()).select(
         "path", "sheet_index", "row_number",
-        F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(": "), F.col("__reason")).alias("error"))
+        MSG.row_error("row_number", F.col("__reason")).alias("error"))
     ok = t.filter(F.col("__reason").isNull()).withColumn("email", C.normalize_email("email"))
     ok = C.with_datetime(ok, "created_at", "__created", year)
     ok = C.with_datetime(ok, "updated_at", "__updated", year)
@@ -188,12 +189,12 @@ def parse_lab_rows(rows: DataFrame, positions: DataFrame, year: int, workshop_na
     for f in fields:
         if f not in ("valid", "assigned_at"):
             t = t.withColumn(f, C.normalize_string(f))
-    reason = (F.when(F.col("email").isNull() | F.col("name").isNull(), F.lit("Missing email or name"))
-              .when(~C.is_valid_email("email"), F.concat(F.lit("Invalid email: "), F.col("email"))))
+    reason = (F.when(F.col("email").isNull() | F.col("name").isNull(), F.lit(MSG.MISSING_EMAIL_OR_NAME))
+              .when(~C.is_valid_email("email"), F.concat(F.lit(MSG.INVALID_EMAIL), F.col("email"))))
     t = t.withColumn("__reason", reason)
     errors = t.filter(F.col("__reason").isNotNull()).select(
         "path", "sheet_index", "row_number",
-        F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(": "), F.col("__reason")).alias("error"))
+        MSG.row_error("row_number", F.col("__reason")).alias("error"))
     ok = t.filter(F.col("__reason").isNull()).withColumn("email", C.normalize_email("email"))
     ok = C.with_datetime(ok, "assigned_at", "__assigned", year)
     workshop = F.lit(workshop_name) if isinstance(workshop_name, str) else workshop_name

@@ -19,6 +19,24 @@ from rollcall.session import ensure_checkpoint_dir
 
 NOT_FETCHED = "Page not fetched"
 
+# Verdict and progress texts of the link and repository checks.
+REASON_VERIFIED = "Verified"
+REASON_VERIFIED_BUT = "Verified but "
+REASON_MISSING_PAGE = "404 Not Found"
+REASON_INVALID_DOMAIN = "Invalid Domain"
+PROGRESS_UPDATED = "Processed %d/%d: %s... (Likes: %d, Comments: %d)"
+PROGRESS_OTHER = "Processed %d/%d: %s... (%s)"
+REPO_BAD_FORMAT = "Invalid GitHub URL format. Expected owner/repo, got: "
+REPO_NOT_FOUND = "Repository not found (404)"
+REPO_NOT_FOUND_MESSAGE = "Repository not found: "
+REPO_FOUND = "Valid - Found folder: "
+REPO_NO_MARKER = "Invalid - No folder starting with '{prefix}' found. Available folders: "
+REPO_NO_FOLDERS = "Invalid - No folders found in repository root"
+REPO_RATE_LIMITED = "Rate limit exceeded. Please wait and try again later"
+REPO_RATE_LIMITED_SHORT = "Rate limit exceeded."
+REPO_FORBIDDEN = "Repository access forbidden (may be private)"
+REPO_API_ERROR = "GitHub API error: "
+
 
 def page_signals(pages: DataFrame, link_col: str = "link", html_col: str = "html",
                  status_col: str | None = "status") -> DataFrame:
@@ -61,12 +79,12 @@ def link_verdicts(submissions: DataFrame, pages: DataFrame, link_col: str = "pro
     checked = j.select(
         *keep, F.col(link_col).alias("link"),
         (~(fetched & F.col("missing"))).alias("valid"),
-        F.when(~fetched, F.lit(f"Verified but {NOT_FETCHED}")).when(F.col("missing"), "404 Not Found")
-        .otherwise("Verified").alias("reason"),
+        F.when(~fetched, F.lit(REASON_VERIFIED_BUT + NOT_FETCHED)).when(F.col("missing"), REASON_MISSING_PAGE)
+        .otherwise(REASON_VERIFIED).alias("reason"),
         F.when(fetched & ~F.col("missing"), F.col("page_likes")).otherwise(0).cast("int").alias("likes"),
         F.when(fetched & ~F.col("missing"), F.col("page_comments")).otherwise(0).cast("int").alias("comments"))
     rejected = subs.filter(~ok_domain).select(
-        *keep, F.col(link_col).alias("link"), F.lit(False).alias("valid"), F.lit("Invalid Domain").alias("reason"),
+        *keep, F.col(link_col).alias("link"), F.lit(False).alias("valid"), F.lit(REASON_INVALID_DOMAIN).alias("reason"),
         F.lit(0).alias("likes"), F.lit(0).alias("comments"))
     return checked.unionByName(rejected)
 
@@ -146,9 +164,9 @@ def progress_trail(verdicts: DataFrame, order: list[str]) -> DataFrame:
     total = F.col("__total").cast("long")
     link50 = F.substring(F.col("link"), 1, 50)
     status = F.when(F.col("valid") & upd,
-                    F.format_string("Processed %d/%d: %s... (Likes: %d, Comments: %d)", current, total, link50,
+                    F.format_string(PROGRESS_UPDATED, current, total, link50,
                                     F.col("likes"), F.col("comments"))) \
-        .otherwise(F.format_string("Processed %d/%d: %s... (%s)", current, total, link50, F.col("reason")))
+        .otherwise(F.format_string(PROGRESS_OTHER, current, total, link50, F.col("reason")))
     return j.select(
         *order,
         current.alias("current"), total.alias("total"),
@@ -192,13 +210,13 @@ def repo_verdicts(weekly: DataFrame, entries: DataFrame, link_col: str = "github
     names = F.transform(F.col("__d"), lambda s: s["entry_name"])
     valid = F.col("__parts").isNotNull() & F.col("__listed").isNotNull() & F.col("__marker").isNotNull()
     reason = (F.when(F.col("__parts").isNull(),
-                     F.concat(F.lit("Invalid GitHub URL format. Expected owner/repo, got: "), F.col("__url")))
-              .when(F.col("__listed").isNull(), F.lit("Repository not found (404)"))
-              .when(F.col("__marker").isNotNull(), F.concat(F.lit("Valid - Found folder: "), F.col("__marker")))
+                     F.concat(F.lit(REPO_BAD_FORMAT), F.col("__url")))
+              .when(F.col("__listed").isNull(), F.lit(REPO_NOT_FOUND))
+              .when(F.col("__marker").isNotNull(), F.concat(F.lit(REPO_FOUND), F.col("__marker")))
               .when(F.size(F.coalesce(names, F.array())) > 0,
-                    F.concat(F.lit(f"Invalid - No folder starting with '{marker_prefix}' found. Available folders: "),
+                    F.concat(F.lit(REPO_NO_MARKER.format(prefix=marker_prefix)),
                              F.array_join(names, ", ")))
-              .otherwise(F.lit("Invalid - No folders found in repository root")))
+              .otherwise(F.lit(REPO_NO_FOLDERS)))
     keep = [c for c in weekly.columns if c in ("week_number", "email")]
     return j.select(*keep, F.col(link_col).alias("link"), valid.alias("github_valid"),
                     reason.alias("github_validation_reason"))
@@ -210,10 +228,10 @@ def repo_status_reason(status, message=None, remaining=None, url=None) -> "F.Col
     msg = F.col(message) if isinstance(message, str) else (message if message is not None else F.lit(None))
     rem = F.col(remaining) if isinstance(remaining, str) else (remaining if remaining is not None else F.lit(None))
     return (F.when(s == 200, F.lit(None).cast("string"))
-            .when(s == 429, F.lit("Rate limit exceeded. Please wait and try again later"))
-            .when(s == 404, F.when(msg.isNotNull(), F.concat(F.lit("Repository not found: "), msg))
-                  .otherwise(F.lit("Repository not found (404)")))
-            .when((s == 403) & (F.coalesce(rem.cast("string"), F.lit("")) == "0"), F.lit("Rate limit exceeded."))
-            .when(s == 403, F.lit("Repository access forbidden (may be private)"))
-            .otherwise(F.concat(F.lit("GitHub API error: "), s.cast("string"),
+            .when(s == 429, F.lit(REPO_RATE_LIMITED))
+            .when(s == 404, F.when(msg.isNotNull(), F.concat(F.lit(REPO_NOT_FOUND_MESSAGE), msg))
+                  .otherwise(F.lit(REPO_NOT_FOUND)))
+            .when((s == 403) & (F.coalesce(rem.cast("string"), F.lit("")) == "0"), F.lit(REPO_RATE_LIMITED_SHORT))
+            .when(s == 403, F.lit(REPO_FORBIDDEN))
+            .otherwise(F.concat(F.lit(REPO_API_ERROR), s.cast("string"),
                                 F.coalesce(F.concat(F.lit(" - "), msg), F.lit("")))))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rollcall.functions import messages as MSG
 from rollcall.sources.rows import non_blank_cells
 
 # Role of each sheet position in the master workbook.
@@ -39,7 +40,7 @@ def sheet_roles(rows: DataFrame) -> DataFrame:
     ok = F.col("sheets") >= len(SHEET_ROLES)
     return j.select(*rows.columns,
                     F.when(ok, F.col("role")).alias("role"), F.when(ok, F.col("workshop")).alias("workshop"),
-                    F.when(~ok, F.format_string("Expected %d sheets, found %d", F.lit(len(SHEET_ROLES)),
+                    F.when(~ok, F.format_string(MSG.TOO_FEW_SHEETS, F.lit(len(SHEET_ROLES)),
                                                 F.col("sheets"))).alias("role_error"))
 
 

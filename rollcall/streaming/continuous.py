@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rollcall.operators import merge as M
 from rollcall.operators import validation as V
 from rollcall.sinks import writers as W
+from rollcall.functions import messages as MSG
 
 
 def merge_batch_fn(spark: SparkSession, table_path: str, log_path: str, table: str, keys: list[str],
@@ -94,8 +95,8 @@ def progress_sink(spark: SparkSession, submissions_dir: str, schema: str, pages:
             F.col("workshop_name"), F.col("email"), F.substring("link", 1, 50).alias("link"),
             "valid", "reason", "likes", "comments")).alias("value"))
         summary = V.run_totals(verdicts).select(F.to_json(F.struct(
-            F.lit("Complete").alias("status"),
-            F.format_string("Validated: %d, Failed: %d, Updated likes/comments: %d",
+            F.lit(MSG.RUN_COMPLETE).alias("status"),
+            F.format_string(MSG.RUN_SUMMARY,
                             "validated", "failed", "updated").alias("summary"))).alias("value"))
         items.unionByName(summary).write.mode("overwrite").text(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
