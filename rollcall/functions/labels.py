@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 NO_SLOT = "No Time Slot"
 UNKNOWN_OCCUPATION = "Unknown"
 NOT_SPECIFIED = "Not Specified"
+YES, NO = "Yes", "No"
 SLOT_FORMAT_MINUTES = "yyyy-MM-dd HH:mm"
 SLOT_FORMAT_SECONDS = "yyyy-MM-dd HH:mm:ss"
 WORKSHOP_NUMBER_PATTERN = r"^Workshop ([0-9]+)"
@@ -103,4 +104,4 @@ def age_band_order(band: Column) -> Column:
 
 
 def yes_no(c) -> Column:
-    return F.when(col_(c), "Yes").otherwise("No")
+    return F.when(col_(c), YES).otherwise(NO)
