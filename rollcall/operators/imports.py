@@ -76,16 +76,23 @@ def fill_defaults(df: DataFrame, columns: list[str], run_ts: str) -> DataFrame:
 def generic_import(batch: DataFrame, table: str, mappings: dict[str, str], year: int, run_ts: str,
                    row_col: str = "row_number", defaults: list[str] | None = None,
                    constants: dict[str, object] | None = None,
-                   keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+                   keep: tuple[str, ...] = (), materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """E2 composition: drop blank rows, type mapped fields by name (C11), add
     constants (H6), check required fields and e-mail (C14/C15), fill defaults
-    (C16).  ``keep`` columns (e.g. file and sheet) pass through.  Returns
-    (records, rejects)."""
+    (C16).  ``keep`` columns (e.g. file and sheet) pass through.
+    ``materialize`` writes the typed batch once (reliable checkpoint in the
+    shared checkpoint folder) when records, rejects and a summary will all
+    read it, instead of re-running the parsers for each.  Returns (records,
+    rejects)."""
     cells = [c for c in batch.columns if c != row_col and c not in keep]
     rows = drop_blank_rows(batch, cells)
     typed = C.with_types_by_name(rows, mappings, year).select(*keep, row_col, *mappings.keys())
     for k, v in (constants or {}).items():
         typed = typed.withColumn(k, F.lit(v))
+    if materialize:
+        from rollcall.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(typed.sparkSession)
+        typed = typed.checkpoint(eager=True)
     accepted, rejected = split_rejects(typed, REQUIRED_FIELDS.get(table, []), row_col, keep=keep)
     if defaults:
         accepted = fill_defaults(accepted, defaults, run_ts)
