@@ -117,3 +117,14 @@ def test_similar_auto_map_lab_variant(spark):
     lab = {r.field: r.position for r in H.auto_map_similar(h, ["problem_statement", "assigned_to"], True).collect()}
     assert plain == {"problem_statement": 0, "assigned_to": 2}  # spaces read as underscores
     assert lab == plain
+
+
+def test_generic_import_materialized_matches(spark):
+    from rollcall.plans.catalog_merge import IMPORT_MAPPING
+    r = Programme(spark, SF_SMALL).raw_rows.withColumnRenamed("row_number_in_file", "row_number")
+    plain = IM.generic_import(r, "participants", IMPORT_MAPPING, 2024, "2025-01-15 09:30:00",
+                              defaults=["registration_date_time"])
+    mat = IM.generic_import(r, "participants", IMPORT_MAPPING, 2024, "2025-01-15 09:30:00",
+                            defaults=["registration_date_time"], materialize=True)
+    for a, b in zip(plain, mat):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
