@@ -8,6 +8,7 @@ skew handling) and reads the driver's parquet tables.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,33 +52,51 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def apply_session_conf(spark: SparkSession) -> SparkSession:
-    """Apply the runtime-settable part of SESSION_CONF to an existing session."""
+    """Apply the runtime-settable part of SESSION_CONF to an existing session.
+
+    Results depend on the time zone and the zone-less timestamp settings, so a
+    setting that cannot be applied raises.
+    """
     for k, v in SESSION_CONF.items():
-        if k == "spark.ui.enabled":
-            continue
-        try:
+        if not k.startswith("spark.ui."):      # static: only the session's builder can set these
             spark.conf.set(k, v)
-        except Exception:  # static conf on a session we did not build
-            pass
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """Return the shared folder for checkpoints and stored intermediate tables.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a scratch folder is created.
+    is.  Only a local master (tests, bench) may do without: it gets a scratch
+    folder of its own.  Any other master without the setting is an error,
+    since executors would each write to their own disks.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="rollcall-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers on the driver's host import this package by path.
+
+    On a cluster the package is installed on the executors or sent with
+    ``--py-files``; the extra path entry is then without effect.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
