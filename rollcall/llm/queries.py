@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, decontamination, secret_scan
+from rollcall.llm import bpe, decontamination, ngram_join, secret_scan
 from rollcall.llm.common import documents_of
 from rollcall.session import read_table
 
@@ -91,3 +91,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), of("assign").alias("n_assign"), of("access").alias("n_access"),
         of("hex").alias("n_hex"), F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
         secret_scan.spans_text(F.col("found")).alias("spans"))
+
+
+_OP7_SQL = """
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+grams AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+  FROM words, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN sizes s ON s.r = x JOIN sizes t ON t.r = y WHERE c >= 0.8 * (s.n + t.n - c) - 1e-9),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+best AS (SELECT x, min(doc_id) AS low FROM reach JOIN words ON words.r = reach.y GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id,
+       CAST((SELECT count(*) FROM links WHERE links.x = words.r) AS BIGINT) AS n_links
+FROM words LEFT JOIN best ON best.x = words.r
+"""
+
+
+@query("op7_ngram_jaccard_join", _OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes and link counts of all documents."""
+    return ngram_join.near_duplicates(_documents(spark, sf_dir))
