@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, decontamination, ngram_join, secret_scan
-from rollcall.llm.common import documents_of
+from rollcall.llm import bpe, decontamination, ngram_join, secret_scan, token_counts, toxicity, vector_search
+from rollcall.llm.common import documents_of, fold
 from rollcall.session import read_table
 
 QUERIES: dict = {}
@@ -27,6 +27,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_of(read_table(spark, sf_dir, "documents"))
 
 
+def _ranks() -> dict[str, str]:
+    import public_tokenizers
+    return {"rank_file": public_tokenizers.path(RANK_FILE), "pattern": public_tokenizers.PATTERN}
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole document."""
+    docs = _documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"),
+        (fold(F.col("row.doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 _OP2_SQL = """
 WITH words AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -67,11 +83,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
 
 
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits that its own text gives: a
+    stretch in the middle is cut out, the beginning is repeated behind it, the end is replaced."""
+    docs = _documents(spark, sf_dir).withColumn("n", F.length("text").cast("bigint"))
+    third = F.floor(F.col("n") / 3)
+    cut = F.least(F.lit(40), F.floor(F.col("n") / 5))
+    edits = F.array(
+        F.struct(third.alias("start"), (third + cut).alias("end"), F.lit("").alias("text")),
+        F.struct((third + cut).alias("start"), (third + cut).alias("end"), F.substring("text", 1, 30).alias("text")),
+        F.struct((F.col("n") - cut).alias("start"), (F.col("n") + 100).alias("end"), F.lit(" fin.\n").alias("text")))
+    counted = token_counts.recount(docs.withColumn("edits", edits), **_ranks())
+    return counted.select(F.col("row.doc_id").alias("doc_id"), "n_before", "n_after", "n_pieces", "n_encoded",
+                          "n_skipped", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document, and the bytes they decode to."""
-    import public_tokenizers
-    where = {"rank_file": public_tokenizers.path(RANK_FILE), "pattern": public_tokenizers.PATTERN}
+    where = _ranks()
     coded = bpe.encode(_documents(spark, sf_dir), **where).select(F.col("row.doc_id").alias("doc_id"), "ids")
     return bpe.decode(coded, **where).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"),
@@ -118,3 +149,9 @@ FROM words LEFT JOIN best ON best.x = words.r
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes and link counts of all documents."""
     return ngram_join.near_duplicates(_documents(spark, sf_dir))
+
+
+@query("op5_nearest_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of every hundredth vector."""
+    return vector_search.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

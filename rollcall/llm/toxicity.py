@@ -44,6 +44,7 @@ GRAMS = (3, 4, 5)       # characters
 BUCKETS = 1 << 17
 DIM = 8
 EPOCHS = 5
+SCALE_EVERY = 7
 BATCH = 96
 RATE = 0.5
 FOLDS, HELD_OUT = 4, 2
@@ -202,14 +203,17 @@ def fit(rows: Iterator[tuple[str, int]], seed: int = 7, epochs: int = EPOCHS) ->
         return m
     bags.close()
     grown = np.full(BUCKETS, 1e-6, np.float32)
-    toxic, clean = np.flatnonzero(bags.y == 1), np.flatnonzero(bags.y == 0)
+    apart = np.arange(len(bags.y)) % SCALE_EVERY == SCALE_EVERY - 1
+    if len(set(bags.y[apart])) < 2 or len(set(bags.y[~apart])) < 2:
+        apart[:] = False
+    toxic, clean = np.flatnonzero((bags.y == 1) & ~apart), np.flatnonzero((bags.y == 0) & ~apart)
     for epoch in range(epochs):
         some = bags.doc_first[:-1][clean] + rng.integers(0, np.diff(bags.doc_first)[clean])
         if epoch:
             top = bags.top_segments(bags.segment_scores(m))
             up, down = top[toxic], np.union1d(some, top[clean])
         else:
-            up, down = np.flatnonzero(bags.y[bags.seg_doc] == 1), some
+            up, down = np.flatnonzero(((bags.y == 1) & ~apart)[bags.seg_doc]), some
         segs = np.concatenate((up, down))
         y = np.concatenate((np.ones(len(up), np.int64), np.zeros(len(down), np.int64)))
         order = rng.permutation(len(segs))
@@ -217,7 +221,8 @@ def fit(rows: Iterator[tuple[str, int]], seed: int = 7, epochs: int = EPOCHS) ->
             part = order[at:at + BATCH]
             _step(m, grown, bags, segs[part], y[part])
     scores = bags.segment_scores(m)
-    m.scale = _fit_scale(scores[bags.top_segments(scores)], bags.y)
+    judged = apart if apart.any() else ~apart
+    m.scale = _fit_scale(scores[bags.top_segments(scores)][judged], bags.y[judged])
     return m
 
 
