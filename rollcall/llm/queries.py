@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, decontamination, ngram_join, secret_scan, token_counts, toxicity, vector_search
+from rollcall.llm import bpe, decontamination, lm_score, ngram_join, secret_scan, token_counts, toxicity, vector_search
 from rollcall.llm.common import documents_of, fold
 from rollcall.session import read_table
 
@@ -155,3 +155,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest found of every hundredth vector."""
     return vector_search.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op6_lm_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every whole document."""
+    return lm_score.score(_documents(spark, sf_dir))
