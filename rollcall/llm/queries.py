@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, decontamination, lm_score, ngram_join, secret_scan, token_counts, toxicity, vector_search
+from rollcall.llm import bpe, decontamination, html_extract, lm_score, ngram_join, secret_scan, token_counts, toxicity, vector_search
 from rollcall.llm.common import documents_of, fold
 from rollcall.session import read_table
 
@@ -161,3 +161,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model scores of every whole document."""
     return lm_score.score(_documents(spark, sf_dir))
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_extract.extract(pages, html_extract.fit(pages))
+    return found.select(F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), "text",
+                        F.length("text").cast("bigint").alias("n_chars"))
