@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, decontamination, html_extract, lm_score, ngram_join, secret_scan, token_counts, toxicity, vector_search
-from rollcall.llm.common import documents_of, fold
+from rollcall.llm import bpe, decontamination, html_extract, lm_score, ngram_join, secret_scan, token_counts, toxicity, vector_search, warc_audit
+from rollcall.llm.common import Stored, documents_of, fold, get_ready
 from rollcall.session import read_table
 
 QUERIES: dict = {}
@@ -170,3 +170,44 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract(pages, html_extract.fit(pages))
     return found.select(F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), "text",
                         F.length("text").cast("bigint").alias("n_chars"))
+
+
+_OP3_SQL = """
+WITH records AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+         || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'unknown') || '>' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+         || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10)
+         || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages),
+hashed AS (
+  SELECT sha256(record) AS d, octet_length(encode(record)) AS n,
+         CASE WHEN page_id % 89 = 7 THEN NULL
+              WHEN page_id % 97 = 5 THEN sha256(left(record, length(record) - 1) || 'X') ELSE sha256(record) END AS e
+  FROM records),
+filed AS (
+  SELECT *, CAST('0x' || left(d, 8) AS BIGINT) % (SELECT greatest(1, ceil(sum(n) / 67108864.0))::BIGINT FROM hashed) AS file
+  FROM hashed),
+placed AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY file ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
+  FROM filed)
+SELECT CAST(file AS BIGINT) AS file, CAST(o AS BIGINT) AS "offset", CAST(n AS BIGINT) AS length_a,
+       CAST(CASE WHEN e IS NOT NULL THEN n END AS BIGINT) AS length_b, d AS digest_a, e AS digest_b,
+       CASE WHEN e IS NULL THEN 'missing' ELSE 'changed' END AS status
+FROM placed WHERE e IS DISTINCT FROM d
+"""
+
+
+@query("op3_warc_fixity_audit", _OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, audited against a replica in which records of page ids 5 modulo 97
+    have a wrong last byte and those of page ids 7 modulo 89 are lost."""
+    record = F.col("record")
+    hashed = warc_audit.write_records(read_table(spark, sf_dir, "pages")).select(
+        warc_audit.digest(record).alias("digest"), F.octet_length(record).cast("bigint").alias("length"),
+        F.when(F.col("page_id") % 89 == 7, F.lit(None))
+        .when(F.col("page_id") % 97 == 5, warc_audit.digest(F.concat(F.expr("left(record, length(record) - 1)"), F.lit("X"))))
+        .otherwise(warc_audit.digest(record)).alias("replica"))
+    placed = Stored(get_ready(spark), "warc-replicas").put(warc_audit.lay_out(hashed), "records")
+    second = placed.select("file", "offset", "length", F.col("replica").alias("digest"))
+    return warc_audit.audit(placed.select("file", "offset", "length", "digest"), second)
