@@ -90,7 +90,7 @@ class Matcher:
         for item, words in slices:
             ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
             size = min(window, len(ids))
-            for i in range(len(ids) - size + 1):
+            for i in range(len(ids) - size + 1 if size else 0):
                 owners = by_length[size].setdefault(tuple(ids[i:i + size]), [])
                 if not owners or owners[-1] != item:
                     owners.append(item)

@@ -192,7 +192,8 @@ placed AS (
   SELECT *, coalesce(sum(n) OVER (PARTITION BY file ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
   FROM filed)
 SELECT CAST(file AS BIGINT) AS file, CAST(o AS BIGINT) AS "offset", CAST(n AS BIGINT) AS length_a,
-       CAST(CASE WHEN e IS NOT NULL THEN n END AS BIGINT) AS length_b, d AS digest_a, e AS digest_b,
+       CAST(CASE WHEN e IS NOT NULL THEN n ELSE 0 END AS BIGINT) AS length_b, d AS digest_a,
+       coalesce(e, '') AS digest_b,
        CASE WHEN e IS NULL THEN 'missing' ELSE 'changed' END AS status
 FROM placed WHERE e IS DISTINCT FROM d
 """
@@ -201,7 +202,7 @@ FROM placed WHERE e IS DISTINCT FROM d
 @query("op3_warc_fixity_audit", _OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, audited against a replica in which records of page ids 5 modulo 97
-    have a wrong last byte and those of page ids 7 modulo 89 are lost."""
+    have a wrong last byte and those of page ids 7 modulo 89 are lost (length 0 and no digest there)."""
     record = F.col("record")
     hashed = warc_audit.write_records(read_table(spark, sf_dir, "pages")).select(
         warc_audit.digest(record).alias("digest"), F.octet_length(record).cast("bigint").alias("length"),
@@ -210,4 +211,5 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(warc_audit.digest(record)).alias("replica"))
     placed = Stored(get_ready(spark), "warc-replicas").put(warc_audit.lay_out(hashed), "records")
     second = placed.select("file", "offset", "length", F.col("replica").alias("digest"))
-    return warc_audit.audit(placed.select("file", "offset", "length", "digest"), second)
+    damage = warc_audit.audit(placed.select("file", "offset", "length", "digest"), second)
+    return damage.fillna(0, ["length_a", "length_b"]).fillna("", ["digest_a", "digest_b"])
