@@ -296,7 +296,8 @@ def classes(docs: DataFrame, sketched: DataFrame, stored: Stored, text_col: str
                                           F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")), "members")
 
     texts = _one_text_per_task(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    own = (texts.join(cands.withColumnRenamed("node", "cand"),
+    # a merge join at every size: what the texts cost in the shuffle grows with the input and never jumps
+    own = (texts.join(cands.withColumnRenamed("node", "cand").hint("merge"),
                       (F.col("node") == F.col("cand")) & F.col("doc_id").eqNullSafe(F.col("first_id"))))
     met = own.select("root", "node", "copies", "block", "text",
                      F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("with"))
