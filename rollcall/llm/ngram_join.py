@@ -45,6 +45,7 @@ RECALL = 0.999
 BAND_ROWS = 8
 BLOCK_NODES = 64                # nodes of a component per block
 BLOCK_CHARS = 1 << 21           # and characters
+SALTS = 8                       # of a star's edges
 _CHUNK = 1 << 15                # n-grams that are hashed at once
 
 
@@ -159,7 +160,10 @@ def components(edges: DataFrame, stored: Stored, name: str) -> DataFrame:
     def stars(e: DataFrame) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        # the centre of a large star is one key: its edges are spread over salts, the one row of its minimum is repeated
+        salted = both.filter("v > u").withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
+        lows = low.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        large = salted.join(lows, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         return (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
