@@ -574,7 +574,8 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Trees
         yield pa.RecordBatch.from_arrays([pa.array([train(sources).to_bytes()], pa.binary())], names=["model"])
 
     fitted = chosen.select("html").coalesce(1).mapInArrow(run, "model binary")
-    return Trees.from_bytes(bytes(Stored(spark, "html-extract").put(fitted, "trees").first()["model"]))
+    found = Stored(spark, "html-extract").put(fitted, "trees").first()
+    return Trees.from_bytes(bytes(found["model"])) if found else train([])      # an empty table has no task
 
 
 def extract(pages: DataFrame, trees: Trees, html_col: str = "html") -> DataFrame:

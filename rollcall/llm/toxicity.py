@@ -248,7 +248,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([fit(pairs()).to_bytes()], pa.binary())], names=["model"])
 
     fitted = texts.select("text", "label").coalesce(1).mapInArrow(run, "model binary")
-    return Model.from_bytes(bytes(stored.put(fitted, "model").first()["model"]))
+    found = stored.put(fitted, "model").first()
+    return Model.from_bytes(bytes(found["model"])) if found else fit(iter(()))      # no rows: no task
 
 
 class Scorer:
