@@ -37,15 +37,15 @@ from pyspark.sql import types as T
 
 from rollcall.llm.common import Stored, fold, get_ready, map_text
 
-TRAIN_ROWS = 16_000
-TRAIN_CHARS = 96_000_000
+TRAIN_ROWS = 24_000
+TRAIN_CHARS = 128_000_000
 SEGMENT = 16            # words
 GRAMS = (3, 4, 5)       # characters
 BUCKETS = 1 << 17
 DIM = 8
-EPOCHS = 5
-SCALE_EVERY = 7
-BATCH = 96
+EPOCHS = 4
+SCALE_EVERY, CROSS_ROWS, CROSS_FOLDS = 7, 2000, 4
+BATCH = 32
 RATE = 0.5
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -72,7 +72,7 @@ class Model:
     vectors: np.ndarray         # BUCKETS x DIM
     softmax: np.ndarray         # DIM x 2
     bias: np.ndarray            # 2
-    scale: tuple[float, float]  # logit of a document = scale[0] * highest segment + scale[1]
+    scale: tuple[float, float]  # logit of a document = scale[0] * arsinh(highest segment) + scale[1]
     constant: float | None = None
 
     def to_bytes(self) -> bytes:
@@ -172,18 +172,27 @@ def _step(m: Model, grown: np.ndarray, bags: Bags, segs: np.ndarray, y: np.ndarr
 
 
 def _fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of y on x by Newton steps, with a little shrinkage."""
-    mean, dev = x.mean(), x.std() + 1e-9
-    f = np.stack([(x - mean) / dev, np.ones(len(x))], axis=1)
-    w = np.array([1.0, np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-        h = (f * (p * (1 - p))[:, None]).T @ f + np.diag([1e-2, 1e-6])
-        move = np.clip(np.linalg.solve(h, f.T @ (y - p) - np.array([1e-2, 1e-6]) * w), -2, 2)
-        w = w + move
-        if np.abs(move).max() < 1e-9:
+    """Logistic fit of y on arsinh(x), slightly shrunk, by Newton steps that never raise the loss."""
+    f = np.stack([np.arcsinh(x), np.ones(len(x))], axis=1)
+    shrink = np.array([1e-1, 1e-6])
+
+    def loss(w: np.ndarray) -> float:
+        z = f @ w
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + (shrink * w * w).sum() / 2)
+
+    w = np.array([0.0, np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))])
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(f @ w, -40, 40)))
+        move = np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + np.diag(shrink), f.T @ (y - p) - shrink * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * move) > now:
+            size /= 2
+        if size <= 1e-6 or now - loss(w + size * move) < 1e-10:
             break
-    return float(w[0] / dev), float(w[1] - w[0] * mean / dev)
+        w = w + size * move
+        now = loss(w)
+    return float(w[0]), float(w[1])
 
 
 def fit(rows: Iterator[tuple[str, int]], seed: int = 7, epochs: int = EPOCHS) -> Model:
@@ -195,35 +204,56 @@ def fit(rows: Iterator[tuple[str, int]], seed: int = 7, epochs: int = EPOCHS) ->
         chars += len(text)
         if chars >= TRAIN_CHARS:
             break
-    rng = np.random.default_rng(seed)
-    m = Model(rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32),
-              rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32), (1.0, 0.0))
+    m = _start(seed)
     if len(set(bags.labels)) < 2:
         m.constant = seen[1] / max(1, sum(seen))
         return m
     bags.close()
+    n = len(bags.y)
+    fold_of = np.random.default_rng(seed).permutation(n) % (CROSS_FOLDS if n < CROSS_ROWS else SCALE_EVERY)
+    judged = np.full(n, np.nan)
+    for fold_ in range(CROSS_FOLDS) if n < CROSS_ROWS else (SCALE_EVERY - 1,):
+        m = _start(seed)
+        _train(m, bags, fold_of != fold_, epochs, seed)
+        scores = bags.segment_scores(m)
+        top = scores[bags.top_segments(scores)]
+        judged[fold_of == fold_] = top[fold_of == fold_]
+    if n < CROSS_ROWS:
+        m = _start(seed)
+        _train(m, bags, np.ones(n, bool), epochs, seed)
+    known = ~np.isnan(judged)
+    m.scale = _fit_scale(judged[known], bags.y[known])
+    return m
+
+
+def _start(seed: int) -> Model:
+    rng = np.random.default_rng(seed)
+    return Model(rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32),
+                 rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32), (1.0, 0.0))
+
+
+def _train(m: Model, bags: Bags, use: np.ndarray, epochs: int, seed: int) -> None:
+    """Train on the documents that ``use`` marks."""
+    rng = np.random.default_rng(seed)
     grown = np.full(BUCKETS, 1e-6, np.float32)
-    apart = np.arange(len(bags.y)) % SCALE_EVERY == SCALE_EVERY - 1
-    if len(set(bags.y[apart])) < 2 or len(set(bags.y[~apart])) < 2:
-        apart[:] = False
-    toxic, clean = np.flatnonzero((bags.y == 1) & ~apart), np.flatnonzero((bags.y == 0) & ~apart)
+    toxic, clean = np.flatnonzero((bags.y == 1) & use), np.flatnonzero((bags.y == 0) & use)
+    odds = 0.0
     for epoch in range(epochs):
         some = bags.doc_first[:-1][clean] + rng.integers(0, np.diff(bags.doc_first)[clean])
         if epoch:
             top = bags.top_segments(bags.segment_scores(m))
             up, down = top[toxic], np.union1d(some, top[clean])
         else:
-            up, down = np.flatnonzero(((bags.y == 1) & ~apart)[bags.seg_doc]), some
+            up, down = np.flatnonzero(((bags.y == 1) & use)[bags.seg_doc]), some
+        # the share of toxic segments differs between epochs; the bias takes that up at once, so no word has to
+        odds, before = np.log(max(1, len(up)) / max(1, len(down))), odds
+        m.bias += np.array([-0.5, 0.5], np.float32) * np.float32(odds - before)
         segs = np.concatenate((up, down))
         y = np.concatenate((np.ones(len(up), np.int64), np.zeros(len(down), np.int64)))
         order = rng.permutation(len(segs))
         for at in range(0, len(order), BATCH):
             part = order[at:at + BATCH]
             _step(m, grown, bags, segs[part], y[part])
-    scores = bags.segment_scores(m)
-    judged = apart if apart.any() else ~apart
-    m.scale = _fit_scale(scores[bags.top_segments(scores)][judged], bags.y[judged])
-    return m
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -278,7 +308,7 @@ class Scorer:
         s = np.fromiter(map(self.known.__getitem__, found), np.float64, len(found))
         starts = np.arange(0, len(s), SEGMENT)
         means = np.add.reduceat(s, starts) / np.minimum(SEGMENT, len(s) - starts)
-        z = self.scale[0] * (means.max() + self.bias) + self.scale[1]
+        z = self.scale[0] * np.arcsinh(means.max() + self.bias) + self.scale[1]
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
