@@ -18,8 +18,6 @@ def _ts(c: str) -> str:
 
 
 A16 = _REPORTS["a16_slot_number_report"]
-A16_SELECT = A16[A16.rindex("SELECT workshop_number, CAST(time_slot_number"):]
-A16_PREFIX = A16[:A16.rindex("SELECT workshop_number, CAST(time_slot_number")]
 
 ORACLE = {
     "o1_workshop_export_rows": W(f"""
@@ -29,13 +27,12 @@ SELECT {_txt('b.email')} AS email, {_txt('b.form_name')} AS form_name, {_txt('b.
        {_txt('u.designation')} AS designation, {_txt('u.occupation')} AS occupation, '' AS linkedin
 FROM bookings b LEFT JOIN participants u ON b.email = u.email
 WHERE b.form_name = 'Workshop 1' AND b.time_slot_range = '20 Nov, 4:00 - 7:00 PM'""", "participants", "bookings"),
-    "o3_report_grid": A16_PREFIX + """
-, grid AS (""" + A16_SELECT.split(" ORDER BY")[0] + """)
+    "o3_report_grid": """
 SELECT COALESCE(CAST(workshop_number AS VARCHAR), '') AS "Workshop Number",
        COALESCE(CAST(time_slot_number AS VARCHAR), '') AS "Time Slot Number",
        COALESCE(time_slot, 'No Time Slot') AS "Time Slot", COALESCE(occupation, 'Unknown') AS "Occupation",
        CAST(COALESCE(count, 0) AS BIGINT) AS "Count"
-FROM grid""",
+FROM (""" + A16 + ") grid",
     "o4_json_lines": W("""
 SELECT to_json(struct_pack(workshop_name := workshop_name, total_count := total_count, valid_count := valid_count,
                            invalid_count := invalid_count))::VARCHAR AS value
@@ -83,11 +80,10 @@ SELECT workshop_name, lower(trim(email)) AS email, NULLIF(trim(name), '') AS nam
        CAST(NULL AS VARCHAR) AS blog_submission, NULLIF(trim(remarks), '') AS remarks,
        CAST(regexp_extract(email, '^user([0-9]+)@', 1) AS BIGINT) + 2 AS row_number
 FROM labs""", "labs"),
-    "s2_o3_grid_workbook_roundtrip": A16_PREFIX + """
-, grid AS (""" + A16_SELECT.split(" ORDER BY")[0] + """)
+    "s2_o3_grid_workbook_roundtrip": """
 SELECT COALESCE(CAST(workshop_number AS VARCHAR), '') AS "Workshop Number",
        COALESCE(CAST(time_slot_number AS VARCHAR), '') AS "Time Slot Number",
        COALESCE(time_slot, 'No Time Slot') AS "Time Slot", COALESCE(occupation, 'Unknown') AS "Occupation",
        CAST(COALESCE(count, 0) AS VARCHAR) AS "Count"
-FROM grid""",
+FROM (""" + A16 + ") grid",
 }
