@@ -160,7 +160,7 @@ def coerce_boolean_upper_true(c) -> Column:
 def year_from_text(c) -> Column:
     """C10 (sheet path): first 4-digit run as a year."""
     y = F.regexp_extract(col_(c).cast("string"), r"\d{4}", 0)
-    return F.when(y != "", y.cast("int"))
+    return F.when(y != "", y.try_cast("int"))
 
 
 def strict_int(c) -> Column:

@@ -52,7 +52,7 @@ def occupation_label(c="occupation", empty: str = UNKNOWN_OCCUPATION) -> Column:
 def workshop_number(c="form_name") -> Column:
     """Number after a leading ``Workshop ``; null when the name has none."""
     num = F.regexp_extract(col_(c), WORKSHOP_NUMBER_PATTERN, 1)
-    return F.when(num != "", num.cast("int"))
+    return F.when(num != "", num.try_cast("int"))
 
 
 def slot_sort_group(range_col="time_slot_range", ts_col="time_slot") -> Column:

@@ -17,6 +17,7 @@ from rollcall.functions.labels import col_
 ALLOWED_DOMAINS = ["community.aws", "builder.aws.com"]
 RENDERED_DOMAINS = ["builder.aws.com"]
 MISSING_PHRASES = ["page you're looking for can't be found", "the page you're looking for can't be found"]
+# (the windows are the source system's; the functions read whole pages unless one is passed)
 PLAIN_TEXT_WINDOW = 1000
 RENDERED_SOURCE_WINDOW = 2000
 LIKE_LABEL = "like this article"
@@ -52,23 +53,25 @@ def page_title(html) -> Column:
     return F.regexp_extract(col_(html), r"(?is)<title[^>]*>(.*?)</title>", 1)
 
 
-def missing_page_plain(html, status=None) -> Column:
-    """V2 (plain fetch): status 404, or ``404`` / ``not found`` in the first
-    1000 characters of the page text."""
-    head = F.lower(F.substring(visible_text(html), 1, PLAIN_TEXT_WINDOW))
+def missing_page_plain(html, status=None, window: int | None = None) -> Column:
+    """V2 (plain fetch): status 404, or ``404`` / ``not found`` in the page
+    text (in its first ``window`` characters, where given)."""
+    text = visible_text(html)
+    head = F.lower(F.substring(text, 1, window) if window else text)
     pred = head.contains("404") | head.contains("not found")
     if status is not None:
         pred = (col_(status) == 404) | pred
     return F.coalesce(pred, F.lit(False))
 
 
-def missing_page_rendered(html) -> Column:
+def missing_page_rendered(html, window: int | None = None) -> Column:
     """V2 (rendered page): ``404``/``not found`` in the title, ``404`` in the
-    first 2000 characters of the source, or a can't-be-found phrase."""
+    source (in its first ``window`` characters, where given), or a
+    can't-be-found phrase."""
     src = F.lower(col_(html))
     title = F.lower(page_title(html))
     pred = title.contains("404") | title.contains("not found") | \
-        F.substring(src, 1, RENDERED_SOURCE_WINDOW).contains("404")
+        (F.substring(src, 1, window) if window else src).contains("404")
     for p in MISSING_PHRASES:
         pred = pred | src.contains(p)
     return F.coalesce(pred, F.lit(False))
@@ -99,6 +102,7 @@ def counter(html, label: str, rendered: bool = False) -> Column:
     block = _button_block(html, label)
     action = _span_texts(block, ACTION_CLASS)
     anyspan = _span_texts(block)
+    # a run of digits that no int holds reads as 0
     first_digit_any = F.try_element_at(F.filter(anyspan, lambda s: s.rlike(_DIGITS)), F.lit(1))
     if rendered:
         first_digit_action = F.try_element_at(F.filter(action, lambda s: s.rlike(_DIGITS)), F.lit(1))
@@ -107,13 +111,14 @@ def counter(html, label: str, rendered: bool = False) -> Column:
         first_action = F.try_element_at(action, F.lit(1))
         value = F.when(F.size(action) > 0, F.when(first_action.rlike(_DIGITS), first_action)) \
             .otherwise(first_digit_any)
-    return F.when(_has_button(html, label), F.coalesce(value.cast("int"), F.lit(0))).otherwise(F.lit(0))
+    return F.when(_has_button(html, label), F.coalesce(value.try_cast("int"), F.lit(0))).otherwise(F.lit(0))
 
 
 def pattern_counter(text, pattern: str = LIKE_PATTERN) -> Column:
-    """First number following a like/comment word in page text or scripts."""
+    """First number following a like/comment word in page text or scripts;
+    null without one, and for a run of digits that no int holds."""
     hits = F.regexp_extract_all(col_(text), F.lit(pattern), F.lit(1))
-    return F.try_element_at(hits, F.lit(1)).cast("int")
+    return F.try_element_at(hits, F.lit(1)).try_cast("int")
 
 
 # ---------------------------------------------------------------- V6

@@ -20,14 +20,73 @@ def fetched_pages(p):
                      "html", F.lit(200).alias("status"))
 
 
+# the source system's windows and cuts, which the operators leave off by default
+WINDOWS = {"plain_window": LK.PLAIN_TEXT_WINDOW, "rendered_window": LK.RENDERED_SOURCE_WINDOW}
+LINK_CHARS = 50
+SHOWN_FOLDERS = 10
+
+
 def _verdicts(p):
-    return V.link_verdicts(p.submissions, fetched_pages(p), domains=FIXTURE_DOMAINS)
+    return V.link_verdicts(p.submissions, fetched_pages(p), domains=FIXTURE_DOMAINS, **WINDOWS)
+
+
+def mixed_fetches(p):
+    """The linked pages under the weekly entries' blog links, fetched with status 200, 404 or 500, or with an error
+    text, by page id; some hold a run of digits that no number type holds."""
+    pid = F.col("page_id")
+    return p.linked_pages.select(
+        F.concat(F.lit("https://blog.example.org/w/"), pid.cast("string")).alias("link"),
+        F.when(pid % 7 == 3, F.concat(F.lit('<button aria-label="Like this article"><span>123456789012345678901</span></button>'),
+                                      F.col("html"))).otherwise(F.col("html")).alias("html"),
+        F.when(pid % 5 == 1, 500).when(pid % 11 == 2, 404).otherwise(200).alias("status"),
+        F.when(pid % 13 == 4, "Request timeout").alias("error"))
+
+
+@query("v4_weekly_link_verdicts")
+def v4_weekly(spark, sf):
+    p = prog(spark, sf)
+    return V.link_verdicts(p.weekly, mixed_fetches(p), "blog_link", FIXTURE_DOMAINS)
+
+
+@query("v5_weekly_refreshed")
+def v5_weekly(spark, sf):
+    p = prog(spark, sf)
+    verdicts = V.link_verdicts(p.weekly, mixed_fetches(p), "blog_link", FIXTURE_DOMAINS)
+    return V.refresh_submissions(p.weekly, verdicts, ("week_number", "email")).select(
+        "week_number", "email", "valid", "likes", "comments", "validation_reason")
+
+
+def repo_fetches(p):
+    """One fetch result per listed repository, with a status by the repository's first event."""
+    first = F.min(F.col("event_id"))
+    e = p.tables.events
+    repo = F.concat(F.lit("https://github.com/user"), F.col("user_id").cast("string"), F.lit("/repo"),
+                    (F.col("event_id") % 50).cast("string"))
+    k = F.col("k") % 9
+    return e.groupBy(repo.alias("repo_url")).agg(first.alias("k")).select(
+        "repo_url",
+        F.when(k == 1, 404).when(k == 2, 429).when(k.isin(3, 4), 403).when(k == 5, 500).otherwise(200).alias("status"),
+        F.when(k == 5, "server error").alias("message"), F.when(k == 3, 0).alias("remaining"))
+
+
+@query("v8_repo_status_verdicts")
+def v8(spark, sf):
+    p = prog(spark, sf)
+    return V.repo_verdicts(p.weekly, p.repo_entries, marker_prefix=FIXTURE_MARKER, fetches=repo_fetches(p))
+
+
+@query("v5_weekly_repositories")
+def v5_repositories(spark, sf):
+    p = prog(spark, sf)
+    verdicts = V.repo_verdicts(p.weekly, p.repo_entries, marker_prefix=FIXTURE_MARKER, fetches=repo_fetches(p))
+    return V.refresh_repositories(p.weekly, verdicts).select("week_number", "email", "github_valid",
+                                                             "github_validation_reason")
 
 
 @query("v1_v3_page_signals")
 def v1_v3(spark, sf):
     p = prog(spark, sf)
-    return V.page_signals(fetched_pages(p)).select(
+    return V.page_signals(fetched_pages(p), **WINDOWS).select(
         "link", "missing", "page_likes", "page_comments",
         LK.allowed_domain(F.col("link"), FIXTURE_DOMAINS).alias("allowed"))
 
@@ -35,7 +94,7 @@ def v1_v3(spark, sf):
 @query("v2_missing_page_rendered")
 def v2(spark, sf):
     lp = prog(spark, sf).linked_pages
-    return lp.select("page_id", LK.missing_page_rendered(F.col("html")).alias("missing"),
+    return lp.select("page_id", LK.missing_page_rendered(F.col("html"), LK.RENDERED_SOURCE_WINDOW).alias("missing"),
                      LK.counter(F.col("html"), LK.LIKE_LABEL, rendered=True).alias("likes"),
                      LK.counter(F.col("html"), LK.COMMENT_LABEL, rendered=True).alias("comments"))
 
@@ -62,7 +121,7 @@ def v6(spark, sf):
 @query("v7_marker_folder_check")
 def v7(spark, sf):
     p = prog(spark, sf)
-    return V.repo_verdicts(p.weekly, p.repo_entries, marker_prefix=FIXTURE_MARKER)
+    return V.repo_verdicts(p.weekly, p.repo_entries, marker_prefix=FIXTURE_MARKER, shown=SHOWN_FOLDERS)
 
 
 @query("v9_run_totals")
@@ -72,7 +131,7 @@ def v9(spark, sf):
 
 @query("v10_progress_trail")
 def v10(spark, sf):
-    return V.progress_trail(_verdicts(prog(spark, sf)), ["workshop_name", "email"])
+    return V.progress_trail(_verdicts(prog(spark, sf)), ["workshop_name", "email"], LINK_CHARS)
 
 
 @query("v11_pattern_counters")

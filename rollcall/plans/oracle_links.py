@@ -88,7 +88,62 @@ def _repo_key(u: str) -> str:
     return f"CASE WHEN len({parts}) >= 2 THEN lower(array_to_string({fixed}[1:2], '/')) END"
 
 
+MIXED = f"""
+got AS (
+  SELECT 'https://blog.example.org/w/' || CAST(page_id AS VARCHAR) AS blog_link, page_id % 5 = 1 AS broken,
+         page_id % 13 = 4 AS late, page_id % 7 = 3 AS huge, page_id % 11 = 2 AS gone,
+         COALESCE(contains(lower({_text('html')}), '404') OR contains(lower({_text('html')}), 'not found'), false) AS said,
+         {_counter('html', 'like this article')} AS n_likes, {_counter('html', 'comment on this article')} AS n_comments
+  FROM linked_pages),
+seen AS (
+  SELECT blog_link, CASE WHEN late THEN 'Request timeout' WHEN broken THEN 'Request error: 500' END AS trouble,
+         NOT broken AND gone OR said AS lost, CASE WHEN huge THEN 0 ELSE n_likes END AS n_likes, n_comments
+  FROM got),
+checked AS (
+  SELECT week_number, email, w.blog_link AS link, trouble IS NOT NULL OR lost IS NOT TRUE AS valid,
+         CASE WHEN s.blog_link IS NULL THEN 'Verified but Page not fetched'
+              WHEN trouble IS NOT NULL THEN 'Verified but ' || trouble
+              WHEN lost THEN '404 Not Found' ELSE 'Verified' END AS reason,
+         CAST(CASE WHEN trouble IS NULL AND lost = false THEN n_likes ELSE 0 END AS INTEGER) AS likes,
+         CAST(CASE WHEN trouble IS NULL AND lost = false THEN n_comments ELSE 0 END AS INTEGER) AS comments
+  FROM weekly w LEFT JOIN seen s ON w.blog_link = s.blog_link WHERE length(w.blog_link) > 0)"""
+
+REPO_STATUS = f"""
+fetched AS (
+  SELECT 'user' || CAST(user_id AS VARCHAR) || '/repo' || CAST(event_id % 50 AS VARCHAR) AS rk, min(event_id) % 9 AS k
+  FROM events GROUP BY 1),
+trouble AS (
+  SELECT rk, CASE k WHEN 1 THEN 'Repository not found (404)' WHEN 2 THEN 'Rate limit exceeded. Please wait and try again later'
+                    WHEN 3 THEN 'Rate limit exceeded.' WHEN 4 THEN 'Repository access forbidden (may be private)'
+                    WHEN 5 THEN 'GitHub API error: 500 - server error' END AS said
+  FROM fetched),
+listing AS (
+  SELECT {_repo_key('repo_url')} AS rk, min(entry_name) FILTER (entry_type = 'dir' AND starts_with(entry_name, '.marker')) AS m,
+         string_agg(DISTINCT entry_name, ', ' ORDER BY entry_name) FILTER (entry_type = 'dir') AS names
+  FROM repo_entries GROUP BY 1),
+judged AS (
+  SELECT w.week_number, w.email, w.github_link AS link, w.rk IS NOT NULL AND said IS NULL AND m IS NOT NULL AS github_valid,
+         CASE WHEN w.rk IS NULL THEN 'Invalid GitHub URL format. Expected owner/repo, got: ' || w.github_link
+              WHEN said IS NOT NULL THEN said
+              WHEN l.rk IS NULL THEN 'Repository not found (404)'
+              WHEN m IS NOT NULL THEN 'Valid - Found folder: ' || m
+              WHEN names IS NOT NULL THEN 'Invalid - No folder starting with ''.marker'' found. Available folders: ' || names
+              ELSE 'Invalid - No folders found in repository root' END AS github_validation_reason
+  FROM (SELECT *, {_repo_key('github_link')} AS rk FROM weekly WHERE length(github_link) > 0) w
+  LEFT JOIN listing l ON w.rk = l.rk LEFT JOIN trouble t ON w.rk = t.rk)"""
+
 ORACLE = {
+    "v4_weekly_link_verdicts": W(f", {MIXED}\nSELECT * FROM checked", "linked_pages", "weekly"),
+    "v5_weekly_refreshed": W(f""", {MIXED}
+SELECT t.week_number, t.email, CASE WHEN link IS NULL THEN t.valid ELSE c.valid END AS valid,
+       CASE WHEN link IS NULL THEN t.likes ELSE c.likes END AS likes,
+       CASE WHEN link IS NULL THEN t.comments ELSE c.comments END AS comments, reason AS validation_reason
+FROM weekly t LEFT JOIN checked c ON t.week_number = c.week_number AND t.email = c.email""", "linked_pages", "weekly"),
+    "v8_repo_status_verdicts": W(f", {REPO_STATUS}\nSELECT * FROM judged", "weekly", "repo_entries"),
+    "v5_weekly_repositories": W(f""", {REPO_STATUS}
+SELECT t.week_number, t.email, CASE WHEN link IS NULL THEN t.github_valid ELSE c.github_valid END AS github_valid,
+       c.github_validation_reason
+FROM weekly t LEFT JOIN judged c ON t.week_number = c.week_number AND t.email = c.email""", "weekly", "repo_entries"),
     "v1_v3_page_signals": W(f""", {PAGES}, {SIGNALS}
 SELECT link, missing, page_likes, page_comments, contains(link, 'blog.example.org') AS allowed FROM signals""",
                             "linked_pages"),

@@ -48,7 +48,7 @@ def weekly_sheets(rows: DataFrame) -> DataFrame:
     """Sheets named like ``Kiro Week N Challenge`` (optionally numbered),
     with the captured week number."""
     week = F.regexp_extract(F.regexp_replace(F.col("sheet_name"), r"(?U)^\s+|\s+$", ""), WEEKLY_SHEET_PATTERN, 1)
-    return rows.withColumn("week_number", F.when(week != "", week.cast("int"))).filter(F.col("week_number").isNotNull())
+    return rows.withColumn("week_number", F.when(week != "", week.try_cast("int"))).filter(F.col("week_number").isNotNull())
 
 
 def select_sheets(rows: DataFrame, sheet_index: int | None = None, kind: str = "both") -> DataFrame:
