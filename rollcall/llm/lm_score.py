@@ -57,7 +57,7 @@ SINGLE = FACTORS * (2 * (SYMBOLS + 1) + 1)      # rows of the bias, the symbol b
 ROWS = SINGLE + GROUPS * GROUP_ROWS
 SHRINK = 4.0                    # events by which a row's change is damped
 ROUNDS, PASSES, BATCH = 3, 2, 1 << 14
-FLUSH = 1 << 20                 # distinct entries a task holds before it passes them on
+FLUSH = 1 << 19                 # distinct entries a task holds before it passes them on
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -211,33 +211,45 @@ def _log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
+def _groups(event: np.ndarray, by_class: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first event, group of each event, factor of each group) of neighbours that share one softmax: those of
+    a context for the class factor, those of a context and class for the other.  Events come sorted, so what
+    shares a softmax lies together; where it does not, it is only computed more than once."""
+    symbol_class = (event & 0xFFF) // WIDTH
+    key = ((event >> 12) << 6) | (symbol_class + 1 if by_class else 0)
+    new = np.ones(len(event), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    return first, np.cumsum(new) - 1, symbol_class[first] + 1 if by_class else np.zeros(len(first), np.int64)
+
+
 def log_probabilities(weights: np.ndarray, event: np.ndarray) -> np.ndarray:
     """Natural logarithm of P(symbol | context) per event."""
-    symbol = event & 0xFFF
-    c, w = symbol // WIDTH, symbol % WIDTH
-    out = np.empty(len(event))
+    out = np.zeros(len(event))
     for at in range(0, len(event), BATCH):
-        s = slice(at, at + BATCH)
-        e, k = event[s], np.arange(len(event[s]))
-        out[s] = (_log_softmax(weights, feature_rows(e, np.zeros(len(e), np.int64)))[k, c[s]]
-                  + _log_softmax(weights, feature_rows(e, c[s] + 1))[k, w[s]])
+        e = event[at:at + BATCH]
+        symbol = e & 0xFFF
+        for by_class, target in ((False, symbol // WIDTH), (True, symbol % WIDTH)):
+            first, group, factor = _groups(e, by_class)
+            out[at:at + BATCH] += _log_softmax(weights, feature_rows(e[first], factor))[group, target]
     return out
 
 
 def _update(weights: np.ndarray, seen: np.ndarray, event: np.ndarray, n: np.ndarray, count_seen: bool) -> None:
     """One gradient step on a batch: each row moves by its mean gradient, damped where few events stand behind it."""
     symbol = event & 0xFFF
-    for factor, target in ((np.zeros(len(event), np.int64), symbol // WIDTH), (symbol // WIDTH + 1, symbol % WIDTH)):
-        rows = feature_rows(event, factor)
-        g = np.exp(_log_softmax(weights, rows))
-        g[np.arange(len(event)), target] -= 1
-        g *= n[:, None]
+    for by_class, target in ((False, symbol // WIDTH), (True, symbol % WIDTH)):
+        first, group, factor = _groups(event, by_class)
+        rows = feature_rows(event[first], factor)
+        total = np.add.reduceat(n, first)
+        g = np.exp(_log_softmax(weights, rows)) * total[:, None]
+        g -= np.bincount(group * WIDTH + target, n, len(first) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
         for r in rows:
             order = np.argsort(r, kind="stable")
-            first = np.flatnonzero(np.diff(r[order], prepend=-1))
-            ids = r[order][first]
-            many = np.add.reduceat(n[order], first)
-            weights[ids] -= np.add.reduceat(g[order], first, axis=0) / (many + SHRINK)[:, None]
+            start = np.flatnonzero(np.diff(r[order], prepend=-1))
+            ids = r[order][start]
+            many = np.add.reduceat(total[order], start)
+            weights[ids] -= np.add.reduceat(g[order], start, axis=0) / (many + SHRINK)[:, None]
             if count_seen:
                 seen[ids] += many
 
