@@ -8,15 +8,15 @@ so the file operators run on inputs that grow with the tables.
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
 from rollcall.operators import reports as R
 from rollcall.operators import sheet_parse as SP
 from rollcall.plans.catalog import RUN_TS, SLOT_YEAR, WORKSHOP, prog, query
-from rollcall.plans.catalog_links import FIXTURE_DOMAINS, fetched_pages
+from rollcall.plans.catalog_links import FIXTURE_DOMAINS, LINK_CHARS, WINDOWS, fetched_pages
 from rollcall.plans.catalog_merge import PARTICIPANT_KEYS, participant_batch
+from rollcall.sinks import keyed_table as K
 from rollcall.sinks import writers as W
 from rollcall.sources.delimited import scan_delimited
 from rollcall.streaming import continuous as X
@@ -75,7 +75,7 @@ def x1(spark, sf):
     base = W.scratch_path(spark, "x1")
     p.participants.write.parquet(os.path.join(base, "seed"))
     table = os.path.join(base, "table")
-    W.write_versioned(spark.read.parquet(os.path.join(base, "seed")), table, batch_id="seed")
+    K.create(spark.read.parquet(os.path.join(base, "seed")), table, PARTICIPANT_KEYS)
     participant_batch(p).write.parquet(os.path.join(base, "incoming"))
     schema = participant_batch(p).schema
     q = X.merge_stream(spark, os.path.join(base, "incoming"), schema, table, os.path.join(base, "log"),
@@ -83,7 +83,7 @@ def x1(spark, sf):
                        keep_existing=("registration_date_time",), insert_defaults_ts=("registration_date_time",),
                        defaults={"prior_cohort": F.lit(False)}, touch_col=None, created_col=None)
     q.awaitTermination()
-    return W.read_versioned(spark, table)
+    return K.read(spark, table)
 
 
 def _submission_stream_input(spark, sf):
@@ -96,21 +96,21 @@ def _submission_stream_input(spark, sf):
 @query("x2_validation_totals_stream")
 def x2(spark, sf):
     base, schema = _submission_stream_input(spark, sf)
-    name = f"totals_{uuid.uuid4().hex[:8]}"
-    q = X.validation_totals_stream(spark, os.path.join(base, "in"), schema, fetched_pages(prog(spark, sf)), name,
-                                   os.path.join(base, "ckpt"), FIXTURE_DOMAINS)
+    totals = os.path.join(base, "totals")
+    q = X.validation_totals_stream(spark, os.path.join(base, "in"), schema, fetched_pages(prog(spark, sf)), totals,
+                                   os.path.join(base, "ckpt"), FIXTURE_DOMAINS, **WINDOWS)
     q.awaitTermination()
-    return spark.table(name)
+    return W.read_versioned(spark, totals)
 
 
 @query("x3_progress_sink_lines")
 def x3(spark, sf):
     base, schema = _submission_stream_input(spark, sf)
     q = X.progress_sink(spark, os.path.join(base, "in"), schema, fetched_pages(prog(spark, sf)),
-                        os.path.join(base, "out"), os.path.join(base, "ckpt"), FIXTURE_DOMAINS)
+                        os.path.join(base, "out"), os.path.join(base, "ckpt"), FIXTURE_DOMAINS, LINK_CHARS, **WINDOWS)
     q.awaitTermination()
     # one micro-batch (all files available at start): one line per item and one summary line
-    return spark.read.text(os.path.join(base, "out")).select(F.get_json_object("value", "$.link").alias("link"),
+    return spark.read.text(os.path.join(base, "out", "*", "*")).select(F.get_json_object("value", "$.link").alias("link"),
                                                              F.get_json_object("value", "$.reason").alias("reason"),
                                                              F.get_json_object("value", "$.status").alias("status"))
 

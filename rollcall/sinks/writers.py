@@ -86,17 +86,49 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def current_version(spark: SparkSession, table_path: str) -> str | None:
-    fs, _, jvm = _fs(spark, table_path)
-    ptr = jvm.org.apache.hadoop.fs.Path(table_path.rstrip("/") + "/" + POINTER)
-    if not fs.exists(ptr):
-        return None
-    stream = fs.open(ptr)
+def read_small(spark: SparkSession, path: str) -> str:
+    """Text of a small file (a pointer or manifest)."""
+    fs, p, jvm = _fs(spark, path)
+    stream = fs.open(p)
     try:
-        data = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
-    return json.loads(data)["version"]
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it doesn't exist."""
+    fs, p, _ = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def current_version(spark: SparkSession, table_path: str) -> str | None:
+    pointer = f"{table_path.rstrip('/')}/{POINTER}"
+    fs, p, _ = _fs(spark, pointer)
+    return json.loads(read_small(spark, pointer))["version"] if fs.exists(p) else None
+
+
+def publish(spark: SparkSession, table_path: str, version: str) -> None:
+    """Point the table at a version: a small file written beside the pointer, then renamed over it."""
+    base = table_path.rstrip("/")
+    tmp = f"{base}/.{POINTER}.{uuid.uuid4().hex}"
+    write_small(spark, tmp, json.dumps({"version": version}))
+    fs, src, jvm = _fs(spark, tmp)
+    _replace(spark, fs, jvm, src, jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}"))
 
 
 def read_versioned(spark: SparkSession, table_path: str) -> DataFrame:
@@ -122,14 +154,7 @@ def write_versioned(df: DataFrame, table_path: str, partition_by: list[str] | No
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(target)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{table_path.rstrip('/')}/.{POINTER}.{uuid.uuid4().hex}")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-    finally:
-        out.close()
-    ptr = jvm.org.apache.hadoop.fs.Path(table_path.rstrip("/") + "/" + POINTER)
-    _replace(spark, fs, jvm, tmp, ptr)
+    publish(spark, table_path, version)
     return version
 
 

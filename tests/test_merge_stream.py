@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rollcall.operators import changelog as LG
 from rollcall.operators import merge as M
+from rollcall.sinks import keyed_table as K
 from rollcall.sinks import writers as W
 from rollcall.streaming import continuous as X
 
@@ -100,13 +101,13 @@ def test_merge_stream_equals_batch_merge(spark, scratch):
         spark.createDataFrame([b for b in batch if b[3] // 20 == part], BATCH_SCHEMA).coalesce(1) \
             .write.mode("append").parquet(src)
     table = os.path.join(scratch, "table")
-    W.write_versioned(target, table, batch_id="init")
+    K.create(target, table, ["k"], partitions=8)
     opts = dict(keep_existing=("reg",), insert_defaults_ts=("reg",), touch_col=None, created_col=None)
     q = X.merge_stream(spark, src, BATCH_SCHEMA, table, os.path.join(scratch, "log"), "items", ["k"],
                        os.path.join(scratch, "ckpt"), RUN_TS, max_files_per_trigger=1, **opts)
     q.awaitTermination(300)
     assert q.lastProgress is not None and q.lastProgress["batchId"] >= 2  # one batch per file
-    streamed = sorted(tuple(r) for r in W.read_versioned(spark, table).collect())
+    streamed = sorted(tuple(r) for r in K.read(spark, table).collect())
     once = M.merge_keyed(target, spark.createDataFrame(batch, BATCH_SCHEMA), ["k"], "upsert", run_ts=RUN_TS, **opts)
     assert streamed == sorted(tuple(r) for r in once.state.collect())
     assert spark.read.parquet(os.path.join(scratch, "log")).count() > 0
@@ -121,15 +122,15 @@ def test_validation_streams(spark, scratch):
     schema = "workshop_name string, email string, project_link string"
     src = os.path.join(scratch, "subs")
     spark.createDataFrame(subs, schema).coalesce(1).write.parquet(src)
-    q = X.validation_totals_stream(spark, src, schema, pages, "totals_test", os.path.join(scratch, "c1"),
-                                   ["ok.example"])
+    totals = os.path.join(scratch, "totals")
+    q = X.validation_totals_stream(spark, src, schema, pages, totals, os.path.join(scratch, "c1"), ["ok.example"])
     q.awaitTermination(300)
-    t = spark.sql("SELECT * FROM totals_test").first()
+    t = W.read_versioned(spark, totals).first()
     assert (t.validated, t.failed, t.updated) == (2, 2, 1)
     out = os.path.join(scratch, "progress")
     q = X.progress_sink(spark, src, schema, pages, out, os.path.join(scratch, "c2"), ["ok.example"])
     q.awaitTermination(300)
-    lines = [json.loads(r.value) for r in spark.read.text(out).collect()]
+    lines = [json.loads(r.value) for r in spark.read.text(os.path.join(out, "*", "*")).collect()]
     assert len(lines) == 5
     assert any(x.get("status") == "Complete" for x in lines)
 
@@ -165,17 +166,47 @@ def test_weekly_reimport_reset_flag(spark, reset):
 
 def test_merge_batch_replay_is_idempotent(spark, scratch):
     table, log = os.path.join(scratch, "t"), os.path.join(scratch, "log")
-    W.write_versioned(spark.createDataFrame([(1, "a", None)], TARGET_SCHEMA), table, batch_id="seed")
+    K.create(spark.createDataFrame([(1, "a", None)], TARGET_SCHEMA), table, ["k"], partitions=4)
     apply = X.merge_batch_fn(spark, table, log, "items", ["k"], RUN_TS, touch_col=None, created_col=None)
     batch = spark.createDataFrame([(1, "b", None, 1), (2, "c", None, 2)], BATCH_SCHEMA)
     apply(batch, 0)
-    first = sorted(tuple(r) for r in W.read_versioned(spark, table).collect())
+    first = sorted(tuple(r) for r in K.read(spark, table).collect())
     apply(batch, 0)  # retried after publishing: skipped, nothing read and overwritten
-    assert sorted(tuple(r) for r in W.read_versioned(spark, table).collect()) == first
-    assert W.current_version(spark, table) == "v-0"
-    assert spark.read.parquet(os.path.join(log, "batch_id=0")).count() == 2
+    assert sorted(tuple(r) for r in K.read(spark, table).collect()) == first
+    assert spark.read.parquet(os.path.join(log, "stream=batch", "batch=0")).count() == 2
     apply(spark.createDataFrame([(3, "d", None, 1)], BATCH_SCHEMA), 1)
-    assert sorted(r.k for r in W.read_versioned(spark, table).collect()) == [1, 2, 3]
+    assert sorted(r.k for r in K.read(spark, table).collect()) == [1, 2, 3]
+
+
+def test_two_streams_into_one_table(spark, scratch):
+    """A second stream starts at batch 0 again: all its rows and log rows arrive beside the first one's."""
+    table, log = os.path.join(scratch, "t"), os.path.join(scratch, "log")
+    K.create(spark.createDataFrame([(0, "seed", None)], TARGET_SCHEMA), table, ["k"], partitions=8)
+    for n in (1, 2):
+        src = os.path.join(scratch, f"in{n}")
+        spark.createDataFrame([(n * 10 + i, f"s{n}", None, i) for i in range(4)], BATCH_SCHEMA).write.parquet(src)
+        X.merge_stream(spark, src, BATCH_SCHEMA, table, log, "items", ["k"], os.path.join(scratch, f"ckpt{n}"), RUN_TS,
+                       touch_col=None, created_col=None).awaitTermination(300)
+    assert sorted(r.k for r in K.read(spark, table).collect()) == [0, 10, 11, 12, 13, 20, 21, 22, 23]
+    assert spark.read.parquet(os.path.join(log, "*", "*")).count() == 8
+
+
+def test_only_touched_partitions_are_rewritten(spark, scratch):
+    table = os.path.join(scratch, "t")
+    K.create(spark.range(200).selectExpr("id AS k", "'a' AS v", "CAST(NULL AS TIMESTAMP_NTZ) AS reg"), table, ["k"], partitions=16)
+    before = K.manifest(spark, table)
+    apply = X.merge_batch_fn(spark, table, os.path.join(scratch, "log"), "items", ["k"], RUN_TS, touch_col=None,
+                             created_col=None)
+    batch = spark.createDataFrame([(5, "new", None, 1), (1000, "more", None, 2)], BATCH_SCHEMA)
+    apply(batch, 0)
+    after, parts = K.manifest(spark, table), K.touched(batch, table)
+    assert 1 <= len(parts) <= 2
+    assert {p for p in after.parts if after.parts[p] != before.parts.get(p)} == {str(p) for p in parts}
+    apply(spark.createDataFrame([(5, "newer", None, 1)], BATCH_SCHEMA), 1)
+    gone = K.vacuum(spark, table)
+    assert gone and not set(gone) & set(K.manifest(spark, table).parts.values())
+    rows = {r.k: r.v for r in K.read(spark, table).collect()}
+    assert len(rows) == 201 and rows[5] == "newer" and rows[1000] == "more" and rows[7] == "a"
 
 
 def test_partial_update_folds_repeated_keys(spark):
