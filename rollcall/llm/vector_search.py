@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from rollcall.llm.common import Stored, get_ready
 
 SAMPLE = 20_000             # vectors the tree is fitted on, in the order of a hash
-BRANCH = 16                 # children of a node
-LEAF_SAMPLE = 24            # sample vectors below which a node is a leaf
+BRANCH = 8                  # children of a node
+LEAF_SAMPLE = 160           # sample vectors up to which a node is a leaf
 ROUNDS = 8                  # Lloyd rounds per node
 CALIBRATION = 48            # queries answered by brute force
 TARGET_RECALL = 0.97
@@ -167,28 +167,32 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     filed = stored.put(points.select("ids", "v").mapInArrow(file, "ids array<bigint>, v array<double>, leaf bigint"),
                        "filed")
     visits = _calibrated(filed, queries, tree, k, target, spark)
+    # a leaf's vectors are dealt into slots of bounded size; one row per leaf, so no more than SAMPLE rows
+    slots = filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / SLOT).alias("slots"))
+    slots_of = spark.sparkContext.broadcast({r["leaf"]: r["slots"] for r in slots.collect()})
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1))
-            take, leaves = [], []
+            take, leaves, places = [], [], []
             for i in range(b.num_rows):
                 for n, leaf in enumerate(sent.value.visits(x[i])):
                     if n >= visits:
                         break
-                    take.append(i)
-                    leaves.append(leaf)
+                    for slot in range(slots_of.value.get(leaf, 0)):
+                        take.append(i)
+                        leaves.append(leaf)
+                        places.append(slot)
             idx = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx),
-                                              pa.array(leaves, pa.int64())], names=["query_id", "v", "leaf"])
-
-    # a leaf's vectors are dealt into slots of bounded size; a visit goes to each slot of its leaf
-    slots = filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / SLOT).alias("slots"))
-    dealt = filed.join(slots, "leaf").select("leaf", F.pmod(F.xxhash64("v"), F.col("slots")).alias("slot"),
-                                             F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("query_id"), "ids", "v")
-    asked = (queries.mapInArrow(plan, "query_id bigint, v array<double>, leaf bigint").join(slots, "leaf")
-             .select("leaf", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)).alias("slot"),
-                     F.lit(1).alias("side"), "query_id", F.lit(None).cast("array<bigint>").alias("ids"), "v"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaves, pa.int64()), pa.array(places, pa.int64()), b.column(0).take(idx), b.column(1).take(idx)],
+                names=["leaf", "slot", "query_id", "v"])
+
+    dealt = filed.join(F.broadcast(slots), "leaf").select(
+        "leaf", F.pmod(F.xxhash64("v"), F.col("slots")).alias("slot"), F.lit(0).alias("side"),
+        F.lit(None).cast("bigint").alias("query_id"), "ids", "v")
+    asked = queries.mapInArrow(plan, "leaf bigint, slot bigint, query_id bigint, v array<double>").select(
+        "leaf", "slot", F.lit(1).alias("side"), "query_id", F.lit(None).cast("array<bigint>").alias("ids"), "v")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = (dealt.unionByName(asked).repartition(parts, "leaf", "slot").sortWithinPartitions("leaf", "slot", "side")
            .mapInArrow(_nearest_in_slot(k), "query_id bigint, near array<struct<score:double,vec_id:bigint>>"))
