@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.functions import cleaning as C
 from rollcall.functions import messages as MSG
@@ -24,7 +25,7 @@ REQUIRED_FIELDS = {
     "submissions": ["workshop_name", "email", "name"],
     "verification": ["workshop_name", "email", "name"],
 }
-ERROR_CAP = 100
+ERROR_CAP = 100     # error messages in a summary of the generic import; no default of this module
 
 
 def non_blank(cols: list[str]) -> Column:
@@ -100,34 +101,45 @@ def generic_import(batch: DataFrame, table: str, mappings: dict[str, str], year:
 
 
 def import_summary(batch_rows: DataFrame, outcome: DataFrame, rejected: DataFrame,
-                   cap: int | None = ERROR_CAP) -> DataFrame:
-    """C20: rows read, created, updated, skipped, error count and the first
-    ``cap`` error messages (by row number; ``cap=None`` keeps all, as the lab
-    and weekly importers do).
+                   cap: int | None = None) -> DataFrame:
+    """C20: rows read, created, updated, skipped and error count in one row.
 
     ``outcome`` is a merge outcome: per key, ``inserted`` (0/1) and
-    ``updated`` (records) counts.
-    Everything is one tagged union and one aggregate; only the capped errors
-    (a per-partition top-k merged once) enter the collected list."""
-    first = rejected.orderBy("row_number").limit(cap) if cap else rejected
+    ``updated`` (records) counts.  The messages themselves are ``rejected``,
+    one row each.  With ``cap`` the first so many (by file, sheet and row
+    where those columns exist) are added as a list, the only list here."""
     zero = F.lit(0).cast("long")
-    none_s = F.lit(None).cast("struct<row_number:bigint,error:string>")
-    tagged = (batch_rows.select(F.lit("row").alias("k"), zero.alias("ins"), zero.alias("upd"), none_s.alias("e"))
+    place = [c for c in ("path", "sheet_index", "row_number") if c in rejected.columns]
+    none_e = F.lit(None).cast(T.StructType([rejected.schema[c] for c in (*place, "error")]))
+    tagged = (batch_rows.select(F.lit("row").alias("k"), zero.alias("ins"), zero.alias("upd"), none_e.alias("e"))
               .unionByName(outcome.select(F.lit("out").alias("k"), F.col("inserted").cast("long").alias("ins"),
-                                          F.col("updated").cast("long").alias("upd"), none_s.alias("e")))
+                                          F.col("updated").cast("long").alias("upd"), none_e.alias("e")))
               .unionByName(rejected.select(F.lit("rej").alias("k"), zero.alias("ins"), zero.alias("upd"),
-                                           none_s.alias("e")))
-              .unionByName(first.select(F.lit("err").alias("k"), zero.alias("ins"), zero.alias("upd"),
-                                        F.struct(F.col("row_number").cast("bigint").alias("row_number"),
-                                                 "error").alias("e"))))
-    return tagged.agg(
-        F.count_if(F.col("k") == "row").alias("rows"),
-        F.sum("ins").alias("created"),
-        F.sum("upd").alias("updated"),
-        F.count_if(F.col("k") == "rej").alias("skipped"),
-        F.count_if(F.col("k") == "rej").alias("error_count"),
-        F.transform(F.array_sort(F.collect_list("e")), lambda x: x["error"]).alias("errors"),
-    )
+                                           none_e.alias("e"))))
+    counts = [F.count_if(F.col("k") == "row").alias("rows"), F.sum("ins").alias("created"), F.sum("upd").alias("updated"),
+              F.count_if(F.col("k") == "rej").alias("skipped"), F.count_if(F.col("k") == "rej").alias("error_count")]
+    if not cap:
+        return tagged.agg(*counts)
+    first = rejected.orderBy(*place, "error").limit(cap).select(
+        F.lit("err").alias("k"), zero.alias("ins"), zero.alias("upd"), F.struct(*place, "error").alias("e"))
+    return tagged.unionByName(first).agg(
+        *counts, F.transform(F.array_sort(F.collect_list("e")), lambda x: x["error"]).alias("errors"))
+
+
+def file_summary(batch: DataFrame, table: str, mappings: dict[str, str], year: int, row_col: str = "row_number",
+                 by: tuple[str, ...] = ("path", "sheet_index"), email_col: str = "email") -> DataFrame:
+    """C20 per file and sheet: rows read, blank rows, accepted rows, and skipped
+    rows by reason, from one pass over the batch."""
+    cells = [c for c in batch.columns if c != row_col and c not in by]
+    typed = C.with_types_by_name(batch.withColumn("__blank", ~non_blank(cells)), mappings, year)
+    tagged = typed.withColumn("__missing", missing_fields(REQUIRED_FIELDS.get(table, [])) != "") \
+        .withColumn("__reason", reject_reason(REQUIRED_FIELDS.get(table, []), email_col))
+    bad = ~F.col("__blank") & F.col("__reason").isNotNull()
+    return tagged.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("__blank").alias("blank"),
+        F.count_if(~F.col("__blank") & F.col("__reason").isNull()).alias("accepted"),
+        F.count_if(bad & F.col("__missing")).alias("missing_fields"),
+        F.count_if(bad & ~F.col("__missing")).alias("invalid_email"))
 
 
 def workbook_summary(applied: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ class MergeResult:
     applied: DataFrame | None = None  # one row per target/batch key: new values, __old image, __op
     keys: tuple[str, ...] = ()
     run_ts: str | None = None
+    rejected: DataFrame | None = None  # records that could not be inserted: their key exists already
 
     def counts(self) -> DataFrame:
         """inserted = records that created a row; updated = records that
@@ -170,19 +171,23 @@ def partial_update(target: DataFrame, updates: DataFrame, keys: list[str], *, ru
     """Only non-null supplied fields overwrite existing rows; a row with
     no supplied field is left alone and not counted.  ``touch_from`` (U5)
     names a supplied updated-at column; otherwise ``run_ts`` is used.
-    With ``order_col``, several updates of one key fold like updates applied
-    one after another (per field the last non-null value); without it
-    ``updates`` must hold at most one row per key.  Returns (state, counts)."""
-    records = None
-    if order_col:
-        carried = [c for c in updates.columns if c not in keys and c != order_col]
-        supplied = [c for c in carried if c != touch_from]
-        has_field = F.greatest(*[F.col(c).isNotNull() for c in supplied]) if len(supplied) > 1 \
-            else F.col(supplied[0]).isNotNull()
-        # statements that set something, per key (each counts, as in a per-record update)
-        records = updates.groupBy(*keys).agg(F.count_if(has_field).alias("__records"))
-        updates = reduce_batch(updates, keys, order_col, "last", tuple(carried)).drop("__n", order_col)
-        updates = updates.join(records, keys)
+    Several updates of one key fold like updates applied one after another
+    (per field the last non-null value), in the order of ``order_col``;
+    without it in the order of their values, so the result is deterministic.
+    Returns (state, counts)."""
+    carried = [c for c in updates.columns if c not in keys and c != order_col]
+    supplied = [c for c in carried if c != touch_from]
+    has_field = F.greatest(*[F.col(c).isNotNull() for c in supplied]) if len(supplied) > 1 \
+        else F.col(supplied[0]).isNotNull()
+    order = order_col or "__order"
+    if not order_col:
+        updates = updates.withColumn(order, F.struct(*carried))
+    # statements that set something, per key (each counts, as in a per-record update)
+    flagged = updates.withColumn("__records", has_field.cast("long"))
+    folded = flagged.groupBy(*keys).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in carried],
+        F.sum("__records").alias("__records"))
+    updates = folded
     fields = [c for c in updates.columns if c not in keys and c != touch_from and c != "__records"]
     any_field = F.lit(False)
     for c in fields:
@@ -200,10 +205,7 @@ def partial_update(target: DataFrame, updates: DataFrame, keys: list[str], *, ru
         else:
             cols.append(F.col(f"t.{c}").alias(c))
     state = j.select(*cols)
-    if records is not None:
-        counts = j.agg(F.coalesce(F.sum(F.when(hit, F.col("u.__records"))), F.lit(0)).cast("long").alias("updated"))
-    else:
-        counts = j.agg(F.count_if(hit).alias("updated"))
+    counts = j.agg(F.coalesce(F.sum(F.when(hit, F.col("u.__records"))), F.lit(0)).cast("long").alias("updated"))
     return state, counts
 
 
@@ -251,73 +253,83 @@ def merge_on_match_fields(target: DataFrame, batch: DataFrame, match_fields: lis
     """Match a record on the AND of its match fields that are non-null
     (``forced`` fields always included); records with none are skipped.
 
-    The batch is split by null pattern (at most 2^k groups for k match
-    fields).  Within a group every record with the same match values hits
-    the same target rows, so the group is first reduced to one row per
-    distinct match value (its last record in file order and the number of
-    records); only that row is equi-joined to the target.  The join output is
-    the set of target rows to update - never records x rows of a group.  A
-    record may hit several rows (U10, counted per row hit); when records of
-    different groups hit one row the last in file order wins.  Records whose
-    values hit nothing (anti-join against the target's distinct values) are
-    inserted (upsert/create), reduced per ``target_key``.  Bound: a record
-    does not see rows inserted by earlier records of the same batch unless
-    they share the target key."""
+    A record's null pattern says which fields it is matched on.  The batch is
+    reduced once, to one row per distinct match values (nulls included): its
+    last record in file order and the number of records.  That small frame
+    is stored and joined to the target once per pattern that can occur (at
+    most 2^k for k match fields); the join output is the set of target rows
+    to update - never records x rows of a group.  A record may hit several
+    rows (U10, counted per row hit); when records of different patterns hit
+    one row the last in file order wins.
+
+    Records whose values hit nothing are inserted (upsert/create), the first
+    record per ``target_key``.  A record whose key the target holds already
+    cannot be inserted: it comes back in ``rejected``, and the target's row
+    stays as it is.  Bound: a record does not see rows inserted by earlier
+    records of the same batch unless they share the target key."""
+    from rollcall.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(batch.sparkSession)
     opt = [f for f in match_fields if f not in forced]
     tk = list(target_key)
     values = [c for c in batch.columns if c != order_col]
-    hits, unmatched_parts = [], []
+    usable = batch
+    for f in forced:
+        usable = usable.filter(F.col(f).isNotNull())
+    if not forced:
+        usable = usable.filter(F.greatest(*[F.col(f).isNotNull() for f in opt]) if len(opt) > 1
+                               else F.col(opt[0]).isNotNull())
+    reduced = (usable.groupBy(*match_fields)
+               .agg(F.max_by(F.struct(*values, order_col), F.col(order_col)).alias("__r"),
+                    F.count(F.lit(1)).alias("__n"))).checkpoint(eager=True)
+    hits, unmatched = [], []
     for r in range(len(opt), -1, -1):
         for present in combinations(opt, r):
             on = list(forced) + list(present)
             if not on:
                 continue
-            pred = F.lit(True)
+            absent = [f for f in opt if f not in present]
+            group = reduced
             for f in opt:
-                pred = pred & (F.col(f).isNotNull() if f in present else F.col(f).isNull())
-            for f in forced:
-                pred = pred & F.col(f).isNotNull()
-            group = batch.filter(pred)
-            reduced = (group.groupBy(*on)
-                       .agg(F.max_by(F.struct(*values, order_col), F.col(order_col)).alias("__r"),
-                            F.count(F.lit(1)).alias("__n")))
+                group = group.filter(F.col(f).isNull() if f in absent else F.col(f).isNotNull())
             probe = target.select(*[F.col(k).alias(f"__tk_{k}") for k in tk], *on)
-            hits.append(reduced.join(probe, on, "inner")
-                        .select(*[f"__tk_{k}" for k in tk], "__r", "__n"))
-            unmatched_parts.append(group.join(target.select(*on).distinct(), on, "left_anti"))
-    if not hits:
-        raise ValueError("no match fields")
-    matched = hits[0]
-    for h in hits[1:]:
-        matched = matched.unionByName(h)
+            hits.append(group.drop(*absent).join(probe, on, "inner").select(*[f"__tk_{k}" for k in tk], "__r", "__n"))
+            unmatched.append(group.join(target.select(*on).distinct(), on, "left_anti").select(*match_fields))
+    matched, missed = hits[0], unmatched[0]
+    for h, u in zip(hits[1:], unmatched[1:], strict=True):
+        matched, missed = matched.unionByName(h), missed.unionByName(u)
     tkc = [f"__tk_{k}" for k in tk]
     # per target row: the last record among the groups that hit it; records counted per row hit
     upd = (matched.groupBy(*tkc)
            .agg(F.max_by(F.col("__r"), F.col(f"__r.{order_col}")).alias("r"), F.sum("__n").alias("__n"))
            .select(*tkc, F.lit(True).alias("__tid"), "__n", *[F.col(f"r.{c}").alias(c) for c in values]))
     ts = _ts(run_ts)
+    updating = mode in ("upsert", "update")
+    hit = F.col("u.__tid").isNotNull() if updating else F.lit(False)
     cols = []
     for c in target.columns:
-        if c in values and mode in ("upsert", "update") and c not in target_key:
-            cols.append(F.when(F.col("u.__tid").isNotNull(), F.col(f"u.{c}")).otherwise(F.col(f"t.{c}")).alias(c))
-        elif c == "updated_at" and mode in ("upsert", "update"):
-            cols.append(F.when(F.col("u.__tid").isNotNull(), ts).otherwise(F.col(f"t.{c}")).alias(c))
+        if c in values and c not in target_key:
+            cols.append(F.when(hit, F.col(f"u.{c}")).otherwise(F.col(f"t.{c}")).alias(c))
+        elif c == "updated_at":
+            cols.append(F.when(hit, ts).otherwise(F.col(f"t.{c}")).alias(c))
         else:
             cols.append(F.col(f"t.{c}").alias(c))
-    updated_state = target.alias("t").join(upd.alias("u"), [F.col(f"t.{k}") == F.col(f"u.__tk_{k}") for k in tk],
-                                           "left").select(*cols)
-    outcome_upd = upd.select(*[F.col(f"__tk_{k}").alias(k) for k in tk], F.lit(0).cast("long").alias("inserted"),
-                             F.col("__n").cast("long").alias("updated"))
+    old = F.struct(*[F.col(f"t.{c}").alias(c) for c in target.columns]).alias("__old")
+    applied = target.alias("t").join(upd.alias("u"), [F.col(f"t.{k}") == F.col(f"u.__tk_{k}") for k in tk],
+                                     "left").select(*cols, old, F.when(hit, F.lit("UPDATE")).alias("__op"))
+    outcome = upd.select(*[F.col(f"__tk_{k}").alias(k) for k in tk], F.lit(0).cast("long").alias("inserted"),
+                         F.col("__n").cast("long").alias("updated"))
+    rejected = None
     if mode in ("upsert", "create"):
-        unmatched = unmatched_parts[0]
-        for u in unmatched_parts[1:]:
-            unmatched = unmatched.unionByName(u)
-        fresh = merge_keyed(target.limit(0), unmatched, target_key, "create", run_ts=run_ts, order_col=order_col)
-        state = updated_state.unionByName(fresh.state.select(*target.columns))
-        outcome = (outcome_upd if mode == "upsert" else outcome_upd.limit(0)).unionByName(fresh.outcome)
-    else:
-        state, outcome = updated_state, outcome_upd
-    return MergeResult(state=state, outcome=outcome, before=target)
+        m = missed.select(*[F.col(f).alias(f"__m_{f}") for f in match_fields])
+        new = usable.join(m, [F.col(f).eqNullSafe(F.col(f"__m_{f}")) for f in match_fields], "left_semi")
+        taken = target.select(*tk)
+        rejected = new.join(taken, tk, "left_semi").select(*tk, order_col)
+        fresh = merge_keyed(target.limit(0), new.join(taken, tk, "left_anti"), target_key, "create", run_ts=run_ts,
+                            order_col=order_col)
+        applied = applied.unionByName(fresh.applied.filter(F.col("__op") == "INSERT"))
+        outcome = (outcome if mode == "upsert" else outcome.limit(0)).unionByName(fresh.outcome)
+    return MergeResult(state=applied.select(*target.columns), outcome=outcome, before=target, applied=applied,
+                       keys=tuple(tk), run_ts=run_ts, rejected=rejected)
 
 
 # What an unmapped counter column holds when a re-import resets it.

@@ -15,6 +15,8 @@ from rollcall.functions import labels as L
 from rollcall.operators.joins import enrich_bounded, optional_col
 
 
+MAX_RANKED = 1000      # rows of a ranked export
+
 def _count(name: str = "count"):
     return F.count(F.lit(1)).alias(name)
 
@@ -215,8 +217,8 @@ def top_participants(weekly: DataFrame, participants: DataFrame, week: int, limi
     table first (per-partition top-k then one merge, no full shuffle); only
     the <= ``limit`` winners are then enriched with participant attributes,
     so the join touches a proven-small key set."""
-    if limit is None or limit < 1:
-        limit = 10
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     engagement = F.coalesce("likes", F.lit(0)) + F.coalesce("comments", F.lit(0))
     w = (weekly.filter((F.col("week_number") == week) & (F.col("github_valid") == True)  # noqa: E712
                        & (engagement > 0))
@@ -230,9 +232,10 @@ def ranked_engagement_export(weekly: DataFrame, participants: DataFrame, week: i
     """A14 plus rank, engagement, Yes/No flags and formatted dates (25 columns).
 
     The rank window has no partition key on purpose: it runs over at most
-    ``limit`` (<= 1000) rows produced by the top-k."""
-    if limit is None or limit < 1 or limit > 1000:
-        limit = 10
+    ``limit`` (at most ``MAX_RANKED``) rows produced by the top-k; a limit
+    beyond that is an error."""
+    if not 1 <= limit <= MAX_RANKED:
+        raise ValueError(f"limit must lie between 1 and {MAX_RANKED}")
     top = top_participants(weekly, participants, week, limit)
     order = Window.orderBy(F.col("total_engagement").desc(), F.col("likes").desc_nulls_first(),
                            F.col("comments").desc_nulls_first(), F.col("email").asc())

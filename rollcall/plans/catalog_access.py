@@ -19,13 +19,13 @@ LOG_RECORD = "user42@example.com"
 
 
 def access_requests(spark, sf):
-    """A batch of (user, route) access requests derived from the line items
-    (routes 50-59 do not exist in the catalog)."""
+    """A batch of (user, route) access requests, one per line item: the route
+    of the delivered part for odd line numbers, that of a later part (granted
+    to others, or beyond the catalog) for even ones."""
     li = Tables(spark, sf).lineitem
-    return (li.filter(F.col("l_linenumber") == 1)
-            .select(F.col("l_suppkey").alias("user_id"),
-                    F.concat(F.lit("route_"), (F.col("l_orderkey") % 60).cast("string")).alias("route_name"))
-            .distinct())
+    route = F.col("l_partkey") + F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber")).otherwise(0)
+    return li.select(F.col("l_suppkey").alias("user_id"),
+                     F.concat(F.lit("route_"), route.cast("string")).alias("route_name")).distinct()
 
 
 @query("q1_participant_search")

@@ -82,12 +82,11 @@ def u4_count(spark, sf):
 
 
 def weekly_batch(spark, sf):
-    """A weekly re-import derived from click/view events: new repository
+    """A weekly re-import derived from the events: new repository
     links, likes sometimes missing, no validity or comments."""
     e = Tables(spark, sf).events
     eid = F.col("event_id")
-    return (e.filter(F.col("event_type").isin("click", "view"))
-            .select((F.floor((F.dayofmonth("ts") - 1) / 7).cast("int") + 1).alias("week_number"),
+    return (e.select((F.floor((F.dayofmonth("ts") - 1) / 7).cast("int") + 1).alias("week_number"),
                     F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"),
                     F.concat(F.lit("https://github.com/new/"), eid.cast("string")).alias("github_link"),
                     F.lit(None).cast("string").alias("blog_link"),
@@ -108,12 +107,16 @@ def u6(spark, sf):
                          touch_col=None).state
 
 
+def new_grants(spark, sf):
+    """A grant per line item: the part after the one that was delivered."""
+    li = Tables(spark, sf).lineitem
+    return li.select(F.col("l_suppkey").alias("user_id"), (F.col("l_partkey") + F.col("l_linenumber")).alias("permission_id"))
+
+
 @query("u8_insert_or_ignore_grants")
 def u8(spark, sf):
     p = prog(spark, sf)
-    li = Tables(spark, sf).lineitem
-    new = li.filter(F.col("l_linenumber") == 7).select(F.col("l_suppkey").alias("user_id"),
-                                                       (F.col("l_orderkey") % 50).alias("permission_id"))
+    new = new_grants(spark, sf)
     return M.insert_or_ignore(p.access_grants, new, ["user_id", "permission_id"])
 
 
@@ -127,9 +130,7 @@ def u15(spark, sf):
 @query("u16_replace_grant_sets")
 def u16(spark, sf):
     p = prog(spark, sf)
-    li = Tables(spark, sf).lineitem
-    new = li.filter(F.col("l_linenumber") == 7).select(F.col("l_suppkey").alias("user_id"),
-                                                       (F.col("l_orderkey") % 50).alias("permission_id"))
+    new = new_grants(spark, sf)
     return M.replace_sets(p.access_grants, new)
 
 
@@ -139,27 +140,56 @@ def u17(spark, sf):
     return M.grant_all(p.access_grants, p.access_permissions, 7)
 
 
-@query("u9_match_on_name_upsert")
-def u9(spark, sf):
+def _match_on_name(p, mode):
     """Match participants on (email, name) where present: a record without a
-    name matches on e-mail only (U9); the batch's names differ from stored
-    ones, so most records insert new rows unless the e-mail-only path hits."""
-    p = prog(spark, sf)
+    name matches on e-mail only (U9); one with a name that differs from the
+    stored one matches nothing and cannot be inserted where the e-mail exists."""
     batch = participant_batch(p).withColumn(
         "name", F.when(F.col("row_number") % 2 == 0, F.lit(None).cast("string")).otherwise(F.col("name")))
-    res = M.merge_on_match_fields(p.participants.select("email", "name", "occupation", "phone_number"),
-                                  batch.select("email", "name", "occupation", "phone_number", "row_number"),
-                                  ["email", "name"], "update", run_ts=RUN_TS, target_key=["email"])
-    return res.state
+    return M.merge_on_match_fields(p.participants.select("email", "name", "occupation", "phone_number"),
+                                   batch.select("email", "name", "occupation", "phone_number", "row_number"),
+                                   ["email", "name"], mode, run_ts=RUN_TS, target_key=["email"])
+
+
+@query("u9_match_on_name_upsert")
+def u9(spark, sf):
+    return _match_on_name(prog(spark, sf), "update").state
+
+
+@query("u9_upsert")
+def u9_upsert(spark, sf):
+    return _match_on_name(prog(spark, sf), "upsert").state
+
+
+@query("u9_create")
+def u9_create(spark, sf):
+    return _match_on_name(prog(spark, sf), "create").state
+
+
+@query("u9_rejected")
+def u9_rejected(spark, sf):
+    return _match_on_name(prog(spark, sf), "upsert").rejected
+
+
+PARTICIPANT_IMAGE = ["email", "name", "occupation", "phone_number"]
+
+
+def _images(log, fields):
+    """Change rows with the fields of both images."""
+    return log.select("table_name", "operation_type", "record_identifier", "log_ts",
+                      *[F.get_json_object(f"{side}_values", f"$.{f}").alias(f"{side}_{f}")
+                        for side in ("old", "new") for f in fields])
+
+
+@query("u9_changes")
+def u9_changes(spark, sf):
+    return _images(_match_on_name(prog(spark, sf), "upsert").changes("participants"), PARTICIPANT_IMAGE)
 
 
 @query("l1_change_capture_upsert")
 def l1(spark, sf):
     p = prog(spark, sf)
-    log = _participant_merge(p, "upsert").changes("participants")
-    return log.select("table_name", "operation_type", "record_identifier", "log_ts",
-                      F.col("old_values").isNotNull().alias("has_old"),
-                      F.col("new_values").isNotNull().alias("has_new"))
+    return _images(_participant_merge(p, "upsert").changes("participants"), [*PARTICIPANT_IMAGE, "city", "prior_cohort"])
 
 
 @query("l2_record_identifiers")
@@ -239,18 +269,40 @@ def c20(spark, sf):
                         ["email"], "upsert", run_ts=RUN_TS, touch_col=None, created_col=None,
                         insert_defaults_ts=("registration_date_time",))
     batch_rows = p.raw_rows
-    return IM.import_summary(batch_rows, res.outcome, rejected, cap=100).select(
+    return IM.import_summary(batch_rows, res.outcome, rejected, cap=IM.ERROR_CAP).select(
         "rows", "created", "updated", "skipped", "error_count", F.to_json("errors").alias("errors"))
 
 
+@query("c20_summary_by_file")
+def c20_by_file(spark, sf):
+    """Raw rows dealt over seven files of three sheets, summarised per file and sheet."""
+    k = F.col("row_number_in_file")
+    batch = prog(spark, sf).raw_rows.select(
+        F.concat(F.lit("file"), (k % 7).cast("string"), F.lit(".csv")).alias("path"), (k % 3).cast("int").alias("sheet_index"),
+        k.alias("row_number"), "email", "name", F.col("phone").alias("phone_number"))
+    return IM.file_summary(batch, "participants", {f: f for f in ("email", "name", "phone_number")}, SLOT_YEAR)
+
+
+@query("c21_workbook_summary")
+def c21(spark, sf):
+    """Bookings re-sent from the lab records, one sheet per workshop: rows, inserts, updates and workshops per
+    sheet and in total."""
+    p = prog(spark, sf)
+    res = M.merge_keyed(p.bookings, booking_batch(p), ["email", "form_name"], "upsert", run_ts=RUN_TS,
+                        overwrite=["name", "time_slot", "time_slot_range"], touch_col=None)
+    return IM.workbook_summary(res.outcome.select(
+        F.substring("form_name", 10, 3).try_cast("int").alias("sheet_index"), F.col("form_name").alias("workshop_name"),
+        "inserted", "updated"))
+
+
 @query("u5_weekly_update_mode")
 def u5(spark, sf):
-    """Weekly update mode: per (week, e-mail) the latest signup event supplies
+    """Weekly update mode: per (week, e-mail) the latest event supplies
     a repository link and likes; only non-null fields overwrite, updated_at
     takes the supplied time, else the run time."""
     p = prog(spark, sf)
     target = p.weekly.withColumn("updated_at", F.col("created_at"))
-    e = Tables(spark, sf).events.filter(F.col("event_type") == "signup")
+    e = Tables(spark, sf).events
     eid = F.col("event_id")
     sup = e.select((F.floor((F.dayofmonth("ts") - 1) / 7).cast("int") + 1).alias("week_number"),
                    F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"),

@@ -109,11 +109,11 @@ FROM supplier
     "access_permissions": """
 SELECT p_partkey AS permission_id, concat('route_', CAST(p_partkey AS STRING)) AS route_name, p_name AS display_name,
        CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_type END AS category
-FROM part WHERE p_partkey < 50
+FROM part
 """,
     "access_grants": """
-SELECT DISTINCT l_suppkey AS user_id, l_partkey % 50 AS permission_id
-FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_partkey % 7 = 0
+SELECT DISTINCT l_suppkey AS user_id, l_partkey AS permission_id
+FROM lineitem
 """,
     "linked_pages": """
 SELECT page_id, url,

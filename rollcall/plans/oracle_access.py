@@ -5,8 +5,9 @@ from __future__ import annotations
 from rollcall.plans.fixture_sql import with_views as W
 
 REQUESTS = """
-SELECT DISTINCT l_suppkey AS user_id, 'route_' || CAST(l_orderkey % 60 AS VARCHAR) AS route_name
-FROM lineitem WHERE l_linenumber = 1"""
+SELECT DISTINCT l_suppkey AS user_id,
+       'route_' || CAST(l_partkey + CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 0 END AS VARCHAR) AS route_name
+FROM lineitem"""
 
 SUB_TEXT = ("lower(concat_ws(' ', COALESCE(workshop_name, ''), COALESCE(email, ''), COALESCE(name, ''), "
             "COALESCE(project_link, '')))")

@@ -69,7 +69,7 @@ wb AS (
          'https://github.com/new/' || CAST(event_id AS VARCHAR) AS github_link,
          CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 100 AS INTEGER) END AS likes,
          ts AS created_at, event_id AS row_number
-  FROM events WHERE event_type IN ('click', 'view')),
+  FROM events),
 wr AS (
   SELECT week_number, email,
          max_by(github_link, row_number) AS github_link,
@@ -78,7 +78,7 @@ wr AS (
   FROM wb GROUP BY week_number, email)"""
 
 NEW_GRANTS = """
-new_grants AS (SELECT l_suppkey AS user_id, l_orderkey % 50 AS permission_id FROM lineitem WHERE l_linenumber = 7)"""
+new_grants AS (SELECT l_suppkey AS user_id, l_partkey + l_linenumber AS permission_id FROM lineitem)"""
 
 
 def _strip(x: str) -> str:
@@ -151,6 +151,18 @@ rejected AS (
   SELECT row_number, 'Row ' || CAST(row_number AS VARCHAR) || ': ' || reason AS error
   FROM checked WHERE reason IS NOT NULL)"""
 
+# Records matched on (email, name), or on the e-mail alone where the name is missing.
+NAMED = """
+named AS (SELECT email, CASE WHEN row_number % 2 <> 0 THEN name END AS name, occupation, phone_number, row_number FROM batch),
+met AS (SELECT p.email, n.name, n.occupation, n.phone_number, n.row_number
+        FROM named n JOIN participants p ON n.email = p.email AND coalesce(n.name = p.name, true)),
+final AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY email ORDER BY row_number DESC) = 1),
+stored AS (SELECT p.email, p.name, p.occupation, p.phone_number, f.email IS NOT NULL AS hit, f.name AS b_name,
+                  f.occupation AS b_occupation, f.phone_number AS b_phone
+           FROM participants p LEFT JOIN final f ON p.email = f.email),
+arrived AS (SELECT * FROM named WHERE email NOT IN (SELECT email FROM participants)
+            QUALIFY row_number() OVER (PARTITION BY email ORDER BY row_number) = 1)"""
+
 ORACLE = {
     "u1_upsert_participants": W(f", {BATCH}\n{UPSERT_STATE}", "participants", "submissions"),
     "u2_create_participants": W(f", {BATCH}\n{CREATE_STATE}", "participants", "submissions"),
@@ -213,13 +225,35 @@ SELECT t.email,
        CASE WHEN l.tk IS NOT NULL THEN l.occupation ELSE t.occupation END AS occupation,
        CASE WHEN l.tk IS NOT NULL THEN l.phone_number ELSE t.phone_number END AS phone_number
 FROM participants t LEFT JOIN lasthit l ON t.email = l.tk""", "participants", "submissions"),
-    "l1_change_capture_upsert": W(f""", {BATCH}
-SELECT 'participants' AS table_name,
-       CASE WHEN t.email IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS operation_type,
+    "u9_upsert": W(f""", {BATCH}, {NAMED}
+SELECT email, CASE WHEN hit THEN b_name ELSE name END AS name, CASE WHEN hit THEN b_occupation ELSE occupation END AS occupation,
+       CASE WHEN hit THEN b_phone ELSE phone_number END AS phone_number FROM stored
+UNION ALL SELECT email, name, occupation, phone_number FROM arrived""", "participants", "submissions"),
+    "u9_create": W(f""", {BATCH}, {NAMED}
+SELECT email, name, occupation, phone_number FROM stored
+UNION ALL SELECT email, name, occupation, phone_number FROM arrived""", "participants", "submissions"),
+    "u9_rejected": W(f""", {BATCH}, {NAMED}
+SELECT email, row_number FROM named n
+WHERE name IS NOT NULL AND email IN (SELECT email FROM participants)
+  AND NOT EXISTS (SELECT 1 FROM participants p WHERE p.email = n.email AND p.name = n.name)""",
+                     "participants", "submissions"),
+    "u9_changes": W(f""", {BATCH}, {NAMED}
+SELECT 'participants' AS table_name, 'UPDATE' AS operation_type, email AS record_identifier, {TS} AS log_ts,
+       email AS old_email, name AS old_name, occupation AS old_occupation, phone_number AS old_phone_number,
+       email AS new_email, b_name AS new_name, b_occupation AS new_occupation, b_phone AS new_phone_number
+FROM stored WHERE hit
+UNION ALL
+SELECT 'participants', 'INSERT', email, {TS}, NULL, NULL, NULL, NULL, email, name, occupation, phone_number FROM arrived""",
+                    "participants", "submissions"),
+    "l1_change_capture_upsert": W(f""", {BATCH},
+latest AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY email ORDER BY row_number DESC) = 1)
+SELECT 'participants' AS table_name, CASE WHEN t.email IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS operation_type,
        s.email AS record_identifier, {TS} AS log_ts,
-       t.email IS NOT NULL AS has_old, true AS has_new
-FROM (SELECT DISTINCT email FROM batch) s LEFT JOIN participants t ON s.email = t.email""",
-                                  "participants", "submissions"),
+       t.email AS old_email, t.name AS old_name, t.occupation AS old_occupation, t.phone_number AS old_phone_number,
+       t.city AS old_city, CAST(t.prior_cohort AS VARCHAR) AS old_prior_cohort,
+       s.email AS new_email, s.name AS new_name, s.occupation AS new_occupation, s.phone_number AS new_phone_number,
+       t.city AS new_city, CAST(coalesce(t.prior_cohort, false) AS VARCHAR) AS new_prior_cohort
+FROM latest s LEFT JOIN participants t ON s.email = t.email""", "participants", "submissions"),
     "l2_record_identifiers": W("""
 SELECT 'weekly' AS table_name, COALESCE(CAST(week_number AS VARCHAR), 'NULL') || '|' || COALESCE(email, 'NULL') AS rid
 FROM weekly
@@ -263,6 +297,30 @@ SELECT (SELECT COUNT(*) FROM raw_rows) AS rows,
        (SELECT COUNT(*) FROM rejected) AS error_count,
        (SELECT to_json(list(error ORDER BY row_number)) FROM (SELECT * FROM rejected ORDER BY row_number LIMIT 100) r)
          AS errors""", "participants", "raw_rows"),
+    "c20_summary_by_file": W(f"""
+, cell AS (
+  SELECT 'file' || CAST(row_number_in_file % 7 AS VARCHAR) || '.csv' AS path,
+         CAST(row_number_in_file % 3 AS INTEGER) AS sheet_index, email, name,
+         length(coalesce(email, '') || coalesce(name, '') || coalesce(phone, '')) = 0 AS blank,
+         coalesce({_strip('email')}, '') AS mail, coalesce({_strip('name')}, '') AS who FROM raw_rows),
+judged AS (
+  SELECT path, sheet_index, CASE WHEN blank THEN 'blank' WHEN mail = '' OR who = '' THEN 'missing'
+                                 WHEN NOT regexp_matches(mail, '{EMAIL_RE}') THEN 'invalid' ELSE 'good' END AS fate
+  FROM cell)
+SELECT path, sheet_index, count(*) AS rows, count(*) FILTER (fate = 'blank') AS blank,
+       count(*) FILTER (fate = 'good') AS accepted, count(*) FILTER (fate = 'missing') AS missing_fields,
+       count(*) FILTER (fate = 'invalid') AS invalid_email
+FROM judged GROUP BY ALL""", "raw_rows"),
+    "c21_workbook_summary": W("""
+, sent AS (SELECT email, workshop_name, TRY_CAST(substr(workshop_name, 10, 3) AS INTEGER) AS sheet_index FROM labs),
+fate AS (SELECT s.*, b.email IS NULL AS fresh FROM sent s
+         LEFT JOIN (SELECT DISTINCT email, form_name FROM bookings) b ON b.email = s.email AND b.form_name = s.workshop_name)
+SELECT sheet_index, count(*) AS rows_read, CAST(sum(CAST(fresh AS INTEGER)) AS BIGINT) AS inserted,
+       CAST(sum(CAST(NOT fresh AS INTEGER)) AS BIGINT) AS updated, count(DISTINCT workshop_name) AS workshops, false AS is_total
+FROM fate GROUP BY sheet_index
+UNION ALL
+SELECT NULL, count(*), CAST(sum(CAST(fresh AS INTEGER)) AS BIGINT), CAST(sum(CAST(NOT fresh AS INTEGER)) AS BIGINT),
+       count(DISTINCT workshop_name), true FROM fate""", "bookings", "labs"),
     "u5_weekly_update_mode": W(f""",
 sup AS (
   SELECT CAST(floor((day(ts) - 1) / 7) AS INTEGER) + 1 AS week_number,
@@ -270,7 +328,7 @@ sup AS (
          CASE WHEN event_id % 2 = 0 THEN 'https://github.com/upd/' || CAST(event_id AS VARCHAR) END AS gl,
          CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 7 AS INTEGER) END AS lk,
          CASE WHEN event_id % 5 <> 0 THEN ts END AS ua, event_id AS row_number
-  FROM events WHERE event_type = 'signup'),
+  FROM events),
 upd AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY week_number, email ORDER BY row_number DESC) AS rn
                        FROM sup s) WHERE rn = 1)
 SELECT t.week_number, t.email,

@@ -74,11 +74,17 @@ def test_match_fields_split_by_null_pattern(spark):
                                   "email string, name string, occ string, row_number long")
     res = M.merge_on_match_fields(target, batch, ["email", "name"], "upsert", run_ts=RUN_TS, target_key=["email"])
     got = sorted(tuple(r) for r in res.state.collect())
-    # a@x matched on e-mail only (name null); b@x did not match (name differs) and c@x is new: both insert
-    assert ("a@x", None, "n1") in got and ("b@x", "Bob", "o2") in got
-    assert ("c@x", "Cy", "n3") in got
+    # a@x matched on e-mail only (name null); c@x is new; b@x did not match (name differs) and its key
+    # exists, so it can't be inserted: the stored row stays and the record comes back
+    assert got == [("a@x", None, "n1"), ("b@x", "Bob", "o2"), ("c@x", "Cy", "n3")]
+    assert [tuple(r) for r in res.rejected.collect()] == [("b@x", 2)]
     c = res.counts().first()
-    assert (c.inserted, c.updated) == (2, 1)
+    assert (c.inserted, c.updated) == (1, 1)
+    log = {r.operation_type: json.loads(r.new_values) for r in res.changes("items").collect()}
+    assert log == {"UPDATE": {"email": "a@x", "name": None, "occ": "n1"}, "INSERT": {"email": "c@x", "name": "Cy", "occ": "n3"}}
+    made = M.merge_on_match_fields(target, batch, ["email", "name"], "create", run_ts=RUN_TS, target_key=["email"])
+    assert sorted(r.email for r in made.state.collect()) == ["a@x", "b@x", "c@x"]
+    assert {r.operation_type for r in made.changes("items").collect()} == {"INSERT"}
 
 
 def test_versioned_write_is_idempotent(spark, scratch):
@@ -216,3 +222,5 @@ def test_partial_update_folds_repeated_keys(spark):
     state, counts = M.partial_update(target, updates, ["k"], run_ts=RUN_TS, touch_col=None, order_col="row_number")
     assert sorted(tuple(r) for r in state.collect()) == [(1, "y", 5), (2, "b", 20)]
     assert counts.first().updated == 3  # three statements, each setting a field
+    unordered, _ = M.partial_update(target, updates.drop("row_number"), ["k"], run_ts=RUN_TS, touch_col=None)
+    assert sorted(r.k for r in unordered.collect()) == [1, 2]
