@@ -39,11 +39,21 @@ def _raw_rows_csv(spark, sf):
 
 @query("s1_delimited_scan")
 def s1(spark, sf):
-    """Data rows of the scanned files, one column per header cell (row
-    numbers and header rows depend on how the files were split, so they are
-    left out of the registered result)."""
-    rows = _raw_rows_csv(spark, sf).filter(F.col("row_number") > 1)
-    return rows.select(*[F.col("cells")[i].alias(c) for i, c in enumerate(RAW_COLUMNS)])
+    """Files of three layouts in one folder: ';' with eight columns; ',' with an extra column and a line break
+    inside quoted cells; tab with the first six columns.  Returns the data rows, with the number of their cells."""
+    path = W.scratch_path(spark, "raw-rows-layouts")
+    raw, k = prog(spark, sf).raw_rows, F.col("row_number_in_file")
+    broken = F.concat(F.coalesce("name", F.lit("")), F.lit("\nsecond; line"))
+    layouts = {
+        ";": raw.filter(k % 3 == 0),
+        ",": raw.filter(k % 3 == 1).withColumn("name", broken).withColumn("extra", F.concat(F.lit("x"), k.cast("string"))),
+        "\t": raw.filter(k % 3 == 2).select(*RAW_COLUMNS[:6])}
+    for n, (sep, df) in enumerate(layouts.items()):
+        (df.write.option("header", "true").option("sep", sep).option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
+         .option("ignoreTrailingWhiteSpace", "false").csv(f"{path}/layout={n}"))
+    rows = scan_delimited(spark, f"{path}/*").filter(F.col("row_number") > 1)
+    return rows.select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate([*RAW_COLUMNS, "extra"])],
+                       F.size("cells").alias("n_cells"))
 
 
 @query("c19_participant_sheet_parse")

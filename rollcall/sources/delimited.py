@@ -1,60 +1,138 @@
 """Delimited-file scan.
 
-* delimiter: the most frequent of ``, ; TAB |`` in the first 1024 characters
-  (only that bounded head is looked at on the driver);
+Every file is judged for itself, from one pass over its lines:
+
+* delimiter: the most frequent of ``, ; TAB |`` outside quotes, in the whole file;
 * encoding: UTF-8 (a leading BOM is dropped) unless some line of the file is
-  not valid UTF-8, then latin-1 - checked in parallel with ``is_valid_utf8``;
-* every cell is a string; empty cells and the missing cells of short rows
-  are ''; the first row is the header (row 1).
+  not valid UTF-8, then latin-1;
+* quoted line breaks: a line with an odd number of quotes leaves a quote
+  open, so the file is read with records that may span lines;
+* width: the header's number of cells; longer records keep all their cells.
+
+Files of one layout (delimiter, encoding, line breaks) are read by one CSV
+scan, wide enough for the widest record.  Every cell is a string; empty cells
+and the missing cells of short rows are ''; the first row is the header (row
+1).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.operators.joins import MAX_BROADCAST_ROWS
 from rollcall.sources.rows import number_rows
 
-# Candidate delimiters in preference order, and the sniff window.
+# Candidate delimiters in preference order.
 DELIMITERS = [",", ";", "\t", "|"]
-SNIFF_CHARS = 1024
+BOM = "﻿"
+
+
+def profile(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: ``path``, ``sep``, ``encoding``, ``open_quotes``, ``width`` (most delimiters outside quotes in
+    a line, plus one) and ``header_width``."""
+    line = F.col("value")
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+
+    def times(text: Column, what: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
+
+    lines = spark.read.text(path).select(
+        F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("at"),
+        F.is_valid_utf8(line).alias("utf8"), (times(line, '"') % 2 == 1).alias("odd"),
+        *[times(bare, d).alias(f"n{i}") for i, d in enumerate(DELIMITERS)])
+    each = range(len(DELIMITERS))
+    files = lines.groupBy("path").agg(
+        F.bool_and("utf8").alias("utf8"), F.bool_or("odd").alias("open_quotes"),
+        *[F.sum(f"n{i}").alias(f"s{i}") for i in each], *[F.max(f"n{i}").alias(f"m{i}") for i in each],
+        *[F.min_by(f"n{i}", "at").alias(f"h{i}") for i in each])
+    most = F.greatest(*[F.col(f"s{i}") for i in each])
+    best = F.lit(0)
+    for i in reversed(each):
+        best = F.when((F.col(f"s{i}") == most) & (most > 0), F.lit(i)).otherwise(best)
+
+    def of(kind: str) -> Column:
+        return F.element_at(F.array(*[F.col(f"{kind}{i}") for i in each]), F.col("best") + 1)
+
+    return files.withColumn("best", best).select(
+        "path", F.element_at(F.array(*[F.lit(d) for d in DELIMITERS]), F.col("best") + 1).alias("sep"),
+        F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("encoding"), "open_quotes",
+        (of("m") + 1).cast("int").alias("width"), (of("h") + 1).cast("int").alias("header_width"))
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    head = spark.read.text(path).limit(64).collect()  # bounded head of the file
-    text = "\n".join(r.value for r in head)[:SNIFF_CHARS]
-    counts = {d: text.count(d) for d in DELIMITERS}
-    best = max(DELIMITERS, key=lambda d: (counts[d], -DELIMITERS.index(d)))
-    return best if counts[best] > 0 else ","
+    """Delimiter of one file (of the first by name in a folder)."""
+    return profile(spark, path).orderBy("path").first()["sep"]
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line fails UTF-8 validation (then latin-1)."""
-    bad = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value")).alias("bad")).first()["bad"]
-    return "UTF-8" if bad == 0 else "ISO-8859-1"
+    """Encoding of one file (of the first by name in a folder)."""
+    return profile(spark, path).orderBy("path").first()["encoding"]
+
+
+def _read(spark: SparkSession, paths: list[str], sep: str, encoding: str, multi_line: bool, width: int) -> DataFrame:
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    return (spark.read.option("header", "false").option("sep", sep).option("encoding", encoding)
+            .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+            .option("multiLine", str(multi_line).lower()).option("maxColumns", str(max(20480, width + 1)))
+            .schema(schema).csv(paths))
 
 
 def scan_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
                    width: int | None = None) -> DataFrame:
-    """Rows of one delimited file (or a folder of files with the same
-    layout) in the common row shape.  ``width`` fixes the number of cells
-    (default: the header's)."""
-    sep = sep or sniff_delimiter(spark, path)
-    encoding = encoding or detect_encoding(spark, path)
-    reader = (spark.read.option("header", "false").option("sep", sep).option("encoding", encoding)
-              .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"'))
-    if width:
-        schema = ", ".join(f"_c{i} string" for i in range(width))
-        df = reader.schema(schema).csv(path)
-    else:
-        df = reader.csv(path)
-        df = df.select(*[F.col(c).cast("string") for c in df.columns])
-    # every cell is text: empty and missing cells are '' (the CSV reader
-    # cannot tell an empty field from a missing one; both mean "no value")
-    cols = [F.coalesce(F.col(c), F.lit("")) for c in df.columns]
-    # a BOM survives as the first character of the first header cell
-    cells = F.array(F.regexp_replace(cols[0], "^\ufeff", ""), *cols[1:])
-    rows = df.select(F.input_file_name().alias("path"), cells.alias("cells"))
-    rows = number_rows(rows, "path")
+    """Rows of the files under ``path`` in the common row shape.  ``sep`` and
+    ``encoding`` override what the files show; ``width`` fixes the number of
+    cells of every row (default: the file's header, or more where a record
+    has more)."""
+    files = profile(spark, path)
+    found = files.collect()     # one row per file, as the file listing itself
+    layouts: dict[tuple, list] = {}
+    for f in found:
+        layouts.setdefault((sep or f["sep"], encoding or f["encoding"], f["open_quotes"]), []).append(f)
+    parts = []
+    for (s, e, multi), members in layouts.items():
+        paths = [path] if len(layouts) == 1 else [unquote(f["path"]) for f in members]
+        wide = width or max(_widest(f, s, sep) for f in members)
+        df = _read(spark, paths, s, e, multi, wide + 1)
+        if multi and not width:
+            # a record over several lines may have more cells than any line: widen until the last column is empty
+            while not df.filter(F.col(f"_c{wide}").isNotNull()).isEmpty():
+                wide *= 2
+                df = _read(spark, paths, s, e, multi, wide + 1)
+        parts.append(_shaped(df, wide, width, members))
+    if not parts:
+        return spark.createDataFrame([], "path string, sheet_index int, sheet_name string, row_number bigint, "
+                                         "cells array<string>")
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
     return rows.select("path", F.lit(0).alias("sheet_index"),
                        F.regexp_extract("path", r"([^/]+)$", 1).alias("sheet_name"), "row_number", "cells")
+
+
+def _widest(f, sep: str, given: str | None) -> int:
+    """Cells to make room for; a delimiter that was given may occur more often than the file's own."""
+    return f["width"] if not given or given == f["sep"] else max(f["width"], 64)
+
+
+def _shaped(df: DataFrame, wide: int, width: int | None, members: list) -> DataFrame:
+    # the CSV reader cannot tell an empty field from a missing one (both mean "no value"), so a row has as many cells
+    # as its file's header, or up to its last value
+    cols = [F.col(f"_c{i}") for i in range(wide)]
+    last = F.greatest(*[F.when(c.isNotNull(), F.lit(i + 1)).otherwise(F.lit(0)) for i, c in enumerate(cols)]) \
+        if wide > 1 else F.lit(1)
+    cells = F.array(*[F.coalesce(c, F.lit("")) for c in cols])
+    named = df.select(F.input_file_name().alias("path"), cells.alias("cells"), last.alias("last"))
+    rows = number_rows(named, "path", files=len(members))
+    if width:
+        size = F.lit(width)
+    else:
+        spark = df.sparkSession
+        heads = spark.createDataFrame([(f["path"], f["header_width"]) for f in members], "path string, header_width int")
+        rows = rows.join(F.broadcast(heads) if len(members) <= MAX_BROADCAST_ROWS else heads, "path")
+        size = F.greatest("header_width", "last")
+    first = F.regexp_replace(F.element_at("cells", 1), f"^{BOM}", "")
+    return rows.select("path", "row_number",
+                       F.concat(F.array(first), F.slice("cells", F.lit(2), F.greatest(size - 1, F.lit(0)))).alias("cells"))

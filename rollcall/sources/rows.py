@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 from rollcall.operators.joins import bounded_broadcast
 
 ROWS_SCHEMA = "path string, sheet_index int, sheet_name string, row_number long, cells array<string>"
-# One offset row per (file, input split); far below this in practice.
-MAX_SPLITS = 1_000_000
 
 
-def number_rows(df: DataFrame, by: str, name: str = "row_number", start: int = 1) -> DataFrame:
+def number_rows(df: DataFrame, by: str, name: str = "row_number", start: int = 1, files: int = 1) -> DataFrame:
     """Dense row numbers per ``by`` value in input order, without a global
     sort or a single-partition window.
 
@@ -35,7 +33,8 @@ def number_rows(df: DataFrame, by: str, name: str = "row_number", start: int = 1
     runs = d.groupBy(by, "__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     w = Window.partitionBy(by).orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select(by, "__pid", "__first", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    j = d.join(bounded_broadcast(offsets, MAX_SPLITS), [by, "__pid"])
+    # a split holds a run of each of its files, so there are at most as many runs as splits and files together
+    j = d.join(bounded_broadcast(offsets, df.rdd.getNumPartitions() + files), [by, "__pid"])
     return j.withColumn(name, (F.col("__off") + F.col("__id") - F.col("__first") + start).cast("long")) \
         .drop("__id", "__pid", "__first", "__off")
 

@@ -8,6 +8,7 @@ from rollcall.sources import delimited, sheets, workbook
 from rollcall.sources.rows import headers as header_table
 from xlsx_writer import write_xlsx
 
+# The header texts of the form and project sheets.
 FORM_HEADERS = ["Team Name", "Leader Name", "Leader Email", "Leader Phone", "Team Size", "Problem Statements",
                 "Name", "Email", "Book your slot for workshop 1 - Summarizer", "Created At", "Created By Name",
                 "Created By Email", "Updated At", "Updated By Name", "Updated By Email"]
@@ -40,6 +41,28 @@ def test_csv_latin1(spark, scratch):
     assert rows.cells == ["Jos\xe9", "S\xe3o Paulo"]
 
 
+def test_every_file_is_judged_for_itself(spark, scratch):
+    """Delimiter, encoding, width and line breaks differ between the files of a folder; no cell or row is lost."""
+    files = {"a.csv": "name;age\nAnn;3\n".encode(), "b.csv": "name,age\nBob,4\nCy,5,extra,\n".encode(),
+             "c.csv": "name,city\nJos\xe9,S\xe3o\n".encode("latin-1"), "d.csv": "name,city\nJosé,São\n".encode(),
+             "e e.csv": b'name,note\nDee,"two\nlines, here"\nEve,"a ""q"" b"\n', "f.csv": b"a|b|c|d|e\n1|2|3|4|5\n|||4|\n",
+             "g.csv": b"one\nx\n"}
+    for name, data in files.items():
+        with open(os.path.join(scratch, name), "wb") as f:
+            f.write(data)
+    rows = delimited.scan_delimited(spark, scratch).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.sheet_name, r.row_number)):
+        got.setdefault(r.sheet_name, []).append((r.row_number, r.cells))
+    assert got["a.csv"] == [(1, ["name", "age"]), (2, ["Ann", "3"])]
+    assert got["b.csv"] == [(1, ["name", "age"]), (2, ["Bob", "4"]), (3, ["Cy", "5", "extra"])]
+    assert got["c.csv"] == [(1, ["name", "city"]), (2, ["José", "São"])] == got["d.csv"]
+    spaced = next(v for k, v in got.items() if k.startswith("e"))
+    assert spaced == [(1, ["name", "note"]), (2, ["Dee", "two\nlines, here"]), (3, ["Eve", 'a "q" b'])]
+    assert got["f.csv"] == [(1, list("abcde")), (2, list("12345")), (3, ["", "", "", "4", ""])]
+    assert got["g.csv"] == [(1, ["one"]), (2, ["x"])]
+
+
 def test_row_numbers_dense_across_splits(spark, scratch):
     path = os.path.join(scratch, "big.csv")
     n = 60000
