@@ -38,9 +38,9 @@ def enrich_bounded(small: DataFrame, big: DataFrame, key: str, bound: int, how:
     ``bound`` rows.
 
     The small side's keys are broadcast into a semi-join that filters ``big``
-    where it lies (no shuffle of ``big``); the survivors (<= bound per key
-    multiplicity) are then joined to ``small``."""
+    where it lies (no shuffle of ``big``); the survivors are then joined to
+    ``small``."""
     keys = bounded_broadcast(small.select(key).distinct(), bound)
     hits = big.join(keys, key, "left_semi")
-    # ``big`` is unique on ``key`` here (a dimension), so ``hits`` is bounded too
-    return small.join(bounded_broadcast(hits, bound), key, how)
+    # how many rows of ``big`` share a key is not known here: the planner chooses the join by size
+    return small.join(hits, key, how)

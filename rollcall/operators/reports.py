@@ -271,9 +271,9 @@ def slot_number_report(bookings: DataFrame, participants: DataFrame) -> DataFram
 
     Plan: join bookings to the occupation of participants, aggregate by
     (workshop, sort group, date, label, occupation) - combined map-side - and
-    only then rank.  The window therefore sorts the aggregated rows (bounded
-    by distinct labels x occupations), not the bookings; ranking the raw rows
-    would put every booking of a workshop into one task."""
+    join the rank of the date back.  The window sorts the distinct dates of a
+    workshop only; ranking bookings or labels would put a workshop into one
+    task."""
     b = (bookings.filter(F.col("form_name").like("Workshop %"))
          .select("email",
                  L.workshop_number("form_name").alias("workshop_number"),
@@ -286,9 +286,14 @@ def slot_number_report(bookings: DataFrame, participants: DataFrame) -> DataFram
            .groupBy("workshop_number", "slot_group", "slot_date", "time_slot",
                     L.occupation_label("occupation").alias("occupation"))
            .agg(_count()))
+    # ranks come from the distinct dates of a workshop, however many labels or bookings there are
     order = Window.partitionBy("workshop_number").orderBy(
         F.col("slot_group").asc_nulls_last(), F.col("slot_date").asc_nulls_last())
-    return (agg.withColumn("time_slot_number", F.dense_rank().over(order))
+    dates = agg.select("workshop_number", "slot_group", "slot_date").distinct()
+    ranked = dates.select(F.col("workshop_number").alias("w"), F.col("slot_group").alias("g"), F.col("slot_date").alias("d"),
+                          F.row_number().over(order).alias("time_slot_number"))
+    return (agg.join(ranked, (F.col("workshop_number") == F.col("w")) & F.col("slot_group").eqNullSafe(F.col("g"))
+                     & F.col("slot_date").eqNullSafe(F.col("d")))
             .select("workshop_number", "time_slot_number", "time_slot", "occupation", "count")
             .orderBy("workshop_number", "time_slot_number", "occupation"))
 

@@ -1,11 +1,6 @@
-"""Exact page reading (V2 plain text + V3 counters) with a real HTML parser.
-
-``functions.links`` reads pages with regular expressions inside codegen; this
-module is the exact variant: a ``mapInPandas`` pass over pages (Arrow
-batches, one parse per page, no shuffle) using the standard library's
-``html.parser`` with the reference's tree semantics - first matching button,
-first action-text span decides, else the first all-digit span, text of
-nested elements included.
+"""Model of the page reading (V2 plain text + V3 counters) with the standard library's HTML parser,
+against which the tests hold the regular expressions of ``functions.links``: first matching button, first
+action-text span decides, else the first all-digit span, text of nested elements included.
 """
 
 from __future__ import annotations

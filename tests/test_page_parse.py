@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
+import page_model as PP
 from conftest import SF_ORACLE
-from rollcall.operators import page_parse as PP
 from rollcall.operators import validation as V
 from rollcall.plans.catalog_links import fetched_pages
 from rollcall.plans.views import Programme
