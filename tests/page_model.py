@@ -6,16 +6,11 @@ action-text span decides, else the first all-digit span, text of nested elements
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
 from rollcall.functions import links as LK
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SIGNALS_SCHEMA = "link string, missing boolean, page_likes int, page_comments int"
 
 
 class _Node:
@@ -85,17 +80,3 @@ def read_page(html: str | None, status: int | None = None) -> tuple[bool, int, i
     head = tree.root.text()[:LK.PLAIN_TEXT_WINDOW].lower()
     missing = status == 404 or "404" in head or "not found" in head
     return missing, _counter(tree.root, LK.LIKE_LABEL), _counter(tree.root, LK.COMMENT_LABEL)
-
-
-def _signals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        status = pdf["status"] if "status" in pdf else [None] * len(pdf)
-        out = [read_page(h, s) for h, s in zip(pdf["html"], status)]
-        yield pd.DataFrame({"link": pdf["link"], "missing": [o[0] for o in out],
-                            "page_likes": [o[1] for o in out], "page_comments": [o[2] for o in out]})
-
-
-def page_signals_exact(pages: DataFrame) -> DataFrame:
-    """Exact V2/V3 signals per page: (link, missing, page_likes, page_comments)."""
-    cols = ["link", "html"] + (["status"] if "status" in pages.columns else [])
-    return pages.select(*cols).mapInPandas(_signals, SIGNALS_SCHEMA)
