@@ -364,7 +364,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stored = Stored(get_ready(docs.sparkSession), "ngram-join")
     sketched = stored.put(sketch(docs, id_col, text_col, **options), "sketch")
     linked = classes(docs, sketched, stored, text_col, id_col)
-    marked = with_node(docs, text_col).join(linked.drop("n_links"), "node", "left")
+    # whole rows meet their class by a merge join at every size, like the candidate texts above
+    marked = with_node(docs, text_col).join(linked.drop("n_links").hint("merge"), "node", "left")
     # only rows that carry the class's id can stay; where several do, partial aggregation leaves one per task
     alone = marked.filter(F.col("class_node").isNull()).select("row.*")
     chosen = (marked.filter(F.col("class_node").isNotNull() & F.col("row")[id_col].eqNullSafe(F.col("class_id")))
