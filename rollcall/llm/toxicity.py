@@ -25,6 +25,7 @@ labels (0 without labels); equal texts score alike.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,37 +92,40 @@ class Model:
 
 
 class Bags:
-    """Documents as word numbers cut into segments; words as subword numbers."""
+    """Documents as word numbers cut into segments; words as subword numbers.  All in flat arrays of 4-byte numbers."""
 
     def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.subs: list[np.ndarray] = []
-        self.docs: list[np.ndarray] = []
+        self.subs, self.sub_counts = array("i"), array("i")
+        self.words, self.word_counts = array("i"), array("i")
         self.labels: list[int] = []
 
     def add(self, text: str, label: int) -> None:
-        ids = []
-        for w in words(text):
+        found = words(text)
+        for w in found:
             k = self.numbers.get(w)
             if k is None:
-                k = self.numbers[w] = len(self.subs)
-                self.subs.append(np.array(subwords(w), np.int32))
-            ids.append(k)
-        if ids:
-            self.docs.append(np.array(ids, np.int32))
+                k = self.numbers[w] = len(self.numbers)
+                subs = subwords(w)
+                self.subs.extend(subs)
+                self.sub_counts.append(len(subs))
+            self.words.append(k)
+        if found:
+            self.word_counts.append(len(found))
             self.labels.append(label)
 
     def close(self) -> None:
-        self.sub_len = np.array([len(x) for x in self.subs], np.int64)
+        self.numbers = {}
+        self.sub_flat = np.frombuffer(self.subs, np.int32)
+        self.sub_len = np.array(self.sub_counts, np.int64)
         self.sub_off = np.concatenate(([0], np.cumsum(self.sub_len)))[:-1]
-        self.sub_flat = np.concatenate(self.subs)
-        self.word_flat = np.concatenate(self.docs)
-        length = np.array([len(d) for d in self.docs], np.int64)
+        self.word_flat = np.frombuffer(self.words, np.int32)
+        length = np.array(self.word_counts, np.int64)
         per_doc = -(-length // SEGMENT)
         self.doc_first = np.concatenate(([0], np.cumsum(per_doc)))
         start = np.concatenate(([0], np.cumsum(length)))[:-1]
         seg = np.arange(self.doc_first[-1])
-        self.seg_doc = np.repeat(np.arange(len(self.docs)), per_doc)
+        self.seg_doc = np.repeat(np.arange(len(length)), per_doc)
         self.seg_start = start[self.seg_doc] + (seg - self.doc_first[self.seg_doc]) * SEGMENT
         self.seg_len = np.minimum(SEGMENT, start[self.seg_doc] + length[self.seg_doc] - self.seg_start)
         self.y = np.array(self.labels, np.int64)
