@@ -12,6 +12,7 @@ from rollcall.plans import (  # noqa: F401  (registration side effects)
     catalog_links,
     catalog_merge,
     catalog_reports,
+    catalog_workbook,
 )
 from rollcall.plans.catalog import QUERIES
 from rollcall.plans.oracle import ORACLE
