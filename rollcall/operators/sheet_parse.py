@@ -44,6 +44,12 @@ def _prepare(rows: DataFrame, kind: str | None, fields: dict[str, list[str]], va
     return mapped, errors
 
 
+def _of_sheet(rows: DataFrame, column: str) -> DataFrame:
+    """An attribute of the sheets, from their header rows."""
+    heads = rows.filter("row_number = 1").select(*H.SHEET, column).distinct()
+    return checked_broadcast(heads, H.SHEETS_BOUND)
+
+
 def _check_rows(mapped: DataFrame, missing_msg: str) -> tuple[DataFrame, DataFrame]:
     t = mapped.withColumn("email", C.normalize_string("email")).withColumn("name", C.normalize_string("name"))
     reason = (F.when(F.col("email").isNull() | F.col("name").isNull(), F.lit(missing_msg))
@@ -79,7 +85,7 @@ def parse_form_sheets(rows: DataFrame, year: int, run_ts: str,
     kept as text; created/updated parsed or the run time."""
     rows = rows.filter(F.col("role") == "form")
     mapped, errors = _prepare(rows, "form", H.FORM_FIELDS, validate=True, prefer_exact=prefer_exact)
-    mapped = mapped.join(checked_broadcast(rows.filter("row_number = 1").select(*H.SHEET, "workshop").distinct(), H.SHEETS_BOUND), H.SHEET)
+    mapped = mapped.join(_of_sheet(rows, "workshop"), H.SHEET)
     ok, row_errs = _check_rows(mapped, MSG.MISSING_NAME_OR_EMAIL)
     ok = C.with_datetime(ok, "time_slot", "__slot", year)
     ok = C.with_datetime(ok, "created_at", "__created", year)
@@ -99,7 +105,7 @@ def parse_project_sheets(rows: DataFrame, year: int, run_ts: str,
     """Submissions from project sheets; team id = team name, valid=false."""
     rows = rows.filter(F.col("role") == "project")
     mapped, errors = _prepare(rows, "project", H.PROJECT_FIELDS, validate=True, prefer_exact=prefer_exact)
-    mapped = mapped.join(checked_broadcast(rows.filter("row_number = 1").select(*H.SHEET, "workshop").distinct(), H.SHEETS_BOUND), H.SHEET)
+    mapped = mapped.join(_of_sheet(rows, "workshop"), H.SHEET)
     ok, row_errs = _check_rows(mapped, MSG.MISSING_NAME_OR_EMAIL)
     ok = C.with_datetime(ok, "created_at", "__created", year)
     ok = C.with_datetime(ok, "updated_at", "__updated", year)
@@ -152,8 +158,7 @@ def parse_weekly_sheets(rows: DataFrame, year: int, mapping: DataFrame | None =
         mapping = H.auto_map_best_pattern(materialized_headers(rows)).select(*H.SHEET, "field", "position")
     wide = H.pivot_mapping(mapping, WEEKLY_FIELDS)
     mapped = H.apply_mapping(data_rows(rows).filter(non_blank_cells()), wide, WEEKLY_FIELDS)
-    mapped = mapped.join(checked_broadcast(rows.filter("row_number = 1").select(*H.SHEET, "week_number").distinct(), H.SHEETS_BOUND),
-                         H.SHEET)
+    mapped = mapped.join(_of_sheet(rows, "week_number"), H.SHEET)
     t = mapped
     for f in ("email", "github_link", "blog_link"):
         t = t.withColumn(f, C.normalize_string(f))
