@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 
 from rollcall.session import ensure_checkpoint_dir, ship_package
 
-SHA256_OF_NOTHING = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
-
 ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
