@@ -8,10 +8,13 @@ decoded and its structure parsed:
                known signing algorithm and whose payload is a JSON object,
 * ``der``      base64 or hex text that decodes to a DER key: nested lengths
                close exactly and the members are those of a PKCS#1, PKCS#8,
-               SEC1 or public-key structure,
+               SEC1, traditional DSA or public-key structure,
 * ``openssh``  base64 that decodes to an OpenSSH private or public key whose
                length-prefixed strings add up.
 
+Base64 keys may stand behind any sign, over several lines with indentation,
+quote marks or escaped line breaks, and in a PEM block encoded once more.
+
 All offsets are code points, end exclusive.  A null or empty text has no
 spans.  Equal texts give equal spans; rows are never merged.
 """
@@ -19,7 +22,7 @@ spans.  Equal texts give equal spans; rows are never merged.
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import json
 import re
 
@@ -42,10 +45,16 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _JWT_ALGORITHMS = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384",
                    "PS512", "EdDSA", "none"}
-# Base64 of a DER sequence begins with M (0x30); OpenSSH private keys with "openssh-key-v1", public ones with a
-# four-byte length, both fixed in base64.  Line breaks inside a block are allowed.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])(?:M[A-Za-z0-9+/]|b3BlbnNzaC1rZXktdjE|AAAA[A-Za-z0-9+/])"
-                     r"(?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/=]))*={0,2}")
+# Base64 of a DER sequence of 24 bytes or more begins with M and B to I, an OpenSSH private key with "openssh-key-v1",
+# a public one with a four-byte length, a PEM block that was encoded whole with "---".  Any base64 run, and any line of
+# one, that begins so is a candidate; what stands before it, or the n of an escaped line break, doesn't matter.
+_START = re.compile(r"[MbAL](?:(?<![A-Za-z0-9+/][MbAL])|(?<=\\[nrt][MbAL]))(?:(?<=M)[B-I]|(?<=b)3Bl|(?<=A)AAA|(?<=L)S0t)")
+_LINE = re.compile(r"[A-Za-z0-9+/]++")
+# Between two lines of a run: line breaks, also escaped ones, with indentation, quote marks, comment signs, and the
+# commas or plus signs of joined string literals.  A slash may be escaped within a line.
+_GAP = re.compile(r"""(?:[\s"'`>|#*,]|\\+[nrt]?|(?<=[\s"'`])\+(?=\s))++""")
+_GAP_BREAKS = re.compile(r"[\r\n]|\\[nr]")
+_FOOTER = re.compile(r"\s*-----END [^-]*-----\s*")
 _HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){23,}(?![0-9A-Fa-f])")
 _LEAST_KEY_BYTES = 24
 
@@ -82,6 +91,8 @@ def is_der_key(data: bytes) -> bool:
     tags = [t for t, _, _ in inner]
     if tags[:1] == [0x02] and len(tags) >= 9 and set(tags[:9]) == {0x02}:
         return True                                                     # PKCS#1 private key
+    if tags == [0x02] * 6:                                              # DSA: version, p, q, g, public, private
+        return data[inner[0][1]:inner[0][2]] == b"\x00"
     if tags[:3] == [0x02, 0x30, 0x04]:                                  # PKCS#8
         algorithm = _der(data, inner[1][1], inner[1][2])
         return bool(algorithm) and algorithm[0][0] == 0x06
@@ -138,36 +149,58 @@ def is_signed_token(text: str) -> bool:
             and (bool(signature) or h["alg"] == "none"))
 
 
-def _confirmed_base64(text: str) -> tuple[str, int] | None:
-    """Kind and used length of a base64 candidate that holds a key.
+class _Run:
+    """Lines of base64 with breaks between them, joined; ``end`` is where the last one ends in the text."""
 
-    A run may go on behind the key (a word on the next line), so a DER
-    candidate ends where its own header says, and any other one is tried
-    whole and up to its first line that is shorter than the line before.
-    """
-    if text.startswith("M"):
-        end = _der_end(text)
-        return ("der", end) if end and is_der_key(_bytes(text[:end])) else None
-    lines = text.split("\n")
-    short = next((i for i in range(1, len(lines)) if len(lines[i]) != len(lines[0])), len(lines) - 1)
-    for end in dict.fromkeys((len(text), len("\n".join(lines[:short + 1])))):
-        if is_openssh_key(_bytes(text[:end])):
-            return "openssh", end
-    return None
+    def __init__(self, text: str, at: int):
+        self.text, self.starts, self.offsets = text, [], []
+        lines, n = [], 0
+        while m := _LINE.match(text, at):
+            self.starts.append(at)
+            self.offsets.append(n)
+            lines.append(m[0])
+            self.end, n = m.end(), n + len(m[0])
+            gap = _GAP.match(text, self.end)
+            if not gap or not (_GAP_BREAKS.search(gap[0]) or gap[0] == "\\" and text[gap.end():gap.end() + 1] == "/"):
+                break
+            at = gap.end()
+        self.body = "".join(lines)
 
+    def offset(self, start: int) -> int | None:
+        """Place in the joined body of a line that begins at ``start`` in the text."""
+        i = bisect.bisect_left(self.starts, start)
+        return self.offsets[i] if i < len(self.starts) and self.starts[i] == start else None
+
+    def place(self, offset: int) -> int:
+        """Place in the text behind the first ``offset`` characters of the body and their padding."""
+        i = bisect.bisect_left(self.offsets, offset) - 1
+        end = self.starts[i] + offset - self.offsets[i]
+        return end + len(re.match("={0,2}", self.text[end:end + 2])[0])
+
+    def ends_line(self, offset: int) -> bool:
+        i = bisect.bisect_left(self.offsets, offset)
+        return offset == len(self.body) or i < len(self.offsets) and self.offsets[i] == offset
+
+    def read(self, offset: int, at: int, n: int) -> bytes:
+        """``n`` bytes from byte ``at`` on of what the body encodes from ``offset`` on; fewer at its end."""
+        first = offset + at // 3 * 4
+        return _bytes(self.body[first:offset + -(-(at + n) // 3) * 4])[at % 3:at % 3 + n]
+
+
+def _bytes(body: str) -> bytes:
+    """The bytes of base64 characters; a last one that begins a byte only is left out."""
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return base64.b64decode(body + "=" * (-len(body) % 4))
 
-def _bytes(text: str) -> bytes:
-    """The bytes of base64 text with line breaks; nothing if it isn't base64."""
-    body = re.sub(r"[\s=]", "", text)
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return b""
 
+def _chars(n: int) -> int:
+    """Base64 characters of so many bytes."""
+    return -(-n * 8 // 6)
 
-def _der_end(text: str) -> int | None:
-    """Where the base64 text of a DER sequence ends by its header's length; None if the text is too short."""
-    head = _bytes(re.sub(r"\s", "", text[:16])[:8])
+
+def _der_end(run: _Run, offset: int) -> int | None:
+    """Where in the body a DER key from ``offset`` on ends, by its header's length."""
+    head = run.read(offset, 0, 6)
     if len(head) < 6:
         return None
     if head[1] & 0x80:
@@ -177,15 +210,60 @@ def _der_end(text: str) -> int | None:
         total = 2 + k + int.from_bytes(head[2:2 + k], "big")
     else:
         total = 2 + head[1]
-    need = -(-total * 8 // 6)
-    if total < _LEAST_KEY_BYTES or need > len(text):
+    end = offset + _chars(total)
+    return end if end <= len(run.body) and is_der_key(run.read(offset, 0, total)) else None
+
+
+def _openssh_end(run: _Run, offset: int) -> int | None:
+    """Where in the body an OpenSSH key from ``offset`` on ends: the last line end up to which its strings add up."""
+    head = run.read(offset, 0, 68)
+    at, skip = (15, 3) if head.startswith(b"openssh-key-v1\x00") else (0, 0)
+    if not skip and not head[4:].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-")):
+        return None
+    found, n, least, size = None, 0, 2, (len(run.body) - offset) * 6 // 8
+    while at + 4 <= size:
+        if skip and n == skip:
+            least, skip = n + int.from_bytes(run.read(offset, at, 4), "big") + 1, 0
+            at += 4
+            continue
+        at += 4 + int.from_bytes(run.read(offset, at, 4), "big")
+        n += 1
+        if at <= size and not skip and n >= least and run.ends_line(offset + _chars(at)):
+            found = at
+    return offset + _chars(found) if found and is_openssh_key(run.read(offset, 0, found)) else None
+
+
+def _encoded_pem(run: _Run, offset: int) -> tuple[str, int] | None:
+    """Kind of the first key in the text that the body encodes from ``offset`` on, and where in the body the last
+    key ends, with its END line."""
+    inner = _bytes(run.body[offset:]).decode("latin-1")
+    keys = encoded_keys(inner)
+    if not keys:
         return None
-    for m in re.finditer(r"[A-Za-z0-9+/]+", text):
-        if need <= m.end() - m.start():
-            end = m.start() + need
-            return end + len(re.match("={0,2}", text[end:end + 2])[0])
-        need -= m.end() - m.start()
-    return None
+    footer = _FOOTER.match(inner, keys[-1][2])
+    return keys[0][0], offset + _chars(footer.end() if footer else keys[-1][2])
+
+
+def encoded_keys(text: str) -> list[tuple[str, int, int]]:
+    """Spans of keys in base64, in order; a PEM block that was encoded once more is one span of its key's kind."""
+    spans, run, at, tried = [], None, 0, set()
+    while m := _START.search(text, at):
+        start, at = m.start(), m.start() + 1
+        offset = run.offset(start) if run and start < run.end else None
+        if offset is None:
+            run, offset, tried = _Run(text, start), 0, set()
+        sure = None
+        if m[0][0] == "M":
+            sure = ("der", end) if (end := _der_end(run, offset)) else None
+        elif m[0][0] != "L":
+            sure = ("openssh", end) if (end := _openssh_end(run, offset)) else None
+        elif offset % 4 not in tried:  # a later line of the same phase encodes an end of the same text
+            tried.add(offset % 4)
+            sure = _encoded_pem(run, offset)
+        if sure:
+            at = run.place(sure[1])
+            spans.append((sure[0], start, at))
+    return spans
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -198,9 +276,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if "eyJ" in text:
         spans += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
-    for m in _BASE64.finditer(text):
-        if m.end() - m.start() >= 32 and (sure := _confirmed_base64(m[0])):
-            spans.append((sure[0], m.start(), m.start() + sure[1]))
+    spans += encoded_keys(text)
     spans += [("der", m.start(), m.end()) for m in _HEX_DER.finditer(text) if is_der_key(bytes.fromhex(m[0]))]
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))

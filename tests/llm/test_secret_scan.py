@@ -75,6 +75,41 @@ def test_structures():
     assert not s.find_spans("M" + "ABCD" * 30) and not s.find_spans("AAAA" + "B" * 80)
 
 
+DSA = der(0x30, b"".join([number(0), *(number(5 ** k) for k in (200, 60, 199, 198, 59))]))
+PUBLIC = ssh(b"ssh-rsa", b"\x01\x00\x01", bytes(range(1, 130)))
+PLANTED = [("der", k) for k in (PKCS1, PKCS8, SEC1, DSA)] + [("openssh", k) for k in (OPENSSH, PUBLIC)]
+
+
+def test_keys_in_every_form():
+    for kind, key in PLANTED:
+        one = base64.b64encode(key).decode()
+        lines = [one[i:i + 64] for i in range(0, len(one), 64)]
+        pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----\n"
+        twice = base64.b64encode(pem.encode()).decode()
+        wrapped = base64.encodebytes(pem.encode()).decode().rstrip("\n")
+        forms = {one: ["KEY={}", "ssh_key={} me@host", "a\\t{}", "a='{}'", "x={}\nnextword"],
+                 "\\n".join(lines): ['"pk": "-----BEGIN KEY-----\\n{}\\n-----END KEY-----\\n"'],
+                 "\\\\n".join(lines): ["BEGIN-----\\\\n{}\\\\n-----END"],
+                 "\\r\\n".join(lines): ["-----\\r\\n{}\\r\\n-----"],
+                 "\n    ".join(lines): ["key: |\n    {}\n    -----END"],
+                 "\r\n> ".join(lines): ["> -----BEGIN-----\r\n> {}\r\n> -----END"],
+                 '\\n" +\n  "'.join(lines): ['k = "-----\\n" +\n  "{}\\n" +\n  "-----END"'],
+                 one.replace("/", "\\/"): ['{{"k":"{}"}}'],
+                 twice: ["tls.key: {}", "K={}\nword"], wrapped: ["a\n{}"], wrapped.replace("\n", "\n  "): ["a: |\n  {}\n"],
+                 twice.rstrip("="): ["K={} x"]}
+        for secret, places in forms.items():
+            for place in places:
+                text = place.format(secret)
+                at = text.index(secret)
+                assert [x for x in s.find_spans(text) if x[0] not in s.BASE_KINDS] == [(kind, at, at + len(secret))], text
+    two = f"ssh-rsa {base64.b64encode(PUBLIC).decode().rstrip('=')}\nssh-rsa {base64.b64encode(PUBLIC).decode()}"
+    assert len(s.find_spans(two)) == 2
+    assert not s.is_der_key(DSA[:-1]) and not s.is_der_key(der(0x30, b"".join(number(7 ** k) for k in range(20, 26))))
+    certificate = der(0x30, der(0x30, PKCS8) + der(0x30, b"\x06\x01\x2a") + der(3, bytes(40)))
+    assert not s.find_spans(base64.b64encode(certificate).decode())
+    assert not s.find_spans(base64.b64encode(b"---\nno key here, only words and more words\n").decode())
+
+
 def test_redaction_and_table_cases(spark):
     rows = [(1, 'token = "abcdef123"; ok', "en", 23, 5), (2, None, "en", None, 5), (3, "", "en", 0, 5),
             (4, "clean text", "en", 99, 5), (4, "clean text", "en", 99, 5), (None, "deadbeef" * 4 + " x" * 50000, None, 1, 5)]
