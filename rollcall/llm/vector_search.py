@@ -45,6 +45,7 @@ LEAF_SAMPLE = 160           # sample vectors up to which a node is a leaf
 ROUNDS = 8                  # Lloyd rounds per node
 CALIBRATION = 48            # queries answered by brute force
 TARGET_RECALL = 0.97
+SALTS = 64                  # among which the batches' ids of one vector are dealt first
 SLOT = 4096                 # vectors of a leaf that one group holds
 
 
@@ -206,11 +207,61 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
 def _smallest_ids(rows: DataFrame, most: int) -> DataFrame:
     """``ids`` (the ``most`` smallest, ascending) and ``v`` per distinct vector.
 
-    Two steps: in the first a vector's rows are spread over salts of their id,
-    so that a vector of a third of all rows is cut down before it meets."""
-    salted = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    some = salted.groupBy("v", "salt").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, most).alias("ids"))
-    return some.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most).alias("ids"))
+    No list grows with the number of equal vectors: a task cuts each vector's ids down batch by batch before they
+    are dealt, and again while the sorted rows of a vector pass by, first per salt and then per vector."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "ids array<bigint>, v array<double>, salt bigint"
+    first = rows.select("vec_id", "v").mapInArrow(_cut_in_batches(most), schema)
+    some = (first.repartition(parts, "v", "salt").sortWithinPartitions("v", "salt")
+            .mapInArrow(_cut_sorted(most, True), schema))
+    return (some.repartition(parts, "v").sortWithinPartitions("v")
+            .mapInArrow(_cut_sorted(most, False), schema).select("ids", "v"))
+
+
+def _id_rows(ids: list[list[int]], v: pa.Array, salt: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64())), v, pa.array(salt, pa.int64())],
+                                      names=["ids", "v", "salt"])
+
+
+def _cut_in_batches(most: int):
+    """The ``most`` smallest ids per vector of a batch, with a salt of the batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            found: dict[bytes, tuple[int, set]] = {}
+            x = _matrix(b.column(1)) + 0.0          # 0 and -0 are one value
+            for i, vec_id in enumerate(b.column(0).to_pylist()):
+                found.setdefault(x[i].tobytes(), (i, set()))[1].add(vec_id)
+            ids = [sorted(s)[:most] for _, s in found.values()]
+            yield _id_rows(ids, pa.array(list(x[[i for i, _ in found.values()]]), pa.list_(pa.float64())),
+                           [s[0] * 2654435761 % 2 ** 32 % SALTS for s in ids])
+
+    return run
+
+
+def _cut_sorted(most: int, by_salt: bool):
+    """The same over sorted rows; holds ``most`` ids of one vector at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, last = None, [], None
+        for b in batches:
+            out_ids, out_salt, out_v = [], [], []
+            x, lists, salts = _matrix(b.column(1)), b.column(0).to_pylist(), b.column(2).to_pylist()
+            for i in range(b.num_rows):
+                k = (x[i].tobytes(), salts[i] if by_salt else 0)
+                if k != key:
+                    if key is not None:
+                        out_ids.append(ids)
+                        out_salt.append(key[1])
+                        out_v.append(last)
+                    key, ids, last = k, [], x[i].copy()
+                ids = sorted({*ids, *lists[i]})[:most]
+            if out_ids:
+                yield _id_rows(out_ids, pa.array(out_v, pa.list_(pa.float64())), out_salt)
+        if key is not None:
+            yield _id_rows([ids], pa.array([last], pa.list_(pa.float64())), [key[1]])
+
+    return run
 
 
 def exact_distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -55,3 +55,16 @@ def test_defined_cases(spark):
     few = v.search(df.filter("vec_id in (0, 20, 2)"), F.col("vec_id") % 20 == 0).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in few) == [(0, 1, 20), (20, 1, 0)]
     assert v.search(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_ids_of_equal_vectors_are_cut_while_they_are_gathered(spark):
+    rows = spark.range(20000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(0.0), F.lit(1.0)))
+                                     .when(F.col("id") % 3 == 1, F.array(F.lit(-0.0), F.lit(1.0)))
+                                     .otherwise(F.array(F.lit(2.0), (F.col("id") % 10).cast("double"))).alias("v"))
+    out = v._smallest_ids(rows.unionByName(rows), 4)
+    got = {tuple(r.v): r.ids for r in out.collect()}
+    want = {(0.0, 1.0): [0, 1, 3, 4]}
+    for i in range(2, 20000, 3):
+        want.setdefault((2.0, float(i % 10)), []).append(i)
+    assert got == {k: ids[:4] for k, ids in want.items()} and out.count() == len(want)
+    assert "collect_" not in out._jdf.queryExecution().optimizedPlan().toString()
