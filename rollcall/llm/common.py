@@ -103,3 +103,32 @@ class Stored:
         """Remove a table of this query that no later step reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Recent:
+    """Values of recent keys in a Python worker, in two generations of bounded size.
+
+    When the young generation is full it becomes the old one, and the old one
+    is dropped; a key that is still in use is added anew.
+    """
+
+    def __init__(self, size: int = 200_000):
+        self.size, self.young, self.old = size, {}, {}
+
+    def __contains__(self, key) -> bool:
+        if key in self.young:
+            return True
+        if key in self.old:
+            self.young[key] = self.old[key]
+            return True
+        return False
+
+    def __getitem__(self, key):
+        return self.young[key]
+
+    def add(self, items) -> None:
+        """Add (key, value) pairs.  Only here may keys be dropped: what ``in`` has
+        confirmed can be read until the next call."""
+        self.young.update(items)
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young

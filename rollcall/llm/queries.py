@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, decontamination, html_extract, lm_score, ngram_join, secret_scan, token_counts, toxicity, vector_search, warc_audit
+from rollcall.llm import bpe, decontamination, html_extract, lm_score, ngram_join, packing, secret_scan, token_counts, toxicity, vector_search, warc_audit
 from rollcall.llm.common import Stored, documents_of, fold, get_ready
 from rollcall.session import read_table
 
@@ -213,3 +213,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = placed.select("file", "offset", "length", F.col("replica").alias("digest"))
     damage = warc_audit.audit(placed.select("file", "offset", "length", "digest"), second)
     return damage.fillna(0, ["length_a", "length_b"]).fillna("", ["digest_a", "digest_b"])
+
+
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 2048 tokens."""
+    import public_tokenizers
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
