@@ -109,26 +109,28 @@ class Recent:
     """Values of recent keys in a Python worker, in two generations of bounded size.
 
     When the young generation is full it becomes the old one, and the old one
-    is dropped; a key that is still in use is added anew.
+    is dropped; a key that is still in use moves to the young one.
     """
 
-    def __init__(self, size: int = 200_000):
+    def __init__(self, size: int = 400_000):
         self.size, self.young, self.old = size, {}, {}
 
-    def __contains__(self, key) -> bool:
-        if key in self.young:
-            return True
-        if key in self.old:
-            self.young[key] = self.old[key]
-            return True
-        return False
-
-    def __getitem__(self, key):
-        return self.young[key]
+    def split(self, keys) -> tuple[dict, list]:
+        """Values of the keys that are kept, and the other keys."""
+        young, old = self.young, self.old
+        found, new = {}, []
+        for key in keys:
+            value = young.get(key)
+            if value is None:
+                value = old.get(key)
+                if value is None:
+                    new.append(key)
+                    continue
+                young[key] = value
+            found[key] = value
+        return found, new
 
     def add(self, items) -> None:
-        """Add (key, value) pairs.  Only here may keys be dropped: what ``in`` has
-        confirmed can be read until the next call."""
         self.young.update(items)
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young

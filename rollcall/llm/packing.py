@@ -29,6 +29,8 @@ columns of the input are not read.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -48,33 +50,79 @@ KEPT_CHARS = 48     # longer stretches are encoded afresh
 
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PACKED = f"{_PIECE}, sequence_id bigint, offset bigint, done boolean, task int"
-_TOKENIZERS: dict = {}
-
+_WORDS: dict = {}
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(12)]
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_ODD = re.compile(f"[^\x20-\x7e{_LATIN}]|[^A-Za-z0-9\x20{_LATIN}]{{2}}")
+# Printable Latin-1 characters stand for their own byte, the others in order for U+0100 and on.
+_OWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _OWN)}
+
+
+class Words:
+    """Ids of stretches of text between spaces, as little-endian unsigned 32-bit numbers.
+
+    A stretch of lower-case Latin letters needs no normalising and no
+    splitting, so the tokenizer's model encodes it directly; every other
+    stretch takes the tokenizer's whole way.  Recent stretches are kept.
+    """
 
-def tokenizer(path: str):
-    """The tokenizer of a file and the ids of stretches seen, once per Python worker."""
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True
-        _TOKENIZERS[path] = (found, Recent())
-    return _TOKENIZERS[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.kept = Recent()
+
+    def of(self, stretches: set[str]) -> dict[str, bytes]:
+        found, new = self.kept.split(stretches)
+        one, fresh, hard = self.tokenizer.model.tokenize, {}, []
+        for w in new:
+            if _PLAIN.fullmatch(w):
+                ids = [t.id for t in one(w if w.isascii() else byte_level(w))]
+                fresh[w] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+            else:
+                hard.append(w)
+        for at in range(0, len(hard), 10_000):
+            part = hard[at:at + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                fresh[w] = np.array(e.ids, "<u4").tobytes()
+        self.kept.add((w, v) for w, v in fresh.items() if len(w) <= KEPT_CHARS)
+        found.update(fresh)
+        return found
+
+
+def stretches_of(text: str) -> list[str]:
+    """The text split where no token can reach across: at spaces and line breaks, and, in texts of
+    plain characters without neighbouring marks, before a mark at the end of a word.  Lower case
+    is applied only to such texts, whose letters each have one plain lower-case form."""
+    text = text.replace("\n", " ")
+    if not _ODD.search(text):
+        text = text.lower() + " "
+        for mark in ".,;:!?":
+            text = text.replace(mark + " ", " " + mark + " ")
+    return text.split(" ")
+
+
+def byte_level(word: str) -> str:
+    """The letters that stand for the UTF-8 bytes of the word in a byte-level vocabulary."""
+    return word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+
+
+def words_encoder(path: str) -> Words:
+    """Built once per Python worker."""
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path]
 
 
 def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
-    """Little-endian unsigned 32-bit ids of each text."""
-    encoder, kept = tokenizer(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = [w for w in {w for words in split for w in words} if w not in kept]
-    fresh = {}
-    for at in range(0, len(new), 10_000):
-        part = new[at:at + 10_000]
-        for w, e in zip(part, encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            fresh[w] = np.array(e.ids, "<u4").tobytes()
+    """Ids of each text."""
+    split = [stretches_of(t) for t in texts]
+    ids = words_encoder(path).of(set().union(*split)).__getitem__
     for words in split:
-        yield b"".join([fresh[w] if w in fresh else kept[w] for w in words])
-    kept.add((w, v) for w, v in fresh.items() if len(w) <= KEPT_CHARS)
+        yield b"".join(map(ids, words))
 
 
 def cut(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, decontamination, html_extract, lm_score, ngram_join, packing, secret_scan, token_counts, toxicity, vector_search, warc_audit
+from rollcall.llm import alignment, bpe, decontamination, html_extract, lm_score, ngram_join, packing, secret_scan, token_counts, toxicity, vector_search, warc_audit
 from rollcall.llm.common import Stored, documents_of, fold, get_ready
 from rollcall.session import read_table
 
@@ -220,3 +220,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of at most 2048 tokens."""
     import public_tokenizers
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two tokenizers in every document, and how common they are."""
+    import public_tokenizers
+    return alignment.align(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
