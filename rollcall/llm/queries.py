@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import alignment, bpe, decontamination, html_extract, lm_score, ngram_join, packing, secret_scan, token_counts, toxicity, vector_search, warc_audit
+from rollcall.llm import (
+    alignment, bpe, conversation_repair, decontamination, html_extract, lm_score, ngram_join, packing, secret_scan, token_counts, toxicity, vector_search, warc_audit)
 from rollcall.llm.common import Stored, documents_of, fold, get_ready
 from rollcall.session import read_table
 
@@ -228,3 +229,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return alignment.align(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after damage."""
+    return conversation_repair.repair(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
