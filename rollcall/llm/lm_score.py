@@ -10,14 +10,6 @@ and the hashed pair of both.  A token that shares its symbol gets the smoothed s
 its count within the symbol, where one place is kept for words never seen, so
 the probabilities of a text's continuations add up to one.
 
-On top of the symbols stand the words themselves: the model's probability of a
-token is mixed with its share among all that followed the same word in the
-training rows, (1 - r) * n(word, token) / n(word) + r * P.  The rest r belongs to
-words of about the same count: the share of their pairs that were seen once,
-which is how often what follows them is new.  Pairs of words are counted whole,
-also those that share a symbol, so what the model holds grows with the distinct
-pairs of the training rows, without a ceiling.
-
 Everything is learned from all training rows: token counts by a distributed
 aggregation, and training events (two symbols of context and the symbol that
 follows) likewise.  Training runs in rounds of distributed gradient updates:
@@ -29,8 +21,7 @@ driver.  Pairs are dealt into ``GROUPS`` groups, each with its own rows, and a
 partition holds whole groups: the change of a pair's row comes from one place.
 
 Scoring looks up the ``KEPT`` most frequent tokens in a sent table; counts of
-all rarer ones are joined by a shuffle, so base scores are exact.  Pairs of words
-likewise: the ``PAIRS`` most frequent are sent, all others joined by their 64-bit hash.
+all rarer ones are joined by a shuffle, so base scores are exact.
 
 Defined cases: a null or empty text has one token, its end; rows with a null
 id count as id '' in the folds; without training rows every count is 0 and
@@ -39,7 +30,6 @@ the model keeps equal weights; equal rows are scored each for itself.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -56,8 +46,6 @@ from rollcall.llm.common import Stored, fold, get_ready, map_text
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"                     # no word holds white space
 KEPT = 1 << 17                  # tokens whose counts are sent to the executors
-PAIRS = 1 << 19                 # at most so many pairs whose counts are sent to the executors
-LEVELS = 64                     # of words before, by the logarithm of their count; 0 for those beyond the sent table
 TAILS = 64                      # symbols of all tokens beyond the model's own
 CLASSES, WIDTH = 32, 32         # classes, and symbols of a class
 SYMBOLS = CLASSES * WIDTH
@@ -69,7 +57,6 @@ SINGLE = FACTORS * (2 * (SYMBOLS + 1) + 1)      # rows of the bias, the symbol b
 ROWS = SINGLE + GROUPS * GROUP_ROWS
 SHRINK = 4.0                    # events by which a row's change is damped
 ROUNDS, PASSES, BATCH = 3, 2, 1 << 14
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 FLUSH = 1 << 19                 # distinct entries a task holds before it passes them on
 
 
@@ -129,8 +116,6 @@ class Vocabulary:
         self.log_count = np.log10(self.count + 1.0)
         inside = self.log_count - self.log_tail_room[np.maximum(self.symbol - OWN, 0)]
         self.log_inside = np.where(own < OWN, 0.0, inside)
-        self.hashes = np.fromiter((token_hash(t) for t in self.place), np.int64, len(self.place))
-        self.documents = int(self.count[self.place[END]]) if END in self.place else 0
 
     def encode(self, texts: list[str | None]):
         """(places, symbols, ends of the texts, rare tokens): places are -1 for tokens beyond the table."""
@@ -148,26 +133,6 @@ class Vocabulary:
         return place, symbol, np.array(ends, np.int64), rare, flat
 
 
-def token_hash(token: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little", signed=True)
-
-
-def word_pairs(v: Vocabulary, place: np.ndarray, ends: np.ndarray, rare: np.ndarray, flat: list[bytes]):
-    """(hash of the word before and the token, count and level of the word before, whether it is beyond the sent
-    table) per token; the word before the first token of a text counts as often as there were texts."""
-    own = v.hashes[place] if len(v.hashes) else np.zeros(len(place), np.int64)
-    own[rare] = [token_hash(flat[i]) for i in rare.tolist()]
-    first = np.zeros(len(place), bool)
-    first[np.concatenate(([0], ends[:-1]))] = True      # a text has one token at least
-    before = np.where(first, 0, np.roll(own, 1)).view(np.uint64)
-    pair = _mix(_mix(before + np.uint64(1)) ^ own.view(np.uint64)).view(np.int64)
-    before = np.roll(place, 1)
-    rare_before = (before < 0) & ~first
-    n_before = np.where(first, v.documents, np.where(rare_before, 0, v.count[before] if len(v.count) else 0))
-    level = np.where(rare_before, 0, 1 + np.log2(np.maximum(n_before, 1)).astype(np.int64))
-    return pair, n_before, level, rare_before
-
-
 def events(symbol: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(symbol two before, symbol before, symbol) as one number per token."""
     one = np.concatenate(([START], symbol[:-1]))
@@ -182,93 +147,38 @@ def events(symbol: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (two << 24) | (one << 12) | symbol
 
 
-class _Counts:
-    """Counts of numbers, merged now and then so that a task never holds many more than ``FLUSH`` of them."""
-
-    def __init__(self):
-        self.codes, self.counts, self.size = [], [], 0
-
-    def add(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        c, n = np.unique(numbers, return_counts=True)
-        self.codes.append(c)
-        self.counts.append(n)
-        self.size += len(c)
-        if self.size > 2 * FLUSH:
-            c, n = self.merged()
-            if len(c) > FLUSH:
-                return c, n
-            self.codes, self.counts, self.size = [c], [n], len(c)
-        return None
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.codes:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        c, place = np.unique(np.concatenate(self.codes), return_inverse=True)
-        n = np.bincount(place, np.concatenate(self.counts), len(c)).astype(np.int64)
-        self.codes, self.counts, self.size = [], [], 0
-        return c, n
-
-
 def count_events(docs: DataFrame, vocabulary) -> DataFrame:
-    """``level`` (of a pair of words; -1 for symbols), ``event``, ``n`` over all rows; ``vocabulary`` is a broadcast
-    variable."""
+    """``event``, ``n`` over all rows; ``vocabulary`` is a broadcast variable."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, held = vocabulary.value, [_Counts() for _ in range(LEVELS + 1)]
+        v, codes, counts, size = vocabulary.value, [], [], 0
+
+        def merged():
+            c, place = np.unique(np.concatenate(codes), return_inverse=True)
+            return c, np.bincount(place, np.concatenate(counts), len(c)).astype(np.int64)
 
-        def out(i, c, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), i - 1, np.int32)), pa.array(c, pa.int64()),
-                                               pa.array(n, pa.int64())], names=["level", "event", "n"])
+        def out(c, n) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["event", "n"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            place, symbol, ends, rare, flat = v.encode(b.column(0).to_pylist())
-            pair, _, level, _ = word_pairs(v, place, ends, rare, flat)
-            for i, numbers in [(0, events(symbol, ends)), *((k + 1, pair[level == k]) for k in np.unique(level).tolist())]:
-                if full := held[i].add(numbers):
-                    yield out(i, *full)
-            if sum(h.size for h in held[1:]) > 4 * FLUSH:
-                for i in range(1, LEVELS + 1):
-                    yield out(i, *held[i].merged())
-        for i in range(LEVELS + 1):
-            yield out(i, *held[i].merged())
-
-    partial = docs.select("text").mapInArrow(run, "level int, event bigint, n bigint")
-    return partial.groupBy("level", "event").agg(F.sum("n").alias("n"))
-
-
-def rests(pairs: DataFrame) -> np.ndarray:
-    """Per level, the share of its pairs' events that were seen once."""
-    out = np.ones(LEVELS)
-    for r in pairs.groupBy("level").agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("bigint")).alias("once")).collect():
-        out[r["level"]] = (r["once"] + 1) / (r["n"] + 1)
-    return out
-
-
-def frequent_pairs(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the pairs that are frequent enough for at most ``PAIRS`` of them."""
-    step = F.floor(F.log2("n") * 8).cast("int")
-    least, room = None, PAIRS
-    for r in sorted(pairs.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
-        room -= r["n"]
-        if room < 0:
-            break
-        least = r["step"]
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    got = pairs.filter(step >= least).select("event", "n").toArrow()
-    keys, n = got.column("event").to_numpy(), got.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
-def with_words(log_p, n_pair, n_before, rest):
-    """log10 of a token's probability behind a word, from the symbols' one (numpy or Spark numbers alike)."""
-    if isinstance(log_p, Column):
-        mixed = (1 - rest) * n_pair / n_before + rest * F.pow(F.lit(10.0), log_p)
-        return F.when(n_before > 0, F.log10(mixed)).otherwise(log_p)
-    mixed = (1 - rest) * n_pair / np.maximum(n_before, 1) + rest * 10.0 ** log_p
-    return np.where(n_before > 0, np.log10(mixed), log_p)
+            _, symbol, ends, _, _ = v.encode(b.column(0).to_pylist())
+            c, n = np.unique(events(symbol, ends), return_counts=True)
+            codes.append(c)
+            counts.append(n)
+            size += len(c)
+            if size > 2 * FLUSH:
+                c, n = merged()
+                if len(c) > FLUSH:
+                    yield out(c, n)
+                    codes, counts, size = [], [], 0
+                else:
+                    codes, counts, size = [c], [n], len(c)
+        if codes:
+            yield out(*merged())
+
+    partial = docs.select("text").mapInArrow(run, "event bigint, n bigint")
+    return partial.groupBy("event").agg(F.sum("n").alias("n"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -399,8 +309,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every row."""
     spark = get_ready(docs.sparkSession)
     stored = Stored(spark, "lm-score")
-    cleanup = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")     # shuffle files behind a stored table go when it is written
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     learn = docs.filter(fold("doc_id", FOLDS) != HELD_OUT)
     counts = stored.put(count_tokens(learn), "counts")
@@ -421,23 +329,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                    tail_total, tail_distinct)
     vocabulary = spark.sparkContext.broadcast(v)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = stored.put(count_events(learn, vocabulary), "counted")
-    pairs = counted.filter("level >= 0")
-    frequent = spark.sparkContext.broadcast((*frequent_pairs(pairs), rests(pairs)))
-    learned = stored.put(counted.filter("level < 0").select("event", "n")
+    learned = stored.put(count_events(learn, vocabulary)
                          .repartition(parts, group_of(F.shiftright("event", 12)))
                          .sortWithinPartitions("event"), "events")
     weights = spark.sparkContext.broadcast(train(learned, stored))
-    stored.drop("events")
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
               T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()),
               T.StructField("rare", T.ArrayType(T.StructType([T.StructField("token", T.StringType()),
-                                                              T.StructField("n", T.LongType())]))),
-              T.StructField("open", T.ArrayType(T.StructType([
-                  T.StructField("pair", T.LongType()), T.StructField("log_p", T.FloatType()),
-                  T.StructField("n_before", T.LongType()), T.StructField("rest", T.FloatType()), T.StructField("token", T.StringType()),
-                  T.StructField("before", T.StringType())])))]
+                                                              T.StructField("n", T.LongType())])))]
 
     def run(batches):
         v, w = vocabulary.value, weights.value
@@ -452,60 +352,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 inside = np.where(is_rare, -v.log_tail_room[np.maximum(symbol - OWN, 0)], v.log_inside[place])
             else:
                 base, inside = np.full(len(place), -v.log_base_room), -v.log_tail_room[symbol - OWN]
-            log_p = log_p + inside
-            pair, n_before, level, rare_before = word_pairs(v, place, ends, rare, flat)
-            keys, number, rest_of = frequent.value
-            rest = rest_of[level]
-            at = np.searchsorted(keys, pair)
-            at[at == len(keys)] = 0
-            sent = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
-            done = sent & ~is_rare & ~rare_before if v.total else np.ones(len(pair), bool)
-            n_pair = np.where(sent, number[at], 0) if len(keys) else np.zeros(len(pair))
-            model = np.where(done, with_words(log_p, n_pair, n_before, rest), 0.0)
-            left = np.flatnonzero(~done)
-            names, behind = [None] * len(left), [None] * len(left)
-            for i in np.flatnonzero(is_rare[left] | rare_before[left]).tolist():
-                # a name that no token has where there is nothing to look up: it holds a space
-                k = int(left[i])
-                names[i] = flat[k] if is_rare[k] else b" %d" % pair[k]
-                behind[i] = flat[k - 1] if rare_before[k] else b" %d" % pair[k]
-            opened = pa.ListArray.from_arrays(
-                pa.array(np.searchsorted(left, np.concatenate(([0], ends))), pa.int32()),
-                pa.StructArray.from_arrays(
-                    [pa.array(pair[left]), pa.array(log_p[left].astype(np.float32)),
-                     pa.array(n_before[left].astype(np.int64)), pa.array(rest[left].astype(np.float32)),
-                     pa.array(names, pa.binary()).cast(pa.string()), pa.array(behind, pa.binary()).cast(pa.string())],
-                    names=["pair", "log_p", "n_before", "rest", "token", "before"]))
             found: list[Counter] = [Counter() for _ in texts]
             for i, d in zip(rare.tolist(), np.searchsorted(ends, rare, "right").tolist(), strict=True):
                 found[d][flat[i]] += 1
             yield [np.diff(ends, prepend=0), np.add.reduceat(~is_rare, starts, dtype=np.int64),
-                   np.add.reduceat(base, starts), np.add.reduceat(model, starts),
-                   [[{"token": t.decode("utf-8", "replace"), "n": n} for t, n in c.items()] for c in found], opened]
+                   np.add.reduceat(base, starts), np.add.reduceat(log_p + inside, starts),
+                   [[{"token": t.decode("utf-8", "replace"), "n": n} for t, n in c.items()] for c in found]]
 
     scored = map_text(docs, "text", fields, run).select(
         F.monotonically_increasing_id().alias("at"), F.col("row.doc_id").alias("doc_id"), *[f.name for f in fields])
     scored = stored.put(scored, "scored")
-    spark.conf.set(CLEANUP, cleanup)
     rare = (scored.select("at", F.explode("rare").alias("r")).select("at", F.col("r.token").alias("token"),
                                                                     F.col("r.n").alias("times"))
             .join(counts, "token").groupBy("at")
             .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs")))
-    opened = scored.select("at", F.explode("open").alias("o")).select("at", "o.*")
-    # of kept tokens only the pair is looked up; of rare ones the counts of both words as well
-    kept_words = opened.filter(F.col("token").isNull()).select("at", "pair", "log_p", "n_before", "rest")
-    rare_words = (opened.filter(F.col("token").isNotNull())
-                  .join(counts.select("token", F.col("n").alias("n_token")), "token", "left")
-                  .join(counts.select(F.col("token").alias("before"), F.col("n").alias("n_rare")), "before", "left")
-                  .select("at", "pair", (F.col("log_p") + F.log10(F.coalesce("n_token", F.lit(0)) + 1.0)).cast("float").alias("log_p"),
-                          (F.col("n_before") + F.coalesce("n_rare", F.lit(0))).alias("n_before"), "rest"))
-    words = (kept_words.unionByName(rare_words)
-             .join(pairs.select(F.col("event").alias("pair"), F.col("n").alias("n_pair")), "pair", "left")
-             .groupBy("at").agg(F.sum(with_words(F.col("log_p"), F.coalesce("n_pair", F.lit(0)), F.col("n_before"),
-                                                     F.col("rest"))).alias("words")))
     logs = F.coalesce("logs", F.lit(0.0))
-    return scored.drop("rare", "open").join(rare, "at", "left").join(words, "at", "left").select(
+    return scored.drop("rare").join(rare, "at", "left").select(
         "doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(v.total).cast("bigint").alias("train_tokens"), (F.col("base") + logs).alias("base_score"),
-        (F.col("model") + F.coalesce("words", F.lit(0.0))).alias("score"))
+        (F.col("model") + logs).alias("score"))

@@ -59,28 +59,3 @@ def test_scores(spark, monkeypatch):
     held = [r for r in out if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert m.score(df.limit(0)).count() == 0
-
-
-def test_words_of_one_symbol_differ_by_the_word_before(spark, monkeypatch):
-    common = " ".join(f"w{i}" for i in range(m.OWN + 40))
-    # rare words with equal counts and last three bytes, so with one symbol as context and one as target
-    learn = [common] * 4 + ["redxyz catabc", "bluexyz dogabc"] * 3
-    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % m.FOLDS != m.HELD_OUT]
-    asked = ["redxyz catabc", "redxyz dogabc", "bluexyz catabc", "bluexyz dogabc", "newxyz catabc", "newxyz dogabc"]
-    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % m.FOLDS == m.HELD_OUT]
-    rows = list(zip(ids, learn)) + list(zip(held, asked))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {}
-    for kept, pairs in ((1 << 17, 1 << 19), (1 << 17, 0), (m.OWN, 1 << 19), (m.OWN, 0)):   # pairs sent or joined: one result
-        monkeypatch.setattr(m, "KEPT", kept)
-        monkeypatch.setattr(m, "PAIRS", pairs)
-        got = {r.doc_id: r.score for r in m.score(df).collect()}
-        s = [got[i] for i in held[:len(asked)]]
-        assert s[0] > s[1] + 0.3 and s[3] > s[2] + 0.3 and abs(s[4] - s[5]) < 1e-6
-        assert np.allclose(s, want.setdefault(kept, s), atol=1e-3)
-
-
-def test_words_add_up():
-    p, n = np.array([0.5, 0.3, 0.2]), np.array([0, 4, 1])
-    assert abs((10 ** m.with_words(np.log10(p), n, n.sum(), 0.3)).sum() - 1) < 1e-12
-    assert np.allclose(m.with_words(np.log10(p), 0, np.zeros(3), 0.3), np.log10(p))
