@@ -37,22 +37,40 @@ def _raw_rows_csv(spark, sf):
     return scan_delimited(spark, path)
 
 
-@query("s1_delimited_scan")
-def s1(spark, sf):
-    """Files of three layouts in one folder: ';' with eight columns; ',' with an extra column and a line break
-    inside quoted cells; tab with the first six columns.  Returns the data rows, with the number of their cells."""
+LAYOUTS = [";", ",", "\t"]
+FILES_PER_LAYOUT = 16
+
+
+def layout_files(spark, sf):
+    """Files of three layouts, sixteen of each, every one with a header and its rows by number: ';' with two empty cells
+    at the end of even rows; ',' with a line break and delimiters inside a quoted cell and an extra column; tab with the
+    first six columns.  Returns their folder."""
     path = W.scratch_path(spark, "raw-rows-layouts")
     raw, k = prog(spark, sf).raw_rows, F.col("row_number_in_file")
-    broken = F.concat(F.coalesce("name", F.lit("")), F.lit("\nsecond; line"))
-    layouts = {
-        ";": raw.filter(k % 3 == 0),
-        ",": raw.filter(k % 3 == 1).withColumn("name", broken).withColumn("extra", F.concat(F.lit("x"), k.cast("string"))),
-        "\t": raw.filter(k % 3 == 2).select(*RAW_COLUMNS[:6])}
-    for n, (sep, df) in enumerate(layouts.items()):
-        (df.write.option("header", "true").option("sep", sep).option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
-         .option("ignoreTrailingWhiteSpace", "false").csv(f"{path}/layout={n}"))
-    rows = scan_delimited(spark, f"{path}/*").filter(F.col("row_number") > 1)
-    return rows.select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate([*RAW_COLUMNS, "extra"])],
+    for n, sep in enumerate(LAYOUTS):
+        rows = raw.filter(k % 3 == n)
+        names = RAW_COLUMNS[:6] if sep == "\t" else [*RAW_COLUMNS, "extra"] if sep == "," else RAW_COLUMNS
+        if sep == ",":
+            rows = rows.withColumn("name", F.concat(F.lit('"'), F.coalesce("name", F.lit("")), F.lit('\n;;"",;,second"')))
+            rows = rows.withColumn("extra", F.concat(F.lit("x"), k.cast("string")))
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]
+        cells = [F.concat(F.lit('"'), c, F.lit('"')) if name == "slot_text" else c for c, name in zip(cells, names, strict=True)]
+        line = F.concat_ws(sep, *cells)
+        if sep == ";":
+            line = F.when(k % 2 == 0, F.concat(line, F.lit(";;"))).otherwise(line)
+        # one file per bucket, whose rows lie together and in order
+        rows = rows.select((k % FILES_PER_LAYOUT).alias("bucket"), k.alias("k"), line.alias("value"))
+        heads = rows.select("bucket").distinct().select("bucket", F.lit(-1).cast("bigint").alias("k"), F.lit(sep.join(names)).alias("value"))
+        (heads.unionByName(rows).repartition(FILES_PER_LAYOUT, "bucket").sortWithinPartitions("bucket", "k").drop("k")
+         .write.partitionBy("bucket").text(f"{path}/layout={n}"))
+    return path
+
+
+@query("s1_delimited_scan")
+def s1(spark, sf):
+    """The data rows of files of three layouts, with their row numbers and the number of their cells."""
+    rows = scan_delimited(spark, f"{layout_files(spark, sf)}/*/*").filter(F.col("row_number") > 1)
+    return rows.select("row_number", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate([*RAW_COLUMNS, "extra"])],
                        F.size("cells").alias("n_cells"))
 
 

@@ -42,13 +42,14 @@ FROM (SELECT workshop_name, COUNT(*) AS total_count, COUNT(CASE WHEN valid THEN
     "x1_merge_stream": _MERGE["u1_upsert_participants"],
     "x2_validation_totals_stream": _LINKS["v9_run_totals"],
     "s1_delimited_scan": W("""
-SELECT CAST(row_number_in_file AS VARCHAR) AS row_number_in_file, COALESCE(email, '') AS email,
-       COALESCE(name, '') || CASE WHEN kind = 1 THEN chr(10) || 'second; line' ELSE '' END AS name,
+SELECT CAST(row_number() OVER (PARTITION BY kind, row_number_in_file % 16 ORDER BY row_number_in_file) + 1 AS BIGINT) AS row_number,
+       CAST(row_number_in_file AS VARCHAR) AS row_number_in_file, COALESCE(email, '') AS email,
+       COALESCE(name, '') || CASE WHEN kind = 1 THEN chr(10) || ';;",;,second' ELSE '' END AS name,
        COALESCE(phone, '') AS phone, COALESCE(created_text, '') AS created_text, COALESCE(slot_text, '') AS slot_text,
        CASE WHEN kind < 2 THEN COALESCE(flag_text, '') END AS flag_text,
        CASE WHEN kind < 2 THEN COALESCE(degree_text, '') END AS degree_text,
-       CASE WHEN kind = 1 THEN 'x' || CAST(row_number_in_file AS VARCHAR) END AS extra,
-       CAST(CASE kind WHEN 0 THEN 8 WHEN 1 THEN 9 ELSE 6 END AS INTEGER) AS n_cells
+       CASE WHEN kind = 1 THEN 'x' || CAST(row_number_in_file AS VARCHAR) WHEN kind = 0 AND row_number_in_file % 2 = 0 THEN '' END AS extra,
+       CAST(CASE kind WHEN 0 THEN CASE WHEN row_number_in_file % 2 = 0 THEN 10 ELSE 8 END WHEN 1 THEN 9 ELSE 6 END AS INTEGER) AS n_cells
 FROM (SELECT *, row_number_in_file % 3 AS kind FROM raw_rows) r""", "raw_rows"),
     "c19_participant_sheet_parse": W(f"""
 , t AS (SELECT NULLIF(regexp_replace(email, '^\\s+|\\s+$', '', 'g'), '') AS email,

@@ -55,7 +55,7 @@ def test_every_file_is_judged_for_itself(spark, scratch):
     for r in sorted(rows, key=lambda r: (r.sheet_name, r.row_number)):
         got.setdefault(r.sheet_name, []).append((r.row_number, r.cells))
     assert got["a.csv"] == [(1, ["name", "age"]), (2, ["Ann", "3"])]
-    assert got["b.csv"] == [(1, ["name", "age"]), (2, ["Bob", "4"]), (3, ["Cy", "5", "extra"])]
+    assert got["b.csv"] == [(1, ["name", "age"]), (2, ["Bob", "4"]), (3, ["Cy", "5", "extra", ""])]
     assert got["c.csv"] == [(1, ["name", "city"]), (2, ["José", "São"])] == got["d.csv"]
     spaced = next(v for k, v in got.items() if k.startswith("e"))
     assert spaced == [(1, ["name", "note"]), (2, ["Dee", "two\nlines, here"]), (3, ["Eve", 'a "q" b'])]
@@ -63,6 +63,50 @@ def test_every_file_is_judged_for_itself(spark, scratch):
     assert got["g.csv"] == [(1, ["one"]), (2, ["x"])]
 
 
+def _python_rows(data, sep):
+    import csv
+    import io
+    return list(csv.reader(io.StringIO(data, newline=""), delimiter=sep))
+
+
+def test_quoted_breaks_keep_their_structure(spark, scratch):
+    probes = {"a.csv": 'a,b\n"x\n;;;;;;",1\n', "b.csv": "a,b,c\n1,2,3,,\n,,\n\n4\n",
+              "c.csv": 'k;v\n1;"he said ""no"""\n2;""\n3;"""";\n4;"a;b\n\n;c"\n',
+              "d.csv": 'x\ty\n"1\n2"\t"\n"\n"3"\t4\t\n'}
+    for name, data in probes.items():
+        with open(os.path.join(scratch, name), "w", newline="") as f:
+            f.write(data)
+    got = {}
+    for r in sorted(delimited.scan_delimited(spark, scratch).collect(), key=lambda r: r.row_number):
+        got.setdefault(r.sheet_name, []).append(r.cells)
+    for name, sep in (("a.csv", ","), ("b.csv", ","), ("c.csv", ";"), ("d.csv", "\t")):
+        want = _python_rows(probes[name], sep)
+        width = len(want[0])
+        assert got[name] == [r + [""] * (width - len(r)) for r in want], name
+
+
+def test_records_over_many_splits(spark, scratch):
+    """Quoted line breaks in most records; splits begin inside cells, and a record covers several whole splits."""
+    import random
+    rng = random.Random(5)
+    rows = [["k", "note", "end"]]
+    for i in range(4000):
+        note = "".join(rng.choice(["word ", ",", "\n", '"', "", "x;y"]) for _ in range(rng.choice([0, 2, 9])))
+        rows.append([str(i), note * (3000 if i == 1500 else 1), ""])
+    path = os.path.join(scratch, "quoted.csv")
+    with open(path, "w", newline="") as f:
+        for r in rows:
+            f.write(",".join('"' + c.replace('"', '""') + '"' for c in r) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = delimited.scan_delimited(spark, path)
+        got = [(r.row_number, r.cells) for r in found.orderBy("row_number").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i + 1, r) for i, r in enumerate(rows)]
+
+
 def test_row_numbers_dense_across_splits(spark, scratch):
     path = os.path.join(scratch, "big.csv")
     n = 60000
