@@ -163,7 +163,8 @@ def run_totals(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def progress_trail(verdicts: DataFrame, order: list[str], link_chars: int | None = None) -> DataFrame:
+def progress_trail(verdicts: DataFrame, order: list[str], link_chars: int | None = None, keep: tuple[str, ...] = (),
+                   start: dict[str, int] | None = None) -> DataFrame:
     """One progress row per processed item in ``order``: running
     current / validated / failed / updated, total, and a status text (with
     the whole link, or its first ``link_chars`` characters).
@@ -171,13 +172,18 @@ def progress_trail(verdicts: DataFrame, order: list[str], link_chars: int | None
     Running sums use a two-level prefix sum, never one global window: items
     are range-partitioned on the order; per-partition totals get a prefix sum
     (a window over #partitions rows) and each partition's own running sums
-    are a window partitioned by partition id.  ``order`` must be unique.
+    are a window partitioned by partition id.  Items that are equal in
+    ``order`` follow by their links and verdicts.  ``start`` has the counts
+    (total, validated, failed, updated) of items processed before, which all
+    counts continue; ``keep`` names further columns of the result.
     The range-partitioned frame is checkpointed once so that both branches
     see the same partition ids."""
     upd = F.col("valid") & ((F.col("likes") > 0) | (F.col("comments") > 0))
     items = verdicts.select("*", F.col("valid").cast("int").alias("__ok"), (~F.col("valid")).cast("int").alias("__bad"),
                             upd.cast("int").alias("__upd"))
-    keyed = items.withColumn("__k", F.struct(*[F.col(c) for c in order]))
+    start = start or {}
+    ties = [c for c in ("link", "valid", "reason", "likes", "comments") if c not in order]
+    keyed = items.withColumn("__k", F.struct(*order, *ties))
     # partition ids are read by two branches below (totals and running sums);
     # AQE may coalesce the range partitions differently in each evaluation,
     # so the numbered frame is checkpointed once (reliable checkpoint in the
@@ -200,8 +206,11 @@ def progress_trail(verdicts: DataFrame, order: list[str], link_chars: int | None
                           F.count(F.lit(1)).over(w_in).alias("__l_n"), F.sum("__ok").over(w_in).alias("__l_ok"),
                           F.sum("__bad").over(w_in).alias("__l_bad"), F.sum("__upd").over(w_in).alias("__l_upd"))
     j = local.join(F.broadcast(offsets), "__part")
-    current = (F.col("__o_n") + F.col("__l_n")).cast("long")
-    total = F.col("__total").cast("long")
+    def on_from(so_far, name):
+        return (so_far + F.lit(start.get(name, 0))).cast("long")
+
+    current = on_from(F.col("__o_n") + F.col("__l_n"), "total")
+    total = on_from(F.col("__total"), "total")
     shown = F.substring(F.col("link"), 1, link_chars) if link_chars else F.col("link")
     status = F.when(F.col("valid") & upd,
                     F.format_string(PROGRESS_UPDATED, current, total, shown,
@@ -210,10 +219,10 @@ def progress_trail(verdicts: DataFrame, order: list[str], link_chars: int | None
     return j.select(
         *order,
         current.alias("current"), total.alias("total"),
-        (F.col("__o_ok") + F.col("__l_ok")).cast("long").alias("validated"),
-        (F.col("__o_bad") + F.col("__l_bad")).cast("long").alias("failed"),
-        (F.col("__o_upd") + F.col("__l_upd")).cast("long").alias("updated"),
-        status.alias("status"))
+        on_from(F.col("__o_ok") + F.col("__l_ok"), "validated").alias("validated"),
+        on_from(F.col("__o_bad") + F.col("__l_bad"), "failed").alias("failed"),
+        on_from(F.col("__o_upd") + F.col("__l_upd"), "updated").alias("updated"),
+        status.alias("status"), *keep)
 
 
 # ---------------------------------------------------------------- V6-V8

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rollcall.operators import reports as R
 from rollcall.operators import sheet_parse as SP
 from rollcall.plans.catalog import RUN_TS, SLOT_YEAR, WORKSHOP, prog, query
-from rollcall.plans.catalog_links import FIXTURE_DOMAINS, LINK_CHARS, WINDOWS, fetched_pages
+from rollcall.plans.catalog_links import FIXTURE_DOMAINS, fetched_pages
 from rollcall.plans.catalog_merge import PARTICIPANT_KEYS, participant_batch
 from rollcall.sinks import keyed_table as K
 from rollcall.sinks import writers as W
@@ -126,7 +126,7 @@ def x2(spark, sf):
     base, schema = _submission_stream_input(spark, sf)
     totals = os.path.join(base, "totals")
     q = X.validation_totals_stream(spark, os.path.join(base, "in"), schema, fetched_pages(prog(spark, sf)), totals,
-                                   os.path.join(base, "ckpt"), FIXTURE_DOMAINS, **WINDOWS)
+                                   os.path.join(base, "ckpt"), FIXTURE_DOMAINS)
     q.awaitTermination()
     return W.read_versioned(spark, totals)
 
@@ -135,12 +135,11 @@ def x2(spark, sf):
 def x3(spark, sf):
     base, schema = _submission_stream_input(spark, sf)
     q = X.progress_sink(spark, os.path.join(base, "in"), schema, fetched_pages(prog(spark, sf)),
-                        os.path.join(base, "out"), os.path.join(base, "ckpt"), FIXTURE_DOMAINS, LINK_CHARS, **WINDOWS)
+                        os.path.join(base, "out"), os.path.join(base, "ckpt"), FIXTURE_DOMAINS)
     q.awaitTermination()
     # one micro-batch (all files available at start): one line per item and one summary line
-    return spark.read.text(os.path.join(base, "out", "*", "*")).select(F.get_json_object("value", "$.link").alias("link"),
-                                                             F.get_json_object("value", "$.reason").alias("reason"),
-                                                             F.get_json_object("value", "$.status").alias("status"))
+    line = F.from_json("value", "link string, reason string, status string, current long, total long, validated long, failed long, updated long")
+    return spark.read.text(os.path.join(base, "out", "*", "*")).select(line.alias("line")).select("line.*")
 
 
 WEEKLY_SHEET_HEADERS = ["Timestamp", "Email Address", "GitHub Repository URL", "Blog Post", "Created On"]

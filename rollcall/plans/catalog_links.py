@@ -20,14 +20,8 @@ def fetched_pages(p):
                      "html", F.lit(200).alias("status"))
 
 
-# the source system's windows and cuts, which the operators leave off by default
-WINDOWS = {"plain_window": LK.PLAIN_TEXT_WINDOW, "rendered_window": LK.RENDERED_SOURCE_WINDOW}
-LINK_CHARS = 50
-SHOWN_FOLDERS = 10
-
-
 def _verdicts(p):
-    return V.link_verdicts(p.submissions, fetched_pages(p), domains=FIXTURE_DOMAINS, **WINDOWS)
+    return V.link_verdicts(p.submissions, fetched_pages(p), domains=FIXTURE_DOMAINS)
 
 
 def mixed_fetches(p):
@@ -86,7 +80,7 @@ def v5_repositories(spark, sf):
 @query("v1_v3_page_signals")
 def v1_v3(spark, sf):
     p = prog(spark, sf)
-    return V.page_signals(fetched_pages(p), **WINDOWS).select(
+    return V.page_signals(fetched_pages(p)).select(
         "link", "missing", "page_likes", "page_comments",
         LK.allowed_domain(F.col("link"), FIXTURE_DOMAINS).alias("allowed"))
 
@@ -94,11 +88,20 @@ def v1_v3(spark, sf):
 @query("v2_missing_page_rendered")
 def v2(spark, sf):
     lp = prog(spark, sf).linked_pages
-    return lp.select("page_id", LK.missing_page_rendered(F.col("html"), LK.RENDERED_SOURCE_WINDOW).alias("missing"),
+    return lp.select("page_id", LK.missing_page_rendered(F.col("html")).alias("missing"),
                      LK.counter(F.col("html"), LK.LIKE_LABEL, rendered=True).alias("likes"),
                      LK.counter(F.col("html"), LK.COMMENT_LABEL, rendered=True).alias("comments"))
 
 
+@query("v2_missing_page_reference_window")
+def v2_window(spark, sf):
+    """The source system's judgement, which looks at the first 1000 (text) and 2000 (source) characters; all other
+    queries judge whole pages."""
+    lp = prog(spark, sf).linked_pages
+    return lp.select("page_id", LK.missing_page_plain(F.col("html"), window=LK.PLAIN_TEXT_WINDOW).alias("plain"),
+                     LK.missing_page_rendered(F.col("html"), LK.RENDERED_SOURCE_WINDOW).alias("rendered"))
+
+
 @query("v4_link_verdicts")
 def v4(spark, sf):
     return _verdicts(prog(spark, sf))
@@ -121,7 +124,7 @@ def v6(spark, sf):
 @query("v7_marker_folder_check")
 def v7(spark, sf):
     p = prog(spark, sf)
-    return V.repo_verdicts(p.weekly, p.repo_entries, marker_prefix=FIXTURE_MARKER, shown=SHOWN_FOLDERS)
+    return V.repo_verdicts(p.weekly, p.repo_entries, marker_prefix=FIXTURE_MARKER)
 
 
 @query("v9_run_totals")
@@ -131,7 +134,7 @@ def v9(spark, sf):
 
 @query("v10_progress_trail")
 def v10(spark, sf):
-    return V.progress_trail(_verdicts(prog(spark, sf)), ["workshop_name", "email"], LINK_CHARS)
+    return V.progress_trail(_verdicts(prog(spark, sf)), ["workshop_name", "email"])
 
 
 @query("v11_pattern_counters")

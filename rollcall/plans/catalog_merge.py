@@ -269,8 +269,7 @@ def c20(spark, sf):
                         ["email"], "upsert", run_ts=RUN_TS, touch_col=None, created_col=None,
                         insert_defaults_ts=("registration_date_time",))
     batch_rows = p.raw_rows
-    return IM.import_summary(batch_rows, res.outcome, rejected, cap=IM.ERROR_CAP).select(
-        "rows", "created", "updated", "skipped", "error_count", F.to_json("errors").alias("errors"))
+    return IM.import_summary(batch_rows, res.outcome, rejected)
 
 
 @query("c20_summary_by_file")

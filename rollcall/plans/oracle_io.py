@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rollcall.plans.fixture_sql import with_views as W
 from rollcall.plans.oracle_links import ORACLE as _LINKS
-from rollcall.plans.oracle_links import PAGES, SIGNALS, VERDICTS
+from rollcall.plans.oracle_links import PAGES, RUN, SIGNALS, VERDICTS
 from rollcall.plans.oracle_merge import EMAIL_RE, ORACLE as _MERGE
 from rollcall.plans.oracle_reports import ORACLE as _REPORTS
 
@@ -67,9 +67,11 @@ SELECT lower(email) AS email, name,
        CAST(NULL AS VARCHAR) AS occupation, CAST(NULL AS VARCHAR) AS linkedin,
        false AS participated_in_academy_1_0, TIMESTAMP '2025-01-15 09:30:00' AS registration_date_time
 FROM t WHERE email IS NOT NULL AND name IS NOT NULL AND regexp_matches(email, '{EMAIL_RE}')""", "raw_rows"),
-    "x3_progress_sink_lines": W(f""", {PAGES}, {SIGNALS}, {VERDICTS}
-SELECT substr(link, 1, 50) AS link, reason, CAST(NULL AS VARCHAR) AS status FROM verdicts
-UNION ALL SELECT NULL, NULL, 'Complete'""", "linked_pages", "submissions"),
+    "x3_progress_sink_lines": W(f""", {PAGES}, {SIGNALS}, {VERDICTS}, {RUN}
+SELECT link, reason, status, current, total, validated, failed, updated FROM run
+UNION ALL
+SELECT NULL, NULL, 'Complete', COUNT(*), COUNT(*), COUNT(CASE WHEN valid THEN 1 END), COUNT(CASE WHEN NOT valid THEN 1 END),
+       COUNT(CASE WHEN valid AND (likes > 0 OR comments > 0) THEN 1 END) FROM verdicts""", "linked_pages", "submissions"),
     "c_weekly_sheet_import": W("""
 SELECT week_number, lower(trim(email)) AS email, NULLIF(trim(github_link), '') AS github_link,
        NULLIF(trim(blog_link), '') AS blog_link, date_trunc('second', created_at) AS created_at,

@@ -39,15 +39,17 @@ def _counter(html: str, label: str, rendered: bool = False) -> str:
     return f"CASE WHEN {_has_button(html, label)} THEN COALESCE(CAST({value} AS INTEGER), 0) ELSE 0 END"
 
 
-def _missing_plain(html: str) -> str:
-    head = f"lower(substr({_text(html)}, 1, 1000))"
-    return f"COALESCE(contains({head}, '404') OR contains({head}, 'not found'), false)"
+def _missing_plain(html: str, window: int | None = None) -> str:
+    text = f"lower({_text(html)})"
+    text = f"substr({text}, 1, {window})" if window else text
+    return f"COALESCE(contains({text}, '404') OR contains({text}, 'not found'), false)"
 
 
-def _missing_rendered(html: str) -> str:
+def _missing_rendered(html: str, window: int | None = None) -> str:
     title = f"lower(regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1))"
     src = f"lower({html})"
-    return (f"COALESCE(contains({title}, '404') OR contains({title}, 'not found') OR contains(substr({src}, 1, 2000), '404') "
+    seen = f"substr({src}, 1, {window})" if window else src
+    return (f"COALESCE(contains({title}, '404') OR contains({title}, 'not found') OR contains({seen}, '404') "
             f"OR contains({src}, 'page you''re looking for can''t be found') "
             f"OR contains({src}, 'the page you''re looking for can''t be found'), false)")
 
@@ -132,6 +134,18 @@ judged AS (
   FROM (SELECT *, {_repo_key('github_link')} AS rk FROM weekly WHERE length(github_link) > 0) w
   LEFT JOIN listing l ON w.rk = l.rk LEFT JOIN trouble t ON w.rk = t.rk)"""
 
+RUN = """
+counted AS (
+  SELECT *, row_number() OVER o AS current, COUNT(*) OVER () AS total,
+         CAST(SUM(CASE WHEN valid THEN 1 ELSE 0 END) OVER o AS BIGINT) AS validated,
+         CAST(SUM(CASE WHEN NOT valid THEN 1 ELSE 0 END) OVER o AS BIGINT) AS failed,
+         CAST(SUM(CASE WHEN valid AND (likes > 0 OR comments > 0) THEN 1 ELSE 0 END) OVER o AS BIGINT) AS updated
+  FROM verdicts WINDOW o AS (ORDER BY workshop_name, email ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+run AS (
+  SELECT *, 'Processed ' || current || '/' || total || ': ' || link || CASE WHEN valid AND (likes > 0 OR comments > 0)
+            THEN printf('... (Likes: %d, Comments: %d)', likes, comments) ELSE '... (' || reason || ')' END AS status
+  FROM counted)"""
+
 ORACLE = {
     "v4_weekly_link_verdicts": W(f", {MIXED}\nSELECT * FROM checked", "linked_pages", "weekly"),
     "v5_weekly_refreshed": W(f""", {MIXED}
@@ -152,6 +166,9 @@ SELECT page_id, {_missing_rendered('html')} AS missing,
        {_counter('html', 'like this article', True)} AS likes,
        {_counter('html', 'comment on this article', True)} AS comments
 FROM linked_pages""", "linked_pages"),
+    "v2_missing_page_reference_window": W(f"""
+SELECT page_id, {_missing_plain('html', 1000)} AS plain, {_missing_rendered('html', 2000)} AS rendered FROM linked_pages""",
+                                          "linked_pages"),
     "v4_link_verdicts": W(f", {PAGES}, {SIGNALS}, {VERDICTS}\nSELECT * FROM verdicts", "linked_pages", "submissions"),
     "v5_refreshed_submissions": W(f""", {PAGES}, {SIGNALS}, {VERDICTS}
 SELECT t.workshop_name, t.email, t.name, t.project_link,
@@ -175,9 +192,7 @@ ent AS (SELECT {_repo_key('repo_url')} AS rk, entry_name, entry_type FROM repo_e
 listed AS (SELECT DISTINCT rk FROM ent WHERE rk IS NOT NULL),
 dirs AS (SELECT DISTINCT rk, entry_name FROM ent WHERE rk IS NOT NULL AND entry_type = 'dir'),
 marker AS (SELECT rk, min(entry_name) AS m FROM dirs WHERE starts_with(entry_name, '.marker') GROUP BY rk),
-firstdirs AS (SELECT rk, string_agg(entry_name, ', ' ORDER BY entry_name) AS names
-              FROM (SELECT *, row_number() OVER (PARTITION BY rk ORDER BY entry_name) AS r FROM dirs) WHERE r <= 10
-              GROUP BY rk),
+firstdirs AS (SELECT rk, string_agg(entry_name, ', ' ORDER BY entry_name) AS names FROM dirs GROUP BY rk),
 w AS (SELECT week_number, email, github_link, {_repo_key('github_link')} AS rk FROM weekly
       WHERE github_link IS NOT NULL AND github_link <> '')
 SELECT w.week_number, w.email, w.github_link AS link,
@@ -193,19 +208,8 @@ FROM w LEFT JOIN listed l ON w.rk = l.rk LEFT JOIN marker m ON w.rk = m.rk LEFT
 SELECT COUNT(CASE WHEN valid THEN 1 END) AS validated, COUNT(CASE WHEN NOT valid THEN 1 END) AS failed,
        COUNT(CASE WHEN valid AND (likes > 0 OR comments > 0) THEN 1 END) AS updated
 FROM verdicts""", "linked_pages", "submissions"),
-    "v10_progress_trail": W(f""", {PAGES}, {SIGNALS}, {VERDICTS},
-run AS (
-  SELECT *, row_number() OVER o AS cur, COUNT(*) OVER () AS tot,
-         SUM(CASE WHEN valid THEN 1 ELSE 0 END) OVER o AS vok,
-         SUM(CASE WHEN NOT valid THEN 1 ELSE 0 END) OVER o AS vbad,
-         SUM(CASE WHEN valid AND (likes > 0 OR comments > 0) THEN 1 ELSE 0 END) OVER o AS vupd
-  FROM verdicts WINDOW o AS (ORDER BY workshop_name, email ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT workshop_name, email, CAST(cur AS BIGINT) AS current, CAST(tot AS BIGINT) AS total,
-       CAST(vok AS BIGINT) AS validated, CAST(vbad AS BIGINT) AS failed, CAST(vupd AS BIGINT) AS updated,
-       CASE WHEN valid AND (likes > 0 OR comments > 0)
-            THEN printf('Processed %d/%d: %s... (Likes: %d, Comments: %d)', cur, tot, substr(link, 1, 50), likes, comments)
-            ELSE printf('Processed %d/%d: %s... (%s)', cur, tot, substr(link, 1, 50), reason) END AS status
-FROM run""", "linked_pages", "submissions"),
+    "v10_progress_trail": W(f""", {PAGES}, {SIGNALS}, {VERDICTS}, {RUN}
+SELECT workshop_name, email, current, total, validated, failed, updated, status FROM run""", "linked_pages", "submissions"),
     "v11_pattern_counters": W("""
 SELECT page_id,
        CAST(regexp_extract_all(html, '(?i)(?:like|likes?)[":\\s]*(\\d+)', 1)[1] AS INTEGER) AS likes,

@@ -294,9 +294,7 @@ SELECT (SELECT COUNT(*) FROM raw_rows) AS rows,
        (SELECT COUNT(*) FROM accepted) - (SELECT COUNT(*) FROM lastacc WHERE email NOT IN (SELECT email FROM participants))
          AS updated,
        (SELECT COUNT(*) FROM rejected) AS skipped,
-       (SELECT COUNT(*) FROM rejected) AS error_count,
-       (SELECT to_json(list(error ORDER BY row_number)) FROM (SELECT * FROM rejected ORDER BY row_number LIMIT 100) r)
-         AS errors""", "participants", "raw_rows"),
+       (SELECT COUNT(*) FROM rejected) AS error_count""", "participants", "raw_rows"),
     "c20_summary_by_file": W(f"""
 , cell AS (
   SELECT 'file' || CAST(row_number_in_file % 7 AS VARCHAR) || '.csv' AS path,

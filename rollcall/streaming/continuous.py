@@ -108,28 +108,49 @@ def validation_totals_stream(spark: SparkSession, submissions_dir: str, schema:
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+COUNTERS = ("total", "validated", "failed", "updated")
+
+
 def progress_sink(spark: SparkSession, submissions_dir: str, schema: str, pages: DataFrame, out_dir: str,
-                  checkpoint: str, domains: list[str], link_chars: int | None = None, **windows) -> StreamingQuery:
+                  checkpoint: str, domains: list[str], link_chars: int | None = None,
+                  max_files_per_trigger: int | None = None, **windows) -> StreamingQuery:
     """Per micro-batch, one JSON line per item (with its whole link, or the
     first ``link_chars`` characters) and a summary line, written as text under
-    ``out_dir/stream=<id>/batch=N``."""
+    ``out_dir/stream=<id>/batch=N``.
+
+    Every line has current, total, validated, failed and updated over the
+    whole stream so far.  The counts behind each batch are stored beside the
+    stream's checkpoint before the batch is committed, and a batch starts from
+    those of the one before it, so a batch that runs again gives equal lines.
+    """
     signals = stored_signals(spark, pages, **windows)
-    subs = spark.readStream.schema(schema).parquet(submissions_dir)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    subs = reader.parquet(submissions_dir)
     link = F.substring("link", 1, link_chars) if link_chars else F.col("link")
 
+    def counts_path(batch_id: int) -> str:
+        return f"{checkpoint.rstrip('/')}/progress/batch={batch_id}"
+
     def emit(batch: DataFrame, batch_id: int) -> None:
-        verdicts = V.link_verdicts(batch, domains=domains, signals=signals).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            items = verdicts.select(F.to_json(F.struct(
-                F.col("workshop_name"), F.col("email"), link.alias("link"),
-                "valid", "reason", "likes", "comments")).alias("value"))
-            summary = V.run_totals(verdicts).select(F.to_json(F.struct(
-                F.lit(MSG.RUN_COMPLETE).alias("status"),
-                F.format_string(MSG.RUN_SUMMARY, "validated", "failed", "updated").alias("summary"))).alias("value"))
-            items.unionByName(summary).write.mode("overwrite") \
-                .text(f"{out_dir.rstrip('/')}/stream={stream_id(spark, checkpoint)}/batch={batch_id}")
-        finally:
-            verdicts.unpersist()
+        counted = "total long, validated long, failed long, updated long"
+        start = dict.fromkeys(COUNTERS, 0)
+        if batch_id:
+            start = spark.read.schema(counted).parquet(counts_path(batch_id - 1)).first().asDict()
+        stream = f"{out_dir.rstrip('/')}/stream={stream_id(spark, checkpoint)}"
+        trail = V.progress_trail(V.link_verdicts(batch, domains=domains, signals=signals), ["workshop_name", "email"], link_chars,
+                                 ("link", "valid", "reason", "likes", "comments"), start)
+        run = trail.agg(F.count(F.lit(1)).alias("total"), *[F.max(c).alias(c) for c in COUNTERS[1:]])
+        run = run.select((F.col("total") + start["total"]).alias("total"), *[F.coalesce(c, F.lit(start[c])).alias(c) for c in COUNTERS[1:]])
+        run.write.mode("overwrite").parquet(counts_path(batch_id))
+        now = spark.read.schema(counted).parquet(counts_path(batch_id))
+        items = trail.select(F.to_json(F.struct("workshop_name", "email", link.alias("link"), "valid", "reason", "likes", "comments",
+                                                "current", *COUNTERS, "status")).alias("value"))
+        summary = now.select(F.to_json(F.struct(
+            F.lit(MSG.RUN_COMPLETE).alias("status"), F.col("total").alias("current"), *COUNTERS,
+            F.format_string(MSG.RUN_SUMMARY, "validated", "failed", "updated").alias("summary"))).alias("value"))
+        items.unionByName(summary).write.mode("overwrite").text(f"{stream}/batch={batch_id}")
 
     return (subs.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

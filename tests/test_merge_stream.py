@@ -141,6 +141,34 @@ def test_validation_streams(spark, scratch):
     assert any(x.get("status") == "Complete" for x in lines)
 
 
+def test_progress_counters_run_on_over_batches(spark, scratch):
+    """One file per micro-batch: every line counts on from the batch before; a batch that runs again gives equal lines."""
+    schema = "workshop_name string, email string, project_link string"
+    src, out, ckpt = (os.path.join(scratch, x) for x in ("in", "out", "ckpt"))
+    pages = spark.createDataFrame([("https://ok.example/1", "<button aria-label='x'>1</button> fine", 200),
+                                   ("https://ok.example/2", "404", 200)], "link string, html string, status int")
+    for k in range(3):
+        spark.createDataFrame([(f"W{k}", f"u{i}@x", f"https://ok.example/{1 + i % 2}" if i < 3 else "https://other/1") for i in range(4)],
+                              schema).coalesce(1).write.mode("append").parquet(src)
+    q = X.progress_sink(spark, src, schema, pages, out, ckpt, ["ok.example"], max_files_per_trigger=1)
+    q.awaitTermination(300)
+
+    def lines():
+        return sorted((json.loads(r.value) for r in spark.read.text(os.path.join(out, "*", "*")).collect()),
+                      key=lambda x: (x["current"], x["status"] == "Complete"))
+    got = lines()
+    items = [x for x in got if x["status"] != "Complete"]
+    assert [x["current"] for x in items] == list(range(1, 13)) and [x["total"] for x in items] == [4] * 4 + [8] * 4 + [12] * 4
+    assert [(x["validated"], x["failed"]) for x in items][3::4] == [(2, 2), (4, 4), (6, 6)]
+    assert [(x["current"], x["validated"], x["failed"]) for x in got if x["status"] == "Complete"] == [(4, 2, 2), (8, 4, 4), (12, 6, 6)]
+    os.remove(os.path.join(ckpt, "commits", "2"))          # as if the run had ended before the last commit
+    crc = os.path.join(ckpt, "commits", ".2.crc")
+    if os.path.exists(crc):
+        os.remove(crc)
+    X.progress_sink(spark, src, schema, pages, out, ckpt, ["ok.example"], max_files_per_trigger=1).awaitTermination(300)
+    assert lines() == got
+
+
 def test_changes_from_merge_equal_before_after_diff(spark):
     before = spark.createDataFrame([(1, "a", None), (2, "b", None), (4, "d", None)], TARGET_SCHEMA)
     batch = spark.createDataFrame([(2, "B", None, 1), (3, "c", None, 2), (2, "BB", None, 3), (4, "d", None, 4)],
