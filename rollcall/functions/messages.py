@@ -24,6 +24,10 @@ MISSING_CRITICAL_HEADER = "Missing critical header: "
 TOO_FEW_SHEETS = "Expected %d sheets, found %d"
 RUN_COMPLETE = "Complete"
 RUN_SUMMARY = "Validated: %d, Failed: %d, Updated likes/comments: %d"
+NULL_VALUE = 'null value in column "{column}" violates not-null constraint'
+VALUE_TOO_LONG = "value too long for type character varying({width})"
+NO_PARENT = 'insert or update on table "{table}" violates foreign key constraint'
+DUPLICATE_KEY = 'duplicate key value violates unique constraint "{table}_pkey"'
 WORKSHOP_PREFIX = "Workshop "
 
 

@@ -8,9 +8,11 @@ to be stored partitioned by ``table_name`` so table filters prune files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.session import ensure_checkpoint_dir
+
 DEFAULT_PAGE = 100
 
 # Record-identifier parts per table, in the reference's order.
@@ -100,6 +102,87 @@ def change_rows(applied: DataFrame, table: str, columns: list[str], keys: list[s
     )
 
 
+def statement_log(target: DataFrame, batch: DataFrame, table: str, keys: list[str], run_ts: str, *,
+                  order_col: str = "row_number", overwrite: list[str] | None = None, keep_existing: tuple[str, ...] = (),
+                  coalesce: tuple[str, ...] = (), defaults: dict[str, Column] | None = None,
+                  insert_defaults_ts: tuple[str, ...] = (), touch_col: str | None = "updated_at",
+                  created_col: str | None = "created_at") -> DataFrame:
+    """L1 as a row trigger writes it: one change row per record of an upsert,
+    each with the image before and after that record (the options are those
+    of ``merge.merge_keyed``; the result has ``order_col`` besides).
+
+    A record is a partial update, and updates compose: an overwritten column
+    has the value of the latest record, a kept or coalesced one the latest
+    value that isn't null.  Records are ranged over the tasks by key and
+    order, so a key with a third of all records lies in many chunks.  Each chunk
+    is composed to one row, a prefix over the few chunks of a key gives
+    what stands before each, and within its chunk a record sees what came
+    before it by a window.  ``order_col`` orders the records of a key.
+    """
+    ensure_checkpoint_dir(batch.sparkSession)
+    carried = [c for c in (*coalesce, *keep_existing)]
+    columns = [c for c in batch.columns if c not in keys and c != order_col]
+    overwrite = [c for c in (overwrite if overwrite is not None else columns) if c in columns]
+    held = [c for c in target.columns if c in overwrite and c in carried]
+    # both the chunks' rows and the windows read the partition ids, so they are written down once
+    ranged = batch.repartitionByRange(*keys, order_col).withColumn("__chunk", F.spark_partition_id()).checkpoint(eager=True)
+    record = F.struct(*columns)
+
+    def latest(c: str) -> Column:
+        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order_col)))
+
+    chunks = ranged.groupBy(*keys, "__chunk").agg(F.max_by(record, order_col).alias("__rec"), *[latest(c).alias(f"__nn_{c}") for c in held])
+    before_chunk = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunks.select(*keys, "__chunk", F.last("__rec").over(before_chunk).alias("__c_rec"),
+                          *[F.last(f"__nn_{c}", ignorenulls=True).over(before_chunk).alias(f"__c_{c}") for c in held])
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(order_col)
+    earlier, up_to = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.select(
+        "*", F.lag(record).over(inside).alias("__l_rec"),
+        *[F.last(c, ignorenulls=True).over(w).alias(f"__{n}_{c}") for c in held for n, w in (("b", earlier), ("u", up_to))])
+    stored = target.select(*keys, F.struct(*target.columns).alias("__t"))
+    j = local.join(carry, [*keys, "__chunk"]).join(stored, keys, "left")
+    j = j.withColumn("__p", F.coalesce("__l_rec", "__c_rec")).withColumn("__new", F.col("__t").isNull())
+    ts, first = F.lit(run_ts).cast("timestamp_ntz"), F.col("__p").isNull()
+
+    def image(value, latest_name: str, is_first: Column) -> Column:
+        """The row after the record whose values ``value`` gives; ``latest_name`` has the latest values up to it."""
+        out = []
+        for c in target.columns:
+            old, inserted = F.col(f"__t.{c}"), F.when(F.col("__new"), (defaults or {}).get(c, F.lit(None)))
+            if c in keys:
+                v = F.col(c)
+            elif c in held:
+                v = F.coalesce(F.col(f"__{latest_name}_{c}"), F.col(f"__c_{c}"), old)
+                if c in insert_defaults_ts:
+                    v = F.coalesce(v, F.when(F.col("__new"), ts))
+            elif c == touch_col:
+                v = ts
+            elif c in overwrite:
+                v = value(c)
+                if c == created_col or c in insert_defaults_ts:
+                    v = F.when(F.col("__new") & is_first, F.coalesce(v, ts)).otherwise(v)
+            elif c == created_col or c in insert_defaults_ts:
+                v = F.coalesce(old, F.when(F.col("__new"), ts))
+            else:
+                v = F.coalesce(old, inserted)
+            out.append(v.cast(target.schema[c].dataType).alias(c))
+        return F.struct(*out)
+
+    # whether the record before was the first of its key matters only where a new row takes a default it then loses
+    after = image(F.col, "u", first)
+    was_first = F.col("__l_rec").isNotNull() & F.lag(F.lit(1), 2).over(inside).isNull() & F.col("__c_rec").isNull() \
+        if set(overwrite) & {created_col, *insert_defaults_ts} - set(held) else F.lit(False)
+    before = image(lambda c: F.col(f"__p.{c}"), "b", was_first)
+    rows = j.select(*keys, order_col, F.when(first & F.col("__new"), F.lit("INSERT")).otherwise(F.lit("UPDATE")).alias("__op"),
+                    F.when(first, F.col("__t")).otherwise(before).alias("__old"), after.alias("__after"))
+    text = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+    return rows.select(
+        F.lit(table).alias("table_name"), F.col("__op").alias("operation_type"), record_identifier(table, None, keys).alias("record_identifier"),
+        F.when(F.col("__op") == "UPDATE", F.to_json("__old", text)).alias("old_values"), F.to_json("__after", text).alias("new_values"),
+        ts.alias("log_ts"), order_col)
+
+
 def deletion_rows(deleted: DataFrame, table: str, keys: list[str], run_ts: str) -> DataFrame:
     """DELETE change rows for rows known to be deleted (old image only);
     no join with the remaining table is needed."""

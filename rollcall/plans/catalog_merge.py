@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollcall.functions import cleaning as C
+from rollcall.operators import admission as AD
 from rollcall.operators import changelog as LG
 from rollcall.operators import imports as IM
 from rollcall.operators import merge as M
@@ -192,6 +193,19 @@ def l1(spark, sf):
     return _images(_participant_merge(p, "upsert").changes("participants"), [*PARTICIPANT_IMAGE, "city", "prior_cohort"])
 
 
+@query("l1_statement_log")
+def l1_statements(spark, sf):
+    """One change row per record of the participant import, with the images before and after that record."""
+    p = prog(spark, sf)
+    log = LG.statement_log(p.participants, participant_batch(p), "participants", PARTICIPANT_KEYS, RUN_TS,
+                           keep_existing=("registration_date_time",), insert_defaults_ts=("registration_date_time",),
+                           defaults={"prior_cohort": F.lit(False)}, touch_col=None, created_col=None)
+    fields = [*PARTICIPANT_IMAGE, "city", "registration_date_time", "prior_cohort"]
+    return log.select("operation_type", "record_identifier", "row_number",
+                      *[F.get_json_object(f"{side}_values", f"$.{f}").cast("timestamp_ntz" if f.endswith("_time") else "string")
+                        .alias(f"{side}_{f}") for side in ("old", "new") for f in fields])
+
+
 @query("l2_record_identifiers")
 def l2(spark, sf):
     p = prog(spark, sf)
@@ -282,16 +296,43 @@ def c20_by_file(spark, sf):
     return IM.file_summary(batch, "participants", {f: f for f in ("email", "name", "phone_number")}, SLOT_YEAR)
 
 
+def _booking_import(spark, sf):
+    """Raw rows over seven files of three sheets as bookings of one workshop: many e-mails repeat, some names are too
+    wide, and only participants of an earlier cohort are known."""
+    p = prog(spark, sf)
+    k = F.col("row_number_in_file")
+    batch = p.raw_rows.select(
+        F.concat(F.lit("file"), (k % 7).cast("string"), F.lit(".csv")).alias("path"), (k % 3).cast("int").alias("sheet_index"),
+        k.alias("row_number"), "email", F.when(k % 11 == 0, F.repeat(F.trim("name"), F.lit(20))).otherwise(F.col("name")).alias("name"))
+    return AD.import_batch(batch, "bookings", {"email": "email", "name": "name"}, p.bookings, SLOT_YEAR, RUN_TS,
+                           parent=p.participants.filter("prior_cohort"), constants={"form_name": "Workshop 1"}, touch_col=None)
+
+
+@query("c20_outcomes_by_file")
+def c20_outcomes(spark, sf):
+    return _booking_import(spark, sf).summary()
+
+
+@query("c_import_constraint_rejects")
+def import_rejects(spark, sf):
+    return _booking_import(spark, sf).rejected
+
+
+@query("c20_import_state")
+def c20_state(spark, sf):
+    return _booking_import(spark, sf).merged.state
+
+
 @query("c21_workbook_summary")
 def c21(spark, sf):
-    """Bookings re-sent from the lab records, one sheet per workshop: rows, inserts, updates and workshops per
-    sheet and in total."""
+    """Bookings re-sent from the lab records, each second one twice, one sheet per workshop: rows, inserts, updates and
+    workshops per sheet and in total, counted by record."""
     p = prog(spark, sf)
-    res = M.merge_keyed(p.bookings, booking_batch(p), ["email", "form_name"], "upsert", run_ts=RUN_TS,
-                        overwrite=["name", "time_slot", "time_slot_range"], touch_col=None)
-    return IM.workbook_summary(res.outcome.select(
-        F.substring("form_name", 10, 3).try_cast("int").alias("sheet_index"), F.col("form_name").alias("workshop_name"),
-        "inserted", "updated"))
+    sent = booking_batch(p)
+    again = sent.filter(F.length("email") % 2 == 0).withColumn("row_number", F.col("row_number") + F.expr("INTERVAL 400 DAYS"))
+    records = sent.unionByName(again).withColumn("sheet_index", F.substring("form_name", 10, 3).try_cast("int"))
+    fates = AD.record_outcomes(records, p.bookings, ["email", "form_name"], "upsert", "row_number")
+    return IM.workbook_summary(AD.sheet_outcomes(fates, "form_name"))
 
 
 @query("u5_weekly_update_mode")

@@ -151,6 +151,28 @@ rejected AS (
   SELECT row_number, 'Row ' || CAST(row_number AS VARCHAR) || ': ' || reason AS error
   FROM checked WHERE reason IS NOT NULL)"""
 
+# Raw rows over seven files of three sheets as bookings: parsed, admitted, and what became of each.
+BOOKING_IMPORT = f"""
+cells AS (
+  SELECT 'file' || (row_number_in_file % 7) || '.csv' AS path, CAST(row_number_in_file % 3 AS INTEGER) AS sheet_index,
+         row_number_in_file AS k, coalesce(email, '') AS email,
+         coalesce(CASE WHEN row_number_in_file % 11 = 0 THEN repeat(trim(name), 20) ELSE name END, '') AS name FROM raw_rows),
+trimmed AS (SELECT path, sheet_index, k, {_strip('email')} AS mail, {_strip('name')} AS who FROM cells WHERE email || name <> ''),
+judged AS (
+  SELECT path, sheet_index, k, lower(mail) AS mail, who,
+         CASE WHEN mail = '' AND who = '' THEN 'Missing required fields: email, name'
+              WHEN mail = '' THEN 'Missing required fields: email' WHEN who = '' THEN 'Missing required fields: name'
+              WHEN NOT regexp_matches(mail, '{EMAIL_RE}') THEN 'Invalid email: ' || mail
+              WHEN length(who) > 255 THEN 'value too long for type character varying(255)'
+              WHEN lower(mail) NOT IN (SELECT email FROM participants WHERE prior_cohort)
+              THEN 'insert or update on table "bookings" violates foreign key constraint' END AS why
+  FROM trimmed),
+good AS (SELECT * FROM judged WHERE why IS NULL),
+fates AS (
+  SELECT path, sheet_index, CASE WHEN mail IN (SELECT email FROM bookings WHERE form_name = 'Workshop 1') THEN 'updated'
+              WHEN row_number() OVER (PARTITION BY mail ORDER BY path, sheet_index, k) = 1 THEN 'created' ELSE 'updated' END AS fate
+  FROM good UNION ALL SELECT path, sheet_index, 'skipped' FROM judged WHERE why IS NOT NULL)"""
+
 # Records matched on (email, name), or on the e-mail alone where the name is missing.
 NAMED = """
 named AS (SELECT email, CASE WHEN row_number % 2 <> 0 THEN name END AS name, occupation, phone_number, row_number FROM batch),
@@ -254,6 +276,24 @@ SELECT 'participants' AS table_name, CASE WHEN t.email IS NULL THEN 'INSERT' ELS
        s.email AS new_email, s.name AS new_name, s.occupation AS new_occupation, s.phone_number AS new_phone_number,
        t.city AS new_city, CAST(coalesce(t.prior_cohort, false) AS VARCHAR) AS new_prior_cohort
 FROM latest s LEFT JOIN participants t ON s.email = t.email""", "participants", "submissions"),
+    "l1_statement_log": W(f""", {BATCH},
+steps AS (
+  SELECT b.*, row_number() OVER k AS n, lag(name) OVER k AS name_0, lag(occupation) OVER k AS job_0, lag(phone_number) OVER k AS phone_0,
+         last_value(registration_date_time IGNORE NULLS) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen_0,
+         last_value(registration_date_time IGNORE NULLS) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen_1
+  FROM batch b WINDOW k AS (PARTITION BY email ORDER BY row_number)),
+told AS (
+  SELECT s.*, t.email IS NULL AS fresh, t.name AS t_name, t.occupation AS t_job, t.phone_number AS t_phone, t.city AS t_city,
+         t.registration_date_time AS t_seen, t.prior_cohort AS t_prior
+  FROM steps s LEFT JOIN participants t USING (email))
+SELECT CASE WHEN fresh AND n = 1 THEN 'INSERT' ELSE 'UPDATE' END AS operation_type, email AS record_identifier, row_number,
+       CASE WHEN n > 1 OR NOT fresh THEN email END AS old_email, CASE WHEN n = 1 THEN t_name ELSE name_0 END AS old_name,
+       CASE WHEN n = 1 THEN t_job ELSE job_0 END AS old_occupation, CASE WHEN n = 1 THEN t_phone ELSE phone_0 END AS old_phone_number,
+       t_city AS old_city, CASE WHEN n = 1 THEN t_seen ELSE coalesce(seen_0, t_seen, {TS}) END AS old_registration_date_time,
+       CAST(CASE WHEN n = 1 THEN t_prior ELSE coalesce(t_prior, false) END AS VARCHAR) AS old_prior_cohort,
+       email AS new_email, name AS new_name, occupation AS new_occupation, phone_number AS new_phone_number, t_city AS new_city,
+       coalesce(seen_1, t_seen, {TS}) AS new_registration_date_time, CAST(coalesce(t_prior, false) AS VARCHAR) AS new_prior_cohort
+FROM told""", "participants", "submissions"),
     "l2_record_identifiers": W("""
 SELECT 'weekly' AS table_name, COALESCE(CAST(week_number AS VARCHAR), 'NULL') || '|' || COALESCE(email, 'NULL') AS rid
 FROM weekly
@@ -309,9 +349,24 @@ SELECT path, sheet_index, count(*) AS rows, count(*) FILTER (fate = 'blank') AS
        count(*) FILTER (fate = 'good') AS accepted, count(*) FILTER (fate = 'missing') AS missing_fields,
        count(*) FILTER (fate = 'invalid') AS invalid_email
 FROM judged GROUP BY ALL""", "raw_rows"),
+    "c20_outcomes_by_file": W(f""", {BOOKING_IMPORT}
+SELECT path, sheet_index, count(*) AS rows, count(*) FILTER (fate = 'created') AS created,
+       count(*) FILTER (fate = 'updated') AS updated, CAST(0 AS BIGINT) AS unchanged, count(*) FILTER (fate = 'skipped') AS skipped
+FROM fates GROUP BY ALL""", "participants", "bookings", "raw_rows"),
+    "c_import_constraint_rejects": W(f""", {BOOKING_IMPORT}
+SELECT path, sheet_index, k AS row_number, 'Row ' || k || ': ' || why AS error FROM judged WHERE why IS NOT NULL""",
+                                     "participants", "bookings", "raw_rows"),
+    "c20_import_state": W(f""", {BOOKING_IMPORT},
+final AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY mail ORDER BY path DESC, sheet_index DESC, k DESC) = 1)
+SELECT b.email, b.form_name, coalesce(f.who, b.name) AS name, b.time_slot, b.time_slot_range, b.created_at
+FROM bookings b LEFT JOIN final f ON b.email = f.mail AND b.form_name = 'Workshop 1'
+UNION ALL
+SELECT mail, 'Workshop 1', who, NULL, NULL, {TS} FROM final
+WHERE mail NOT IN (SELECT email FROM bookings WHERE form_name = 'Workshop 1')""", "participants", "bookings", "raw_rows"),
     "c21_workbook_summary": W("""
-, sent AS (SELECT email, workshop_name, TRY_CAST(substr(workshop_name, 10, 3) AS INTEGER) AS sheet_index FROM labs),
-fate AS (SELECT s.*, b.email IS NULL AS fresh FROM sent s
+, sent AS (SELECT email, workshop_name, TRY_CAST(substr(workshop_name, 10, 3) AS INTEGER) AS sheet_index, false AS repeated FROM labs),
+both_times AS (SELECT * FROM sent UNION ALL SELECT email, workshop_name, sheet_index, true FROM sent WHERE length(email) % 2 = 0),
+fate AS (SELECT s.*, b.email IS NULL AND NOT repeated AS fresh FROM both_times s
          LEFT JOIN (SELECT DISTINCT email, form_name FROM bookings) b ON b.email = s.email AND b.form_name = s.workshop_name)
 SELECT sheet_index, count(*) AS rows_read, CAST(sum(CAST(fresh AS INTEGER)) AS BIGINT) AS inserted,
        CAST(sum(CAST(NOT fresh AS INTEGER)) AS BIGINT) AS updated, count(DISTINCT workshop_name) AS workshops, false AS is_total
