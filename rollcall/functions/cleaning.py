@@ -148,8 +148,12 @@ def with_datetime(df: DataFrame, src: str, dst: str, year: int, _p: str = "__dt_
 
 
 def coerce_boolean(c) -> Column:
-    """True for true/1/yes/y/on in any case (no trimming); else false."""
-    return F.coalesce(F.lower(col_(c).cast("string")).isin(TRUE_WORDS), F.lit(False))
+    """True for true/1/yes/y/on in any case (no trimming), and for numbers
+    other than 0; else false.  What counts is the column's type: a cell that
+    holds the text 2 is no number."""
+    word = F.lower(col_(c).cast("string")).isin(TRUE_WORDS)
+    number = F.typeof(col_(c)).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+    return F.coalesce(F.when(number, col_(c).cast("string").cast("double") != 0).otherwise(word), F.lit(False))
 
 
 def coerce_boolean_upper_true(c) -> Column:

@@ -183,6 +183,14 @@ def statement_log(target: DataFrame, batch: DataFrame, table: str, keys: list[st
         ts.alias("log_ts"), order_col)
 
 
+def deletion_row(table: str, keys: list[str], columns: list[str], row: str, run_ts: str) -> Column:
+    """The DELETE change row of the row in struct column ``row``."""
+    return F.struct(
+        F.lit(table).alias("table_name"), F.lit("DELETE").alias("operation_type"),
+        record_identifier(table, row, keys).alias("record_identifier"), _image(row, columns).alias("old_values"),
+        F.lit(None).cast("string").alias("new_values"), F.lit(run_ts).cast("timestamp_ntz").alias("log_ts"))
+
+
 def deletion_rows(deleted: DataFrame, table: str, keys: list[str], run_ts: str) -> DataFrame:
     """DELETE change rows for rows known to be deleted (old image only);
     no join with the remaining table is needed."""

@@ -43,25 +43,48 @@ def length_violations(df: DataFrame, table: str, widths: dict[str, int]) -> Data
     return _per_column(df, table, {c: F.length(F.col(c)) > n for c, n in widths.items() if c in df.columns})
 
 
+def _tagged(children: dict[str, DataFrame], fk: str) -> DataFrame:
+    """All children as one relation: table, reference, and the row in a column of its table's own type."""
+    parts = [df.select(F.lit(name).alias("table_name"), F.col(fk).alias("__fk"), F.struct(*df.columns).alias(f"r_{name}"))
+             for name, df in children.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def split_by_deleted(children: dict[str, DataFrame], deleted: DataFrame, fk: str = "email") -> DataFrame:
+    """K5: every child row with ``doomed``: whether its reference is deleted.
+    The children are one relation that is keyed once and meets the deleted keys
+    in one join, however many tables there are; kept and removed rows of each
+    table are read from it."""
+    keys = deleted.select(F.col(fk).alias("__fk")).distinct().withColumn("__gone", F.lit(True))
+    return _tagged(children, fk).join(keys, "__fk", "left").withColumn("doomed", F.col("__gone").isNotNull()).drop("__fk", "__gone")
+
+
+def rows_of(split: DataFrame, table: str) -> DataFrame:
+    """The rows of one table in its own columns."""
+    return split.filter(F.col("table_name") == table).select(f"r_{table}.*")
+
+
 def cascade_delete(children: dict[str, DataFrame], deleted: DataFrame, fk: str = "email") -> dict[str, DataFrame]:
-    """K5: remove every child row referencing a deleted key."""
-    keys = deleted.select(fk).distinct()
-    return {name: df.join(keys, fk, "left_anti") for name, df in children.items()}
+    """K5: the children without the rows that reference a deleted key."""
+    kept = split_by_deleted(children, deleted, fk).filter("NOT doomed")
+    return {name: rows_of(kept, name) for name in children}
 
 
 def cascade_delete_logged(children: dict[str, DataFrame], deleted: DataFrame, keys: dict[str, list[str]],
                           run_ts: str, fk: str = "email") -> tuple[dict[str, DataFrame], DataFrame]:
     """K5 with its log: the remaining children and one DELETE change row per
-    removed child row (like the per-row delete trigger).  Removed rows are
-    found with a semi-join; nothing is diffed."""
-    from rollcall.operators.changelog import deletion_rows
-    gone = deleted.select(fk).distinct()
-    kept = {name: df.join(gone, fk, "left_anti") for name, df in children.items()}
-    logs = [deletion_rows(df.join(gone, fk, "left_semi"), name, keys[name], run_ts) for name, df in children.items()]
-    log = logs[0]
-    for part in logs[1:]:
-        log = log.unionByName(part)
-    return kept, log
+    removed child row (like the per-row delete trigger).  Both come from
+    the same split; images are made of removed rows only."""
+    from rollcall.operators.changelog import deletion_row
+    split = split_by_deleted(children, deleted, fk)
+    kept, gone = split.filter("NOT doomed"), split.filter("doomed")
+    rows = [F.when(F.col("table_name") == name, deletion_row(name, keys[name], df.columns, f"r_{name}", run_ts))
+            for name, df in children.items()]
+    log = gone.select(F.coalesce(*rows).alias("row")).select("row.*")
+    return {name: rows_of(kept, name) for name in children}, log
 
 
 def set_null_on_delete(df: DataFrame, deleted: DataFrame, col: str, pk: str) -> DataFrame:

@@ -26,6 +26,15 @@ CRITICAL_HEADERS = {
     "form": ["Email", "Name", "Team Name"],
     "project": ["Email", "Name", "Team Name", "AWS Builder Center Blog Link"],
 }
+# The header texts of the form and project sheets.
+FORM_HEADERS = [
+    "Team Name", "Leader Name", "Leader Email", "Leader Phone", "Team Size", "Problem Statements", "Name", "Email",
+    "Book your slot for workshop 1 - Building a Simple Content Summarizer with Amazon Bedrock", "Created At", "Created By Name",
+    "Created By Email", "Updated At", "Updated By Name", "Updated By Email"]
+PROJECT_HEADERS = [
+    "Team Name", "Leader Name", "Leader Email", "Leader Phone", "Team Size", "Problem Statements",
+    "Hands-on Lab Completion Proof", "AWS Builder Center Blog Link", "Created At", "Created By Name", "Created By Email",
+    "Updated At", "Updated By Name", "Updated By Email"]
 # Header search terms per field (first header containing any).
 FORM_FIELDS = {
     "name": ["Name"], "email": ["Email"], "team_name": ["Team Name", "TeamName"],

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import labels as L
+from rollcall.operators.ordering import with_position
 from rollcall.operators.joins import enrich_bounded, optional_col
 
 
@@ -334,11 +335,11 @@ def slot_occupation_map(breakdown: DataFrame) -> DataFrame:
 
 
 def slot_order(detail: DataFrame) -> DataFrame:
-    """Distinct slot labels, alphabetical, ``No Time Slot`` last.  The window
-    runs over the distinct labels (aggregated), not over bookings."""
+    """Distinct slot labels, alphabetical, ``No Time Slot`` last, with their
+    positions.  Labels are free text, so they are numbered by tasks."""
     labels = detail.select(L.slot_label(fmt=L.SLOT_FORMAT_SECONDS).alias("slot")).distinct()
-    w = Window.orderBy(F.col("slot") == L.NO_SLOT, F.col("slot"))
-    return labels.withColumn("slot_position", F.row_number().over(w))
+    ordered = with_position(labels, [F.col("slot") == L.NO_SLOT, F.col("slot")], "slot_position")
+    return ordered.withColumn("slot_position", F.col("slot_position").cast("int"))
 
 
 def workshop_summary(bookings: DataFrame) -> DataFrame:

@@ -57,9 +57,15 @@ def k4(spark, sf):
 def k5(spark, sf):
     p = prog(spark, sf)
     deleted = p.participants.filter(F.col("prior_cohort"))
-    kids = K.cascade_delete({t: getattr(p, t) for t in CHECKED if t != "participants"}, deleted)
-    return _union([df.agg(F.count(F.lit(1)).alias("kept")).select(F.lit(t).alias("table_name"), "kept")
-                   for t, df in kids.items()])
+    split = K.split_by_deleted({t: getattr(p, t) for t in CHECKED if t != "participants"}, deleted)
+    return split.groupBy("table_name").agg(F.count_if(~F.col("doomed")).alias("kept"))
+
+
+@query("k5_kept_bookings")
+def k5_kept(spark, sf):
+    p = prog(spark, sf)
+    deleted = p.participants.filter(F.col("prior_cohort"))
+    return K.cascade_delete({t: getattr(p, t) for t in CHECKED if t != "participants"}, deleted)["bookings"]
 
 
 @query("k6_cascade_key_update_bookings")

@@ -74,12 +74,41 @@ def s1(spark, sf):
                        F.size("cells").alias("n_cells"))
 
 
+# Header texts of a participant file, one per field of the parse.
+PARTICIPANT_HEADERS = {
+    "email": "Email", "name": "Full Name", "phone_number": "Phone Number", "gender": "Gender", "country": "Country", "state": "State",
+    "city": "City", "date_of_birth": "DOB", "designation": "Designation", "class_stream": "Class/Stream",
+    "degree_passout_year": "Passout Year", "occupation": "Occupation", "linkedin": "LinkedIn URL",
+    "participated_in_academy_1_0": "Participated before", "registration_date_time": "Registration Date"}
+
+
 @query("c19_participant_sheet_parse")
 def c19(spark, sf):
     records, _ = SP.parse_participant_sheets(_raw_rows_csv(spark, sf), SLOT_YEAR, RUN_TS)
     return records.drop("path", "sheet_index", "row_number")
 
 
+@query("c19_participant_file_all_fields")
+def c19_all(spark, sf):
+    """All participants written as ';'-separated files with a column for each of the fifteen fields, and parsed back."""
+    path = W.scratch_path(spark, "participants-csv")
+    user = F.regexp_extract("email", r"^user(\d+)@", 1).cast("long")
+    cells = {
+        "email": F.concat(F.lit(" "), F.upper("email")), "phone_number": F.concat(F.lit("+"), F.col("phone_number")),
+        "date_of_birth": F.date_format("date_of_birth", "yyyy-MM-dd HH:mm"),
+        "class_stream": F.concat(F.lit(" Stream "), (user % 5).cast("string")),
+        "degree_passout_year": F.when(user % 3 != 0, F.concat(F.lit("B.Tech, "), (2000 + user % 25).cast("string"))),
+        "linkedin": F.when(user % 4 != 1, F.concat(F.lit("https://in.example/"), user.cast("string"))),
+        "participated_in_academy_1_0": F.when(F.col("prior_cohort"), F.lit("Yes")).otherwise("no"),
+        "registration_date_time": F.when(user % 7 != 2, F.date_format("registration_date_time", "yyyy-MM-dd HH:mm"))}
+    (prog(spark, sf).participants.select(*[(cells[f] if f in cells else F.col(f)).alias(h)
+                                           for f, h in PARTICIPANT_HEADERS.items()])
+     .write.option("header", "true").option("sep", ";").option("ignoreLeadingWhiteSpace", "false")
+     .option("ignoreTrailingWhiteSpace", "false").csv(path))
+    records, _ = SP.parse_participant_sheets(scan_delimited(spark, path), SLOT_YEAR, RUN_TS, prefer_exact=True)
+    return records.drop("path", "sheet_index", "row_number")
+
+
 @query("o1_workshop_export_rows")
 def o1(spark, sf):
     p = prog(spark, sf)

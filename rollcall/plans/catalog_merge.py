@@ -246,6 +246,8 @@ def c9(spark, sf):
     r = prog(spark, sf).raw_rows
     return r.select("row_number_in_file",
                     C.coerce_boolean("flag_text").alias("flag"),
+                    C.coerce_boolean(F.col("row_number_in_file") % 3).alias("flag_number"),
+                    C.coerce_boolean((F.col("row_number_in_file") % 4).cast("double") / 2).alias("flag_half"),
                     C.coerce_boolean_upper_true("flag_text").alias("flag_lab"),
                     C.year_from_text("degree_text").alias("year_sheet"),
                     C.strict_int("degree_text").alias("year_generic"))

@@ -9,21 +9,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollcall.operators import headers as H
 from rollcall.operators import reports as R
 from rollcall.operators import sheet_parse as SP
 from rollcall.plans.catalog import EXPORT_LIMIT, RUN_TS, SLOT_YEAR, WEEK, prog, query
+from rollcall.operators.headers import FORM_HEADERS, PROJECT_HEADERS
+from rollcall.session import Tables
 from rollcall.sinks import writers as W
 from rollcall.sources import sheets as S
 from rollcall.sources.delimited import scan_delimited
 from rollcall.sources.rows import rows_from_frame
 
-# The header texts of the form and project sheets.
-FORM_HEADERS = ["Team Name", "Leader Name", "Leader Email", "Leader Phone", "Team Size", "Problem Statements",
-                "Name", "Email", "Book your slot for workshop 1 - Summarizer", "Created At", "Created By Name",
-                "Created By Email", "Updated At", "Updated By Name", "Updated By Email"]
-PROJECT_HEADERS = ["Team Name", "Leader Name", "Leader Email", "Leader Phone", "Team Size", "Problem Statements",
-                   "Hands-on Lab Completion Proof", "AWS Builder Center Blog Link", "Created At", "Created By Name",
-                   "Created By Email", "Updated At", "Updated By Name", "Updated By Email"]
 TS = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -106,3 +102,35 @@ def s3(spark, sf):
                            T.StructField("time_slot", T.TimestampNTZType()), T.StructField("time_slot_range", T.StringType()),
                            T.StructField("seats", T.IntegerType())])
     return S.scan_table(spark, path, schema)
+
+
+def form_headers(spark, sf):
+    """A form sheet per customer: every one lacks the header at a place of its own (17 places, so some are whole), every
+    fifth ends after eight columns.  The header table that the header operators take."""
+    k = F.col("c_custkey")
+    return Tables(spark, sf).customer.select(
+        F.concat(F.lit("form"), k.cast("string"), F.lit(".xlsx")).alias("path"), F.lit(0).alias("sheet_index"), k,
+        F.posexplode(F.array(*[F.lit(h) for h in FORM_HEADERS])).alias("position", "header")).filter(
+        (F.col("position") != k % 17) & ((k % 5 != 0) | (F.col("position") < 8))).drop("c_custkey")
+
+
+@query("h2_header_errors")
+def h2(spark, sf):
+    found = H.validate_headers(form_headers(spark, sf), "form")
+    return found.select("path", "sheet_index", "n_columns", F.array_join("errors", "; ").alias("errors"))
+
+
+LAB_FIELDS = ["email", "name", "problem_statement", "proof_link", "assigned_to", "remarks"]
+LAB_HEADERS = ["Email", "E-mail Address", "email_id", "Full Name", "Name", "Problem Statement", "proof link", "Assigned", "Remarks (if any)",
+               "Date"]
+
+
+@query("h5_similar_auto_map")
+def h5(spark, sf):
+    """The columns that fields are mapped to by similar names, for a sheet per customer with six headers out of ten."""
+    k = F.col("c_custkey")
+    headers = Tables(spark, sf).customer.select(
+        k.cast("string").alias("path"), F.lit(0).alias("sheet_index"),
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: F.element_at(
+            F.array(*[F.lit(h) for h in LAB_HEADERS]), ((k * 7 + j * (1 + k % 3)) % 10 + 1).cast("int")))).alias("position", "header"))
+    return H.auto_map_similar(headers, LAB_FIELDS, lab_variant=True)

@@ -52,6 +52,8 @@ SELECT * FROM bookings WHERE email NOT IN (SELECT email FROM participants)""", "
         f"SELECT '{t}' AS table_name, COUNT(*) AS kept FROM {t} "
         f"WHERE email NOT IN (SELECT email FROM participants WHERE prior_cohort)"
         for t in CHECKED if t != "participants"), *CHECKED),
+    "k5_kept_bookings": W("""
+SELECT * FROM bookings WHERE email NOT IN (SELECT email FROM participants WHERE prior_cohort)""", "participants", "bookings"),
     "k6_cascade_key_update_bookings": W("""
 SELECT CASE WHEN p.email IS NOT NULL THEN 'renamed.' || b.email ELSE b.email END AS email,
        b.form_name, b.name, b.time_slot, b.time_slot_range, b.created_at

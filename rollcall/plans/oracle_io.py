@@ -51,6 +51,13 @@ SELECT CAST(row_number() OVER (PARTITION BY kind, row_number_in_file % 16 ORDER
        CASE WHEN kind = 1 THEN 'x' || CAST(row_number_in_file AS VARCHAR) WHEN kind = 0 AND row_number_in_file % 2 = 0 THEN '' END AS extra,
        CAST(CASE kind WHEN 0 THEN CASE WHEN row_number_in_file % 2 = 0 THEN 10 ELSE 8 END WHEN 1 THEN 9 ELSE 6 END AS INTEGER) AS n_cells
 FROM (SELECT *, row_number_in_file % 3 AS kind FROM raw_rows) r""", "raw_rows"),
+    "c19_participant_file_all_fields": W("""
+SELECT email, name, phone_number, NULLIF(gender, '') AS gender, country, state, city, date_of_birth, designation,
+       'Stream ' || (u % 5) AS class_stream, CASE WHEN u % 3 <> 0 THEN CAST(2000 + u % 25 AS INTEGER) END AS degree_passout_year,
+       NULLIF(occupation, '') AS occupation, CASE WHEN u % 4 <> 1 THEN 'https://in.example/' || u END AS linkedin,
+       prior_cohort AS participated_in_academy_1_0,
+       CASE WHEN u % 7 <> 2 THEN registration_date_time ELSE TIMESTAMP '2025-01-15 09:30:00' END AS registration_date_time
+FROM (SELECT *, CAST(regexp_extract(email, '^user([0-9]+)@', 1) AS BIGINT) AS u FROM participants) p""", "participants"),
     "c19_participant_sheet_parse": W(f"""
 , t AS (SELECT NULLIF(regexp_replace(email, '^\\s+|\\s+$', '', 'g'), '') AS email,
                NULLIF(regexp_replace(name, '^\\s+|\\s+$', '', 'g'), '') AS name,

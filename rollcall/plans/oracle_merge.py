@@ -320,6 +320,7 @@ FROM {_slot_subquery('slot_text', 'raw_rows', 'row_number_in_file AS rk')} sl"""
     "c9_c10_flags_and_years": W(f"""
 SELECT row_number_in_file,
        COALESCE(lower(flag_text) IN ('true', '1', 'yes', 'y', 'on'), false) AS flag,
+       row_number_in_file % 3 <> 0 AS flag_number, row_number_in_file % 4 <> 0 AS flag_half,
        COALESCE(upper(flag_text) = 'TRUE', false) AS flag_lab,
        CAST(NULLIF(regexp_extract(degree_text, '\\d{{4}}', 0), '') AS INTEGER) AS year_sheet,
        CASE WHEN regexp_matches({_strip('degree_text')}, '^[+-]?\\d{{1,9}}$')

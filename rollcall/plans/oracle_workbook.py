@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rollcall.operators.headers import FORM_HEADERS
 from rollcall.plans.fixture_sql import with_views as W
 from rollcall.plans.oracle_reports import ORACLE as _REPORTS
 
@@ -49,4 +50,28 @@ FROM sheet JOIN total USING (path, sheet_index) WHERE row_number BETWEEN 2 AND 6
     "s3_table_scan": W("""
 SELECT email, form_name, time_slot, CAST(NULL AS VARCHAR) AS time_slot_range, CAST(NULL AS INTEGER) AS seats
 FROM bookings""", "bookings"),
+    "h2_header_errors": f"""
+WITH named AS (SELECT unnest(range(len(h))) AS position, unnest(h) AS header FROM (SELECT {FORM_HEADERS} AS h)),
+seen AS (SELECT c_custkey AS k, header FROM customer, named
+         WHERE position <> c_custkey % 17 AND (c_custkey % 5 <> 0 OR position < 8)),
+sheet AS (SELECT k, count(*) AS n, bool_or(contains(lower(header), 'email')) AS a, bool_or(contains(lower(header), 'name')) AS b,
+                 bool_or(contains(lower(header), 'team name')) AS c FROM seen GROUP BY k)
+SELECT 'form' || k || '.xlsx' AS path, 0 AS sheet_index, n AS n_columns,
+       concat_ws('; ', CASE WHEN n < 15 THEN 'Expected at least 15 columns, got ' || n END,
+                 CASE WHEN NOT a THEN 'Missing critical header: Email' END, CASE WHEN NOT b THEN 'Missing critical header: Name' END,
+                 CASE WHEN NOT c THEN 'Missing critical header: Team Name' END) AS errors
+FROM sheet""",
+    "h5_similar_auto_map": """
+WITH names AS (SELECT ['Email', 'E-mail Address', 'email_id', 'Full Name', 'Name', 'Problem Statement', 'proof link', 'Assigned',
+                       'Remarks (if any)', 'Date'] AS h),
+heads AS (SELECT c_custkey AS k, CAST(j AS INTEGER) AS position, lower(h[(c_custkey * 7 + j * (1 + c_custkey % 3)) % 10 + 1]) AS low,
+                 h[(c_custkey * 7 + j * (1 + c_custkey % 3)) % 10 + 1] AS header FROM customer, names, range(6) AS r(j)),
+fields AS (SELECT unnest(['email', 'name', 'problem_statement', 'proof_link', 'assigned_to', 'remarks']) AS field),
+fits AS (
+  SELECT k, field, position, header FROM heads, fields
+  WHERE contains(field, replace(low, ' ', '_')) OR contains(low, field) OR contains(replace(field, '_', ' '), low)
+     OR contains(low, replace(field, '_', ' '))),
+chosen AS (SELECT k, field, arg_max(header, position) AS header FROM fits GROUP BY ALL)
+SELECT CAST(k AS VARCHAR) AS path, 0 AS sheet_index, field, min(position) AS position
+FROM chosen JOIN heads USING (k, header) GROUP BY k, field""",
 }

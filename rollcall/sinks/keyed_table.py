@@ -1,7 +1,7 @@
 """Keyed tables that are rewritten partition by partition (O5 for merges).
 
-The rows of a table are dealt into a fixed number of partitions by a hash of
-their key.  A commit rewrites only the partitions that its keys touch, into a
+The rows of a table are dealt by a hash of their key into partitions, as many
+as the table's size asks for when it is created; the manifest keeps their number.  A commit rewrites only the partitions that its keys touch, into a
 folder of its own, and publishes a manifest that names, for every partition,
 the folder that holds it; the pointer to the manifest moves with one rename.
 Readers see the old or the new table, never a mixture, and untouched
@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 
 from rollcall.sinks import writers as W
 
-PARTITIONS = 64
+PARTITIONS = 64             # at least
+PART_ROWS = 1_000_000       # rows of a partition, about
 PART = "__part"
 
 
@@ -60,8 +61,14 @@ def _publish(spark: SparkSession, path: str, m: Manifest) -> None:
     W.publish(spark, path, name)
 
 
-def create(df: DataFrame, path: str, keys: list[str], partitions: int = PARTITIONS) -> None:
+def partitions_for(df: DataFrame) -> int:
+    """Partitions of about ``PART_ROWS`` rows, so a batch of few keys rewrites a small part of a large table."""
+    return max(PARTITIONS, -(-df.count() // PART_ROWS))
+
+
+def create(df: DataFrame, path: str, keys: list[str], partitions: int | None = None) -> None:
     """Write ``df`` as a new table."""
+    partitions = partitions or partitions_for(df)
     m = Manifest(list(keys), partitions, df.schema.json())
     _publish(df.sparkSession, path, _written(df, path, m, f"v-{uuid.uuid4().hex}", set()))
 

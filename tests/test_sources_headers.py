@@ -4,18 +4,11 @@ from pyspark.sql import functions as F
 
 from rollcall.operators import headers as H
 from rollcall.operators import sheet_parse as SP
+from rollcall.operators.headers import FORM_HEADERS, PROJECT_HEADERS
 from rollcall.sources import delimited, sheets, workbook
 from rollcall.sources.rows import headers as header_table
 from xlsx_writer import write_xlsx
 
-# The header texts of the form and project sheets.
-FORM_HEADERS = ["Team Name", "Leader Name", "Leader Email", "Leader Phone", "Team Size", "Problem Statements",
-                "Name", "Email", "Book your slot for workshop 1 - Summarizer", "Created At", "Created By Name",
-                "Created By Email", "Updated At", "Updated By Name", "Updated By Email"]
-PROJECT_HEADERS = ["Team Name", "Leader Name", "Leader Email", "Leader Phone", "Team Size", "Problem Statements",
-                   "Hands-on Lab Completion Proof", "AWS Builder Center Blog Link", "Created At", "Created By Name",
-                   "Created By Email", "Updated At", "Updated By Name", "Updated By Email"]
-
 
 def test_csv_sniff_bom_and_row_numbers(spark, scratch):
     path = os.path.join(scratch, "people.csv")
