@@ -247,6 +247,73 @@ def grant_all(bridge: DataFrame, catalog: DataFrame, user_id: int, id_col: str =
     return insert_or_ignore(bridge, rows, [owner, id_col])
 
 
+def _same(left: str, right: str, fields: list[str]) -> list[Column]:
+    return [F.col(f"{left}.{f}").eqNullSafe(F.col(f"{right}.{f}")) for f in fields]
+
+
+def _patterns(match_fields: list[str], forced: list[str]):
+    """(fields to match on, fields that are null) of every null pattern of a record."""
+    opt = [f for f in match_fields if f not in forced]
+    for r in range(len(opt), -1, -1):
+        for present in combinations(opt, r):
+            on = [*forced, *present]
+            if on:
+                yield on, [f for f in opt if f not in present]
+
+
+def _of_pattern(df: DataFrame, on: list[str], absent: list[str]) -> DataFrame:
+    for f in on:
+        df = df.filter(F.col(f).isNotNull())
+    for f in absent:
+        df = df.filter(F.col(f).isNull())
+    return df
+
+
+def _union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def claims(candidates: DataFrame, match_fields: list[str], forced: list[str], keys: list[str]) -> DataFrame:
+    """Which candidates insert a row when they come one after another.
+
+    ``candidates`` has one row per distinct match values and key, with its
+    place ``__o`` in file order and its record ``__first``.  A candidate
+    inserts unless an earlier inserted row agrees with it on all its
+    non-null match fields (it updates that row) or holds its key (it is
+    refused).  That is a fixpoint: in every round those without an open or
+    inserted earlier rival insert, and those that meet an inserted earlier
+    row drop out.  A round costs an aggregate and a join per null pattern;
+    chains of rivals are short, and the first open candidate is settled in
+    every round, so the rounds end.
+    """
+    open_, inserted = candidates.checkpoint(eager=True), None
+    while True:
+        rivals = open_.select(*match_fields, *[k for k in keys if k not in match_fields], "__o", F.lit(False).alias("__in"))
+        if inserted is not None:
+            rivals = rivals.unionByName(inserted.select(*rivals.columns[:-1], F.lit(True).alias("__in")))
+
+        def least(fields: list[str], name: str, rivals: DataFrame = rivals) -> DataFrame:
+            known = _of_pattern(rivals, fields, [])
+            return known.groupBy(*fields).agg(F.min(F.when(F.col("__in"), F.col("__o"))).alias(f"__{name}_in"),
+                                              F.min(F.when(~F.col("__in"), F.col("__o"))).alias(f"__{name}_open"))
+
+        by_values = _union_all([_of_pattern(open_, on, absent).join(least(on, "v"), on, "left").select(
+            *open_.columns, "__v_in", "__v_open") for on, absent in _patterns(match_fields, forced)])
+        judged = by_values.join(least(keys, "k"), keys, "left")
+        gone = F.coalesce(F.col("__v_in") < F.col("__o"), F.lit(False)) | F.coalesce(F.col("__k_in") < F.col("__o"), F.lit(False))
+        rival = F.coalesce(F.col("__v_open") < F.col("__o"), F.lit(False)) | F.coalesce(F.col("__k_open") < F.col("__o"), F.lit(False))
+        settled = judged.select(*open_.columns, F.when(gone, F.lit("out")).when(~rival, F.lit("in")).otherwise(F.lit("open")).alias("__s")
+                                ).checkpoint(eager=True)
+        new = settled.filter("__s = 'in'").drop("__s")
+        inserted = new if inserted is None else inserted.unionByName(new)
+        open_ = settled.filter("__s = 'open'").drop("__s")
+        if open_.isEmpty():
+            return inserted
+
+
 def merge_on_match_fields(target: DataFrame, batch: DataFrame, match_fields: list[str], mode: str = "upsert", *,
                           run_ts: str, order_col: str = "row_number", forced: list[str] = (),
                           target_key: list[str]) -> MergeResult:
@@ -262,15 +329,19 @@ def merge_on_match_fields(target: DataFrame, batch: DataFrame, match_fields: lis
     rows (U10, counted per row hit); when records of different patterns hit
     one row the last in file order wins.
 
-    Records whose values hit nothing are inserted (upsert/create), the first
-    record per ``target_key``.  A record whose key the target holds already
-    cannot be inserted: it comes back in ``rejected``, and the target's row
-    stays as it is.  Bound: a record does not see rows inserted by earlier
-    records of the same batch unless they share the target key."""
+    Records whose values hit no stored row apply one after another: the first
+    one inserts, and later ones that agree with an inserted row update it
+    (``claims``).  A record that matches nothing but whose key a stored or
+    inserted row holds cannot be inserted: it comes back in ``rejected``.
+    Records are in file order by ``order_col``, those equal in it by their
+    match values and key.  Bound: rows are matched by the values they had when
+    they were stored or inserted, not by what a later record of the batch
+    makes of them."""
+    from rollcall.operators.ordering import count_up_to
     from rollcall.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(batch.sparkSession)
+    tk, forced = list(target_key), list(forced)
     opt = [f for f in match_fields if f not in forced]
-    tk = list(target_key)
     values = [c for c in batch.columns if c != order_col]
     usable = batch
     for f in forced:
@@ -278,29 +349,22 @@ def merge_on_match_fields(target: DataFrame, batch: DataFrame, match_fields: lis
     if not forced:
         usable = usable.filter(F.greatest(*[F.col(f).isNotNull() for f in opt]) if len(opt) > 1
                                else F.col(opt[0]).isNotNull())
+    keys_besides = [k for k in tk if k in values and k not in match_fields]
+    usable = usable.withColumn("__o", F.struct(order_col, *match_fields, *keys_besides))
+    record = F.struct(*values)
     reduced = (usable.groupBy(*match_fields)
-               .agg(F.max_by(F.struct(*values, order_col), F.col(order_col)).alias("__r"),
-                    F.count(F.lit(1)).alias("__n"))).checkpoint(eager=True)
+               .agg(F.max_by(record, "__o").alias("__r"), F.count(F.lit(1)).alias("__n"), F.min("__o").alias("__from"),
+                    F.max("__o").alias("__to"))).checkpoint(eager=True)
     hits, unmatched = [], []
-    for r in range(len(opt), -1, -1):
-        for present in combinations(opt, r):
-            on = list(forced) + list(present)
-            if not on:
-                continue
-            absent = [f for f in opt if f not in present]
-            group = reduced
-            for f in opt:
-                group = group.filter(F.col(f).isNull() if f in absent else F.col(f).isNotNull())
-            probe = target.select(*[F.col(k).alias(f"__tk_{k}") for k in tk], *on)
-            hits.append(group.drop(*absent).join(probe, on, "inner").select(*[f"__tk_{k}" for k in tk], "__r", "__n"))
-            unmatched.append(group.join(target.select(*on).distinct(), on, "left_anti").select(*match_fields))
-    matched, missed = hits[0], unmatched[0]
-    for h, u in zip(hits[1:], unmatched[1:], strict=True):
-        matched, missed = matched.unionByName(h), missed.unionByName(u)
+    for on, absent in _patterns(match_fields, forced):
+        group = _of_pattern(reduced, on, absent)
+        probe = target.select(*[F.col(k).alias(f"__tk_{k}") for k in tk], *on)
+        hits.append(group.drop(*absent).join(probe, on, "inner").select(*[f"__tk_{k}" for k in tk], "__r", "__n", "__to"))
+        unmatched.append(group.join(target.select(*on).distinct(), on, "left_anti").select(*match_fields))
+    matched, missed = _union_all(hits), _union_all(unmatched)
     tkc = [f"__tk_{k}" for k in tk]
     # per target row: the last record among the groups that hit it; records counted per row hit
-    upd = (matched.groupBy(*tkc)
-           .agg(F.max_by(F.col("__r"), F.col(f"__r.{order_col}")).alias("r"), F.sum("__n").alias("__n"))
+    upd = (matched.groupBy(*tkc).agg(F.max_by("__r", "__to").alias("r"), F.sum("__n").alias("__n"))
            .select(*tkc, F.lit(True).alias("__tid"), "__n", *[F.col(f"r.{c}").alias(c) for c in values]))
     ts = _ts(run_ts)
     updating = mode in ("upsert", "update")
@@ -314,20 +378,45 @@ def merge_on_match_fields(target: DataFrame, batch: DataFrame, match_fields: lis
         else:
             cols.append(F.col(f"t.{c}").alias(c))
     old = F.struct(*[F.col(f"t.{c}").alias(c) for c in target.columns]).alias("__old")
-    applied = target.alias("t").join(upd.alias("u"), [F.col(f"t.{k}") == F.col(f"u.__tk_{k}") for k in tk],
-                                     "left").select(*cols, old, F.when(hit, F.lit("UPDATE")).alias("__op"))
+    on_key = [F.col(f"t.{k}") == F.col(f"u.__tk_{k}") for k in tk]
+    applied = target.alias("t").join(upd.alias("u"), on_key, "left").select(*cols, old, F.when(hit, F.lit("UPDATE")).alias("__op"))
     outcome = upd.select(*[F.col(f"__tk_{k}").alias(k) for k in tk], F.lit(0).cast("long").alias("inserted"),
                          F.col("__n").cast("long").alias("updated"))
     rejected = None
     if mode in ("upsert", "create"):
-        m = missed.select(*[F.col(f).alias(f"__m_{f}") for f in match_fields])
-        new = usable.join(m, [F.col(f).eqNullSafe(F.col(f"__m_{f}")) for f in match_fields], "left_semi")
-        taken = target.select(*tk)
-        rejected = new.join(taken, tk, "left_semi").select(*tk, order_col)
-        fresh = merge_keyed(target.limit(0), new.join(taken, tk, "left_anti"), target_key, "create", run_ts=run_ts,
-                            order_col=order_col)
-        applied = applied.unionByName(fresh.applied.filter(F.col("__op") == "INSERT"))
-        outcome = (outcome if mode == "upsert" else outcome.limit(0)).unionByName(fresh.outcome)
+        new = usable.alias("n").join(missed.alias("m"), _same("n", "m", match_fields), "left_semi")
+        candidates = new.join(target.select(*tk), tk, "left_anti").groupBy(*match_fields, *keys_besides).agg(
+            F.min("__o").alias("__o"), F.min_by(record, "__o").alias("__first"))
+        arrived = claims(candidates, match_fields, forced, tk).checkpoint(eager=True)
+        # which later records hit the inserted rows: one pair per row and null pattern at most
+        pairs = []
+        for on, absent in _patterns(match_fields, forced):
+            rows = _of_pattern(arrived, on, []).select(*on, *[F.col(f"__first.{k}").alias(f"__tk_{k}") for k in tk], F.col("__o").alias("__at"))
+            pairs.append(_of_pattern(reduced, on, absent).join(rows, on).select(*reduced.columns, *tkc, "__at"))
+        pairs = _union_all(pairs).checkpoint(eager=True)
+        # records at or before the insertion of the row don't count for it
+        early = pairs.filter(F.col("__from") <= F.col("__at"))
+        marks = early.filter(F.col("__to") > F.col("__at")).select(*match_fields, F.col("__at").alias("__o"), *tkc, "__r", "__n", "__to")
+        of_marks = usable.alias("n").join(marks.select(*match_fields).distinct().alias("m"), _same("n", "m", match_fields), "left_semi")
+        later = count_up_to(of_marks.select(*match_fields, "__o"), marks, match_fields, "__o", "__gone").select(
+            *tkc, "__r", (F.col("__n") - F.col("__gone")).alias("__n"), "__to")
+        later = later.unionByName(pairs.filter(F.col("__from") > F.col("__at")).select(*tkc, "__r", "__n", "__to"))
+        after = (later.groupBy(*tkc).agg(F.max_by("__r", "__to").alias("r"), F.sum("__n").cast("long").alias("__n"))
+                 .select(*tkc, F.lit(True).alias("__tid"), "__n", *[F.col(f"r.{c}").alias(c) for c in values]))
+        reach = pairs.groupBy(*match_fields).agg(F.min("__at").alias("__at"))
+        rejected = new.alias("n").join(reach.alias("p"), _same("n", "p", match_fields), "left").filter(
+            F.col("__at").isNull() | (F.col("n.__o") < F.col("__at"))).select(*[F.col(f"n.{c}").alias(c) for c in (*tk, order_col)])
+        inserts = arrived.select("__first.*", F.lit(1).alias(order_col))
+        fresh = merge_keyed(target.limit(0), inserts, target_key, "create", run_ts=run_ts, order_col=order_col)
+        born = fresh.applied.filter(F.col("__op") == "INSERT")
+        final = [F.when(F.col("u.__tid"), F.col(f"u.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
+                 if updating and c in values and c not in tk else F.col(f"t.{c}").alias(c) for c in target.columns]
+        born = born.alias("t").join(after.alias("u"), on_key, "left").select(*final, "t.__old", "t.__op")
+        applied = applied.unionByName(born)
+        counted = fresh.outcome.alias("t").join(after.alias("u"), on_key, "left").select(
+            *[F.col(f"t.{k}").alias(k) for k in tk], "inserted",
+            (F.coalesce("u.__n", F.lit(0)) if updating else F.lit(0)).cast("long").alias("updated"))
+        outcome = (outcome if mode == "upsert" else outcome.limit(0)).unionByName(counted)
     return MergeResult(state=applied.select(*target.columns), outcome=outcome, before=target, applied=applied,
                        keys=tuple(tk), run_ts=run_ts, rejected=rejected)
 

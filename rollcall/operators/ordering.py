@@ -27,3 +27,21 @@ def with_position(df: DataFrame, order: list[Column | str], name: str, start: in
     # one row per task: small at any size of the input
     return (ranged.withColumn("__at", F.row_number().over(inside)).join(F.broadcast(offsets), "__part")
             .withColumn(name, F.col("__before") + F.col("__at") + (start - 1)).select(*df.columns, name))
+
+
+def count_up_to(records: DataFrame, marks: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """``marks`` with the number of ``records`` of the same group (``by``, nulls are one value) that don't come after
+    the mark in ``order``.  Groups are cut into chunks like rows above, so no group lies in one task."""
+    ensure_checkpoint_dir(records.sparkSession)
+    both = marks.select(*by, F.col(order), F.lit(1).alias("__kind"), F.struct(*marks.columns).alias("__mark")).unionByName(
+        records.select(*by, F.col(order), F.lit(0).alias("__kind")), allowMissingColumns=True)
+    one = (F.col("__kind") == 0).cast("bigint")
+    ranged = both.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()).checkpoint(eager=True)
+    chunks = ranged.groupBy(*by, "__part").agg(F.sum(one).alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = chunks.select(*by, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*by, "__part").orderBy(order, "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = ranged.withColumn("__so_far", F.sum(one).over(inside)).filter("__kind = 1").alias("m")
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    return counted.join(before.alias("b"), [*same, F.col("m.__part") == F.col("b.__part")]).select(
+        "m.__mark.*", (F.col("__before") + F.col("__so_far")).alias(name))

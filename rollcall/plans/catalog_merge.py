@@ -172,6 +172,11 @@ def u9_rejected(spark, sf):
     return _match_on_name(prog(spark, sf), "upsert").rejected
 
 
+@query("u9_in_batch_counts")
+def u9_counts(spark, sf):
+    return _match_on_name(prog(spark, sf), "upsert").counts()
+
+
 PARTICIPANT_IMAGE = ["email", "name", "occupation", "phone_number"]
 
 

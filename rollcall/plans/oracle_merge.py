@@ -182,8 +182,15 @@ final AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY email ORDER
 stored AS (SELECT p.email, p.name, p.occupation, p.phone_number, f.email IS NOT NULL AS hit, f.name AS b_name,
                   f.occupation AS b_occupation, f.phone_number AS b_phone
            FROM participants p LEFT JOIN final f ON p.email = f.email),
-arrived AS (SELECT * FROM named WHERE email NOT IN (SELECT email FROM participants)
-            QUALIFY row_number() OVER (PARTITION BY email ORDER BY row_number) = 1)"""
+born AS (SELECT * FROM named WHERE email NOT IN (SELECT email FROM participants)
+         QUALIFY row_number() OVER (PARTITION BY email ORDER BY row_number) = 1),
+-- later records of the batch that agree with a row inserted before them
+again AS (SELECT n.* FROM named n JOIN born b ON n.email = b.email AND n.row_number > b.row_number AND (n.name IS NULL OR n.name = b.name)),
+latest AS (SELECT * FROM again QUALIFY row_number() OVER (PARTITION BY email ORDER BY row_number DESC) = 1),
+arrived AS (SELECT b.email, CASE WHEN l.email IS NULL THEN b.name ELSE l.name END AS name,
+                   CASE WHEN l.email IS NULL THEN b.occupation ELSE l.occupation END AS occupation,
+                   CASE WHEN l.email IS NULL THEN b.phone_number ELSE l.phone_number END AS phone_number
+            FROM born b LEFT JOIN latest l ON b.email = l.email)"""
 
 ORACLE = {
     "u1_upsert_participants": W(f", {BATCH}\n{UPSERT_STATE}", "participants", "submissions"),
@@ -253,12 +260,18 @@ SELECT email, CASE WHEN hit THEN b_name ELSE name END AS name, CASE WHEN hit THE
 UNION ALL SELECT email, name, occupation, phone_number FROM arrived""", "participants", "submissions"),
     "u9_create": W(f""", {BATCH}, {NAMED}
 SELECT email, name, occupation, phone_number FROM stored
-UNION ALL SELECT email, name, occupation, phone_number FROM arrived""", "participants", "submissions"),
+UNION ALL SELECT email, name, occupation, phone_number FROM born""", "participants", "submissions"),
     "u9_rejected": W(f""", {BATCH}, {NAMED}
 SELECT email, row_number FROM named n
 WHERE name IS NOT NULL AND email IN (SELECT email FROM participants)
-  AND NOT EXISTS (SELECT 1 FROM participants p WHERE p.email = n.email AND p.name = n.name)""",
+  AND NOT EXISTS (SELECT 1 FROM participants p WHERE p.email = n.email AND p.name = n.name)
+UNION ALL
+SELECT n.email, n.row_number FROM named n JOIN born b ON n.email = b.email AND n.row_number > b.row_number
+WHERE n.name IS NOT NULL AND n.name IS DISTINCT FROM b.name""",
                      "participants", "submissions"),
+    "u9_in_batch_counts": W(f""", {BATCH}, {NAMED}
+SELECT (SELECT count(*) FROM born) AS inserted, (SELECT count(*) FROM met) + (SELECT count(*) FROM again) AS updated""",
+                            "participants", "submissions"),
     "u9_changes": W(f""", {BATCH}, {NAMED}
 SELECT 'participants' AS table_name, 'UPDATE' AS operation_type, email AS record_identifier, {TS} AS log_ts,
        email AS old_email, name AS old_name, occupation AS old_occupation, phone_number AS old_phone_number,

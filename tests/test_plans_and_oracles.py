@@ -12,13 +12,11 @@ from rollcall.plans.registry import QUERIES as OWN
 # the package's own queries; the corpus operators have their tests in tests/llm
 QUERIES = {n: q for n, q in E.queries().items() if n in OWN}
 ORACLES = {n: q for n, q in E.oracle_sql().items() if n in OWN}
-FILE_OR_STREAM = {"x1_merge_stream", "x2_validation_totals_stream", "x3_progress_sink_lines", "s1_delimited_scan",
-                  "c19_participant_sheet_parse"}
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
 # single-partition exchanges allowed: global aggregates (one partial row per
-# task) and windows over bounded inputs (distinct labels, split offsets)
+# task) and windows over one row per task or over the rows of a top-k
 GLOBAL_AGGREGATES = {"a1_entity_totals", "a11_weekly_link_stats", "a12_challenge_overview", "q5_search_result_count",
-                     "u12_upsert_counts", "u12_create_counts", "u12_update_counts", "u4_partial_update_count",
+                     "u9_in_batch_counts", "u12_upsert_counts", "u12_create_counts", "u12_update_counts", "u4_partial_update_count",
                      "c20_import_summary", "v9_run_totals", "k2_orphan_counts", "k3_not_null_violations",
                      "k4_length_violations", "k5_cascade_delete_counts", "u10_update_by_occupation_count"}
 BOUNDED_WINDOWS = {"a20_slot_order", "v10_progress_trail", "a15_ranked_engagement_export"}
@@ -35,7 +33,7 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in FILE_OR_STREAM))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_shape(spark, name):
     plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     for bad in FORBIDDEN:
