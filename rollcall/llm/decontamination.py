@@ -130,7 +130,7 @@ def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, item_col: str
     each window lies in exactly one slice.
     """
     block, size = [], 0
-    rows = benchmark.select(item_col, text_col).filter(F.col(item_col).isNotNull()).distinct()
+    rows = benchmark.select(item_col, text_col).distinct()
     most = max(window, block_bytes // 64)
     for item, text in rows.toLocalIterator():
         words = words_of(text)
@@ -166,7 +166,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
             if key not in _MATCHERS:
                 _MATCHERS.clear()
                 _MATCHERS[key] = (Matcher([(i, w) for i, (_, w) in enumerate(block.value)], window),
-                                  [str(i) for i, _ in block.value]) if block else (Matcher([], window), [])
+                                  [None if i is None else str(i) for i, _ in block.value]) if block else (Matcher([], window), [])
             matcher, names = _MATCHERS[key]
             for texts in batches:
                 out = ([], [], [])
@@ -175,7 +175,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                     spans, items = matcher.hits(words)
                     out[0].append(len(words))
                     out[1].append([{"start": a, "end": b} for a, b in merged(spans)])
-                    out[2].append(sorted({names[i] for i in items}))
+                    out[2].append(sorted({names[i] for i in items} - {None}))
                 yield list(out)
         return run
 
@@ -217,4 +217,4 @@ def hit_words(spans: Column | str) -> Column:
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without any hit, with their columns."""
-    return find(docs, benchmark, **options).filter(F.size("items") == 0).select("row.*")
+    return find(docs, benchmark, **options).filter(F.size("spans") == 0).select("row.*")

@@ -52,10 +52,21 @@ def test_blocks_and_table_cases(spark):
         by = {r.doc_id: r for r in got}
         assert (by[1].n_words, by[1].hit, by[1]["items"]) == (14, 12, ["7"])
         assert (by[2].hit, by[2]["items"]) == (3, ["8"])
-        assert by[3].n_words == by[4].n_words == by[5].hit == by[6].hit == 0
+        assert by[3].n_words == by[4].n_words == by[6].hit == 0
+        assert (by[5].hit, by[5]["items"]) == (3, [])        # an item without an id hits, but has no name to list
         assert by[None].hit == 60000 and by[12]["items"] == ["11"] and by[2][4] == "s"
     assert results[0] == results[1] and len(results[0]) == 9
     kept = d.clean_rows(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 5, 6]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 6]
     assert d.find(docs, bench.limit(0)).filter("size(items) = 0").count() == 9
     assert d.find(docs.limit(0), bench).count() == 0
+
+
+def test_items_without_an_id_hit_but_are_not_listed(spark):
+    from rollcall.llm import decontamination as d
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, text), (2, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (None, None), (3, "six seven eight nine ten eleven one")], "item_id long, text string")
+    got = {r.row.doc_id: r for r in d.find(docs, bench).collect()}
+    assert [tuple(s) for s in got[1].spans] == [(0, 11)] and got[1]["items"] == []
+    assert [r.doc_id for r in d.clean_rows(docs, bench).collect()] == [2]
