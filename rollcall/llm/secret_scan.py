@@ -6,14 +6,15 @@ decoded and its structure parsed:
 
 * ``jwt``      three base64url parts whose header is a JSON object with a
                known signing algorithm and whose payload is a JSON object,
-* ``der``      base64 or hex text that decodes to a DER key: nested lengths
+* ``der``      base64 (either alphabet) or hex text that decodes to a DER key: nested lengths
                close exactly and the members are those of a PKCS#1, PKCS#8,
                SEC1, traditional DSA or public-key structure,
 * ``openssh``  base64 that decodes to an OpenSSH private or public key whose
                length-prefixed strings add up.
 
 Base64 keys may stand behind any sign, over several lines with indentation,
-quote marks or escaped line breaks, and in a PEM block encoded once more.
+quote marks or escaped line breaks, and in a PEM block encoded once more; hex
+keys over lines, with colons or as lists of bytes.  A token may follow letters.
 
 All offsets are code points, end exclusive.  A null or empty text has no
 spans.  Equal texts give equal spans; rows are never merged.
@@ -42,7 +43,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched whole, so the least length can stand in the pattern
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
-_JWT = re.compile(r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+# Base64url of an opening brace and a quote mark or white space; it may stand anywhere in a run of such characters.
+_JWT = re.compile(r"e[wy][A-Za-z0-9_-]{6,}\.e[wy][A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")
 _JWT_ALGORITHMS = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384",
                    "PS512", "EdDSA", "none"}
 # Base64 of a DER sequence of 24 bytes or more begins with M and B to I, an OpenSSH private key with "openssh-key-v1",
@@ -55,7 +57,11 @@ _LINE = re.compile(r"[A-Za-z0-9+/]++")
 _GAP = re.compile(r"""(?:[\s"'`>|#*,]|\\+[nrt]?|(?<=[\s"'`])\+(?=\s))++""")
 _GAP_BREAKS = re.compile(r"[\r\n]|\\[nr]")
 _FOOTER = re.compile(r"\s*-----END [^-]*-----\s*")
-_HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){23,}(?![0-9A-Fa-f])")
+# Bytes in hex, in one piece or with colons, commas, 0x or white space between them.
+_HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:(?:[:,]?\s*(?:0x)?)[0-9A-Fa-f]{2}){23,}(?![0-9A-Fa-f])")
+_HEX_BYTE = re.compile(r"(?:0x)?([0-9A-Fa-f]{2})")
+# A key in the URL-safe alphabet, which is told from the other one by its minus signs and underscores.
+_URL_DER = re.compile(r"(?<![A-Za-z0-9_-])M[B-I][A-Za-z0-9_-]{30,}")
 _LEAST_KEY_BYTES = 24
 
 
@@ -203,17 +209,62 @@ def _der_end(run: _Run, offset: int) -> int | None:
     head = run.read(offset, 0, 6)
     if len(head) < 6:
         return None
-    if head[1] & 0x80:
-        k = head[1] & 0x7F
-        if not 1 <= k <= 4:
-            return None
-        total = 2 + k + int.from_bytes(head[2:2 + k], "big")
-    else:
-        total = 2 + head[1]
+    total = _der_size(head)
+    if total is None:
+        return None
     end = offset + _chars(total)
     return end if end <= len(run.body) and is_der_key(run.read(offset, 0, total)) else None
 
 
+def _der_size(head: bytes) -> int | None:
+    """Bytes of a DER value by its header."""
+    if len(head) < 6:
+        return None
+    k = head[1] & 0x7F
+    if not head[1] & 0x80:
+        return 2 + head[1]
+    return 2 + k + int.from_bytes(head[2:2 + k], "big") if 1 <= k <= 4 else None
+
+
+def signed_tokens(text: str) -> list[tuple[str, int, int]]:
+    """Spans of signed tokens; a header may begin anywhere in a run, and the decoder decides where."""
+    spans, at = [], 0
+    while m := _JWT.search(text, at):
+        at = m.start() + 1
+        if is_signed_token(m[0]):
+            spans.append(("jwt", m.start(), m.end()))
+            at = m.end()
+    return spans
+
+
+def url_safe_keys(text: str) -> list[tuple[str, int, int]]:
+    """Spans of DER keys in URL-safe base64, which end where their length says."""
+    spans = []
+    for m in _URL_DER.finditer(text):
+        body = m[0]
+        if "-" not in body and "_" not in body:
+            continue
+        total = _der_size(base64.urlsafe_b64decode(body[:8]))
+        if total and _chars(total) <= len(body):
+            part = body[:_chars(total)]
+            if is_der_key(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))[:total]):
+                end = m.start() + len(part)
+                spans.append(("der", m.start(), end + len(re.match("={0,2}", text[end:end + 2])[0])))
+    return spans
+
+
+def hex_keys(text: str) -> list[tuple[str, int, int]]:
+    """Spans of DER keys in hex, also over lines, with colons or as a list of bytes; they end where their length says."""
+    spans = []
+    for m in _HEX_DER.finditer(text):
+        places = [(b.start(1), b.end(1)) for b in _HEX_BYTE.finditer(m[0])]
+        data = bytes(int(m[0][a:b], 16) for a, b in places)
+        total = _der_size(data[:6])
+        if total and total <= len(data) and is_der_key(data[:total]):
+            spans.append(("der", m.start(), m.start() + places[total - 1][1]))
+    return spans
+
+
 def _openssh_end(run: _Run, offset: int) -> int | None:
     """Where in the body an OpenSSH key from ``offset`` on ends: the last line end up to which its strings add up."""
     head = run.read(offset, 0, 68)
@@ -274,10 +325,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    if "eyJ" in text:
-        spans += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
-    spans += encoded_keys(text)
-    spans += [("der", m.start(), m.end()) for m in _HEX_DER.finditer(text) if is_der_key(bytes.fromhex(m[0]))]
+    spans += signed_tokens(text)
+    spans += encoded_keys(text) + url_safe_keys(text) + hex_keys(text)
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))
 

@@ -131,3 +131,41 @@ def test_query_digests(spark):
         assert got.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert (got.n_assign, got.n_access, got.n_hex) == tuple(sum(x[0] == k for x in base) for k in s.BASE_KINDS)
         assert not base or joined.split(",")[0] in got.spans
+
+
+def _b64u(data: bytes) -> str:
+    import base64
+    return base64.urlsafe_b64encode(data).decode().rstrip("=")
+
+
+def _pkcs8() -> bytes:
+    key = bytes(range(200, 256)) * 2
+    body = b"\x02\x01\x00" + b"\x30\x05\x06\x03\x2b\x65\x70" + b"\x04" + bytes([len(key)]) + key
+    return b"\x30\x81" + bytes([len(body)]) + body
+
+
+def test_tokens_with_white_space_and_prefixes():
+    from rollcall.llm.secret_scan import find_spans
+    for header, payload in ((b'{ "alg": "HS256" }', b'{ "sub": 1}'), (b'{\n "alg":"none"}', b'{"a":2}'), (b'{"alg":"RS256"}', b'{\t"b":3}')):
+        token = f"{_b64u(header)}.{_b64u(payload)}.{_b64u(b'signature')}"
+        for before in ("", "x_", "Bearer ", "abc", "they.few "):
+            text = f"see {before}{token} there."
+            assert ("jwt", 4 + len(before), 4 + len(before) + len(token)) in find_spans(text), (header, before)
+    assert not [s for s in find_spans("they were few.eyes.only and newer.eyelids.x") if s[0] == "jwt"]
+
+
+def test_keys_in_url_safe_base64_and_wrapped_hex():
+    from rollcall.llm.secret_scan import find_spans, is_der_key
+    der = _pkcs8()
+    assert is_der_key(der)
+    url = _b64u(der)
+    assert "-" in url or "_" in url
+    assert ("der", 4, 4 + len(url)) in find_spans(f"key={url} end")
+    text = der.hex()
+    lines = "\n    ".join(text[i:i + 32] for i in range(0, len(text), 32))
+    colons = ":".join(text[i:i + 2] for i in range(0, len(text), 2))
+    array = ", ".join("0x" + text[i:i + 2] for i in range(0, len(text), 2))
+    for form in (lines, colons, colons.upper(), colons.replace("81:", "81:\n"), array):
+        start = 5 + (2 if form is array else 0)
+        assert ("der", start, 5 + len(form)) in find_spans("hex: " + form + "; 12"), form[:40]
+    assert not [s for s in find_spans("hex: " + "30:82:01:00:" + "ab:" * 60) if s[0] == "der"]
