@@ -61,6 +61,9 @@ P_ENDS = frozenset("address article aside blockquote details div dl fieldset fig
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"),
              "tr": ("td", "th", "tr"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table div article section main aside nav header footer body blockquote td form".split())
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+_STRUCTURE = re.compile(r"<(?:/head|/?body|meta|link|script|style|header|nav|main|article|section|aside|footer|div|p|h[1-6]|ul|ol|table|form)\b", re.I)
+RUNNING_TEXT = 60           # characters of a paragraph that is no label of a field
 # Meaning of attribute tokens, by the beginning of the token.
 MEANINGS = {
     "content": ("article", "content", "entry", "post", "story", "main", "text", "prose", "body"),
@@ -169,16 +172,44 @@ def parse(source: str | None) -> Page:
             if t in SAME_ENDS and any(opened.get(x) for x in SAME_ENDS[t]):
                 close_nearest(SAME_ENDS[t], SCOPE - {"td"} if t in ("tr", "td", "th") else SCOPE)
             node = page.open(t, stack[-1], attributes)
+            if t == "br":
+                page.texts.append((stack[-1], " ", page.block))
             if t in RAW:
-                if not attributes.endswith("/"):
+                # only foreign elements close themselves, and not by a slash that belongs to an attribute's value
+                if t != "svg" or not _SELF_CLOSED.search(attributes):
                     shut = re.compile(rf"</{re.escape(t)}\b[^>]*(?:>|$)", re.I).search(source, at)
-                    at = shut.end() if shut else n
+                    # without an end tag, code and styles go on to the end, others to the next element of the page
+                    shut_at = None if shut or t in ("script", "style") else _STRUCTURE.search(source, at)
+                    at = shut.end() if shut else shut_at.start() if shut_at else n
             elif t not in VOID:
                 stack.append(node)
                 opened[t] = opened.get(t, 0) + 1
+    _unwrap(page)
     return page
 
 
+def _unwrap(page: Page) -> None:
+    """A form around an article, or around paragraphs of running text, is a frame of the page and no form to fill in: it
+    counts as a div, so the trees judge what is in it."""
+    forms = [i for i, t in enumerate(page.tag) if t == "form"]
+    if not forms:
+        return
+    size = [0] * len(page.tag)
+    for node, text, _ in page.texts:
+        size[node] += len(text.strip())
+    above = [0] * len(page.tag)             # the nearest form around each element
+    prose = dict.fromkeys(forms, 0)
+    for i in range(1, len(page.tag)):
+        above[i] = page.parent[i] if page.tag[page.parent[i]] == "form" else above[page.parent[i]]
+        if above[i] and (page.tag[i] in ("article", "main") or page.tag[i] == "p" and size[i] >= RUNNING_TEXT):
+            prose[above[i]] += 2 if page.tag[i] != "p" else 1
+    for i in reversed(forms):               # inner forms first: what they hold counts for the outer ones
+        if above[i]:
+            prose[above[i]] += prose[i]
+        if prose[i] >= 2:
+            page.tag[i] = "div"
+
+
 _KIND_AT = {name: i for i, name in enumerate(_KINDS)}
 _MEANING_AT = {name: i for i, name in enumerate(MEANINGS)}
 

@@ -84,3 +84,26 @@ def test_table(spark):
         else:
             assert r.text == ""
     assert h.extract(df.limit(0), h.fit(df.limit(0))).count() == 0
+
+
+def test_ordinary_markup_is_read_as_browsers_do():
+    from rollcall.llm.html_extract import parse, text_of
+
+    def text(html):
+        page = parse(html)
+        return text_of(page, [t not in ("script", "style", "title", "svg", "noscript") for t in page.tag])
+    assert text("<p>a</p><script src=/js/>var x=1;</script><p>b</p>") == "a\nb"
+    assert text("<p>one<br>two<br/>three</p>") == "one two three"
+    assert text("<head><title>Open<body><p>shown</p>") == "shown"
+    assert text("<p>a</p><svg viewBox='0 0'/><p>b</p>") == "a\nb"
+    assert text("<p>a</p><svg><path d='x'><p>b</p>") == "a\nb"
+
+
+def test_a_form_around_the_page_is_a_frame():
+    from rollcall.llm.html_extract import parse
+    prose = "<p>" + "A sentence of the article. " * 5 + "</p>"
+    assert "form" not in parse(f"<form action=/x><h1>T</h1>{prose}{prose}</form>").tag
+    assert "form" not in parse(f"<form><article>{prose}</article></form>").tag
+    assert "form" in parse("<form><p>Name</p><p>E-mail</p><input></form>").tag
+    outer = parse(f"<form>{prose}<form><p>Name</p></form>{prose}</form>")
+    assert outer.tag.count("form") == 1
