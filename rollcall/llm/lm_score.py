@@ -33,6 +33,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,7 +58,8 @@ SINGLE = FACTORS * (2 * (SYMBOLS + 1) + 1)      # rows of the bias, the symbol b
 ROWS = SINGLE + GROUPS * GROUP_ROWS
 SHRINK = 4.0                    # events by which a row's change is damped
 ROUNDS, PASSES, BATCH = 3, 2, 1 << 14
-FLUSH = 1 << 19                 # distinct entries a task holds before it passes them on
+FLUSH = 1 << 20                 # distinct entries a task holds before it passes them on
+TOGETHER = 3                    # batches that are scored together
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -147,17 +149,32 @@ def events(symbol: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (two << 24) | (one << 12) | symbol
 
 
-def count_events(docs: DataFrame, vocabulary) -> DataFrame:
-    """``event``, ``n`` over all rows; ``vocabulary`` is a broadcast variable."""
+def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes with their counts added up."""
+    c, place = np.unique(np.concatenate(codes), return_inverse=True)
+    return c, np.bincount(place, np.concatenate(counts), len(c)).astype(np.int64)
+
+
+def count_events(docs: DataFrame, vocabulary, parts: int) -> DataFrame:
+    """``event``, ``n`` over all rows; ``vocabulary`` is a broadcast variable.
+
+    A task counts its events and passes them on as sorted runs, one packed row
+    per group of pairs; a group's runs meet in one of ``parts`` partitions, which
+    adds them up and returns its events in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, codes, counts, size = vocabulary.value, [], [], 0
 
-        def merged():
-            c, place = np.unique(np.concatenate(codes), return_inverse=True)
-            return c, np.bincount(place, np.concatenate(counts), len(c)).astype(np.int64)
-
         def out(c, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["event", "n"])
+            group = group_of(c >> 12)
+            order = np.argsort(group, kind="stable")
+            group, c, n = group[order], c[order], n[order]
+            starts = np.flatnonzero(np.diff(group, prepend=-1))
+            ends = np.append(starts[1:], len(c))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(group[starts], pa.int64()),
+                 pa.array([np.diff(c[a:b], prepend=0).tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                 pa.array([n[a:b].astype("<i8").tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())],
+                names=["group", "steps", "counts"])
 
         for b in batches:
             if not b.num_rows:
@@ -168,17 +185,32 @@ def count_events(docs: DataFrame, vocabulary) -> DataFrame:
             counts.append(n)
             size += len(c)
             if size > 2 * FLUSH:
-                c, n = merged()
+                c, n = _added(codes, counts)
                 if len(c) > FLUSH:
                     yield out(c, n)
                     codes, counts, size = [], [], 0
                 else:
                     codes, counts, size = [c], [n], len(c)
         if codes:
-            yield out(*merged())
+            yield out(*_added(codes, counts))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, size = [], [], 0
+        for b in batches:
+            for steps, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                codes.append(np.cumsum(np.frombuffer(steps, "<i8")))
+                counts.append(np.frombuffer(n, "<i8"))
+                size += len(codes[-1])
+                if size > 8 * FLUSH:
+                    c, n = _added(codes, counts)
+                    codes, counts, size = [c], [n], len(c)
+        if codes:
+            c, n = _added(codes, counts)
+            for at in range(0, len(c), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 16)]), pa.array(n[at:at + (1 << 16)])], names=["event", "n"])
 
-    partial = docs.select("text").mapInArrow(run, "event bigint, n bigint")
-    return partial.groupBy("event").agg(F.sum("n").alias("n"))
+    packed = docs.select("text").mapInArrow(run, "group bigint, steps binary, counts binary")
+    return packed.repartition(parts, "group").mapInArrow(merge, "event bigint, n bigint")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -295,7 +327,7 @@ def train(event_table: DataFrame, stored: Stored, rounds: int = ROUNDS) -> np.nd
 
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         moved = stored.put(event_table.mapInArrow(run, "row bigint, seen double, change binary")
-                           .repartition(parts, "row").mapInArrow(mean, "row bigint, change binary"), f"round-{turn}")
+                           .repartition(parts, "row").sortWithinPartitions("row", "seen", "change").mapInArrow(mean, "row bigint, change binary"), f"round-{turn}")
         got = moved.toArrow()
         if got.num_rows:
             ids = got.column("row").to_numpy()
@@ -329,9 +361,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                    tail_total, tail_distinct)
     vocabulary = spark.sparkContext.broadcast(v)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    learned = stored.put(count_events(learn, vocabulary)
-                         .repartition(parts, group_of(F.shiftright("event", 12)))
-                         .sortWithinPartitions("event"), "events")
+    learned = stored.put(count_events(learn, vocabulary, parts), "events")
     weights = spark.sparkContext.broadcast(train(learned, stored))
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
@@ -341,7 +371,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches):
         v, w = vocabulary.value, weights.value
-        for texts in batches:
+        # several batches together: texts share events, and each distinct one is looked up once
+        while lists := list(islice(batches, TOGETHER)):
+            texts = [t for part in lists for t in part]
             place, symbol, ends, rare, flat = v.encode(texts)
             starts = np.concatenate(([0], ends[:-1]))
             code, back = np.unique(events(symbol, ends), return_inverse=True)
@@ -355,9 +387,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             found: list[Counter] = [Counter() for _ in texts]
             for i, d in zip(rare.tolist(), np.searchsorted(ends, rare, "right").tolist(), strict=True):
                 found[d][flat[i]] += 1
-            yield [np.diff(ends, prepend=0), np.add.reduceat(~is_rare, starts, dtype=np.int64),
-                   np.add.reduceat(base, starts), np.add.reduceat(log_p + inside, starts),
-                   [[{"token": t.decode("utf-8", "replace"), "n": n} for t, n in c.items()] for c in found]]
+            columns = [np.diff(ends, prepend=0), np.add.reduceat(~is_rare, starts, dtype=np.int64),
+                       np.add.reduceat(base, starts), np.add.reduceat(log_p + inside, starts),
+                       [[{"token": t.decode("utf-8", "replace"), "n": n} for t, n in c.items()] for c in found]]
+            at = 0
+            for part in lists:
+                yield [c[at:at + len(part)] for c in columns]
+                at += len(part)
 
     scored = map_text(docs, "text", fields, run).select(
         F.monotonically_increasing_id().alias("at"), F.col("row.doc_id").alias("doc_id"), *[f.name for f in fields])
