@@ -62,6 +62,8 @@ def map_text(df: DataFrame, text_col: str, fields: list[T.StructField],
             batch = held.pop(0)
             arrays = [batch.column(0)] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[row, *(f.name for f in fields)])
+        # a worker lives on for other tasks: give back what the batches held
+        pa.default_memory_pool().release_unused()
 
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row))
     return packed.mapInArrow(run, schema)
