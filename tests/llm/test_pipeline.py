@@ -55,6 +55,23 @@ def test_stages(spark):
 
 
 def test_run_equals_the_stages(spark):
-    assert p.run(spark, SF).count() > 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in p.STAGES:
+        docs = spark.createDataFrame((out := stage(spark, docs, SF)).collect(), out.schema)
+    want = sorted(map(tuple, docs.collect()))
+    got = p.run(spark, SF)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == want and want
     with pytest.raises(Exception, match="no-such"):
         p.run(spark, "/tmp/no-such-folder")
+
+
+def test_empty_tables_repeated_rows_and_a_long_text(spark, scratch):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{scratch}/empty/{name}.parquet")
+    assert p.run(spark, f"{scratch}/empty").count() == 0
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{scratch}/odd/{name}.parquet")
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(1, "the same row twice", "x", "s", 18)] * 2 + [(2, "long word " * 60_000, "x", "s", 600_000), (3, None, "x", "s", 0)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{scratch}/odd/documents.parquet")
+    assert sorted(r.doc_id for r in p.run(spark, f"{scratch}/odd").collect()) == [1, 2, 3]
