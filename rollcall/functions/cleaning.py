@@ -147,11 +147,15 @@ def with_datetime(df: DataFrame, src: str, dst: str, year: int, _p: str = "__dt_
     return df.drop(s, _p + "iso", _p + "slot")
 
 
-def coerce_boolean(c) -> Column:
+def coerce_boolean(c, kind: Column | None = None) -> Column:
     """True for true/1/yes/y/on in any case (no trimming), and for numbers
-    other than 0; else false.  What counts is the column's type: a cell that
-    holds the text 2 is no number."""
+    other than 0; else false.  What counts is the column's type, or ``kind``
+    where a text column holds the cells of a workbook: a cell that holds the
+    text 2 is no number."""
     word = F.lower(col_(c).cast("string")).isin(TRUE_WORDS)
+    if kind is not None:
+        number = col_(c).cast("string").try_cast("double") != 0
+        return F.coalesce(F.when(kind == "number", number).otherwise(word), F.lit(False))
     number = F.typeof(col_(c)).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
     return F.coalesce(F.when(number, col_(c).cast("string").cast("double") != 0).otherwise(word), F.lit(False))
 

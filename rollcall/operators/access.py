@@ -43,13 +43,18 @@ def effective_routes(users: DataFrame, grants: DataFrame, permissions: DataFrame
 
 def access_check(requests: DataFrame, users: DataFrame, grants: DataFrame, permissions: DataFrame) -> DataFrame:
     """For a batch of (user_id, route_name) requests, ``allowed`` when the
-    user is an admin or holds a grant for a permission with that route."""
-    cat = checked_broadcast(permissions.select("permission_id", "route_name"), CATALOG_BOUND)
-    held = (grants.select("user_id", "permission_id").join(cat, "permission_id")
-            .select("user_id", "route_name").distinct().withColumn("granted", F.lit(True)))
+    user is an admin or holds a grant for a permission with that route.
+
+    Asked routes become (user, permission) pairs first and grants are only
+    looked up in these, two ids wide, so neither route text nor a distinct of
+    all grants is shuffled; how the catalog is joined is left to its size."""
+    routes = permissions.select("permission_id", "route_name")
+    granted = (requests.select("user_id", "route_name").join(routes, "route_name")
+               .join(grants.select("user_id", "permission_id"), ["user_id", "permission_id"], "left_semi")
+               .select("user_id", "route_name").distinct().withColumn("granted", F.lit(True)))
     flags = users.select("user_id", "is_admin")
     return (requests.join(flags, "user_id", "left")
-            .join(held, ["user_id", "route_name"], "left")
+            .join(granted, ["user_id", "route_name"], "left")
             .select("user_id", "route_name",
                     (F.coalesce(F.col("is_admin"), F.lit(False))
                      | F.coalesce(F.col("granted"), F.lit(False))).alias("allowed")))

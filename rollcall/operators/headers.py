@@ -160,12 +160,16 @@ def apply_mapping(rows: DataFrame, mapping: DataFrame, fields: list[str],
                   constants: dict[str, object] | None = None) -> DataFrame:
     """H6: project each data row to ``fields`` using a per-sheet mapping
     (wide: one position column per field); a short row or an unmapped field
-    gives null; constants are added as literals."""
+    gives null; constants are added as literals.  Rows of a typed workbook
+    scan keep what each field's cell holds in the struct ``kinds``."""
     # one mapping row per sheet: broadcast after a size check, so a sheet with
     # a third of all rows is not funnelled through one join partition
     j = rows.join(checked_broadcast(mapping, SHEETS_BOUND), SHEET, "inner")
     cols = [F.when(F.col(f).isNotNull(), F.try_element_at(F.col("cells"), F.col(f) + 1)).alias(f)
             for f in fields]
+    if "kinds" in rows.columns:
+        cols.append(F.struct(*[F.when(F.col(f).isNotNull(), F.try_element_at(F.col("kinds"), F.col(f) + 1)).alias(f)
+                               for f in fields]).alias("kinds"))
     out = j.select(*SHEET, "sheet_name", "row_number", "cells", *cols)
     for k, v in (constants or {}).items():
         out = out.withColumn(k, F.lit(v))

@@ -127,6 +127,8 @@ def parse_participant_sheets(rows: DataFrame, year: int, run_ts: str,
     ok = C.with_datetime(ok, "date_of_birth", "__dob", year)
     ok = C.with_datetime(ok, "registration_date_time", "__reg", year)
     s = C.normalize_string
+    academy = "participated_in_academy_1_0"
+    academy_kind = F.col("kinds")[academy] if "kinds" in ok.columns else None
     records = ok.select(
         "email", "name",
         F.when(F.coalesce(F.col("phone_number"), F.lit("")) != "", C.normalize_phone("phone_number"))
@@ -135,7 +137,7 @@ def parse_participant_sheets(rows: DataFrame, year: int, run_ts: str,
         s("city").alias("city"), F.to_date("__dob").alias("date_of_birth"), s("designation").alias("designation"),
         s("class_stream").alias("class_stream"), C.year_from_text("degree_passout_year").alias("degree_passout_year"),
         s("occupation").alias("occupation"), s("linkedin").alias("linkedin"),
-        C.coerce_boolean("participated_in_academy_1_0").alias("participated_in_academy_1_0"),
+        C.coerce_boolean(academy, academy_kind).alias(academy),
         F.coalesce("__reg", F.lit(run_ts).cast("timestamp_ntz")).alias("registration_date_time"),
         "row_number", *H.SHEET)
     return records, _union(errors + [row_errs])

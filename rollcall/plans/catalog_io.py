@@ -88,12 +88,10 @@ def c19(spark, sf):
     return records.drop("path", "sheet_index", "row_number")
 
 
-@query("c19_participant_file_all_fields")
-def c19_all(spark, sf):
-    """All participants written as ';'-separated files with a column for each of the fifteen fields, and parsed back."""
-    path = W.scratch_path(spark, "participants-csv")
+def _participant_cells():
+    """Cell texts of the participant file, where they are not the stored values."""
     user = F.regexp_extract("email", r"^user(\d+)@", 1).cast("long")
-    cells = {
+    return {
         "email": F.concat(F.lit(" "), F.upper("email")), "phone_number": F.concat(F.lit("+"), F.col("phone_number")),
         "date_of_birth": F.date_format("date_of_birth", "yyyy-MM-dd HH:mm"),
         "class_stream": F.concat(F.lit(" Stream "), (user % 5).cast("string")),
@@ -101,6 +99,13 @@ def c19_all(spark, sf):
         "linkedin": F.when(user % 4 != 1, F.concat(F.lit("https://in.example/"), user.cast("string"))),
         "participated_in_academy_1_0": F.when(F.col("prior_cohort"), F.lit("Yes")).otherwise("no"),
         "registration_date_time": F.when(user % 7 != 2, F.date_format("registration_date_time", "yyyy-MM-dd HH:mm"))}
+
+
+@query("c19_participant_file_all_fields")
+def c19_all(spark, sf):
+    """All participants written as ';'-separated files with a column for each of the fifteen fields, and parsed back."""
+    path = W.scratch_path(spark, "participants-csv")
+    cells = _participant_cells()
     (prog(spark, sf).participants.select(*[(cells[f] if f in cells else F.col(f)).alias(h)
                                            for f, h in PARTICIPANT_HEADERS.items()])
      .write.option("header", "true").option("sep", ";").option("ignoreLeadingWhiteSpace", "false")
@@ -109,6 +114,41 @@ def c19_all(spark, sf):
     return records.drop("path", "sheet_index", "row_number")
 
 
+WORKBOOK_USERS = 60
+WORKBOOK_SHEETS = 3
+
+
+def _workbook_of(key, people):
+    """One workbook of a group of participants; the academy cell is a number, a flag or a text, by the user's number."""
+    import pandas as pd
+
+    from rollcall.sinks.workbook import xlsx_bytes
+    headers = list(PARTICIPANT_HEADERS.values())
+    sheets = []
+    for sheet in range(WORKBOOK_SHEETS):
+        rows = [headers]
+        for person in people[people["user"] // 4 % WORKBOOK_SHEETS == sheet].to_dict("records"):
+            flag = (2, 0, bool(person["prior_cohort"]), "2")[person["user"] % 4]
+            rows.append([flag if h == PARTICIPANT_HEADERS["participated_in_academy_1_0"] else person[h] for h in headers])
+        sheets.append((f"People {sheet + 1}", rows))
+    return pd.DataFrame({"path": [f"people-{key[0]}.xlsx"], "content": [xlsx_bytes(sheets)]})
+
+
+@query("s2_participant_workbooks")
+def s2_participants(spark, sf):
+    """All participants in workbooks of sixty users and three sheets, made by tasks and scanned back with typed cells."""
+    from rollcall.sources.workbook import workbook_rows
+    path = W.scratch_path(spark, "participant-workbooks")
+    user, cells = F.regexp_extract("email", r"^user(\d+)@", 1).cast("long"), _participant_cells()
+    people = prog(spark, sf).participants.select(
+        F.floor(user / WORKBOOK_USERS).alias("file"), user.alias("user"), "prior_cohort",
+        *[(cells[f] if f in cells else F.col(f)).cast("string").alias(h) for f, h in PARTICIPANT_HEADERS.items()])
+    people.groupBy("file").applyInPandas(_workbook_of, "path string, content binary").write.parquet(path)
+    rows = workbook_rows(spark.read.parquet(path), typed=True, sheet_slots=WORKBOOK_SHEETS)
+    records, _ = SP.parse_participant_sheets(rows, SLOT_YEAR, RUN_TS, prefer_exact=True)
+    return records.drop("path", "sheet_index", "row_number")
+
+
 @query("o1_workshop_export_rows")
 def o1(spark, sf):
     p = prog(spark, sf)

@@ -57,6 +57,13 @@ SELECT email, name, phone_number, NULLIF(gender, '') AS gender, country, state,
        NULLIF(occupation, '') AS occupation, CASE WHEN u % 4 <> 1 THEN 'https://in.example/' || u END AS linkedin,
        prior_cohort AS participated_in_academy_1_0,
        CASE WHEN u % 7 <> 2 THEN registration_date_time ELSE TIMESTAMP '2025-01-15 09:30:00' END AS registration_date_time
+FROM (SELECT *, CAST(regexp_extract(email, '^user([0-9]+)@', 1) AS BIGINT) AS u FROM participants) p""", "participants"),
+    "s2_participant_workbooks": W("""
+SELECT email, name, phone_number, NULLIF(gender, '') AS gender, country, state, city, date_of_birth, designation,
+       'Stream ' || (u % 5) AS class_stream, CASE WHEN u % 3 <> 0 THEN CAST(2000 + u % 25 AS INTEGER) END AS degree_passout_year,
+       NULLIF(occupation, '') AS occupation, CASE WHEN u % 4 <> 1 THEN 'https://in.example/' || u END AS linkedin,
+       CASE u % 4 WHEN 0 THEN true WHEN 2 THEN COALESCE(prior_cohort, false) ELSE false END AS participated_in_academy_1_0,
+       CASE WHEN u % 7 <> 2 THEN registration_date_time ELSE TIMESTAMP '2025-01-15 09:30:00' END AS registration_date_time
 FROM (SELECT *, CAST(regexp_extract(email, '^user([0-9]+)@', 1) AS BIGINT) AS u FROM participants) p""", "participants"),
     "c19_participant_sheet_parse": W(f"""
 , t AS (SELECT NULLIF(regexp_replace(email, '^\\s+|\\s+$', '', 'g'), '') AS email,

@@ -80,7 +80,7 @@ def json_lines(df: DataFrame) -> DataFrame:
 POINTER = "_CURRENT"
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
@@ -88,7 +88,7 @@ def _fs(spark: SparkSession, path: str):
 
 def read_small(spark: SparkSession, path: str) -> str:
     """Text of a small file (a pointer or manifest)."""
-    fs, p, jvm = _fs(spark, path)
+    fs, p, jvm = file_system(spark, path)
     stream = fs.open(p)
     try:
         return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -97,7 +97,7 @@ def read_small(spark: SparkSession, path: str) -> str:
 
 
 def write_small(spark: SparkSession, path: str, text: str) -> None:
-    fs, p, _ = _fs(spark, path)
+    fs, p, _ = file_system(spark, path)
     out = fs.create(p, True)
     try:
         out.write(bytearray(text.encode()))
@@ -107,18 +107,18 @@ def write_small(spark: SparkSession, path: str, text: str) -> None:
 
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it doesn't exist."""
-    fs, p, _ = _fs(spark, path)
+    fs, p, _ = file_system(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    fs, p, _ = _fs(spark, path)
+    fs, p, _ = file_system(spark, path)
     fs.delete(p, True)
 
 
 def current_version(spark: SparkSession, table_path: str) -> str | None:
     pointer = f"{table_path.rstrip('/')}/{POINTER}"
-    fs, p, _ = _fs(spark, pointer)
+    fs, p, _ = file_system(spark, pointer)
     return json.loads(read_small(spark, pointer))["version"] if fs.exists(p) else None
 
 
@@ -127,7 +127,7 @@ def publish(spark: SparkSession, table_path: str, version: str) -> None:
     base = table_path.rstrip("/")
     tmp = f"{base}/.{POINTER}.{uuid.uuid4().hex}"
     write_small(spark, tmp, json.dumps({"version": version}))
-    fs, src, jvm = _fs(spark, tmp)
+    fs, src, jvm = file_system(spark, tmp)
     _replace(spark, fs, jvm, src, jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}"))
 
 
@@ -147,7 +147,7 @@ def write_versioned(df: DataFrame, table_path: str, partition_by: list[str] | No
     spark = df.sparkSession
     version = f"v-{batch_id}" if batch_id else f"v-{uuid.uuid4().hex}"
     target = f"{table_path.rstrip('/')}/{version}"
-    fs, _, jvm = _fs(spark, table_path)
+    fs, _, jvm = file_system(spark, table_path)
     done = jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")
     if not fs.exists(done):
         w = df.write.mode("overwrite")
