@@ -221,13 +221,14 @@ def update_rows(rows: DataFrame, table: str, keys: list[str], run_ts: str) -> Da
 
 
 # ---------------------------------------------------------------- L3-L8
-def _newest(df: DataFrame) -> DataFrame:
+def newest_first(df: DataFrame) -> DataFrame:
+    """The order of every log listing: latest time first (none counts as latest), then the highest id."""
     return df.orderBy(F.col("log_ts").desc_nulls_first(), F.col("log_id").desc())
 
 
 def log_page(log: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFrame:
     """L3: newest first, one page (``offset`` rows skipped)."""
-    out = _newest(log)
+    out = newest_first(log)
     if offset:
         out = out.offset(offset)
     return out.limit(limit)
@@ -235,24 +236,24 @@ def log_page(log: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0) -> Data
 
 def log_by_table(log: DataFrame, table: str, limit: int = DEFAULT_PAGE) -> DataFrame:
     """L4"""
-    return _newest(log.filter(F.col("table_name") == table)).limit(limit)
+    return newest_first(log.filter(F.col("table_name") == table)).limit(limit)
 
 
 def log_by_operation(log: DataFrame, operation: str, limit: int = DEFAULT_PAGE) -> DataFrame:
     """L5"""
-    return _newest(log.filter(F.col("operation_type") == operation)).limit(limit)
+    return newest_first(log.filter(F.col("operation_type") == operation)).limit(limit)
 
 
 def log_by_time(log: DataFrame, start: str, end: str, limit: int = DEFAULT_PAGE) -> DataFrame:
     """Inclusive time range."""
     ts = F.col("log_ts")
-    return _newest(log.filter(ts.between(F.lit(start).cast("timestamp_ntz"),
+    return newest_first(log.filter(ts.between(F.lit(start).cast("timestamp_ntz"),
                                          F.lit(end).cast("timestamp_ntz")))).limit(limit)
 
 
 def record_history(log: DataFrame, table: str, identifier: str) -> DataFrame:
     """Every entry of one record, newest first, no limit."""
-    return _newest(log.filter((F.col("table_name") == table) & (F.col("record_identifier") == identifier)))
+    return newest_first(log.filter((F.col("table_name") == table) & (F.col("record_identifier") == identifier)))
 
 
 def log_query(log: DataFrame, table: str | None = None, operation: str | None = None,

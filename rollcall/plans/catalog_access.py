@@ -43,6 +43,19 @@ def q1_labs(spark, sf):
     return S.search(prog(spark, sf).labs, S.LAB_SEARCH_COLUMNS, SEARCH_TERM_LAB, trim=False)
 
 
+INDEX_GROUP_ROWS = 500
+
+
+@query("q1_indexed_participant_search")
+def q1_indexed(spark, sf):
+    """The participant search over a stored table with a trigram index."""
+    from rollcall.sinks import text_index
+    from rollcall.sinks.writers import scratch_path
+    path = scratch_path(spark, "participant-index")
+    text_index.write(prog(spark, sf).participants, path, S.PARTICIPANT_SEARCH_COLUMNS, ["email"], INDEX_GROUP_ROWS)
+    return text_index.search(spark, path, SEARCH_TERM_PARTICIPANT)
+
+
 @query("q2_submission_status_workshop_filter")
 def q2(spark, sf):
     return S.filter_submissions(prog(spark, sf).submissions, None, "invalid", "workshop 2")
@@ -100,6 +113,40 @@ def l3(spark, sf):
     return LG.log_page(prog(spark, sf).change_log, 100, 50)
 
 
+LOG_BATCHES, LOG_RUN_ROWS = 4, 500
+
+
+def stored_log(spark, sf):
+    """The change log appended in four batches: three by id, and late rows of the first days."""
+    from rollcall.sinks import log_runs
+    from rollcall.sinks.writers import scratch_path
+    path, log = scratch_path(spark, "change-log"), prog(spark, sf).change_log
+    n = log.agg(F.max("log_id")).first()[0] or 0
+    late = (F.col("log_id") % 101 == 7) & (F.col("log_id") < n / 8)
+    for b in range(LOG_BATCHES - 1):
+        log_runs.append(log.filter(~late & (F.floor(F.col("log_id") * (LOG_BATCHES - 1) / (n + 1)) == b)), path, f"day-{b}", LOG_RUN_ROWS)
+    log_runs.append(log.filter(late), path, "late", LOG_RUN_ROWS)
+    return path
+
+
+@query("l3_deep_page_stored_log")
+def l3_deep(spark, sf):
+    from rollcall.sinks import log_runs
+    return log_runs.page(spark, stored_log(spark, sf), 100, 700)
+
+
+@query("l5_stored_log_by_operation")
+def l5_stored(spark, sf):
+    from rollcall.sinks import log_runs
+    return log_runs.page(spark, stored_log(spark, sf), 100, 50, operation="DELETE")
+
+
+@query("l6_stored_log_by_time")
+def l6_stored(spark, sf):
+    from rollcall.sinks import log_runs
+    return log_runs.page(spark, stored_log(spark, sf), 100, start=LOG_START, end=LOG_END)
+
+
 @query("l4_log_by_table")
 def l4(spark, sf):
     return LG.log_by_table(prog(spark, sf).change_log, "submissions")

@@ -17,6 +17,10 @@ NEWEST = "ORDER BY log_ts DESC NULLS FIRST, log_id DESC"
 ORACLE = {
     "q1_participant_search": W("""
 SELECT * FROM participants
+WHERE contains(lower(concat_ws(' ', COALESCE(email, ''), COALESCE(name, ''), COALESCE(phone_number, ''),
+                               COALESCE(country, ''))), 'user12')""", "participants"),
+    "q1_indexed_participant_search": W("""
+SELECT * FROM participants
 WHERE contains(lower(concat_ws(' ', COALESCE(email, ''), COALESCE(name, ''), COALESCE(phone_number, ''),
                                COALESCE(country, ''))), 'user12')""", "participants"),
     "q1_submission_search": W(f"""
@@ -64,6 +68,13 @@ SELECT COALESCE(p.category, 'Other') AS category, p.permission_id, p.route_name,
        p.permission_id IN (SELECT permission_id FROM access_grants WHERE user_id = 7) AS granted
 FROM access_permissions p""", "access_permissions", "access_grants"),
     "l3_log_page": W(f"SELECT * FROM change_log {NEWEST} LIMIT 100 OFFSET 50", "change_log"),
+    "l3_deep_page_stored_log": W(f"SELECT * FROM change_log {NEWEST} LIMIT 100 OFFSET 700", "change_log"),
+    "l5_stored_log_by_operation": W(f"""
+SELECT * FROM change_log WHERE operation_type = 'DELETE' {NEWEST} LIMIT 100 OFFSET 50""", "change_log"),
+    "l6_stored_log_by_time": W(f"""
+SELECT * FROM change_log
+WHERE log_ts BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-05 12:00:00' {NEWEST} LIMIT 100""",
+                               "change_log"),
     "l4_log_by_table": W(f"SELECT * FROM change_log WHERE table_name = 'submissions' {NEWEST} LIMIT 100",
                          "change_log"),
     "l5_log_by_operation": W(f"SELECT * FROM change_log WHERE operation_type = 'DELETE' {NEWEST} LIMIT 100",

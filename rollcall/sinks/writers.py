@@ -105,6 +105,11 @@ def write_small(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = file_system(spark, path)
+    return fs.exists(p)
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it doesn't exist."""
     fs, p, _ = file_system(spark, path)
