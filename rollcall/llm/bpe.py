@@ -55,14 +55,19 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def _ids(enc, text: str, part_chars: int) -> list[int]:
+    if len(text) <= part_chars:
+        return enc.encode_ordinary(text)
+    return [i for p in parts(text, part_chars) for i in enc.encode_ordinary(p)]
+
+
 def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
            part_chars: int = PART_CHARS) -> DataFrame:
     """``row`` (the input row) and ``ids`` (array of int)."""
     def run(batches):
         enc = encoder(rank_file, pattern)
         for texts in batches:
-            yield [[None if t is None else [i for p in parts(t, part_chars) for i in enc.encode_ordinary(p)]
-                    if len(t) > part_chars else enc.encode_ordinary(t) for t in texts]]
+            yield [[None if t is None else _ids(enc, t, part_chars) for t in texts]]
 
     return map_text(df, text_col, [T.StructField("ids", T.ArrayType(T.IntegerType(), False))], run)
 
@@ -84,6 +89,20 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", to
     return df.mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
+               part_chars: int = PART_CHARS) -> DataFrame:
+    """``row``, ``ids`` and ``decoded`` as by ``encode`` and then ``decode``, in one pass: a task needs one Python worker,
+    and ids don't go back to it."""
+    def run(batches):
+        enc = encoder(rank_file, pattern)
+        for texts in batches:
+            ids = [None if t is None else _ids(enc, t, part_chars) for t in texts]
+            yield [ids, [None if i is None else enc.decode_bytes(i) for i in ids]]
+
+    return map_text(df, text_col, [T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
+                                   T.StructField("decoded", T.BinaryType())], run)
+
+
 def ids_text(ids: Column | str) -> Column:
     """Decimal ids joined by commas."""
     return F.concat_ws(",", F.col(ids).cast("array<string>") if isinstance(ids, str) else ids.cast("array<string>"))

@@ -56,3 +56,14 @@ def test_query_digests(spark):
         assert got.n_tokens == len(ids)
         assert got.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_round_trip_equals_encode_then_decode(spark):
+    texts = ["plain words", "", None, "<|endoftext|>", "漢字 ☃ " * 9, "word " * 40000]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*texts, *texts])], "doc_id long, text string, decoded string")
+    both = bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS, PATTERN)
+    once = bpe.round_trip(df, RANKS, PATTERN)
+    assert once.schema == both.schema
+    key = lambda r: r.row.doc_id
+    assert sorted(once.collect(), key=key) == sorted(both.collect(), key=key)
+    assert bpe.round_trip(df.limit(0), RANKS, PATTERN).count() == 0
