@@ -53,10 +53,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
     where = {"rank_file": public_tokenizers.path(RANK_FILE), "pattern": public_tokenizers.PATTERN}
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = bpe.encode(texts, **where).select(F.col("row.doc_id").alias("doc_id"), "ids")
-    return bpe.decode(coded, **where).select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(texts, **where).select(
+        F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
