@@ -10,7 +10,9 @@ A label holds for a whole document, while a few words decide it: a document is
 as toxic as its most toxic segment.  Training therefore takes from a toxic
 document the segment that the model of the epoch before finds most toxic (all
 segments in the first epoch), and from a clean one that segment and a random
-one.  A last step fits the probability of a document to its highest segment.
+one.  Segments overlap by half, so a short passage lies whole in one of them.  A
+last step fits the probability of a document to its highest segment and to the
+number of its segments, since the highest of many is high by chance.
 
 Training reads a bounded sample of the labelled rows (``TRAIN_ROWS`` rows and
 ``TRAIN_CHARS`` characters, in the order of a hash of the id) in one task;
@@ -19,7 +21,8 @@ scoring reads every whole text.
 Defined cases: a text without letters (null, empty, digits) scores 0; labels
 that are null are not learned from, several labels of one id count as their
 largest; without labels of both classes every text scores the share of toxic
-labels (0 without labels); equal texts score alike.
+labels (0 without labels); equal texts score alike.  For texts far longer than
+all labelled ones the fit on the number of segments is an extrapolation.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from rollcall.llm.common import Stored, fold, get_ready, map_text
 
 TRAIN_ROWS = 24_000
 TRAIN_CHARS = 128_000_000
-SEGMENT = 16            # words
+SEGMENT, HALF = 16, 8   # words; a segment begins at every half
 GRAMS = (3, 4, 5)       # characters
 BUCKETS = 1 << 17
 DIM = 8
@@ -52,11 +55,12 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 KEPT_WORDS = 1 << 18
 
-_WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters and digits that are not digits alone: a digit may stand for a letter."""
+    return [w for w in _RUN.findall(text.lower()) if not w.isdecimal()] if text else []
 
 
 def subwords(word: str) -> list[int]:
@@ -73,7 +77,7 @@ class Model:
     vectors: np.ndarray         # BUCKETS x DIM
     softmax: np.ndarray         # DIM x 2
     bias: np.ndarray            # 2
-    scale: tuple[float, float]  # logit of a document = scale[0] * arsinh(highest segment) + scale[1]
+    scale: tuple[float, ...]    # weights of _features, whose sum is the logit of a document
     constant: float | None = None
 
     def to_bytes(self) -> bytes:
@@ -88,7 +92,7 @@ class Model:
         import io
         z = np.load(io.BytesIO(data))
         constant = float(z["constant"][0]) if len(z["constant"]) else None
-        return Model(z["vectors"], z["softmax"], z["bias"], (float(z["scale"][0]), float(z["scale"][1])), constant)
+        return Model(z["vectors"], z["softmax"], z["bias"], tuple(map(float, z["scale"])), constant)
 
 
 class Bags:
@@ -121,12 +125,16 @@ class Bags:
         self.sub_off = np.concatenate(([0], np.cumsum(self.sub_len)))[:-1]
         self.word_flat = np.frombuffer(self.words, np.int32)
         length = np.array(self.word_counts, np.int64)
-        per_doc = -(-length // SEGMENT)
-        self.doc_first = np.concatenate(([0], np.cumsum(per_doc)))
+        halves = -(-length // HALF)
+        self.seg_count = np.maximum(1, halves - 1)
+        self.doc_first = np.concatenate(([0], np.cumsum(self.seg_count)))
         start = np.concatenate(([0], np.cumsum(length)))[:-1]
-        seg = np.arange(self.doc_first[-1])
-        self.seg_doc = np.repeat(np.arange(len(length)), per_doc)
-        self.seg_start = start[self.seg_doc] + (seg - self.doc_first[self.seg_doc]) * SEGMENT
+        self.half_start = np.repeat(start, halves) + HALF * _spread(np.zeros(len(length), np.int64), halves)
+        half_first = np.concatenate(([0], np.cumsum(halves)))[:-1]
+        self.seg_doc = np.repeat(np.arange(len(length)), self.seg_count)
+        self.seg_at = _spread(np.zeros(len(length), np.int64), self.seg_count)     # number within the document
+        self.seg_half = half_first[self.seg_doc] + self.seg_at
+        self.seg_start = start[self.seg_doc] + self.seg_at * HALF
         self.seg_len = np.minimum(SEGMENT, start[self.seg_doc] + length[self.seg_doc] - self.seg_start)
         self.y = np.array(self.labels, np.int64)
 
@@ -135,7 +143,10 @@ class Bags:
         return np.add.reduceat(v[self.sub_flat], self.sub_off) / self.sub_len
 
     def segment_scores(self, m: Model) -> np.ndarray:
-        sums = np.add.reduceat(self.word_scores(m)[self.word_flat], self.seg_start)
+        halves = np.add.reduceat(self.word_scores(m)[self.word_flat], self.half_start)
+        sums = halves[self.seg_half]
+        two = self.seg_len > HALF
+        sums[two] += halves[self.seg_half[two] + 1]
         return sums / self.seg_len + (m.bias[1] - m.bias[0])
 
     def top_segments(self, scores: np.ndarray) -> np.ndarray:
@@ -175,16 +186,20 @@ def _step(m: Model, grown: np.ndarray, bags: Bags, segs: np.ndarray, y: np.ndarr
     m.vectors[rows] -= 0.1 * RATE * total / np.sqrt(grown[rows])[:, None]
 
 
-def _fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of y on arsinh(x), slightly shrunk, by Newton steps that never raise the loss."""
-    f = np.stack([np.arcsinh(x), np.ones(len(x))], axis=1)
-    shrink = np.array([1e-1, 1e-6])
+def _features(top: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """What the logit of a document is made of: its highest segment, one, its number of segments."""
+    return np.stack([np.arcsinh(top), np.ones(len(top)), np.log(segments)], axis=1)
+
+
+def _fit_scale(f: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic fit of y on features, slightly shrunk, by Newton steps that never raise the loss."""
+    shrink = np.array([1e-1, 1e-6, 1e-1])
 
     def loss(w: np.ndarray) -> float:
         z = f @ w
         return float(np.logaddexp(0, z).sum() - (y * z).sum() + (shrink * w * w).sum() / 2)
 
-    w = np.array([0.0, np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))])
+    w = np.array([0.0, np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)), 0.0])
     now = loss(w)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(f @ w, -40, 40)))
@@ -196,7 +211,7 @@ def _fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
             break
         w = w + size * move
         now = loss(w)
-    return float(w[0]), float(w[1])
+    return tuple(map(float, w))
 
 
 def fit(rows: Iterator[tuple[str, int]], seed: int = 7, epochs: int = EPOCHS) -> Model:
@@ -226,14 +241,14 @@ def fit(rows: Iterator[tuple[str, int]], seed: int = 7, epochs: int = EPOCHS) ->
         m = _start(seed)
         _train(m, bags, np.ones(n, bool), epochs, seed)
     known = ~np.isnan(judged)
-    m.scale = _fit_scale(judged[known], bags.y[known])
+    m.scale = _fit_scale(_features(judged[known], bags.seg_count[known]), bags.y[known])
     return m
 
 
 def _start(seed: int) -> Model:
     rng = np.random.default_rng(seed)
     return Model(rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32),
-                 rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32), (1.0, 0.0))
+                 rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32), (1.0, 0.0, 0.0))
 
 
 def _train(m: Model, bags: Bags, use: np.ndarray, epochs: int, seed: int) -> None:
@@ -248,7 +263,7 @@ def _train(m: Model, bags: Bags, use: np.ndarray, epochs: int, seed: int) -> Non
             top = bags.top_segments(bags.segment_scores(m))
             up, down = top[toxic], np.union1d(some, top[clean])
         else:
-            up, down = np.flatnonzero(((bags.y == 1) & use)[bags.seg_doc]), some
+            up, down = np.flatnonzero(((bags.y == 1) & use)[bags.seg_doc] & (bags.seg_at % 2 == 0)), some
         # the share of toxic segments differs between epochs; the bias takes that up at once, so no word has to
         odds, before = np.log(max(1, len(up)) / max(1, len(down))), odds
         m.bias += np.array([-0.5, 0.5], np.float32) * np.float32(odds - before)
@@ -310,9 +325,13 @@ class Scorer:
         if not found:
             return 0.0
         s = np.fromiter(map(self.known.__getitem__, found), np.float64, len(found))
-        starts = np.arange(0, len(s), SEGMENT)
-        means = np.add.reduceat(s, starts) / np.minimum(SEGMENT, len(s) - starts)
-        z = self.scale[0] * np.arcsinh(means.max() + self.bias) + self.scale[1]
+        starts = np.arange(0, len(s), HALF)
+        sums = np.add.reduceat(s, starts)
+        if len(starts) > 1:
+            starts, sums = starts[:-1], sums[:-1] + sums[1:]
+        means = sums / np.minimum(SEGMENT, len(s) - starts)
+        a, b, c = self.scale
+        z = a * np.arcsinh(means.max() + self.bias) + b + c * np.log(len(means))
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 

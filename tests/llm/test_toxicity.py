@@ -31,7 +31,7 @@ def test_held_out_accuracy_and_misspellings():
     y = np.array([v == 1 for _, v in rows[700:]])
     assert (got == y).mean() > 0.9
     clean = " ".join(plain[:60])
-    for word in ("stuupid", "worthles", "patheticc"):
+    for word in ("stuupid", "worthles", "patheticc", "stup1d", "w0rthless"):
         assert word not in ("stupid", "worthless", "pathetic")
         assert scorer(f"{clean} {word} {clean}") > 2 * scorer(f"{clean} {plain[7]} {clean}")
     assert scorer("") == scorer(None) == scorer("12 34 !") == 0
@@ -54,3 +54,46 @@ def test_tables(spark):
     none = x.train(docs, labels.limit(0))
     assert {r.score for r in x.score(docs, none).select("score").collect()} == {0.0}
     assert x.score(docs.limit(0), model).count() == 0
+
+
+def test_segments_overlap_by_half_and_cover_every_word():
+    bags = x.Bags()
+    for n in (1, 7, 8, 9, 16, 17, 40, 41):
+        bags.add(" ".join("abcdefgh"[i % 8] for i in range(n)), 0)
+    bags.close()
+    rng = np.random.default_rng(3)
+    m = x.Model(rng.normal(size=(x.BUCKETS, x.DIM)).astype(np.float32), rng.normal(size=(x.DIM, 2)).astype(np.float32),
+                np.zeros(2, np.float32), (1.0, 0.0, 0.0))
+    single, got = bags.word_scores(m)[bags.word_flat], bags.segment_scores(m)
+    begin = np.concatenate(([0], np.cumsum(bags.word_counts)))
+    for doc in range(len(bags.labels)):
+        of = range(bags.doc_first[doc], bags.doc_first[doc + 1])
+        spans = [(bags.seg_start[k], bags.seg_start[k] + bags.seg_len[k]) for k in of]
+        assert set(range(begin[doc], begin[doc + 1])) == {p for a, b in spans for p in range(a, b)}
+        assert all(b[0] - a[0] == x.HALF and a[1] - a[0] == x.SEGMENT for a, b in zip(spans, spans[1:], strict=False))
+        assert np.allclose(got[list(of)], [single[a:b].mean() for a, b in spans], atol=1e-5)
+    # a scorer sees the same segments
+    scorer = x.Scorer(m)
+    text = " ".join("abcdefgh"[i % 8] for i in range(41))
+    assert np.isclose(scorer(text), 1 / (1 + np.exp(-np.arcsinh(got[bags.doc_first[-2]:].max()))), atol=1e-5)
+
+
+def test_long_clean_texts():
+    rows, _ = made(1500, 5)
+    scorer = x.Scorer(x.fit(iter(rows[:1000])))
+    clean = [t for t, label in rows[1000:] if not label and len(x.words(t)) > 200]
+    assert len(clean) > 100 and np.mean([scorer(t) >= x.THRESHOLD for t in clean]) < 0.1
+
+
+def test_scale_takes_up_that_the_highest_of_many_is_high_by_chance():
+    rng = np.random.default_rng(1)
+    n = rng.integers(1, 400, 6000)
+    y = (rng.random(6000) < 0.2).astype(int)
+    top = np.array([rng.normal(size=k).max() for k in n])
+    top = np.where(y == 1, np.maximum(top, 4 + rng.normal(size=6000)), top)
+    f = x._features(top, n)
+    w = x._fit_scale(f, y)
+    wrong = 1 / (1 + np.exp(-(f @ np.array(w)))) >= x.THRESHOLD
+    assert w[0] > 0 > w[2]
+    short, long = wrong[(y == 0) & (n < 100)].mean(), wrong[(y == 0) & (n >= 300)].mean()
+    assert long < 1.5 * short + 0.02
