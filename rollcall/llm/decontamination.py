@@ -11,14 +11,17 @@ may move on when a block ends at a position; a block that ends some window
 has shift 0 and leads, through its bucket and the window's first block, to
 the windows that are then compared word by word.
 
-The benchmark is read in blocks of bounded size.  Each block is sent to the
-executors and searched in one pass over all documents; the passes are
-chained, so the memory of a task never grows with the benchmark.
-
-Defined cases: a null or empty text has no words and no hits; items with a
-null id or without words have no windows; rows with the same item_id are one
-item; equal document rows are judged each for itself; other columns of the
-input are kept as they are.
+The benchmark is cut into slices by tasks, stored, and dealt into numbered
+blocks of bounded size.  One block at a time is sent to the executors and
+searched in a pass over all documents.  A benchmark of one block needs one
+pass and no shuffle.  With more blocks each pass stores only the hits, keyed by
+a digest of the text, and the hits of all blocks are merged and joined back, so
+neither a task nor the driver ever holds more than one block.
+
+Defined cases: a null or empty text has no words and no hits; items without
+words have no windows; windows of items with a null id hit, but only ids can be
+listed; rows with the same item_id are one item; equal document rows are judged
+each for itself; other columns of the input are kept as they are.
 """
 
 from __future__ import annotations
@@ -26,15 +29,18 @@ from __future__ import annotations
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import get_ready, map_text, words_of
+from rollcall.llm.common import Stored, get_ready, map_text, words_of
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20      # benchmark text per block that is sent to the executors
+BLOCK_BYTES = 16 << 20      # of benchmark words per block that is sent to the executors
+WORD_COST = 40              # bytes that a word costs beside its own
 
 
 class Table:
@@ -122,30 +128,27 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, item_col: str,
-              text_col: str) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """The benchmark as lists of (item id, words) of bounded size, one list at a time.
+def slices_of(benchmark: DataFrame, window: int, block_bytes: int, item_col: str, text_col: str) -> DataFrame:
+    """``item`` (id as string), ``words`` (space-joined) and ``cost`` of every slice of the benchmark.
 
     A long item is cut into slices that overlap by ``window`` - 1 words, so
-    each window lies in exactly one slice.
+    each window lies in exactly one slice and no slice outgrows a block.
     """
-    block, size = [], 0
-    rows = benchmark.select(item_col, text_col).distinct()
     most = max(window, block_bytes // 64)
-    for item, text in rows.toLocalIterator():
-        words = words_of(text)
-        for at in range(0, max(1, len(words) - window + 1), most):
-            part = words[at:at + most + window - 1]
-            if not part:
-                continue
-            cost = sum(map(len, part)) + 40 * len(part)
-            if block and size + cost > block_bytes:
-                yield block
-                block, size = [], 0
-            block.append((item, part))
-            size += cost
-    if block:
-        yield block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                for at in range(0, max(1, len(words) - window + 1) if words else 0, most):
+                    part = words[at:at + most + window - 1]
+                    cost = sum(map(len, part)) + WORD_COST * len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item], pa.string()), pa.array([b" ".join(part)], pa.binary()), pa.array([cost], pa.int64())],
+                        names=["item", "words", "cost"])
+
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).distinct()
+    return rows.mapInArrow(run, "item string, words binary, cost bigint")
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -157,16 +160,26 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     """``row`` (the input row), ``n_words``, ``spans`` (hit stretches of words,
     apart and in order) and ``items`` (ids of the items with occurring windows,
     each once, sorted as strings; ids are returned as strings)."""
-    spark = get_ready(docs.sparkSession).sparkContext
+    spark = get_ready(docs.sparkSession)
+    stored = Stored(spark, "decontamination")
+    slices = stored.put(slices_of(benchmark, window, block_bytes, item_col, item_text_col), "slices")
+    blocks = max(1, -(-(slices.agg(F.sum("cost")).first()[0] or 0) // block_bytes))
+    dealt = slices.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
+    if blocks > 1:
+        dealt = stored.put(dealt.repartition(blocks, "block").sortWithinPartitions("block"), "blocks")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS),
               T.StructField("items", T.ArrayType(T.StringType()))]
+    call = uuid.uuid4().hex     # names the tables that a Python worker keeps
+
+    def one_pass(n: int):
+        key = f"{call}-{n}"
+        block = spark.sparkContext.broadcast(           # about ``block_bytes``
+            [(r.item, bytes(r.words).split()) for r in dealt.filter(F.col("block") == n).collect()])
 
-    def one_pass(block, key):
         def run(batches):
             if key not in _MATCHERS:
                 _MATCHERS.clear()
-                _MATCHERS[key] = (Matcher([(i, w) for i, (_, w) in enumerate(block.value)], window),
-                                  [None if i is None else str(i) for i, _ in block.value]) if block else (Matcher([], window), [])
+                _MATCHERS[key] = (Matcher([(i, w) for i, (_, w) in enumerate(block.value)], window), [i for i, _ in block.value])
             matcher, names = _MATCHERS[key]
             for texts in batches:
                 out = ([], [], [])
@@ -177,24 +190,34 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                     out[1].append([{"start": a, "end": b} for a, b in merged(spans)])
                     out[2].append(sorted({names[i] for i in items} - {None}))
                 yield list(out)
-        return run
-
-    call = uuid.uuid4().hex     # names the tables that a Python worker keeps
-    found = None
-    for n, block in enumerate(blocks_of(benchmark, window, block_bytes, item_col, item_text_col)):
-        sent = spark.broadcast(block)
-        if found is None:
-            found = map_text(docs, text_col, fields, one_pass(sent, f"{call}-{n}"))
-            continue
-        again = map_text(found.withColumn("text", F.col("row")[text_col]), "text", fields, one_pass(sent, f"{call}-{n}"),
-                         row="before")
-        found = again.select(
-            F.col("before.row").alias("row"), "n_words",
-            _merge_spans(F.concat("before.spans", "spans")).alias("spans"),
-            F.array_sort(F.array_distinct(F.concat("before.items", "items"))).alias("items"))
-    if found is None:
-        found = map_text(docs, text_col, fields, one_pass(None, call))
-    return found
+        return run, block
+
+    if blocks == 1:
+        return map_text(docs, text_col, fields, one_pass(0)[0])
+
+    texts = docs.select(_digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")).filter("text is not null")
+    passes = []
+    for n in range(blocks):
+        run, block = one_pass(n)
+        hits = (map_text(texts, "text", fields, run).filter(F.size("spans") > 0)
+                .groupBy(F.col("row.digest").alias("digest"))       # equal texts have equal hits
+                .agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
+        passes.append(stored.put(hits, f"hits-{n}"))
+        block.unpersist()
+    hits = (reduce(DataFrame.unionByName, passes).groupBy("digest")
+            .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+            .select("digest", _merge_spans(F.col("spans")).alias("spans"),
+                    F.array_sort(F.array_distinct("items")).alias("items")))
+    counted = map_text(docs, text_col, fields[:1], lambda batches: ([[len(words_of(t)) for t in texts]] for texts in batches))
+    # rows without a text have no hits; their keys differ by row, so that they don't meet in one task
+    key = F.coalesce(_digest(F.col(f"row.`{text_col}`")), F.xxhash64("row").cast("string"))
+    return counted.withColumn("digest", key).join(hits, "digest", "left").select(
+        "row", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(text, 256)
 
 
 def _merge_spans(spans: Column) -> Column:
