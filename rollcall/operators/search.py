@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Search columns of the three searchable listings.
 PARTICIPANT_SEARCH_COLUMNS = ["email", "name", "phone_number", "country"]
@@ -68,11 +69,18 @@ def dynamic_sort(df: DataFrame, field: str, direction: str = "asc", collation: s
                  tiebreak: list[str] | None = None) -> DataFrame:
     """Q3: sort by a chosen field.  Text compares with nulls as '' (optionally
     under a collation such as ``UNICODE``); numbers with nulls as 0.  Unknown
-    fields keep the input order.  ``tiebreak`` columns make the order total."""
-    kind = SORT_FIELDS.get(field)
-    if kind is None:
+    fields keep the input order.  ``tiebreak`` columns make the order total; rows
+    that are equal in all of these follow a hash of the row (``spread``)."""
+    if field not in SORT_FIELDS:
         return df
-    if kind == "text":
+    key = sort_key(field, collation)
+    key = key.desc() if direction == "desc" else key.asc()
+    return df.orderBy(key, *[F.col(c).asc() for c in (tiebreak or [])], spread(df))
+
+
+def sort_key(field: str, collation: str | None = None) -> Column:
+    """The value that a field of ``SORT_FIELDS`` is sorted by."""
+    if SORT_FIELDS[field] == "text":
         key = F.coalesce(F.col(field), F.lit(""))
         if field == "workshop_name":
             key = F.lower(key)
@@ -82,8 +90,14 @@ def dynamic_sort(df: DataFrame, field: str, direction: str = "asc", collation: s
         key = F.coalesce(F.unix_micros(F.col(field).cast("timestamp")), F.lit(0))
     else:
         key = F.coalesce(F.col(field), F.lit(0))
-    key = key.desc() if direction == "desc" else key.asc()
-    return df.orderBy(key, *[F.col(c).asc() for c in (tiebreak or [])])
+    return key
+
+
+def spread(df: DataFrame) -> Column:
+    """Last sort key that tells rows of one sort value apart, so that a value
+    that many rows share is ranged over several tasks instead of one."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
 
 
 def workshop_facets(df: DataFrame, col: str = "workshop_name") -> DataFrame:
@@ -99,5 +113,5 @@ def result_count(df: DataFrame, predicate: Column) -> DataFrame:
 
 
 def newest_first(df: DataFrame, col: str = "created_at") -> DataFrame:
-    """Q6: listing ordered by creation time, newest first."""
-    return df.orderBy(F.col(col).desc_nulls_first())
+    """Q6: listing ordered by creation time, newest first; rows of one time follow a hash of the row."""
+    return df.orderBy(F.col(col).desc_nulls_first(), spread(df))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rollcall.operators import access as P
 from rollcall.operators import changelog as LG
 from rollcall.operators import search as S
+from rollcall.operators.ordering import with_position
 from rollcall.plans.catalog import prog, query
 from rollcall.session import Tables
 
@@ -67,6 +68,13 @@ def q3(spark, sf):
     return out.select("workshop_name", "email", "likes")
 
 
+@query("q3_submission_text_sort_positions")
+def q3_text(spark, sf):
+    """Place of every submission in the listing sorted by workshop, then e-mail."""
+    order = [S.sort_key("workshop_name"), S.sort_key("email")]
+    return with_position(prog(spark, sf).submissions, order, "position").select("workshop_name", "email", "position")
+
+
 @query("q4_workshop_facets")
 def q4(spark, sf):
     return S.workshop_facets(prog(spark, sf).submissions)

@@ -35,6 +35,10 @@ SELECT * FROM submissions WHERE valid IS NOT TRUE AND lower(COALESCE(workshop_na
     "q3_submission_sort_likes_desc": W("""
 SELECT workshop_name, email, likes FROM submissions
 ORDER BY COALESCE(likes, 0) DESC, workshop_name, email""", "submissions"),
+    "q3_submission_text_sort_positions": W("""
+SELECT workshop_name, email,
+       row_number() OVER (ORDER BY lower(COALESCE(workshop_name, '')), COALESCE(email, '')) AS position
+FROM submissions""", "submissions"),
     "q4_workshop_facets": W("""
 SELECT DISTINCT lower(workshop_name) AS workshop FROM submissions
 WHERE workshop_name IS NOT NULL AND workshop_name <> '' ORDER BY 1""", "submissions"),

@@ -36,6 +36,25 @@ def test_dynamic_sort_with_collation(spark):
     assert unicode[0] is None and unicode.index("b") == 3
 
 
+def test_a_value_that_all_rows_share_is_sorted_by_several_tasks(spark):
+    df = spark.range(40_000).selectExpr("'w' AS workshop_name", "id", "timestamp_ntz'2025-01-01 00:00:00' AS created_at",
+                                        "map('a', id) AS extra")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for out in (S.dynamic_sort(df, "workshop_name", "desc"), S.newest_first(df)):
+            at = [r.p for r in out.select(F.spark_partition_id().alias("p")).collect()]
+            assert len(at) == 40_000 and max(at.count(p) for p in set(at)) < 30_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_sort_keeps_tiebreak_before_the_hash(spark):
+    df = spark.createDataFrame([("b", 3), ("A", 2), ("a", 1), (None, 4), ("B", 1)], "workshop_name string, id int")
+    got = [(r.workshop_name, r.id) for r in S.dynamic_sort(df, "workshop_name", tiebreak=["id"]).collect()]
+    assert got == [(None, 4), ("a", 1), ("A", 2), ("B", 1), ("b", 3)]
+    assert S.dynamic_sort(df, "unknown").count() == 5
+
+
 def test_search_trim_and_nulls(spark):
     df = spark.createDataFrame([("Ann", None), ("Bob", "x@y.io")], "name string, email string")
     assert S.search(df, ["name", "email"], "  ann ").count() == 1

@@ -19,7 +19,7 @@ GLOBAL_AGGREGATES = {"a1_entity_totals", "a11_weekly_link_stats", "a12_challenge
                      "u9_in_batch_counts", "u12_upsert_counts", "u12_create_counts", "u12_update_counts", "u4_partial_update_count",
                      "c20_import_summary", "v9_run_totals", "k2_orphan_counts", "k3_not_null_violations",
                      "k4_length_violations", "k5_cascade_delete_counts", "u10_update_by_occupation_count"}
-BOUNDED_WINDOWS = {"a20_slot_order", "v10_progress_trail", "a15_ranked_engagement_export"}
+BOUNDED_WINDOWS = {"a20_slot_order", "v10_progress_trail", "q3_submission_text_sort_positions", "a15_ranked_engagement_export"}
 
 
 @pytest.fixture(scope="module")
