@@ -70,6 +70,16 @@ def _ntz(s: Column, fmt: str) -> Column:
     return F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
 
 
+def _can_hold(s: Column, fmt: str) -> Column:
+    """Whether the text has a digit and the separators of the format; without them its parse fails, and a failing parse
+    throws and is slow."""
+    out = s.rlike("[0-9]")
+    for mark in "-/: ":
+        if mark in fmt:
+            out = out & s.contains(mark)
+    return out
+
+
 def parse_iso_naive(c) -> Column:
     """ISO-8601 text as a zone-less timestamp.  ``Z`` and a trailing offset
     are dropped *without shifting*; the fraction is cut or padded to 6 digits.
@@ -102,6 +112,7 @@ def with_time_slot(df: DataFrame, src: str, dst: str, year: int, _p: str = "__sl
     Only applies to text with a comma and a dash."""
     c = lambda n: F.col(_p + n)
     y = F.lit(str(year))
+    like = c("s").contains(",") & c("s").contains("-")
     stages = [
         (_p + "s", strip(src)),
         (_p + "tp", strip(F.regexp_extract(c("s"), r"^[^,]*,(.*)$", 1))),
@@ -115,9 +126,10 @@ def with_time_slot(df: DataFrame, src: str, dst: str, year: int, _p: str = "__sl
          .when(c("pm"), F.concat(c("st0"), F.lit(" PM")))
          .when(c("am"), F.concat(c("st0"), F.lit(" AM")))
          .otherwise(c("st0"))),
-        (_p + "day", F.coalesce(F.try_to_timestamp(c("dp"), F.lit("d MMM yyyy")),
-                                 F.try_to_timestamp(c("dp"), F.lit("d MMMM yyyy")))),
-        (_p + "t", F.coalesce(*[F.try_to_timestamp(c("st"), F.lit(f)) for f in SLOT_TIME_FORMATS])),
+        # a failing parse throws and is slow: only texts that can be a slot are tried
+        (_p + "day", F.when(like, F.coalesce(F.try_to_timestamp(c("dp"), F.lit("d MMM yyyy")),
+                                             F.try_to_timestamp(c("dp"), F.lit("d MMMM yyyy"))))),
+        (_p + "t", F.when(like, F.coalesce(*[F.try_to_timestamp(c("st"), F.lit(f)) for f in SLOT_TIME_FORMATS]))),
         (_p + "hm", F.regexp_extract(c("st"), r"(\d{1,2}:\d{2})", 1)),
         (_p + "h0", F.when(c("hm") != "", F.substring_index(c("hm"), ":", 1).cast("int"))),
         (_p + "m", F.when(c("hm") != "", F.substring_index(c("hm"), ":", -1).cast("int"))),
@@ -128,7 +140,7 @@ def with_time_slot(df: DataFrame, src: str, dst: str, year: int, _p: str = "__sl
         (_p + "minute", F.coalesce(F.minute(c("t")), F.when(c("ok"), c("m")))),
     ]
     df = _stage(df, stages)
-    applies = c("s").contains(",") & c("s").contains("-") & c("day").isNotNull() & c("hour").isNotNull()
+    applies = like & c("day").isNotNull() & c("hour").isNotNull()
     ts = F.make_timestamp_ntz(F.year(c("day")), F.month(c("day")), F.dayofmonth(c("day")),
                               c("hour"), c("minute"), F.lit(0))
     df = df.withColumn(dst, F.when(applies, ts))
@@ -142,7 +154,7 @@ def with_datetime(df: DataFrame, src: str, dst: str, year: int, _p: str = "__dt_
     df = df.withColumn(s, strip(src))
     df = df.withColumn(_p + "iso", parse_iso_naive(F.col(s)))
     df = with_time_slot(df, s, _p + "slot", year)
-    plain = [_ntz(F.col(s), f) for f in DATETIME_FORMATS]
+    plain = [F.when(_can_hold(F.col(s), f), _ntz(F.col(s), f)) for f in DATETIME_FORMATS]
     df = df.withColumn(dst, F.when(F.col(s) != "", F.coalesce(F.col(_p + "iso"), F.col(_p + "slot"), *plain)))
     return df.drop(s, _p + "iso", _p + "slot")
 

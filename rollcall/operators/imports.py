@@ -81,12 +81,16 @@ def generic_import(batch: DataFrame, table: str, mappings: dict[str, str], year:
     """E2 composition: drop blank rows, type mapped fields by name (C11), add
     constants (H6), check required fields and e-mail (C14/C15), fill defaults
     (C16).  ``keep`` columns (e.g. file and sheet) pass through.
-    ``materialize`` writes the typed batch once (reliable checkpoint in the
-    shared checkpoint folder) when records, rejects and a summary will all
-    read it, instead of re-running the parsers for each.  Returns (records,
+    ``materialize`` deals the rows over all tasks and writes the typed batch
+    once (reliable checkpoint in the shared checkpoint folder) when records,
+    rejects and a summary will all read it, instead of re-running the parsers
+    for each.  Returns (records,
     rejects)."""
     cells = [c for c in batch.columns if c != row_col and c not in keep]
     rows = drop_blank_rows(batch, cells)
+    if materialize:
+        from rollcall.session import spread
+        rows = spread(rows, *keep, row_col)
     typed = C.with_types_by_name(rows, mappings, year).select(*keep, row_col, *mappings.keys())
     for k, v in (constants or {}).items():
         typed = typed.withColumn(k, F.lit(v))
@@ -126,6 +130,13 @@ def import_summary(batch_rows: DataFrame, outcome: DataFrame, rejected: DataFram
         *counts, F.transform(F.array_sort(F.collect_list("e")), lambda x: x["error"]).alias("errors"))
 
 
+def import_report(batch_rows: DataFrame, outcome: DataFrame, rejected: DataFrame) -> DataFrame:
+    """C20 whole: the row of counts, and every error message with its place as a row of its own (its counts are null)."""
+    place = [c for c in ("path", "sheet_index", "row_number") if c in rejected.columns]
+    return import_summary(batch_rows, outcome, rejected).unionByName(
+        rejected.select(*place, "error"), allowMissingColumns=True)
+
+
 def file_summary(batch: DataFrame, table: str, mappings: dict[str, str], year: int, row_col: str = "row_number",
                  by: tuple[str, ...] = ("path", "sheet_index"), email_col: str = "email") -> DataFrame:
     """C20 per file and sheet: rows read, blank rows, accepted rows, and skipped

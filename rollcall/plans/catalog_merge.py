@@ -264,10 +264,10 @@ IMPORT_MAPPING = {
 }
 
 
-def _raw_import(spark, sf):
+def _raw_import(spark, sf, materialize=False):
     r = prog(spark, sf).raw_rows.withColumnRenamed("row_number_in_file", "row_number")
     return IM.generic_import(r, "participants", IMPORT_MAPPING, SLOT_YEAR, RUN_TS,
-                             defaults=["registration_date_time"])
+                             defaults=["registration_date_time"], materialize=materialize)
 
 
 @query("c11_c16_import_accepted")
@@ -282,15 +282,16 @@ def c15(spark, sf):
 
 @query("c20_import_summary")
 def c20(spark, sf):
+    """The counts of the import, and its error messages, every one a row."""
     p = prog(spark, sf)
-    accepted, rejected = _raw_import(spark, sf)
+    accepted, rejected = _raw_import(spark, sf, materialize=True)
     target = p.participants.select("email", "name", "phone_number", "registration_date_time")
     res = M.merge_keyed(target, accepted.select("email", "name", "phone_number", "registration_date_time",
                                                 "row_number"),
                         ["email"], "upsert", run_ts=RUN_TS, touch_col=None, created_col=None,
                         insert_defaults_ts=("registration_date_time",))
     batch_rows = p.raw_rows
-    return IM.import_summary(batch_rows, res.outcome, rejected)
+    return IM.import_report(batch_rows, res.outcome, rejected)
 
 
 @query("c20_summary_by_file")

@@ -348,7 +348,9 @@ SELECT (SELECT COUNT(*) FROM raw_rows) AS rows,
        (SELECT COUNT(*) FROM accepted) - (SELECT COUNT(*) FROM lastacc WHERE email NOT IN (SELECT email FROM participants))
          AS updated,
        (SELECT COUNT(*) FROM rejected) AS skipped,
-       (SELECT COUNT(*) FROM rejected) AS error_count""", "participants", "raw_rows"),
+       (SELECT COUNT(*) FROM rejected) AS error_count, CAST(NULL AS BIGINT) AS row_number, CAST(NULL AS VARCHAR) AS error
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, NULL, row_number, error FROM rejected""", "participants", "raw_rows"),
     "c20_summary_by_file": W(f"""
 , cell AS (
   SELECT 'file' || CAST(row_number_in_file % 7 AS VARCHAR) || '.csv' AS path,

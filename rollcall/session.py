@@ -97,6 +97,14 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over the tasks by ``keys``, in a number of partitions that adaptive execution does not lower: rows that are
+    few bytes but much work would else stay in the few tasks of their file's row groups."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
