@@ -1,11 +1,14 @@
 """The change log stored in time-ordered runs (L3-L8 over a large log).
 
-An appended batch is cut into runs of consecutive rows, newest last; beside
-them stands one row per run, table and operation with its number of rows and
-its first and last place in the log's order (time, nulls newest, then id).
+An appended batch is cut into runs of consecutive rows, newest last; a file
+holds many runs in order, so a batch has as many files as tasks that wrote
+it, however short its runs are.  Beside them stands one row per run, table
+and operation with its file, its number of rows and its first and last place
+in the log's order (time, nulls newest, then id).
 A page is found from these counts: runs whose ranges overlap form a cluster,
 clusters follow each other, so the rows before a cluster are known without
-reading them, and only the clusters a page touches are read.  Batches that
+reading them, and only the clusters a page touches are read, from their files
+and there by run number.  Batches that
 arrive in time order give clusters of one run; a late batch joins the runs it
 overlaps, which costs reading, never rows.
 
@@ -36,6 +39,10 @@ def _place() -> Column:
                     F.coalesce(F.col("log_ts"), F.lit(_NEVER).cast("timestamp_ntz")).alias("ts"), F.col("log_id").alias("id"))
 
 
+def _stored_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("__run", T.LongType())])
+
+
 def append(log: DataFrame, path: str, batch_id: str, run_rows: int = RUN_ROWS) -> None:
     """Add a batch of change rows (``log_id``, ``log_ts``, ``table_name``, ``operation_type`` and any others)."""
     spark, base = log.sparkSession, path.rstrip("/")
@@ -48,10 +55,11 @@ def append(log: DataFrame, path: str, batch_id: str, run_rows: int = RUN_ROWS) -
     # rows without a time are newest of all: in runs of their own they don't stretch the range of the last run
     placed = placed.withColumn("__run", F.when(F.col("log_ts").isNull(), -1 - F.col("__run")).otherwise(F.col("__run")))
     rows = f"{base}/rows/{batch_id}"
-    (placed.repartitionByRange("__run", "__at").sortWithinPartitions("__run", "__at").drop("__place", "__at")
-     .write.mode("overwrite").partitionBy("__run").parquet(rows))
-    stored = spark.read.schema(T.StructType([*log.schema.fields, T.StructField("__run", T.LongType())])).parquet(rows)
-    (stored.groupBy("__run", "table_name", "operation_type")
+    # a run lies in one file
+    (placed.repartitionByRange("__run").sortWithinPartitions("__run", "__at").drop("__place", "__at")
+     .write.mode("overwrite").parquet(rows))
+    stored = spark.read.schema(_stored_schema(log.schema)).parquet(rows)
+    (stored.groupBy("__run", F.col("_metadata.file_name").alias("file"), "table_name", "operation_type")
      .agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("lo"), F.max(_place()).alias("hi"))
      .write.mode("overwrite").parquet(f"{base}/runs/{batch_id}"))
 
@@ -66,18 +74,18 @@ def _runs(spark: SparkSession, base: str) -> DataFrame | None:
 
 
 def page_runs(runs: DataFrame, limit: int, offset: int = 0, start: str | None = None, end: str | None = None) -> DataFrame:
-    """The runs a page touches: ``batch``, ``__run``, ``skipped`` (rows newer than all of their cluster).
+    """The runs a page touches: ``batch``, ``file``, ``__run``, ``skipped`` (rows newer than all of their cluster).
 
     With a time range only rows of runs that lie inside it are sure to count, so the runs at its ends are read as well."""
     lo, hi = F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    per_run = runs.groupBy("batch", "__run").agg(F.sum("n").alias("n"), lo, hi)
+    per_run = runs.groupBy("batch", "file", "__run").agg(F.sum("n").alias("n"), lo, hi)
     if start is not None or end is not None:
         first = F.lit(start or "0001-01-01").cast("timestamp_ntz")
         last = F.lit(end or _NEVER).cast("timestamp_ntz")
         per_run = per_run.filter((F.col("hi.ts") >= first) & (F.col("lo.ts") <= last)).withColumn(
             "n", F.when((F.col("lo.ts") >= first) & (F.col("hi.ts") <= last) & ~F.col("hi.none"), F.col("n")).otherwise(0))
     # these windows are over one row per run
-    newest = Window.orderBy(F.col("hi").desc(), "batch", "__run")
+    newest = Window.orderBy(F.col("hi").desc(), "batch", "file", "__run")
     before = newest.rowsBetween(Window.unboundedPreceding, -1)
     reach = F.min("lo").over(before)
     marked = per_run.withColumn("__new", F.when(reach.isNull() | (F.col("hi") < reach), 1).otherwise(0))
@@ -88,7 +96,7 @@ def page_runs(runs: DataFrame, limit: int, offset: int = 0, start: str | None =
     touched = sizes.filter(F.col("skipped") < offset + limit)
     if start is None and end is None:
         touched = touched.filter(F.col("skipped") + F.col("size") > offset)
-    return clustered.join(touched, "__cluster").select("batch", "__run", "skipped")
+    return clustered.join(touched, "__cluster").select("batch", "file", "__run", "skipped")
 
 
 def page(spark: SparkSession, path: str, limit: int = DEFAULT_PAGE, offset: int = 0, table: str | None = None,
@@ -111,8 +119,11 @@ def page(spark: SparkSession, path: str, limit: int = DEFAULT_PAGE, offset: int
     found = [] if runs is None else page_runs(runs.filter(keep), limit, offset, start, end).collect()
     if not found:
         return spark.createDataFrame([], schema)
-    folders = sorted(f"{base}/rows/{r.batch}/__run={r['__run']}" for r in found)
-    rows = spark.read.schema(schema).parquet(*folders).filter(keep)
+    files = sorted({f"{base}/rows/{r.batch}/{r.file}" for r in found})
+    # batches number their runs alike, file names differ; the run numbers alone are pushed down to the files
+    in_found = F.concat_ws(":", F.col("_metadata.file_name"), F.col("__run")).isin([f"{r.file}:{r['__run']}" for r in found])
+    rows = (spark.read.schema(_stored_schema(schema)).parquet(*files)
+            .filter(F.col("__run").isin(sorted({r["__run"] for r in found})) & in_found).filter(keep).select(*schema.names))
     if ranged:
         if start is not None:
             rows = rows.filter(F.col("log_ts") >= F.lit(start).cast("timestamp_ntz"))
