@@ -141,6 +141,10 @@ def auto_map_similar(headers: DataFrame, fields: list[str], lab_variant: bool =
     or the header contains the field (lab variant also compares the field
     with ``_`` as spaces)."""
     h = F.lower(F.col("header"))
+    # one row per sheet and header name; whether it matches depends on the name alone, so the last matching column of a sheet is
+    # the last column of some name, and the chosen name maps to its first column, as a name lookup does
+    names = headers.filter(F.col("path").isNotNull() & F.col("sheet_index").isNotNull()).groupBy(*SHEET, "header").agg(
+        F.min("position").alias("first"), F.max("position").alias("last"))
     picks = []
     for f in fields:
         fl = f.lower()
@@ -148,12 +152,10 @@ def auto_map_similar(headers: DataFrame, fields: list[str], lab_variant: bool =
         if lab_variant:
             spaced = fl.replace("_", " ")
             pred = pred | F.lit(spaced).contains(h) | h.contains(spaced)
-        picks.append(headers.filter(pred).groupBy(*SHEET).agg(F.max_by("header", "position").alias("header"))
-                     .select(*SHEET, F.lit(f).alias("field"), "header"))
-    # the chosen header name maps to its first column, as a name lookup does
-    first = headers.groupBy(*SHEET, "header").agg(F.min("position").alias("position"))
-    return reduce(lambda a, b: a.unionByName(b), picks).join(first, SHEET + ["header"]) \
-        .select(*SHEET, "field", "position")
+        picks.append(F.max_by("first", F.when(pred, F.col("last"))).alias(f"__{len(picks)}"))
+    wide = names.groupBy(*SHEET).agg(*picks)
+    found = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"__{i}").alias("position")) for i, f in enumerate(fields)])
+    return wide.select(*SHEET, F.inline(found)).filter(F.col("position").isNotNull())
 
 
 def apply_mapping(rows: DataFrame, mapping: DataFrame, fields: list[str],
