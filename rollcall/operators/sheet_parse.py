@@ -35,7 +35,8 @@ def _prepare(rows: DataFrame, kind: str | None, fields: dict[str, list[str]], va
         bad = val.filter(F.size("errors") > 0)
         errors.append(bad.select("path", "sheet_index", F.lit(None).cast("long").alias("row_number"),
                                  F.explode("errors").alias("error")))
-        look = look.join(val.filter(F.size("errors") == 0).select(*H.SHEET), H.SHEET, "left_semi")
+        # one row per sheet, cut off here: the planner would else scan all rows for a filter on its few
+        look = look.join(val.filter(F.size("errors") == 0).select(*H.SHEET), H.SHEET, "left_semi").checkpoint(eager=True)
     missing_req = look.filter(F.col("email").isNull() | F.col("name").isNull())
     errors.append(_sheet_error(missing_req, MSG.MISSING_COLUMNS_NAME_EMAIL if kind
                                else MSG.MISSING_COLUMNS_EMAIL_NAME))

@@ -14,7 +14,7 @@ from rollcall.operators import reports as R
 from rollcall.operators import sheet_parse as SP
 from rollcall.plans.catalog import EXPORT_LIMIT, RUN_TS, SLOT_YEAR, WEEK, prog, query
 from rollcall.operators.headers import FORM_HEADERS, PROJECT_HEADERS
-from rollcall.session import Tables
+from rollcall.session import Tables, ensure_checkpoint_dir, spread
 from rollcall.sinks import writers as W
 from rollcall.sources import sheets as S
 from rollcall.sources.delimited import scan_delimited
@@ -43,6 +43,7 @@ def _laid_out(df, role: str, headers, cells):
 
 
 def master_rows(p):
+    """The rows of the workbooks, laid out and stored once (the parsers read them several times), every sheet over all tasks."""
     user = F.regexp_extract("email", r"^user(\d+)@", 1).cast("long")
     mail = F.when(user % 11 == 0, "").when(user % 13 == 1, "broken").otherwise(F.concat(F.lit(" "), F.upper("email")))
     forms = _laid_out(p.bookings, "form", FORM_HEADERS, {
@@ -51,7 +52,8 @@ def master_rows(p):
     projects = _laid_out(p.submissions, "project", PROJECT_HEADERS, {
         "Team Name": F.col("team_id"), "Leader Name": F.col("name"), "Leader Email": F.col("email"),
         PROJECT_HEADERS[7]: F.coalesce("project_link", F.lit("")), "Created At": F.date_format("created_at", TS)})
-    return S.sheet_roles(forms.unionByName(projects))
+    ensure_checkpoint_dir(p.spark)
+    return S.sheet_roles(spread(forms.unionByName(projects), "path", "row_number").checkpoint(eager=True))
 
 
 @query("c17_form_sheet_parse")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rollcall.functions import messages as MSG
+from rollcall.operators.joins import MAX_BROADCAST_ROWS, checked_broadcast
 from rollcall.sources.rows import non_blank_cells
 
 # Role of each sheet position in the master workbook.
@@ -35,7 +36,8 @@ def sheet_roles(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     roles = F.broadcast(spark.createDataFrame([(i, r, w) for i, (r, w) in enumerate(SHEET_ROLES)],
                                               "sheet_index int, role string, workshop int"))
-    counts = rows.groupBy("path").agg(F.count_distinct("sheet_index").alias("sheets"))
+    # one row per workbook: left to the planner, the rows themselves may become the broadcast side or meet in a task per path
+    counts = checked_broadcast(rows.groupBy("path").agg(F.count_distinct("sheet_index").alias("sheets")), MAX_BROADCAST_ROWS)
     j = rows.join(counts, "path").join(roles, "sheet_index", "left")
     ok = F.col("sheets") >= len(SHEET_ROLES)
     return j.select(*rows.columns,
